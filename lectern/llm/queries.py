@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm.byte_repeats import earlier_passages
 from lectern.llm.common import read_table
+from lectern.llm.near_dedup import near_duplicates
+from lectern.llm.word_repeats import repeated_passages
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.llm.near_dedup import near_duplicates
-
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read_table(spark, sf_dir, "documents"), window=35).drop("spans")
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return earlier_passages(read_table(spark, sf_dir, "documents"), window=100).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op7_substring_dedup, op8_suffix_array_dedup)}
 ORACLE: dict[str, str] = {}
