@@ -6,14 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.byte_repeats import earlier_passages
 from lectern.llm.common import read_table
+from lectern.llm.language_id import train_and_identify
+from lectern.llm.mixing import mix
 from lectern.llm.near_dedup import near_duplicates
+from lectern.llm.packing import pack
+from lectern.llm.top_k import top_k
 from lectern.llm.word_repeats import repeated_passages
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the environment keeps the public tokenizers' files, on every executor alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_identify(spark, read_table(spark, sf_dir, "documents"), folds=5)
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), length=4096, end=1)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read_table(spark, sf_dir, "documents"), window=35).drop("spans")
 
@@ -22,5 +50,5 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return earlier_passages(read_table(spark, sf_dir, "documents"), window=100).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op7_substring_dedup, op8_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_language_id, op4_mix_sources, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_suffix_array_dedup)}
 ORACLE: dict[str, str] = {}
