@@ -354,7 +354,7 @@ def earlier_passages(docs: DataFrame, window: int = 100) -> DataFrame:
     lost = found.where("gone").select("_id", "_th", F.lit(None).cast("struct<anchor: long, at: int, n: int, hot: boolean>").alias("need"), F.struct("at", "n").alias("gone"))
     each = needed.unionByName(lost).groupBy("_id", "_th").agg(F.collect_list("need").alias("need"), F.collect_list("gone").alias("gone"))
     texts = base.select("_id", "_th", "text").mapInArrow(packed, "_id long, _th long, ztext binary")
-    texts = keep(texts.join(each, ["_id", "_th"]).dropDuplicates(["_id", "_th"]), "repeating-texts")
+    texts = keep(texts.join(each.hint("merge"), ["_id", "_th"]).dropDuplicates(["_id", "_th"]), "repeating-texts")
 
     pieces = texts.mapInArrow(_contents(window, False), "anchor long, _id long, _th long, at int, n int, content binary")
     more = pieces.repartition("anchor").sortWithinPartitions("anchor", "_id", "_th", "at").mapInArrow(_sorted(window), _GONE)

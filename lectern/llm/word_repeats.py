@@ -193,7 +193,7 @@ def repeated_passages(docs: DataFrame, window: int = 35) -> DataFrame:
     nodes = nodes.select("node", plain.cast("int").alias("plain"))
     met = base.select("_id", "_th", "text").mapInArrow(_nodes(window, False), "node long, _id long, _th long, at int").join(nodes, "node")
     marks = met.groupBy("_id", "_th").agg(F.collect_list((F.col("at") * 2 + F.col("plain")).cast("int")).alias("marks"))
-    texts = base.select("_id", "_th", "text").mapInArrow(packed, "_id long, _th long, ztext binary").join(marks, ["_id", "_th"])
+    texts = base.select("_id", "_th", "text").mapInArrow(packed, "_id long, _th long, ztext binary").join(marks.hint("merge"), ["_id", "_th"])
     texts = keep(texts, "shared-texts")
     open_ = texts.mapInArrow(_open_windows(window), "h1 long, h2 long, _id long, _th long, at int")
     twice = open_.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
