@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lectern.llm import personal_data
 from lectern.llm.byte_repeats import earlier_passages
 from lectern.llm.common import read_table
 from lectern.llm.language_id import train_and_identify
 from lectern.llm.mixing import mix
 from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.packing import pack
+from lectern.llm.quality import judge
 from lectern.llm.top_k import top_k
 from lectern.llm.word_repeats import repeated_passages
 
@@ -50,5 +53,18 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return earlier_passages(read_table(spark, sf_dir, "documents"), window=100).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_language_id, op4_mix_sources, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_suffix_array_dedup)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(read_table(spark, sf_dir, "documents"))
+    of = lambda kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    counts = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    base = F.sha2(personal_data.joined(of(personal_data.KINDS)).cast("binary"), 256)
+    return found.select("row.doc_id", *counts, base.alias("base_sha256"), personal_data.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_language_id, op4_mix_sources, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_quality_rules, op10_personal_data)}
 ORACLE: dict[str, str] = {}
