@@ -81,9 +81,13 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words and the digest of all of them, for every document."""
     for batch in batches:
         b, off = tb.flat(batch.column("text"))
-        words = [b[off[i] : off[i + 1]].tobytes().split() for i in range(len(batch))]
+        n, sha = [], []
+        for i in range(len(batch)):
+            words = b[off[i] : off[i + 1]].tobytes().split()
+            n.append(len(words))
+            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "_id", "_th")), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string())],
+            [*(batch.column(c) for c in ("doc_id", "_id", "_th")), pa.array(n, pa.int64()), pa.array(sha, pa.string())],
             ["doc_id", "_id", "_th", "n_words", "whole_sha256"],
         )
 
