@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.llm import personal_data
 from lectern.llm.byte_repeats import earlier_passages
 from lectern.llm.common import read_table
+from lectern.llm.html_text import extract
 from lectern.llm.language_id import train_and_identify
 from lectern.llm.mixing import mix
 from lectern.llm.near_dedup import near_duplicates
@@ -24,6 +25,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(read_table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -66,5 +72,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, base.alias("base_sha256"), personal_data.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_language_id, op4_mix_sources, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_quality_rules, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_language_id, op4_mix_sources, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_quality_rules, op10_personal_data)}
 ORACLE: dict[str, str] = {}
