@@ -168,6 +168,8 @@ def judge(docs: DataFrame, limits: Limits = Limits(), against: References | None
     w = F.transform(F.concat(common, F.array(other)), lambda x: x / F.greatest(F.col("_n"), F.lit(1)))
     d = d.withColumn("class_distance", F.when(length >= limits.least_chars, jensen_shannon(p, _by_language(ref.classes, "double"))))
     d = d.withColumn("word_distance", F.when(F.col("_n") >= limits.least_words, jensen_shannon(w, _by_language(ref.words, "double"))))
+    # a filter on the verdict must not be pushed below this: it would copy the whole computation into itself, many times
+    d = d.withColumn("_here", F.monotonically_increasing_id())
     failed = (F.col("_n") < 10) | (100 * F.col("_repeat") > 20 * F.col("_n"))
     good = (F.coalesce("class_distance", F.lit(0.0)) <= limits.classes) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.words)
     return d.select(
@@ -180,5 +182,5 @@ def judge(docs: DataFrame, limits: Limits = Limits(), against: References | None
         failed.alias("base_failed"),
         "class_distance",
         "word_distance",
-        (~failed & good).alias("kept"),
+        (~failed & good & (F.col("_here") >= 0)).alias("kept"),
     )
