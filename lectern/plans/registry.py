@@ -1,15 +1,51 @@
-"""Every query of the engine's own operators, with its oracle SQL."""
+"""Every query of the engine's own operators, with its oracle SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries():
-    return {}
+MODULES: tuple[str, ...] = ("text", "features")
 
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"lectern.plans.{name}")
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
+    return _QUERIES["readability_by_source"](spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_ORACLE)
