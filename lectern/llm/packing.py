@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,26 +23,68 @@ from lectern.llm.common import keep
 GROUP, ISLANDS, MOVES, CROSSOVERS = 4096, 3, 2, 24
 #: Solutions that an island keeps.
 POPULATION = 5
-#: Distinct words whose ids a task remembers.
-_REMEMBERED = 800_000
+#: Words, and pieces of them, whose ids a task remembers: as many again stay until the newer ones fill up.
+_REMEMBERED = 150_000
+
+
+#: This tokenizer's own pattern of the pieces that its pairs are merged within.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Texts of these characters only are normalised by lower() alone (beyond them: composition and special cases).
+_PLAIN = re.compile("[\x00-\u012f\u0131-\u017f]*")
+
+
+def _byte_signs() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: its own if it is printable in Latin-1."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, spare = [""] * 256, 256
+    for b in range(256):
+        out[b] = chr(b if b in own else spare)
+        spare += b not in own
+    return out
 
 
 class _Ids:
-    """Token ids as little-endian 32-bit bytes, word by word: this tokenizer never joins across white space."""
+    """Token ids as little-endian 32-bit bytes, word by word: this tokenizer never joins across white space.
+
+    Words of plain characters are cut into pieces here, and only pieces not met before go to the tokenizer's merges;
+    other words go to the whole tokenizer. Both give what it gives for the whole text.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.signs = _byte_signs()
         self.known: dict[bytes, bytes] = {}
+        self.known_before: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.pieces_before: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > _REMEMBERED:
-            self.known.clear()
-            new = list(words)
-        self.known.update(zip(new, self._encode([w.decode() for w in new]), strict=True))
+        if len(self.known) > _REMEMBERED:
+            self.known, self.known_before = {}, self.known
+        for w in words - self.known.keys():
+            ids = self.known_before.get(w)
+            self.known[w] = self._word(w.decode()) if ids is None else ids
+        if len(self.pieces) > _REMEMBERED:
+            self.pieces, self.pieces_before = {}, self.pieces
+
+    def _word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return self.encode(word)
+        out = []
+        for piece in _PIECE.findall(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces_before.get(piece)
+            if ids is None:
+                text = piece if piece.isascii() and piece.isprintable() else "".join(self.signs[b] for b in piece.encode())
+                ids = struct.pack(f"<{len(m := self.merge(text))}I", *(x.id for x in m))
+            self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))
@@ -51,15 +96,15 @@ def _tokenized(path: str, length: int, end: int, carried: list[str], special: by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(path)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
                 b, off = tb.flat(part.column("text"))
                 texts = [b[off[i] : off[i + 1]].tobytes() for i in range(len(part))]
                 split = [None if special in t else t.split() for t in texts]  # special tokens: whole texts as they are
-                ids.learn({w for s in split if s for w in s})
+                ids.learn(set().union(*filter(None, split)))
                 rows, piece, start, size, crc = [], [], [], [], []
                 for i, (text, words) in enumerate(zip(texts, split, strict=True)):
-                    own = (ids._encode([text.decode()])[0] if words is None else ids(words)) + last
+                    own = (ids.encode(text.decode()) if words is None else ids(words)) + last
                     for j in range(0, len(own), 4 * length):
                         x = own[j : j + 4 * length]
                         rows.append(i)
