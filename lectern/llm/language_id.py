@@ -79,14 +79,6 @@ class Model:
     words: dict[str, np.ndarray]
     grams: list[dict[str, np.ndarray]]
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log probability of the longest n-grams that any language knows; nothing known tells nothing."""
-        for n in range(LONGEST, 0, -1):
-            known = [v for g in grams(word, n) if (v := self.grams[n - 1].get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
-
 
 def train(labelled: DataFrame) -> Model:
     """A model from rows with text and lang: every word of every row is counted, in Spark.
@@ -120,31 +112,57 @@ def train(labelled: DataFrame) -> Model:
 
 
 class _Scorer:
-    """Rows of scores for words, each worked out once in a task."""
+    """Rows of scores for words, each worked out once while a task remembers it."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.known = np.array(list(model.words.values())).reshape(-1, len(model.langs))
+        self.gram_at, vectors = [], []
+        for own in model.grams:
+            self.gram_at.append({g: len(vectors) + i for i, g in enumerate(own)})
+            vectors += own.values()
+        self.grams = np.array(vectors).reshape(-1, len(model.langs))
         self.begin()
 
     def begin(self) -> None:
         self.at = {w: i for i, w in enumerate(self.model.words)}
-        known = np.array(list(self.model.words.values())).reshape(-1, len(self.model.langs))
         self.spare = min(_HELD, 4_000_000 // max(1, len(self.model.langs)))
-        self.scores = np.concatenate([known, np.zeros((self.spare, len(self.model.langs)))])
-        self.used = len(known)
+        self.scores = np.concatenate([self.known, np.zeros((self.spare, len(self.model.langs)))])
+        self.used = len(self.known)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean log probability of its longest n-grams that any language knows; nothing known: zeros."""
+        flat, count = [], []
+        for word in words:
+            own: list[int] = []
+            for n in range(LONGEST, 0, -1):
+                get = self.gram_at[n - 1].get
+                own = [i for i in map(get, grams(word, n)) if i is not None]
+                if own:
+                    break
+            flat += own
+            count.append(len(own))
+        size = np.array(count)
+        out = np.zeros((len(words), len(self.model.langs)))
+        some = np.flatnonzero(size)
+        if len(some):
+            begins = (np.cumsum(size) - size)[some]
+            out[some] = np.add.reduceat(self.grams[flat], begins, axis=0) / size[some, None]
+        return out
 
     def rows(self, words: list[str]) -> np.ndarray:
-        new = {w for w in words if w not in self.at}
+        new = list(set(words).difference(self.at))
         if self.used + len(new) > len(self.scores):
             self.begin()
-            new = {w for w in words if w not in self.at}
+            new = list(set(words).difference(self.at))
             if len(new) > self.spare:
-                return np.array([v if (v := self.model.words.get(w)) is not None else self.model.unseen(w) for w in words])
-        for w in new:
-            self.at[w] = self.used
-            self.scores[self.used] = self.model.unseen(w)
-            self.used += 1
-        return self.scores[[self.at[w] for w in words]]
+                half = len(words) // 2
+                return np.concatenate([self.rows(words[:half]), self.rows(words[half:])])
+        if new:
+            self.at.update(zip(new, range(self.used, self.used + len(new)), strict=True))
+            self.scores[self.used : self.used + len(new)] = self.unseen(new)
+            self.used += len(new)
+        return self.scores[list(map(self.at.__getitem__, words))]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
