@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("text", "features", "relations", "losses", "vectors", "modelling")
+MODULES = ("text", "features", "relations", "losses", "vectors", "modelling", "corpora")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
