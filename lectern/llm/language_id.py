@@ -95,6 +95,9 @@ def train(labelled: DataFrame) -> Model:
     for r in total:
         size[at[r["lang"]]] = r["n"]
 
+    if not langs:
+        return Model([], size, {}, [{} for _ in range(LONGEST)])
+
     def table(df: DataFrame, name: str, most: int) -> dict[str, np.ndarray]:
         top = df.groupBy(name).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("all"), name).limit(most)
         rows = top.select(name, "by").collect()
@@ -108,7 +111,7 @@ def train(labelled: DataFrame) -> Model:
 
     found = keep(counts.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     by_length = [table(found.where(F.length("gram") == n), "gram", MAX_GRAMS) for n in range(1, LONGEST + 1)]
-    return Model(langs, np.log(size / size.sum()) if langs else size, table(counts, "word", MAX_WORDS), by_length)
+    return Model(langs, np.log(size / size.sum()), table(counts, "word", MAX_WORDS), by_length)
 
 
 class _Scorer:
@@ -178,7 +181,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = sent.value
-        scorer = _Scorer(model)
+        scorer = _Scorer(model) if model.langs else None
         for batch in batches:
             pred, score = [], []
             for text in batch.column("text"):
