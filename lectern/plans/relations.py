@@ -122,13 +122,13 @@ def borrowed_negatives(spark, sf_dir):
 
 
 @query("""
-select l_returnflag, l_shipmonth, cast(count(*) as bigint) as n, round(avg(l_discount), 6) as mean, count(distinct l_linenumber) as runs, bool_and(l_quantity > 0) as valid
+select l_returnflag, l_shipmonth, cast(count(*) as bigint) as n, round(avg(l_discount) + 1e-9, 6) as mean, count(distinct l_linenumber) as runs, bool_and(l_quantity > 0) as valid
 from (select l_returnflag, month(l_shipdate) as l_shipmonth, l_discount, l_linenumber, l_quantity from lineitem) group by 1, 2 having count(distinct l_linenumber) >= 3
 """)
 def complete_run_means(spark, sf_dir):
     """Means over runs, of groups that have at least three runs."""
     l = table(spark, sf_dir, "lineitem").withColumn("l_shipmonth", F.month("l_shipdate").cast("long"))
-    g = l.groupBy("l_returnflag", "l_shipmonth").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean"), F.countDistinct("l_linenumber").alias("runs"), F.bool_and(F.col("l_quantity") > 0).alias("valid"))
+    g = l.groupBy("l_returnflag", "l_shipmonth").agg(F.count("*").alias("n"), F.round(F.avg("l_discount") + 1e-9, 6).alias("mean"), F.countDistinct("l_linenumber").alias("runs"), F.bool_and(F.col("l_quantity") > 0).alias("valid"))
     return g.where("runs >= 3")
 
 
