@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.scalar import cosine, dot, norm, unit
+from lectern.functions.scalar import cosine, dot, unit
 
 
 def capped(vectors: DataFrame, by: list[str], k: int = 512) -> DataFrame:
@@ -134,4 +134,4 @@ def auto_kmeans(vectors: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 6, 8, 12, 16
     return best[2].select("id", F.lit(best[1]).alias("k"), F.col("prediction").alias("cluster"))
 
 
-__all__ = ["auto_kmeans", "best_match", "capped", "centroid_distance", "centroids", "cluster_mixing", "cluster_summary", "diameters", "latest", "margins", "norm", "pairwise", "spectrum"]
+__all__ = ["auto_kmeans", "best_match", "capped", "centroid_distance", "centroids", "cluster_mixing", "cluster_summary", "diameters", "latest", "margins", "pairwise", "spectrum"]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lectern.functions import scalar as S
 from lectern.operators import relations as E
 from lectern.operators import statistics as G
-from lectern.plans.features import posnett_scores
 from lectern.plans.registry import query, table
 from lectern.plans.text import items
 
