@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             pred, score = [], []
             for text in batch.column("text"):
                 text = text.as_py()
-                words = words_of(text) if text else []
+                words = words_of(text) if text and any(map(str.isalpha, text)) else []
                 if not words or not model.langs:
                     pred.append("und")
                     score.append(0.0)
