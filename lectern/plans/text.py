@@ -107,7 +107,6 @@ def chunk_types(spark, sf_dir):
     return c.groupBy("chunk_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("token").alias("lexemes"))
 
 
-_COMMENT = X.COMMENT
 _PIECES = rf"{X.STRING}|{X.COMMENT}|[^\"'/]+|[\"'/]".replace("'", "''")
 COMMENTS_SQL = rf"""
 found as (select page_id as doc_id, [x for x in regexp_extract_all(html, '{rf"{X.STRING}|{X.COMMENT}".replace("'", "''")}') if starts_with(x, '//') or starts_with(x, '/*')] as a from {PAGES}),
