@@ -100,7 +100,7 @@ def train(labelled: DataFrame) -> Model:
 
     def table(df: DataFrame, name: str, most: int) -> dict[str, np.ndarray]:
         top = df.groupBy(name).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("all"), name).limit(most)
-        rows = top.select(name, "by").collect()
+        rows = keep(top.select(name, "by"), "top").collect()  # merged by a task, not by the driver
         m = np.full((len(rows), len(langs)), 0.5)
         for i, r in enumerate(rows):
             for x in r["by"]:
