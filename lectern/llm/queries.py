@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import personal_data
+from lectern.llm import oracles, personal_data
 from lectern.llm.byte_repeats import earlier_passages
 from lectern.llm.common import read_table
 from lectern.llm.html_text import extract
@@ -73,4 +73,4 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_language_id, op4_mix_sources, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_quality_rules, op10_personal_data)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_exact_top_k": oracles.TOP_K, "op7_substring_dedup": oracles.WORD_REPEATS, "op8_suffix_array_dedup": oracles.BYTE_REPEATS}

@@ -377,3 +377,17 @@ def test_viterbi_is_the_best_of_all_labels():
 
     every = [[(n >> k) & 1 for k in range(len(page))] for n in range(2 ** len(page))]
     assert field.decode(page) == [bool(v) for v in max(every, key=score)]
+
+
+@pytest.mark.parametrize("name", ["op5_exact_top_k", "op7_substring_dedup", "op8_suffix_array_dedup"])
+def test_oracle_sql(spark, data, name):
+    import duckdb
+
+    from lectern.llm.queries import ORACLE
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.sql(f"create view {t} as select * from '{data}/{t}.parquet'")
+    want = c.sql(ORACLE[name])
+    got = QUERIES[name](spark, data).select(*want.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
