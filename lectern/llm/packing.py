@@ -24,7 +24,7 @@ GROUP, ISLANDS, MOVES, CROSSOVERS = 4096, 3, 2, 24
 #: Solutions that an island keeps.
 POPULATION = 5
 #: Words, and pieces of them, whose ids a task remembers: as many again stay until the newer ones fill up.
-_REMEMBERED = 150_000
+_WORDS, _PIECES = 150_000, 300_000
 
 
 #: This tokenizer's own pattern of the pieces that its pairs are merged within.
@@ -43,6 +43,27 @@ def _byte_signs() -> list[str]:
     return out
 
 
+class _Recent(dict):
+    """A memory of fn's results: what is asked for stays; of two generations the older goes when the newer is full."""
+
+    def __init__(self, fn, before: dict | None = None):
+        super().__init__()
+        self.fn, self.before = fn, before or {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
+        return value
+
+    def aged(self, most: int) -> _Recent:
+        if len(self) <= most:
+            return self
+        self.before = {}
+        return _Recent(self.fn, self)
+
+
 class _Ids:
     """Token ids as little-endian 32-bit bytes, word by word: this tokenizer never joins across white space.
 
@@ -54,40 +75,27 @@ class _Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.signs = _byte_signs()
-        self.known: dict[bytes, bytes] = {}
-        self.known_before: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.pieces_before: dict[str, bytes] = {}
+        self.words = _Recent(self._word)
+        self.pieces = _Recent(self._piece)
 
     def encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > _REMEMBERED:
-            self.known, self.known_before = {}, self.known
-        for w in words - self.known.keys():
-            ids = self.known_before.get(w)
-            self.known[w] = self._word(w.decode()) if ids is None else ids
-        if len(self.pieces) > _REMEMBERED:
-            self.pieces, self.pieces_before = {}, self.pieces
-
-    def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word):
-            return self.encode(word)
-        out = []
-        for piece in _PIECE.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces_before.get(piece)
-            if ids is None:
-                text = piece if piece.isascii() and piece.isprintable() else "".join(self.signs[b] for b in piece.encode())
-                ids = struct.pack(f"<{len(m := self.merge(text))}I", *(x.id for x in m))
-            self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not _PLAIN.fullmatch(text):
+            return self.encode(text)
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+
+    def _piece(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()
+        own = self.merge(piece if plain else "".join(self.signs[b] for b in piece.encode()))
+        return struct.pack(f"<{len(own)}I", *(x.id for x in own))
 
     def __call__(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+        out = b"".join(map(self.words.__getitem__, words))
+        self.words, self.pieces = self.words.aged(_WORDS), self.pieces.aged(_PIECES)
+        return out
 
 
 def _tokenized(path: str, length: int, end: int, carried: list[str], special: bytes = b"<|"):
@@ -100,11 +108,10 @@ def _tokenized(path: str, length: int, end: int, carried: list[str], special: by
                 part = batch.slice(at, 256)
                 b, off = tb.flat(part.column("text"))
                 texts = [b[off[i] : off[i + 1]].tobytes() for i in range(len(part))]
-                split = [None if special in t else t.split() for t in texts]  # special tokens: whole texts as they are
-                ids.learn(set().union(*filter(None, split)))
                 rows, piece, start, size, crc = [], [], [], [], []
-                for i, (text, words) in enumerate(zip(texts, split, strict=True)):
-                    own = (ids.encode(text.decode()) if words is None else ids(words)) + last
+                for i, text in enumerate(texts):
+                    # a text that spells special tokens goes to the tokenizer whole
+                    own = (ids.encode(text.decode()) if special in text else ids(text.split())) + last
                     for j in range(0, len(own), 4 * length):
                         x = own[j : j + 4 * length]
                         rows.append(i)
