@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textbytes as tb
@@ -18,12 +18,14 @@ from lectern.llm.word_repeats import packed
 TREES = 32
 #: Hashes that two documents must share at the head of a tree's key to be neighbours, and those that order a region.
 MIN_DEPTH, MORE_DEPTH = 5, 3
-#: Neighbours on either side, in each tree's sorted order. A region with more members is thereby searched deeper:
-#: those that share the longest prefix stand next to each other.
+#: Neighbours on either side, in each tree's sorted order: those that share the longest prefix stand next to each other.
+#: Members of a region with more are crowded, and are also compared by prefix filtering (`_crowded_pairs`).
 NEIGHBOURS = 4
 #: Hashes in the sketch that estimates a pair's similarity, and standard deviations below the threshold still verified.
 SKETCH, SLACK = 128, 6
 
+#: Rows at either end of a partition: as many as a run that is longer than the window needs on one side.
+_ENDS = NEIGHBOURS + 1
 _DEPTH = MIN_DEPTH + MORE_DEPTH
 _KEY = 8 + 2 * MORE_DEPTH
 _rng = np.random.default_rng(20240229)
@@ -123,11 +125,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(edges_too: bool):
-    """Pairs of a sorted run that share MIN_DEPTH hashes and stand within NEIGHBOURS places.
+    """Pairs of a sorted run that share MIN_DEPTH hashes and stand within NEIGHBOURS places (tree -1).
 
-    edges_too: also the first and last rows of the partition, for the pairs that straddle two partitions.
+    Also, as tree -2, each member of a region with more members than the window reaches, and with edges_too the first
+    and last rows of the partition, for what straddles two partitions.
     """
 
+    def crowded(tree, region, node):
+        w = NEIGHBOURS + 1
+        far = np.flatnonzero((region[w:] == region[:-w]) & (tree[w:] == tree[:-w])) if len(node) > w else np.zeros(0, int)
+        return np.unique(node[(far[:, None] + np.arange(w + 1)).ravel()])
+
     def pairs(tree, region, node):
         out = []
         for w in range(1, NEIGHBOURS + 1):
@@ -148,12 +156,14 @@ def _neighbours(edges_too: bool):
             new = (batch.column("tree").to_numpy(), _bytes(batch.column("key"), _KEY), batch.column("node").to_numpy())
             if not len(new[0]):
                 continue
-            head = new if head is None else tuple(np.concatenate([x, y])[:NEIGHBOURS] for x, y in zip(head, new, strict=True)) if len(head[0]) < NEIGHBOURS else head
-            head = tuple(x[:NEIGHBOURS] for x in head)
+            head = new if head is None else tuple(np.concatenate([x, y])[:_ENDS] for x, y in zip(head, new, strict=True)) if len(head[0]) < _ENDS else head
+            head = tuple(x[:_ENDS] for x in head)
             own = new if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
             region = np.ascontiguousarray(own[1][:, :8]).view(np.uint64).ravel()
             yield rows(*pairs(own[0], region, own[2]))
-            held = tuple(x[-NEIGHBOURS:] for x in own)
+            many = crowded(own[0], region, own[2])
+            yield rows(many, many, np.zeros(len(many), bool), np.full(len(many), -2, np.int32))
+            held = tuple(x[-_ENDS:] for x in own)
         if edges_too and held is not None:
             for tree, key, node in (head, held):
                 yield rows(node, node, np.zeros(len(node), bool), tree, _fixed(key))
@@ -201,6 +211,44 @@ def _confirmed(words: int, percent: int):
     return run
 
 
+def _shingles(words: int):
+    """One row for each shingle of a crowded class."""
+
+    def run(batches):
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                texts = pa.array([z.decompress(x) for x in part.column("ztext").to_pylist()], pa.large_binary())
+                for first, stop, b, off in _small(texts):
+                    s, begins = shingle_sets(b, off, words)
+                    n = np.diff(begins)
+                    of = np.repeat(np.arange(first, stop), n)
+                    own = [pa.array(part.column(c).to_numpy()[of]) for c in ("node", "component")]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64)), *own, pa.array(n[of - first])], ["shingle", "node", "component", "n"])
+
+    return run
+
+
+def _crowded_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): every pair of texts (node, component, ztext) in unlike components that may reach the threshold.
+
+    Prefix filtering: in one order of all shingles, two sets of n and more shingles with a similarity t or more share
+    one of the first n - ceil(2t/(1+t) n) + 1 of the smaller and the first m - ceil(t m) + 1 of the larger. Shingles
+    of one component alone come first, as they link nothing, then the rarest; so what a template's texts share comes
+    last, and a group that is connected already drops out.
+    """
+    s = texts.mapInArrow(_shingles(words), "shingle long, node long, component long, n long")
+    shared = s.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle", "f")
+    w = Window.partitionBy("node")
+    own = s.join(shared, "shingle").withColumn("place", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("f", "shingle")))
+    more = own.where(f"place <= n - (({percent} * n + 99) div 100) + 1")
+    fewer = more.where(f"place <= n - (({2 * percent} * n + {99 + percent}) div {100 + percent}) + 1")
+    x, y = (d.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "component", "n")]) for d, k in ((fewer, 1), (more, 2)))
+    pairs = x.join(y, "shingle").where(f"component1 <> component2 and (n1 < n2 or n1 = n2 and node1 < node2) and 100 * n1 >= {percent} * n2")
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Each row of docs (doc_id, text) with n_shingles, component_id, kept.
 
@@ -211,7 +259,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     TREES sorted orders of MinHash prefixes (one range-partitioned sort, so no prefix is a hot key); neighbours with
     at least MIN_DEPTH shared hashes are candidates, a sketch drops the unlikely, and the rest are confirmed on the
     full sets: a first wave with the nearest neighbours, then the pairs that the first wave has not yet connected.
-    A lone pair at exactly 0.8 is missed with probability 3e-6.
+    Where more classes share the MIN_DEPTH hashes than the window reaches, their members in unlike components are
+    compared by prefix filtering, which is exact. A pair at exactly 0.8 is missed with probability 3e-6.
 
     Null or wordless texts have n_shingles 0 and stay alone. A null doc_id counts as smaller than any other and its
     component_id is null. Rows repeated whole share a class. Other columns are ignored; no rows give no rows.
@@ -225,12 +274,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     forest = reps.mapInArrow(_forest, "tree int, key binary, node long").repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     found = keep(forest.mapInArrow(_neighbours(True), _PAIRS), "neighbours")
     ends = found.where("tree >= 0").select("tree", "key", F.col("a").alias("node")).distinct().coalesce(1).sortWithinPartitions("tree", "key", "node")
-    pairs = found.where("tree < 0").unionByName(ends.mapInArrow(_neighbours(False), _PAIRS)).groupBy("a", "b").agg(F.max("early").alias("early"))
+    found = found.where("tree < 0").unionByName(ends.mapInArrow(_neighbours(False), _PAIRS))
+    pairs = found.where("tree = -1").groupBy("a", "b").agg(F.max("early").alias("early"))
+    crowded = keep(found.where("tree = -2").select(F.col("a").alias("node")).distinct(), "crowded")
     sketch = reps.select("node", "sketch").dropDuplicates(["node"])
-    likely = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = keep(likely.select("a", "b", "early", "sa", "sb").mapInArrow(_likely(percent / 100), "a long, b long, early boolean"), "likely")
 
-    members = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def promising(pairs: DataFrame, name: str) -> DataFrame:
+        p = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+        return keep(p.select("a", "b", "early", "sa", "sb").mapInArrow(_likely(percent / 100), "a long, b long, early boolean"), name)
+
+    likely = promising(pairs, "likely")
+    members = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct()
     members = members.join(classes, "node").select("node", F.col("first_id").alias("_id"), F.col("first_th").alias("_th"))
     texts = base.select("_id", "_th", "text").mapInArrow(packed, "_id long, _th long, ztext binary").join(members.hint("merge"), ["_id", "_th"])
     texts = keep(texts.select("node", "ztext").dropDuplicates(["node"]), "texts")
@@ -247,6 +301,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     apart = apart.where("coalesce(ca, a) <> coalesce(cb, b)")
     label = components(first.unionByName(confirm(apart)))
 
+    if not crowded.isEmpty():
+        full = texts.join(crowded, "node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "ztext")
+        late = promising(_crowded_pairs(full, words, percent).withColumn("early", F.lit(False)), "crowded-likely")
+        if not late.isEmpty():
+            label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(late)))
+
     of = keep(classes.join(label, "node", "left").select(*same, "first_id", F.coalesce("component", "node").alias("root")), "roots")
     least = of.groupBy("root").agg(F.min("first_id").alias("component"))
     of = of.join(least, "root").select(*same, "component")

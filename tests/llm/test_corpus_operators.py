@@ -87,6 +87,23 @@ def test_near_duplicates(docs, given, k):
     assert got == brute_components(given, k)
 
 
+def test_near_duplicates_in_a_crowd(spark):
+    """2000 texts of one template, similar at 0.78, with 40 planted pairs at 0.8 among them."""
+
+    def text(name, n, extra=""):
+        return f"{template} {extra} " + " ".join(f"{name}x{j}" for j in range(n))
+
+    template = " ".join(f"t{j}" for j in range(296))
+    rows = [(i, text(f"s{i}", 41)) for i in range(1920)]
+    for k in range(40):
+        both = " ".join(f"p{k}x{j}" for j in range(4))
+        rows += [(2000 + 2 * k + side, text(f"q{k}s{side}", 37, both)) for side in (0, 1)]
+    x, y, other = (shingles(t, 5) for t in (rows[-2][1], rows[-1][1], rows[0][1]))
+    assert len(x & y) / len(x | y) == 0.8 and len(x & other) / len(x | other) < 0.8
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 if i >= 2000 else i for i, _ in rows}
+
+
 def test_near_duplicates_on_the_tables(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = Counter(tuple(r) for r in QUERIES["op2_minhash_near_dedup"](spark, data).collect())
