@@ -1,7 +1,7 @@
 """Geometry of weighted vectors by group: centroids, distances, matches, clusters.
 
-Dimensions are exploded for means, so sums combine before the shuffle; pairs are formed only within a bounded group
-(cap a group first with `capped`).
+Dimensions are exploded for means, so sums combine before the shuffle; what needs every pair of a group meets block by
+block in tasks, and only maxima or counts are shuffled.
 """
 
 from __future__ import annotations
@@ -13,10 +13,40 @@ from pyspark.sql import functions as F
 from lectern.functions.scalar import cosine, dot, unit
 
 
-def capped(vectors: DataFrame, by: list[str], k: int = 512) -> DataFrame:
-    """The k heaviest vectors of each group, ties by id."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("w"), "id"))
-    return vectors.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
+#: Vectors of a group that meet as many others in one task.
+BLOCK = 2048
+#: Bins of the histogram by which a median is looked for.
+BINS = 1 << 16
+
+
+def _dealt(vectors: DataFrame, by: list[str], key: str) -> DataFrame:
+    """vectors with _b, the hash block of the row among the _n blocks of its group."""
+    n = vectors.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    return vectors.join(n, by).withColumn("_b", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+
+
+def _self_blocks(vectors: DataFrame, by: list[str], *more: str):
+    """vectors (by, id, u, more) grouped so that every two of a group's blocks meet in one task."""
+    d = _dealt(vectors.select(*by, "id", "u", *more), by, "id").withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    d = d.select(*by, "id", "u", *more, "_b", F.least("_b", "_x").alias("_i"), F.greatest("_b", "_x").alias("_j"))
+    return d.groupBy(*by, "_i", "_j")
+
+
+def _distances(pdf) -> np.ndarray:
+    """1 - dot of the pairs of two blocks, or of one block's own, each pair once and summed in the order of dimensions."""
+    one = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+    first = np.ones(len(pdf), bool) if one else (pdf["_b"] == pdf["_i"]).to_numpy()
+    u, ids = np.array(pdf["u"].tolist(), float).reshape(len(pdf), -1), pdf["id"].to_numpy()
+    a, b = u[first], u if one else u[~first]
+    dot = np.zeros((len(a), len(b)))
+    for k in range(u.shape[1]):
+        dot += a[:, k, None] * b[None, :, k]
+    pairs = ids[first][:, None] < ids[None, :] if one else np.ones(dot.shape, bool)
+    return 1 - dot[pairs]
+
+
+def _fields(df: DataFrame, by: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 
 
 def centroids(vectors: DataFrame, by: list[str]) -> DataFrame:
@@ -33,22 +63,59 @@ def centroid_distance(vectors: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pairwise(vectors: DataFrame, by: list[str]) -> DataFrame:
-    """(by, mean, std): of 1 - cosine over pairs of a group, weighed by both weights."""
-    a = vectors.select(*by, F.col("id").alias("a"), F.col("w").alias("wa"), unit(F.col("v")).alias("va"))
-    b = vectors.select(*by, F.col("id").alias("b"), F.col("w").alias("wb"), unit(F.col("v")).alias("vb"))
-    p = a.join(b, by).where("a < b").withColumn("d", 1 - dot(F.col("va"), F.col("vb"))).withColumn("w", F.col("wa") * F.col("wb"))
-    g = p.groupBy(*by).agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("d")).alias("m"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("q"))
-    mean = F.col("m") / F.col("s")
-    return g.select(*by, mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("s") - mean * mean)).alias("std"))
+    """(by, mean, std): of 1 - cosine over pairs of a group, weighed by both weights; ids are distinct.
+
+    No pair is formed: with c the cosine of unit vectors, the sums of w w' c and w w' c^2 over pairs follow from the
+    sums of w u and w u u^T, less the diagonal. Each task sums its own rows before the shuffle.
+    """
+    u = vectors.select(*by, F.col("w").cast("double").alias("w"), unit(F.col("v")).alias("u"))
+
+    def partial(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for key, g in pdf.groupby(by, dropna=True):
+                x, w = np.array(g["u"].tolist(), float), g["w"].to_numpy()
+                n2 = (x * x).sum(axis=1)
+                rows.append([*key, len(w), w.sum(), (w * w).sum(), (w * w * n2).sum(), (w * w * n2 * n2).sum(), w @ x, ((x * w[:, None]).T @ x).ravel()])
+            yield pd.DataFrame(rows, columns=[*by, "n", "w", "ww", "one", "two", "first", "second"])
+
+    sums = u.mapInPandas(partial, f"{_fields(vectors, by)}, n long, w double, ww double, one double, two double, first array<double>, second array<double>")
+
+    def squared(c: str) -> DataFrame:
+        e = sums.select(*by, F.posexplode(c).alias("_i", "x")).groupBy(*by, "_i").agg(F.sum("x").alias("x"))
+        return e.groupBy(*by).agg(F.sum(F.col("x") * F.col("x")).alias(c))
+
+    g = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "w", "ww", "one", "two")]).where("n > 1")
+    g = g.join(squared("first"), by).join(squared("second"), by)
+    s = F.col("w") * F.col("w") - F.col("ww")
+    c, q = (F.col("first") - F.col("one")) / s, (F.col("second") - F.col("two")) / s
+    return g.select(*by, (1 - c).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), q - c * c)).alias("std"))
 
 
 def best_match(left: DataFrame, right: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """(by, mean, min, below, deficit): each left vector's best cosine among its group's right ones, weighed.
 
-    A group without right vectors has the threshold itself, as does an empty left side that a caller fills in.
+    A group without right vectors has the threshold itself, as does an empty left side that a caller fills in. Blocks
+    of both sides meet as matrix products, whose maxima are taken before the shuffle.
     """
-    pairs = left.select(*by, "id", "w", "v").join(right.select(*by, F.col("v").alias("r")), by, "left")
-    best = pairs.groupBy(*by, "id", "w").agg(F.coalesce(F.max(cosine(F.col("v"), F.col("r"))), F.lit(threshold)).alias("best"))
+    x = _dealt(left.select(*by, "id", "w", unit(F.col("v")).alias("u")), by, "id")
+    y = _dealt(right.select(*by, unit(F.col("v")).alias("u")).distinct(), by, "u")
+    counts = [d.select(*by, F.col("_n").alias("_m")).distinct() for d in (y, x)]
+    x = x.join(counts[0], by).select(*by, "id", "w", "u", F.lit(True).alias("_left"), F.col("_b").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_j"))
+    none = [F.lit(0).cast(left.schema[c].dataType).alias(c) for c in ("id", "w")]  # no nulls, which would turn ids into floats
+    y = y.join(counts[1], by).select(*by, *none, "u", F.lit(False).alias("_left"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_i"), F.col("_b").alias("_j"))
+
+    def most(pdf):
+        a, b = pdf[pdf["_left"]], pdf[~pdf["_left"]]
+        own = a[[*by, "id", "w"]] if len(b) else a[[*by, "id", "w"]][:0]
+        dot = np.array(a["u"].tolist(), float) @ np.array(b["u"].tolist(), float).T if len(own) else np.zeros((0, 1))
+        return own.assign(best=dot.max(axis=1))
+
+    found = x.unionByName(y).groupBy(*by, "_i", "_j").applyInPandas(most, f"{_fields(left, [*by, 'id', 'w'])}, best double")
+    every = left.select(*by, "id", "w", F.lit(None).cast("double").alias("best"))
+    best = found.unionByName(every).groupBy(*by, "id", "w").agg(F.coalesce(F.max("best"), F.lit(threshold)).alias("best"))
     low = F.greatest(F.lit(0.0), threshold - F.col("best"))
     whole = F.sum("w")
     return best.groupBy(*by).agg((F.sum(F.col("w") * F.col("best")) / whole).alias("mean"), F.min("best").alias("min"), (F.sum(F.when(F.col("best") < threshold, F.col("w")).otherwise(0)) / whole).alias("below"), (F.sum(F.col("w") * low) / whole).alias("deficit"))
@@ -72,9 +139,53 @@ def cluster_mixing(vectors: DataFrame, by: list[str], cluster: str, kind: str) -
 
 def diameters(vectors: DataFrame, by: list[str]) -> DataFrame:
     """(by, diameter): greatest 1 - cosine within a group, 0 for a single vector."""
-    u = vectors.select(*by, "id", unit(F.col("v")).alias("v"))
-    p = u.join(u.select(*by, F.col("id").alias("b"), F.col("v").alias("vb")), by).where("id <= b")
-    return p.groupBy(*by).agg(F.greatest(F.lit(0.0), F.max(F.when(F.col("id") < F.col("b"), 1 - dot(F.col("v"), F.col("vb"))))).alias("diameter"))
+
+    def most(key, pdf):
+        import pandas as pd
+
+        return pd.DataFrame([[*key[: len(by)], float(_distances(pdf).max(initial=0.0))]])
+
+    u = vectors.select(*by, "id", unit(F.col("v")).alias("u"))
+    return _self_blocks(u, by).applyInPandas(most, f"{_fields(vectors, by)}, d double").groupBy(*by).agg(F.max("d").alias("diameter"))
+
+
+def median_distance(vectors: DataFrame, by: list[str]) -> DataFrame:
+    """(by, median): of 1 - cosine over the pairs of a group that are apart at all.
+
+    A first pass counts distances in BINS bins, a second returns those in the bins that hold the middle.
+    """
+    u = vectors.select(*by, "id", unit(F.col("v")).alias("u"))
+    fields = _fields(vectors, by)
+
+    def bins(d):
+        return np.minimum((d * (BINS / 2)).astype(np.int64), BINS - 1)
+
+    def count(key, pdf):
+        import pandas as pd
+
+        d = _distances(pdf)
+        b, n = np.unique(bins(d[d > 0]), return_counts=True)
+        return pd.DataFrame({**{c: [k] * len(b) for c, k in zip(by, key, strict=False)}, "bin": b, "c": n})
+
+    h = _self_blocks(u, by).applyInPandas(count, f"{fields}, bin long, c long").groupBy(*by, "bin").agg(F.sum("c").alias("c"))
+    w = Window.partitionBy(*by)
+    h = h.withColumn("n", F.sum("c").over(w)).withColumn("to", F.sum("c").over(w.orderBy("bin")))
+    middle = [F.expr("(n - 1) div 2"), F.expr("n div 2")]
+    h = h.where((F.col("to") > middle[0]) & (F.col("to") - F.col("c") <= middle[1]))
+    h = h.groupBy(*by).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.max("n").alias("n"), F.min(F.col("to") - F.col("c")).alias("under"))
+
+    def inside(key, pdf):
+        import pandas as pd
+
+        d = _distances(pdf)
+        d = d[d > 0]
+        at = bins(d)
+        d, n = np.unique(d[(at >= pdf["lo"].iloc[0]) & (at <= pdf["hi"].iloc[0])], return_counts=True)
+        return pd.DataFrame({**{c: [k] * len(d) for c, k in zip(by, key, strict=False)}, "d": d, "c": n})
+
+    v = _self_blocks(u.join(h.select(*by, "lo", "hi"), by), by, "lo", "hi").applyInPandas(inside, f"{fields}, d double, c long")
+    v = v.groupBy(*by, "d").agg(F.sum("c").alias("c")).withColumn("to", F.sum("c").over(w.orderBy("d"))).join(h, by).withColumn("to", F.col("to") + F.col("under"))
+    return v.groupBy(*by).agg(((F.min(F.when(F.col("to") > middle[0], F.col("d"))) + F.min(F.when(F.col("to") > middle[1], F.col("d")))) / 2).alias("median"))
 
 
 def spectrum(vectors: DataFrame, by: list[str]) -> DataFrame:
@@ -134,4 +245,4 @@ def auto_kmeans(vectors: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 6, 8, 12, 16
     return best[2].select("id", F.lit(best[1]).alias("k"), F.col("prediction").alias("cluster"))
 
 
-__all__ = ["auto_kmeans", "best_match", "capped", "centroid_distance", "centroids", "cluster_mixing", "cluster_summary", "diameters", "latest", "margins", "pairwise", "spectrum"]
+__all__ = ["auto_kmeans", "best_match", "centroid_distance", "centroids", "cluster_mixing", "cluster_summary", "diameters", "latest", "margins", "median_distance", "pairwise", "spectrum"]

@@ -115,9 +115,7 @@ def view_coverage(spark, sf_dir):
 with {BASE_SQL}, p as (select a.label, 1 - list_dot_product(a.u, b.u) as d from n a join n b on a.label = b.label and a.id < b.id) select label, round(quantile_cont(d, 0.5), 6) as median from p where d > 0 group by label
 """)
 def median_pair_distance(spark, sf_dir):
-    v = V.capped(vectors(spark, sf_dir), ["label"]).select("label", "id", S.unit(F.col("v")).alias("v"))
-    p = v.join(v.select("label", F.col("id").alias("b"), F.col("v").alias("vb")), "label").where("id < b").withColumn("d", 1 - S.dot(F.col("v"), F.col("vb")))
-    return p.where("d > 0").groupBy("label").agg(F.round(F.percentile("d", F.lit(0.5)), 6).alias("median"))
+    return V.median_distance(vectors(spark, sf_dir), ["label"]).select("label", F.round("median", 6).alias("median"))
 
 
 @query("""

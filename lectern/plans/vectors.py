@@ -43,7 +43,7 @@ with {BASE_SQL}, p as (select a.label, a.w * b.w as w, 1 - list_dot_product(a.u,
 select label, round(sum(w * d) / sum(w), 6) as mean, round(sqrt(greatest(0, sum(w * d * d) / sum(w) - (sum(w * d) / sum(w)) * (sum(w * d) / sum(w)))), 6) as std from p group by label
 """)
 def pairwise_cosine(spark, sf_dir):
-    return rounded(I.pairwise(I.capped(vectors(spark, sf_dir), ["label"]), ["label"]), "mean", "std")
+    return rounded(I.pairwise(vectors(spark, sf_dir), ["label"]), "mean", "std")
 
 
 @query(f"""
@@ -51,7 +51,7 @@ with {BASE_SQL}, b as (select a.label, a.id, a.w, max(list_dot_product(a.u, r.u)
 select label, round(sum(w * best) / sum(w), 6) as mean, round(min(best), 6) as min, round(sum(case when best < 0.3 then w else 0 end) / sum(w), 6) as below, round(sum(w * greatest(0, 0.3 - best)) / sum(w), 6) as deficit from b group by label
 """)
 def best_match(spark, sf_dir):
-    v = I.capped(vectors(spark, sf_dir), ["label"])
+    v = vectors(spark, sf_dir)
     return rounded(I.best_match(v.where("kind = 0"), v.where("kind <> 0"), ["label"], 0.3), "mean", "min", "below", "deficit")
 
 
@@ -71,7 +71,7 @@ def cluster_mixing(spark, sf_dir):
 
 @query(f"with {BASE_SQL} select a.label, round(greatest(0, max(case when a.id < b.id then 1 - list_dot_product(a.u, b.u) end)), 6) as diameter from n a join n b on a.label = b.label and a.id <= b.id group by a.label")
 def cluster_diameters(spark, sf_dir):
-    return rounded(I.diameters(I.capped(vectors(spark, sf_dir), ["label"]), ["label"]), "diameter")
+    return rounded(I.diameters(vectors(spark, sf_dir), ["label"]), "diameter")
 
 
 @query()

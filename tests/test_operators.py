@@ -96,6 +96,30 @@ def test_best_match_and_default(spark):
     assert (r["mean"], r["min"], r["below"], r["deficit"]) == (0.42, 0.42, 0.0, 0.0)
 
 
+def test_large_labels_are_taken_whole(spark, tmp_path, monkeypatch):
+    """A label of 700 vectors and one of one: pairs, best matches, diameter and median over all of them."""
+    from lectern.plans import scoring
+    from lectern.plans import vectors as P
+
+    monkeypatch.setattr(V, "BLOCK", 128, raising=False)
+    x = np.random.default_rng(5).normal(size=(701, 4)) + 0.5
+    rows = [(i, int(i == 700), v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x[:700] / np.linalg.norm(x[:700], axis=1)[:, None]
+    w, kind, c = 1 + np.arange(700) % 3, np.arange(700) % 4, u @ u.T
+    a, b = np.triu_indices(700, 1)
+    d, ww = 1 - c[a, b], w[a] * w[b]
+    mean = np.average(d, weights=ww)
+    got = P.pairwise_cosine(spark, str(tmp_path)).collect()
+    assert [r["label"] for r in got] == [0]
+    assert np.allclose([got[0]["mean"], got[0]["std"]], [mean, np.average((d - mean) ** 2, weights=ww) ** 0.5], atol=2e-6)
+    best = c[kind == 0][:, kind != 0].max(axis=1)
+    r = P.best_match(spark, str(tmp_path)).where("label = 0").first()
+    assert np.allclose([r["mean"], r["min"]], [np.average(best, weights=w[kind == 0]), best.min()], atol=2e-6)
+    assert {r["label"]: r["diameter"] for r in P.cluster_diameters(spark, str(tmp_path)).collect()} == pytest.approx({0: d.max(), 1: 0.0}, abs=2e-6)
+    assert {r["label"]: r["median"] for r in scoring.median_pair_distance(spark, str(tmp_path)).collect()} == pytest.approx({0: np.median(d)}, abs=2e-6)
+
+
 def test_spectrum_matches_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 5))
