@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import random
 import re
-import struct
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -20,15 +20,19 @@ from lectern.llm import textbytes as tb
 from lectern.llm.common import keep
 
 #: Items that evolve together, islands for each such group, times that elites move on, and crossovers between moves.
-GROUP, ISLANDS, MOVES, CROSSOVERS = 4096, 3, 2, 24
+GROUP, ISLANDS, MOVES, CROSSOVERS = 4096, 3, 3, 40
 #: Solutions that an island keeps.
-POPULATION = 5
-#: Words, and pieces of them, whose ids a task remembers: as many again stay until the newer ones fill up.
+POPULATION = 8
+#: Words, and pieces of them, whose ids a worker remembers: as many again stay until the newer ones fill up.
 _WORDS, _PIECES = 150_000, 300_000
 
 
-#: This tokenizer's own pattern of the pieces that its pairs are merged within.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The normaliser and the splitter whose effect on plain words is worked out here. A file with others is
+# applied to whole texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: The same pieces where all characters are plain: letters, digits one by one, runs of other signs.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\\w\\s]|[_\x1c-\x1f])+")
 #: Texts of these characters only are normalised by lower() alone (beyond them: composition and special cases).
 _PLAIN = re.compile("[\x00-\u012f\u0131-\u017f]*")
 
@@ -68,11 +72,16 @@ class _Ids:
     """Token ids as little-endian 32-bit bytes, word by word: this tokenizer never joins across white space.
 
     Words of plain characters are cut into pieces here, and only pieces not met before go to the tokenizer's merges;
-    other words go to the whole tokenizer. Both give what it gives for the whole text.
+    other words go to the whole tokenizer. Both give what it gives for the whole text. A tokenizer with another
+    normaliser or splitter, or a text that spells a special token, is applied to the whole text.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_word = spec.get("normalizer") == _NORMALIZER and split[0].get("pattern") == {"Regex": _SPLIT} and [x.get("type") for x in split] == ["Split", "ByteLevel"]
+        self.special = [x["content"].encode() for x in spec["added_tokens"]]
         self.merge = self.tokenizer.model.tokenize
         self.signs = _byte_signs()
         self.words = _Recent(self._word)
@@ -83,26 +92,39 @@ class _Ids:
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if not _PLAIN.fullmatch(text):
+        if not (word.isascii() or _PLAIN.fullmatch(text)):
             return self.encode(text)
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+        text = text.lower()
+        if text.isalpha():
+            return self.pieces[text]
+        if text[:-1].isalpha() and text[-1] in ".,;:!?)":
+            return self.pieces[text[:-1]] + self.pieces[text[-1]]
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
     def _piece(self, piece: str) -> bytes:
         plain = piece.isascii() and piece.isprintable()
-        own = self.merge(piece if plain else "".join(self.signs[b] for b in piece.encode()))
-        return struct.pack(f"<{len(own)}I", *(x.id for x in own))
+        own = self.merge(piece if plain else "".join(map(self.signs.__getitem__, piece.encode())))
+        return np.array([x.id for x in own], "<u4").tobytes() if len(own) > 8 else b"".join([x.id.to_bytes(4, "little") for x in own])
 
-    def __call__(self, words: list[bytes]) -> bytes:
-        out = b"".join(map(self.words.__getitem__, words))
+    def __call__(self, text: bytes) -> bytes:
+        if not self.by_word or any(x in text for x in self.special):
+            return self.encode(text.decode())
+        out = b"".join(map(self.words.__getitem__, text.lower().split()))
         self.words, self.pieces = self.words.aged(_WORDS), self.pieces.aged(_PIECES)
         return out
 
 
-def _tokenized(path: str, length: int, end: int, carried: list[str], special: bytes = b"<|"):
+@functools.lru_cache(maxsize=2)
+def _ids(path: str) -> _Ids:
+    """One memory for all tasks that a worker runs."""
+    return _Ids(path)
+
+
+def _tokenized(path: str, length: int, end: int, carried: list[str]):
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(path)
+        ids = _ids(path)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
@@ -110,8 +132,7 @@ def _tokenized(path: str, length: int, end: int, carried: list[str], special: by
                 texts = [b[off[i] : off[i + 1]].tobytes() for i in range(len(part))]
                 rows, piece, start, size, crc = [], [], [], [], []
                 for i, text in enumerate(texts):
-                    # a text that spells special tokens goes to the tokenizer whole
-                    own = (ids.encode(text.decode()) if special in text else ids(text.split())) + last
+                    own = ids(text) + last
                     for j in range(0, len(own), 4 * length):
                         x = own[j : j + 4 * length]
                         rows.append(i)
@@ -150,6 +171,46 @@ class _Bins:
         self.items[own].append(i)
         insort(self.room, (room - self.sizes[i], own))
 
+    def exchange(self, displaced: list[int]) -> list[int]:
+        """Displaced items for smaller ones: each bin with room gives up what lets longer displaced ones fill it better.
+
+        One item goes out for one longer, or two for one or two that together are longer, never beyond the room left.
+        """
+        sizes = self.sizes
+        out = sorted((sizes[i], i) for i in displaced)
+        for at in range(len(self.room) - 1, -1, -1):
+            room, own = self.room[at]
+            bin_ = self.items[own]
+            if room == 0 or not out:
+                continue
+            best = None
+            pairs = [(sizes[x], (x,)) for x in bin_] + [(sizes[x] + sizes[y], (x, y)) for k, x in enumerate(bin_[:12]) for y in bin_[k + 1 : 12]]
+            for size, gone in pairs:
+                k = bisect_right(out, (size + room, self.length + len(sizes))) - 1
+                if k >= 0 and out[k][0] > size and (best is None or out[k][0] - size > best[0]):
+                    best = (out[k][0] - size, gone, (k,))
+                if len(gone) == 2 and (best is None or best[0] < room):
+                    lo, hi = 0, len(out) - 1
+                    while lo < hi:  # the two displaced ones that come nearest to the room from below
+                        both = out[lo][0] + out[hi][0]
+                        if both > size + room:
+                            hi -= 1
+                            continue
+                        if both > size and (best is None or both - size > best[0]):
+                            best = (both - size, gone, (lo, hi))
+                        lo += 1
+            if best is None:
+                continue
+            gain, gone, put = best
+            self.items[own] = [x for x in bin_ if x not in gone] + [out[k][1] for k in put]
+            self.room[at] = (room - gain, own)
+            for k in sorted(put, reverse=True):
+                out.pop(k)
+            for x in gone:
+                insort(out, (sizes[x], x))
+        self.room.sort()
+        return [i for _, i in out]
+
 
 def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     bins = _Bins(sizes, length)
@@ -166,8 +227,8 @@ def fitness(bins: list[list[int]], sizes: list[int], length: int) -> tuple[int,
 def crossover(one: list[list[int]], two: list[list[int]], sizes: list[int], length: int, rng: random.Random) -> list[list[int]]:
     """A child of one with a share of two's well-filled bins put in whole.
 
-    Bins of one that hold an injected item are opened; their other items, the displaced, are best-fitted again, the
-    longest first, into what is left.
+    Bins of one that hold an injected item are opened, and its two emptiest; their other items, the displaced, are
+    exchanged for shorter ones where that fills a bin better, and best-fitted again, the longest first.
     """
     full = sorted(two, key=lambda b: -sum(sizes[i] for i in b))[: max(1, len(two) // 2)]
     put = rng.sample(full, max(1, len(full) // rng.choice((4, 8, 16))))
@@ -175,12 +236,13 @@ def crossover(one: list[list[int]], two: list[list[int]], sizes: list[int], leng
     child, displaced = _Bins(sizes, length), []
     for b in put:
         child.add(b)
-    opened = min(range(len(one)), key=lambda j: sum(sizes[i] for i in one[j]))  # and the emptiest of one
+    opened = sorted(range(len(one)), key=lambda j: (sum(sizes[i] for i in one[j]), rng.random()))[: rng.choice((1, 2, 3))]
     for j, b in enumerate(one):
-        if j == opened or not inside.isdisjoint(b):
+        if j in opened or not inside.isdisjoint(b):
             displaced += [i for i in b if i not in inside]
         else:
             child.add(b)
+    displaced = child.exchange(displaced)
     for i in sorted(displaced, key=lambda i: (-sizes[i], i)):
         child.fit(i)
     return child.items

@@ -16,7 +16,7 @@ from lectern.llm.components import components
 from lectern.llm.language_id import identify, train, train_and_identify
 from lectern.llm.mixing import mix, targets
 from lectern.llm.near_dedup import near_duplicates
-from lectern.llm.packing import best_fit, crossover, evolve, pack
+from lectern.llm.packing import _packed, best_fit, crossover, evolve, pack
 from lectern.llm.quality import judge
 from lectern.llm.queries import QUERIES, tokenizer_path
 from lectern.llm.top_k import top_k
@@ -313,6 +313,33 @@ def test_genetic_packing_keeps_items():
     assert max(evolve(sizes, 100, [], 1)) + 1 <= len(one)
 
 
+def test_genetic_packing_beats_best_fit(spark):
+    """Triplets that fill a bin exactly, and even sizes: lists on which best fit is far from the bound."""
+    import random
+
+    rng, sizes = random.Random(2), []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    assert len(best_fit(sizes, 1000)) >= 46 and max(evolve(sizes, 1000, [], 1)) + 1 <= 45
+    even = [rng.randint(20, 100) for _ in range(250)]
+    assert max(evolve(even, 150, [], 1)) + 1 < len(best_fit(even, 150))
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "_row long, length long")
+    got = _packed(items, 1000, 1).collect()
+    assert sorted((r["_row"], r["length"]) for r in got) == list(enumerate(sizes)) and len({r["bin"] for r in got}) <= 43
+
+
+def test_packing_with_another_tokenizer(docs, given):
+    """A tokenizer with another splitter is applied to whole texts."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    want = Counter((i, zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in given)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in pack(docs, path, length=10**6).collect()) == want
+
+
 def brute_quality(t):
     w = words(t)
     seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
