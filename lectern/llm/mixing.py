@@ -53,32 +53,38 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     source with a third of all rows costs no more than another; reruns agree because the hash is of the row.
 
     Null texts have size 0 and count for nothing; a null source is a source of its own, the last. Rows repeated whole
-    share a hash and are taken alike. A source without words has target 0. No rows give no rows.
+    share a hash: where the budget ends among them, further levels go by a hash of the rows' places, so that as many
+    are taken as it allows (which of them is all one, as they are alike). A source without words has target 0. Columns
+    of docs that are not carried are ignored, whatever their names; `carry` may not name a result. No rows give no rows.
     """
-    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS)
+    whole_hash = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - BITS * LEVELS)
+    place = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS * LEVELS)
     names = list(dict.fromkeys(["source", *carry]))
-    rows = docs.select(*names, h.alias("_h"), "text")
+    rows = docs.select(*names, whole_hash.alias("_h"), place.alias("_p"), "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     rows = keep(rows.mapInArrow(_sizes, f"{fields}, size long"), "sizes")
     goal = keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
 
-    same = lambda x, y: x["source"].eqNullSafe(y["source"])
-    edge = goal.select("source", F.lit(0).cast("long").alias("at"), F.col("rest"))
-    for level in range(1, LEVELS + 1):
-        shift = BITS * (LEVELS - level)
-        inside = rows.join(edge, same(rows, edge)).where(F.shiftright("_h", shift + BITS) == F.col("at"))
-        hist = inside.groupBy(rows["source"].alias("source"), F.shiftright("_h", shift).alias("at"), "rest").agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
-        run = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # the edge of each source: the bucket of its rows' hashes, and of their places, where the rest of its budget ends
+    edge = goal.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("at_h"), F.lit(0).cast("long").alias("at_p"), "rest")
+    for level in range(1, 2 * LEVELS + 1):
+        first = level <= LEVELS
+        shift = BITS * (LEVELS - level if first else 2 * LEVELS - level)
+        h, p = (F.shiftright("_h", shift), F.lit(0).cast("long")) if first else (F.col("_h"), F.shiftright("_p", shift))
+        within = F.shiftright("_h", shift + BITS) == F.col("at_h") if first else (F.col("_h") == F.col("at_h")) & (F.shiftright("_p", shift + BITS) == F.col("at_p"))
+        inside = rows.join(edge, F.col("source").eqNullSafe(F.col("_s"))).where(within)
+        hist = inside.groupBy("_s", h.alias("at_h"), p.alias("at_p"), "rest").agg(F.sum("size").alias("sum"), F.count("*").alias("n"))
+        run = Window.partitionBy("_s").orderBy("at_h", "at_p").rowsBetween(Window.unboundedPreceding, -1)
         hist = hist.withColumn("below", F.coalesce(F.sum("sum").over(run), F.lit(0)))
         hist = hist.where("below <= rest and rest < below + sum")
-        edge = keep(hist.select("source", "at", (F.col("rest") - F.col("below")).alias("rest"), "sum", "n"), "edges")
+        edge = keep(hist.select("_s", "at_h", "at_p", (F.col("rest") - F.col("below")).alias("rest"), "sum", "n"), "edges")
         if (edge.agg(F.max("n")).first()[0] or 0) <= 1:
             break
-    edge = edge.select(F.col("source").alias("_s"), "at", (2 * F.col("rest") >= F.col("sum")).alias("also"))
+    edge = edge.select("_s", "at_h", "at_p", (2 * F.col("rest") >= F.col("sum")).alias("also"))
     out = rows.join(goal.withColumnRenamed("source", "_g"), F.col("source").eqNullSafe(F.col("_g"))).join(edge, F.col("source").eqNullSafe(F.col("_s")), "left")
-    spot = F.shiftright("_h", shift)
-    more = F.coalesce((spot < F.col("at")) | ((spot == F.col("at")) & F.col("also")), F.lit(False))
+    same = (h == F.col("at_h")) & (p == F.col("at_p"))
+    more = F.coalesce((h < F.col("at_h")) | ((h == F.col("at_h")) & (p < F.col("at_p"))) | (same & F.col("also")), F.lit(False))
     copies = F.col("whole") + more.cast("long")
     return out.select(*names, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
