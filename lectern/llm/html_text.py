@@ -52,21 +52,52 @@ _SIGN = {w: k for k, v in SIGNS.items() for w in v.split()}
 _SEEN = frozenset("p li h1 h2 h3 h4 h5 h6 td th div span section article main blockquote pre dd dt figcaption nav header footer aside form label address caption summary body ul ol table a legend fieldset figure dialog menu".split())
 
 
+_FURNITURE = frozenset("nav header footer aside form".split())
+
+
+class Open:
+    """An open element, and what holds of everything in it: all that is known of the elements around is kept in sets of
+    a bounded vocabulary, which most elements share with their parents, so that a page of any depth takes linear space.
+    """
+
+    __slots__ = ("tag", "tags", "signs", "own", "near", "core", "head", "inner", "marked")
+
+    def __init__(self, tag: str, signs: tuple[str, ...], parent: Open | None):
+        self.tag = tag
+        up_tags, up_signs = (parent.tags, parent.signs) if parent else (frozenset(), frozenset())
+        self.tags = up_tags if tag in up_tags or tag not in _SEEN else up_tags | {tag}
+        self.signs = up_signs if up_signs.issuperset(signs) else up_signs.union(signs)
+        self.own = tag if tag in BLOCK else parent.own if parent else "none"
+        self.near = signs or (parent.near if parent else ())
+        other = any(s != "main" for s in signs)
+        mark = tag in _FURNITURE or other
+        before = bool(parent and parent.marked)
+        #: Of the innermost element that should hold the article: whether it has other signs too, and whether furniture
+        #: stands around it and within it.
+        if tag in ("article", "main") or "main" in signs:
+            self.core, self.head, self.inner = ("marked" if other else "clean"), before, False
+        else:
+            self.core, self.head, self.inner = (parent.core, parent.head, parent.inner or mark) if parent else (None, False, mark)
+        self.marked = before or mark
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    within: Open | None
     linked: int
 
 
 def blocks(source: str) -> list[Block]:
-    """The leaf blocks of a page in order: their text, the open elements with their signs, and characters in links.
+    """The leaf blocks of a page in order: their text, the innermost open element, and characters in links.
 
     Markup may be broken or cut off anywhere. Character references are decoded, white space runs become one space,
-    br counts as white space; what UNREAD elements hold is passed over, to the end if they are never closed.
+    br counts as white space; what UNREAD elements hold is passed over, to the end if they are never closed. The time
+    is linear in the page, whatever its depth.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    places: dict[str, list[int]] = {}
     parts: list[str] = []
     linked, links, at = 0, 0, 0
 
@@ -75,7 +106,7 @@ def blocks(source: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
             parts.clear()
         linked = 0
 
@@ -87,6 +118,13 @@ def blocks(source: str) -> list[Block]:
         if links:
             linked += len(text)
 
+    def shut(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().tag].pop()
+
+    def last(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
     found = _TAG.search(source)
     while found:
         if found.start() > at:
@@ -98,11 +136,10 @@ def blocks(source: str) -> list[Block]:
             if found["end"]:
                 if name == "a":
                     links = max(0, links - 1)
-                if any(n == name for n, _ in stack):
+                if places.get(name):
                     if name in BLOCK:
                         flush()
-                    while stack.pop()[0] != name:
-                        pass
+                    shut(places[name][-1])
                 elif name == "p":
                     flush()
             elif name in UNREAD:
@@ -117,19 +154,14 @@ def blocks(source: str) -> list[Block]:
             else:
                 if name in BLOCK:
                     flush()
-                    if any(n == "p" for n, _ in stack[-6:]):
-                        while stack.pop()[0] != "p":
-                            pass
+                    p = last(("p",))
+                    if p >= max(0, len(stack) - 6):
+                        shut(p)
                         links = 0
-                    shut = CLOSES.get(name, ())
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in shut:
-                            del stack[i:]
-                            break
-                        if stack[i][0] in BOUNDS and name not in ("tr", "td", "th"):
-                            break
-                        if stack[i][0] == "table":
-                            break
+                    if name in CLOSES:
+                        begins = last(CLOSES[name])
+                        if begins >= 0 and begins >= last(("table",) if name in ("tr", "td", "th") else BOUNDS):
+                            shut(begins)
                 if name == "a":
                     links += 1
                 attrs = found["attrs"]
@@ -137,7 +169,8 @@ def blocks(source: str) -> list[Block]:
                 if attrs:
                     words = {w for g in _NAMED.findall(attrs) for w in _PARTS.findall("".join(g).lower())}
                     signs = tuple(sorted({_SIGN[w] for w in words if w in _SIGN}))
-                stack.append((name, signs))
+                places.setdefault(name, []).append(len(stack))
+                stack.append(Open(name, signs, stack[-1] if stack else None))
         found = _TAG.search(source, at)
     if at < len(source):
         read(source[at:])
@@ -145,7 +178,7 @@ def blocks(source: str) -> list[Block]:
     return out
 
 
-_FURNITURE = frozenset("nav header footer aside form".split())
+_OUTSIDE = Open("none", (), None)
 _STOPS = (".", "!", "?", "…", '."', ".”", ":", "。")
 
 
@@ -154,20 +187,15 @@ def features(page: list[Block]) -> list[list[str]]:
     out = []
     n = len(page)
     for i, b in enumerate(page):
-        tags = {t for t, _ in b.path}
-        signs = {s for _, x in b.path for s in x}
-        own = next((t for t, _ in reversed(b.path) if t in BLOCK), "none")
-        f = ["bias", f"own:{own if own in _SEEN else 'other'}"]
-        f += [f"in:{t}" for t in tags if t in _SEEN]
-        f += [f"sign:{s}" for s in signs]
-        near = next((x for _, x in reversed(b.path) if x), ())
-        f += [f"near:{s}" for s in near]
-        core = max((k for k, (t, x) in enumerate(b.path) if t in ("article", "main") or "main" in x), default=-1)
-        if core >= 0:
-            marked = ["head" if k < core else "inner" for k, (t, x) in enumerate(b.path) if k != core and (t in _FURNITURE or any(s != "main" for s in x))]
-            marked += ["core"] * any(s != "main" for s in b.path[core][1])
-            f += [f"core:{m}" for m in dict.fromkeys(marked)] or ["core:clean"]
-        if not signs and tags.isdisjoint(("nav", "header", "footer", "aside", "form", "article", "main")):
+        at = b.within or _OUTSIDE
+        f = ["bias", f"own:{at.own if at.own in _SEEN else 'other'}"]
+        f += [f"in:{t}" for t in at.tags]
+        f += [f"sign:{s}" for s in at.signs]
+        f += [f"near:{s}" for s in at.near]
+        if at.core:
+            marked = ["head"] * at.head + ["inner"] * at.inner + ["core"] * (at.core == "marked")
+            f += [f"core:{m}" for m in marked] or ["core:clean"]
+        if not at.signs and at.tags.isdisjoint(("nav", "header", "footer", "aside", "form", "article", "main")):
             f.append("plain")
         size = len(b.text)
         f.append("size:%d" % min(6, size.bit_length() // 2 + (size > 400)))

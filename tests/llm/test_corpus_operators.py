@@ -228,6 +228,14 @@ def test_mixing(docs, spark):
     assert mix(docs.where("false")).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """A source of equal rows comes within one of them of its target, beside sources of unlike and of repeated rows."""
+    rows = [(7, "ten words " * 5, "a")] * 3000 + [(i, sentence(i, 10), "b") for i in range(1000)] + [(9, "x y", "c")] * 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).repartition(3)
+    got = mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("size"), F.max("copies").alias("most")).collect()
+    assert len(got) == 3 and all(abs(r["taken"] - r["target"]) <= r["size"] and r["most"] <= 2 for r in got)
+
+
 def brute_targets(sizes, weights, share, most):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -411,6 +419,17 @@ def test_html_extraction(spark, data):
         assert "\n\n\n" not in r["text"]
 
 
+def test_html_of_any_depth():
+    """Time and space linear in the page: 200 000 nested elements, and as many list items over a deep stack."""
+    import time
+
+    began = time.process_time()
+    deep = html_text.blocks("<div class=menu>x" * 200_000)
+    assert len(deep) == 200_000 and len(html_text.features(deep)) == 200_000
+    assert len(html_text.blocks("<b>x" * 100_000 + "<li>y</li>" * 100_000)) == 100_001
+    assert time.process_time() - began < 20
+
+
 def test_viterbi_is_the_best_of_all_labels():
     field = html_text.fit(html_text.labelled_pages(60), rounds=20)
     page = html_text.blocks("<nav>a b</nav><h1>Title</h1><p>Some words here, and more.</p><div class=ad>buy</div><p>x</p><footer>f</footer>")
