@@ -6,7 +6,7 @@ Only DataFrame functions: no Python runs on the executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,20 +31,34 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPANS = "array<struct<start: int, end: int, value: string>>"
 
 
+def _running(numbers: Column, join=lambda x, y: x + y) -> Column:
+    """Running sums (or another associative join) of an array: each round joins what stands twice as far apart, so n
+    numbers take log n rounds of one pass and nothing is copied number by number."""
+    round_ = lambda a, d: F.when(F.size(a) > d, F.transform(a, lambda x, i: F.when(i >= d, join(x, F.get(a, i - d))).otherwise(x))).otherwise(a)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30)]), numbers, round_)
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places: the gaps between them and their own lengths, added up."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(g.alias("gap"), m.alias("value")))
-    return F.aggregate(
-        F.filter(pairs, lambda x: x["value"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    ends = _running(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: g + F.length(m)))
+    return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+
+
+#: Characters of the parts that a text is cut into where many places of it are read.
+_PART = 1024
+
+
+def _parts(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+
+
+def _between(parts: Column, start: Column, length: Column) -> Column:
+    """A substring (start from 0) by way of the parts that hold it, so that far places cost no more than near ones."""
+    first = F.floor(start / _PART).cast("int")
+    many = F.floor((start % _PART + length + _PART - 1) / _PART).cast("int")
+    return F.when(length > 0, F.substring(F.array_join(F.slice(parts, first + 1, F.greatest(many, F.lit(1))), ""), start % _PART + 1, length)).otherwise("")
 
 
 def _luhn(digits: Column) -> Column:
@@ -114,38 +128,88 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 100) -> dict
     return post
 
 
-def fit(counts: dict[tuple[int, ...], int], rounds: int = 400, rate: float = 1.0, decay: float = 1e-3) -> list[float]:
-    """Weights of the span classifier (the last is the intercept): logistic regression of the posteriors on the votes."""
-    post, total = reliabilities(counts), max(1, sum(counts.values()))
-    w = [0.0] * (len(next(iter(counts), ())) + 1)
+#: Bounds between which a span's length, its share of digits and of unlike characters are told apart.
+LENGTHS, DIGITS, UNLIKE = (20, 28, 36, 48, 80), (10, 25, 40, 60), (25, 40, 55, 70)
+
+
+def _shape(value: Column, before: Column) -> dict[str, Column]:
+    """A span's own features, each a small number: length, share of digits, share of unlike characters (its variety),
+    kinds of letters, signs, and the character before it."""
+    length = F.length(value)
+    share = lambda n, bounds: sum((F.when(100 * n >= b * length, 1).otherwise(0) for b in bounds), F.lit(0))
+    upper, lower = value.rlike("[A-Z]"), value.rlike("[a-z]")
+    last = F.right(before, F.lit(1))
+    return {
+        "length": sum((F.when(length >= b, 1).otherwise(0) for b in LENGTHS), F.lit(0)),
+        "digits": share(F.length(F.regexp_replace(value, "[^0-9]+", "")), DIGITS),
+        "unlike": share(F.size(F.array_distinct(F.split(value, ""))), UNLIKE),
+        "letters": F.when(upper & lower, 2).when(upper, 1).otherwise(0),
+        "signs": F.when(value.rlike("[/+]"), 2).when(value.rlike("[_=-]"), 1).otherwise(0),
+        "ahead": F.when(last.isin('"', "'"), 2).when(last.isin("=", ":"), 1).otherwise(0),
+    }
+
+
+_SHAPE = {"length": len(LENGTHS) + 1, "digits": len(DIGITS) + 1, "unlike": len(UNLIKE) + 1, "letters": 3, "signs": 3, "ahead": 3}
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """Weights of the values of each feature, and the intercept."""
+
+    weights: dict[str, list[float]]
+    intercept: float
+
+
+def fit(counts: dict[tuple[tuple[int, ...], tuple[int, ...]], int], rounds: int = 400, rate: float = 2.0, decay: float = 1e-3) -> Classifier:
+    """The span classifier from counts of (votes, shape): expectation-maximisation estimates the labellers' reliabilities
+    and with them each vote pattern's posterior, and a logistic regression of the posteriors on the spans' shapes, which
+    the labellers don't vote by, is trained on those."""
+    names, width = list(_SHAPE), sum(_SHAPE.values())
+    begins = [sum(list(_SHAPE.values())[:k]) for k in range(len(names))]
+    by_votes: dict[tuple[int, ...], int] = {}
+    for (v, _), c in counts.items():
+        by_votes[v] = by_votes.get(v, 0) + c
+    post, total = reliabilities(by_votes), sum(counts.values()) + width / 2
+    data = [([b + x for b, x in zip(begins, shape, strict=True)], post[v], c / total) for (v, shape), c in sorted(counts.items())]
+    data += [([i], 0.0, 0.5 / total) for i in range(width)]
+    w, last = [0.0] * width, 0.0
     for _ in range(rounds):
-        g = [decay * x for x in w]
-        for v, c in counts.items():
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w[-1] + sum(a for a, x in zip(w, v) if x)))))
-            e = (p - post[v]) * c / total
-            g = [a + e * b for a, b in zip(g, (*v, 1))]
-        w = [a - rate * b for a, b in zip(w, g)]
-    return w
+        g, g_last = [decay * x for x in w], 0.0
+        for at, target, share in data:
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, last + sum(w[i] for i in at)))))
+            e = (p - target) * share
+            g_last += e
+            for i in at:
+                g[i] += e
+        w, last = [x - rate * y for x, y in zip(w, g)], last - rate * g_last
+    return Classifier({k: w[b : b + _SHAPE[k]] for k, b in zip(names, begins, strict=True)}, last)
 
 
 def _candidates(text: Column) -> Column:
     """Candidate spans with the characters before them as `before`."""
     good = lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")
     found = F.when(text.rlike("[0-9]"), F.filter(_matches(text, CANDIDATE), good)).otherwise(F.array().cast(_SPANS))
-    before = lambda x: F.substring(text, F.greatest(F.lit(1), x["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), x["start"]))
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), before(x).alias("before")))
 
+    def placed(found: Column, parts: Column) -> Column:
+        before = lambda x: _between(parts, F.greatest(F.lit(0), x["start"] - CONTEXT), F.least(F.lit(CONTEXT), x["start"]))
+        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), before(x).alias("before")))
+
+    # the lambda binds the spans and the parts, which are worked out once a text
+    both = F.transform(F.array(F.struct(found.alias("f"), F.when(F.size(found) > 0, _parts(text)).alias("p"))), lambda s: placed(s["f"], s["p"]))
+    return F.get(both, F.lit(0))
 
-def train(docs: DataFrame) -> list[float]:
-    """The span classifier's weights from the candidates of all docs: only a count for each vote pattern (2**5 at most)
-    reaches the driver."""
+
+def train(docs: DataFrame) -> Classifier:
+    """The span classifier from the candidates of all docs: only a count for each pattern of votes and shape (2**5 times
+    the shapes' 4 050, at most) reaches the driver."""
     found = docs.where(F.col("text").rlike("[0-9]")).select("text").select(F.explode(_candidates(F.col("text"))).alias("x"))
-    votes = _labels(F.col("x.value"), F.col("x.before"))
-    rows = found.groupBy(*[v.cast("int").alias(k) for k, v in votes.items()]).count().collect()
-    return fit({tuple(int(r[k]) for k in votes): r["count"] for r in rows})
+    votes, shape = _labels(F.col("x.value"), F.col("x.before")), _shape(F.col("x.value"), F.col("x.before"))
+    columns = [c.cast("int").alias(f"{kind}_{k}") for kind, own in (("v", votes), ("s", shape)) for k, c in own.items()]
+    rows = found.groupBy(*columns).count().collect()
+    return fit({(tuple(r[f"v_{k}"] for k in votes), tuple(r[f"s_{k}"] for k in shape)): r["count"] for r in rows})
 
 
-def find(docs: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:
+def find(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """Every column of docs in a struct `row`, with `spans`: array of (kind, start, end), by kind (base kinds first, as
     in KINDS, then secrets) and start; code points from 0, end exclusive.
 
@@ -153,18 +217,20 @@ def find(docs: DataFrame, weights: Sequence[float] | None = None) -> DataFrame:
     classifier gives at least 0.5 and that no base span touches. Null texts have no spans; columns of docs may have any
     names; no rows give no rows. Every row is worked on where it is read.
     """
-    weights = train(docs) if weights is None else weights
+    classifier = classifier or train(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(F.struct("*").alias("row"), text.alias("text"))
     named = lambda c, kind: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     d = d.withColumn("base", F.concat(*[named(base_spans(F.col("text"), k), k) for k in KINDS]))
 
+    # base spans are looked up among those of the candidate's neighbourhood: most texts have few, so a scan will do
+    touched = lambda x: F.exists("base", lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]))
+
     def secret(x: Column) -> Column:
-        votes = _labels(x["value"], x["before"])
-        score = F.lit(float(weights[-1]))
-        for w, v in zip(weights, votes.values(), strict=False):
-            score = score + F.when(v, float(w)).otherwise(0.0)
-        return (score >= 0) & ~F.exists("base", lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]))
+        score = F.lit(classifier.intercept)
+        for k, value in _shape(x["value"], x["before"]).items():
+            score = score + F.get(F.array(*map(F.lit, classifier.weights[k])), value)
+        return (score >= 0) & ~touched(x)
 
     more = named(F.filter(_candidates(F.col("text")), secret), SECRET)
     return d.select("row", F.concat("base", more).alias("spans"))
@@ -178,11 +244,16 @@ def joined(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping ones, as <KIND> of its first; a null text stays null."""
     order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    piece = lambda a, x: F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-    done = F.aggregate(
-        order,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], piece(a, x)).otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    reach = lambda o: _running(F.transform(o, lambda x: x["end"]), lambda x, y: F.greatest(x, y))
+
+    def cut(s: Column) -> Column:
+        """Before each span that begins a run: what lies between it and the run before."""
+        at = lambda i: F.when(i > 0, F.get(s["reach"], i - 1)).otherwise(0)
+        piece = lambda x, i: F.when(x["start"] >= at(i), F.concat(_between(s["parts"], at(i), x["start"] - at(i)), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+        last = F.get(s["reach"], F.size(s["order"]) - 1)
+        return F.concat(F.array_join(F.transform(s["order"], piece), ""), _between(s["parts"], last, F.length(text) - last))
+
+    # each lambda binds what the next one reads more than once
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    done = once(order, lambda o: once(F.struct(o.alias("order"), reach(o).alias("reach"), _parts(text).alias("parts")), cut))
     return F.when(F.size(spans) > 0, done).otherwise(text)
