@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD_SPACE
+from lectern.llm.common import WORD_SPACE, keep
 
 #: White space of the word rule, for trimming.
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -20,8 +20,8 @@ SYMBOLS = "[#*$%&|<>]"
 CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "mark": r"[\p{P}\p{S}]"}
 #: Words of a window for repetition.
 WINDOW = 5
-#: Common words in a language's reference, the longest that count as such, and languages with a reference of their own.
-COMMON, COMMON_LENGTH, LANGUAGES = 12, 4, 32
+#: Words in a language's reference: its most frequent.
+COMMON = 12
 
 
 @dataclass(frozen=True)
@@ -30,8 +30,12 @@ class Limits:
 
     classes: float = 0.27
     words: float = 0.38
+    #: Of the distance that a text without any common word has: beyond it too few of its words are common.
+    missing: float = 0.85
     least_chars: int = 250
     least_words: int = 50
+    #: Common words that a text of its length is expected to have, for them to be missed.
+    least_common: float = 9.0
 
 
 def words_of(text: Column) -> Column:
@@ -48,7 +52,8 @@ def _lines_twice(text: Column) -> Column:
 def features(docs: DataFrame, common: Column) -> DataFrame:
     """docs with _n (words), _chars, _symbols, _lines, _repeat, _classes and _common (counts for the words of `common`).
 
-    Words in windows met twice: a text without any such window, nearly every one, is told by a hash set; otherwise
+    Windows are told apart by 64-bit hashes of their words' hashes: a text of a million words with unlike windows alone
+    is taken to have equal ones with probability 3e-8. Words in windows met twice: a text without any such window, nearly every one, is told by a hash set; otherwise
     windows are sorted with their places, equal neighbours flagged, and the cover of the flagged places is summed.
     """
     d = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
@@ -63,17 +68,22 @@ def features(docs: DataFrame, common: Column) -> DataFrame:
     cover = F.aggregate("_at", F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     d = d.withColumn("_repeat", F.coalesce(cover, F.lit(0)).cast("long"))
     d = d.withColumn("_chars", F.length(F.array_join("_words", "")).cast("long"))
-    d = d.withColumn("_symbols", F.regexp_count("_text", F.lit(SYMBOLS)).cast("long")).withColumn("_lines", _lines_twice(F.col("_text")).cast("long"))
-    d = d.withColumn("_classes", class_counts(F.col("_text"), F.col("_chars")))
+    d = d.withColumn("_few", few(F.col("_text"))).withColumn("_lines", _lines_twice(F.col("_text")).cast("long"))
+    d = d.withColumn("_symbols", F.regexp_count("_few", F.lit(SYMBOLS)).cast("long")).withColumn("_classes", class_counts(F.col("_text"), F.col("_chars"), F.col("_few")))
     d = d.withColumn("_list", common)
     d = d.withColumn("_short", F.filter("_words", lambda w: F.array_contains(F.col("_list"), w)))
     d = d.withColumn("_common", F.transform("_list", lambda c: F.size("_short") - F.size(F.array_remove("_short", c))))
-    return d.drop("_text", "_words", "_h", "_w5", "_placed", "_at", "_list", "_short")
+    return d.drop("_text", "_words", "_few", "_h", "_w5", "_placed", "_at", "_list", "_short")
 
 
-def class_counts(text: Column, chars: Column) -> Column:
+def few(text: Column) -> Column:
+    """The characters of a text that CLASSES or SYMBOLS count, in one pass; most are of neither."""
+    return F.regexp_replace(text, r"[^\p{Lu}\p{P}\p{S}0-9]++", "")
+
+
+def class_counts(text: Column, chars: Column, few: Column) -> Column:
     """Counts by character class: those of CLASSES, white space, all others."""
-    own = [F.regexp_count(text, F.lit(x)).cast("double") for x in CLASSES.values()]
+    own = [F.regexp_count(few, F.lit(x)).cast("double") for x in CLASSES.values()]
     return F.array(*own, (F.length(text) - chars).cast("double"))
 
 
@@ -90,88 +100,92 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 @dataclass
 class References:
-    """For each language, and for None over all: class probabilities, common words and their probabilities."""
+    """Class probabilities, common words, and their probabilities with that of all others: `table` has a row for each
+    language (_lang, classes, common, words), the rest is over all of them."""
 
-    classes: dict[str | None, list[float]]
-    common: dict[str | None, list[str]]
-    words: dict[str | None, list[float]]
+    table: DataFrame
+    classes: list[float]
+    common: list[str]
+    words: list[float]
 
 
 def references(docs: DataFrame) -> References:
-    """Histograms of every text of docs (text, lang), by language for the LANGUAGES with the most words, and over all.
+    """Histograms of every text of docs (text, lang), for each language and over all.
 
-    Grouped sums of a few numbers for each language; only those reach the driver. The candidates for common words
-    have at most COMMON_LENGTH characters, which keeps their counts small before they are shuffled.
+    Sums by language, and counts of all words by language and word, both combined before they are shuffled by keys that
+    spread a hot language; the most frequent words of each language are cut down to COMMON before they meet. Only the
+    reference over all reaches the driver: languages stay a table of a few hundred bytes each.
     """
-    d = docs.select(F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("words", words_of(F.col("text")))
-    chars = F.length(F.array_join("words", ""))
-    sums = [F.sum(F.regexp_count("text", F.lit(x))).alias(n) for n, x in CLASSES.items()]
-    whole = d.groupBy("lang").agg(F.sum(F.size("words")).alias("n"), F.sum(F.length("text")).alias("length"), F.sum(F.length("text") - chars).alias("space"), *sums)
-    # the languages beyond LANGUAGES count only over all
-    place = F.row_number().over(Window.orderBy(F.desc("n"), F.col("lang").asc_nulls_last()))
-    whole = whole.withColumn("own", F.col("lang").isNotNull() & (place <= LANGUAGES))
-    names = ["n", "length", "space", *CLASSES]
-    rows = whole.groupBy(F.when(F.col("own"), F.col("lang")).alias("lang")).agg(*[F.sum(c).alias(c) for c in names]).collect()
-    known = [r["lang"] for r in rows if r["lang"] is not None]
-    totals = {r["lang"]: [float(r[c]) for c in names] for r in rows}
-    totals[None] = [sum(v[i] for v in totals.values()) for i in range(len(names))]
-
-    short = d.select(F.when(F.col("lang").isin(known), F.col("lang")).alias("lang"), F.explode(F.filter("words", lambda w: F.length(w) <= COMMON_LENGTH)).alias("word"))
-    counts = short.groupBy("lang", "word").count()
-    # over all: a second sum of the same counts
-    counts = counts.select(F.explode(F.when(F.col("lang").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array("lang", F.lit(None).cast("string")))).alias("lang"), "word", "count")
-    counts = counts.groupBy("lang", "word").agg(F.sum("count").alias("count"))
-    best = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("place") <= COMMON)
-    common: dict[str | None, list[str]] = {k: [] for k in totals}
-    words: dict[str | None, list[float]] = {k: [] for k in totals}
-    for r in sorted(best.collect(), key=lambda r: r["place"]):
-        common[r["lang"]].append(r["word"])
-        words[r["lang"]].append(r["count"] / totals[r["lang"]][0])
-    classes = {}
-    for k, (_, length, space, *own) in totals.items():
-        own = [*own, space]
-        classes[k] = [x / max(1.0, length) for x in (*own, length - sum(own))]
-    return References(classes, common, {k: [*v, max(0.0, 1.0 - sum(v))] for k, v in words.items()})
-
-
-def _by_language(values: dict[str | None, list], kind: str) -> Column:
-    """The array for the row's language, or the one over all."""
-    array = lambda v: F.array(*map(F.lit, v)).cast(f"array<{kind}>")
-    out = array(values[None])
-    for k, v in values.items():
-        if k is not None:
-            out = F.when(F.col("lang").cast("string") == k, array(v)).otherwise(out)
-    return out
+    d = docs.select(F.col("lang").cast("string").alias("_lang"), F.coalesce("text", F.lit("")).alias("text"))
+    words = words_of(F.col("text"))
+    counts = keep(d.select("_lang", F.explode(words).alias("word")).groupBy("_lang", "word").agg(F.count("*").alias("count")), "words")
+    d = d.withColumn("space", F.length("text") - F.length(F.regexp_replace("text", WORD_SPACE, ""))).withColumn("few", few(F.col("text")))
+    sums = [F.sum(F.regexp_count("few", F.lit(x))).alias(n) for n, x in CLASSES.items()]
+    whole = keep(d.groupBy("_lang").agg(F.sum(F.length("text")).alias("length"), F.sum("space").alias("space"), *sums), "sums")
+
+    def classes(d: DataFrame) -> DataFrame:
+        own = [*CLASSES, "space"]
+        length = F.greatest(F.col("length"), F.lit(1))
+        return d.withColumn("classes", F.array(*[F.col(c) / length for c in own], (F.col("length") - sum(map(F.col, own))) / length))
+
+    def common(d: DataFrame, by: list[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("count"), "word"))
+        best = d.withColumn("place", place).where(F.col("place") <= COMMON).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("place", "word", "count"))).alias("x"))
+        best = best.join(d.groupBy(*by).agg(F.sum("count").alias("n")), by) if by else best.crossJoin(d.agg(F.sum("count").alias("n")))
+        p = F.transform("x", lambda w: w["count"] / F.col("n"))
+        rest = F.greatest(F.lit(0.0), 1 - F.aggregate(p, F.lit(0.0), lambda a, x: a + x))
+        return best.select(*by, F.col("x.word").alias("common"), F.concat(p, F.array(rest)).alias("words"))
+
+    all_words = common(counts.groupBy("word").agg(F.sum("count").alias("count")), []).first()
+    all_classes = classes(whole.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in whole.columns[1:]])).first()["classes"]
+    table = classes(whole.where("_lang is not null")).join(common(counts.where("_lang is not null"), ["_lang"]), "_lang", "left")
+    table = keep(table.select("_lang", "classes", F.coalesce("common", F.array().cast("array<string>")).alias("common"), F.coalesce("words", F.array(F.lit(1.0))).alias("words")), "references")
+    return References(table, all_classes, all_words["common"] if all_words else [], all_words["words"] if all_words else [1.0])
+
+
+def _constant(values: list, kind: str) -> Column:
+    return F.array(*map(F.lit, values)).cast(f"array<{kind}>")
 
 
 def judge(docs: DataFrame, limits: Limits = Limits(), against: References | None = None) -> DataFrame:
     """Every column of docs in a struct `row`, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, class_distance, word_distance and kept.
+    base_failed, class_distance, word_distance, missing_share and kept.
 
     base_failed: fewer than 10 words, or more than a fifth of them in 5-word windows that the text has twice. The
-    method's verdict: the Jensen-Shannon distance between the text's and its language's histograms, of character
-    classes and of the most common words, is within the limits; a text shorter than a guard passes that comparison.
+    method's verdict: the Jensen-Shannon distances between the text's and its language's histograms, of character
+    classes, of the most common words, and of common words against all others where they are too few, are within the
+    limits. The last limit follows from the reference: a share of the distance that a text without any common word has.
+    A text shorter than a guard passes that comparison.
 
-    The references (of docs itself, unless given) are bounded constants of the plan, and each row is judged where it
-    is read: nothing is shuffled but the references' sums. Null texts are empty and fail. A null or unknown lang is
+    The references (of docs itself, unless given) are joined by language, a row each; Spark broadcasts them where they
+    are small. Nothing else is shuffled but their sums. Null texts are empty and fail. A null or unknown lang is
     compared with the reference over all. Columns of docs may have any names; no rows give no rows.
     """
     ref = against or references(docs)
-    d = docs.select(F.struct("*").alias("row"), "text", "lang")
-    d = features(d, _by_language(ref.common, "string"))
+    d = docs.select(F.struct("*").alias("row"), "text", F.col("lang").cast("string").alias("_lang"))
+    d = d.join(ref.table, "_lang", "left")
+    for name, values, kind in (("classes", ref.classes, "double"), ("common", ref.common, "string"), ("words", ref.words, "double")):
+        d = d.withColumn(f"_ref_{name}", F.coalesce(name, _constant(values, kind))).drop(name)
+    d = features(d, F.col("_ref_common"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     length = F.coalesce(F.length("text"), F.lit(0))
-    rest = length - F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x)
-    p = F.transform(F.concat("_classes", F.array(rest)), lambda x: x / F.greatest(length, F.lit(1)))
+    p = F.transform(F.concat("_classes", F.array(length - total(F.col("_classes")))), lambda x: x / F.greatest(length, F.lit(1)))
     common = F.transform("_common", lambda x: x.cast("double"))
-    other = F.col("_n") - F.aggregate(common, F.lit(0.0), lambda a, x: a + x)
-    w = F.transform(F.concat(common, F.array(other)), lambda x: x / F.greatest(F.col("_n"), F.lit(1)))
-    d = d.withColumn("class_distance", F.when(length >= limits.least_chars, jensen_shannon(p, _by_language(ref.classes, "double"))))
-    d = d.withColumn("word_distance", F.when(F.col("_n") >= limits.least_words, jensen_shannon(w, _by_language(ref.words, "double"))))
+    d = d.withColumn("_hits", total(common))
+    n = F.greatest(F.col("_n"), F.lit(1))
+    w = F.transform(F.concat(common, F.array(F.col("_n") - F.col("_hits"))), lambda x: x / n)
+    d = d.withColumn("class_distance", F.when(length >= limits.least_chars, jensen_shannon(p, F.col("_ref_classes"))))
+    d = d.withColumn("word_distance", F.when(F.col("_n") >= limits.least_words, jensen_shannon(w, F.col("_ref_words"))))
+    rest = F.element_at("_ref_words", -1)
+    two = lambda x: F.array(x, 1 - x)
+    few_common = (F.col("_n") >= limits.least_words) & (F.col("_n") * (1 - rest) >= limits.least_common) & (F.col("_hits") < F.col("_n") * (1 - rest))
+    share = jensen_shannon(two(F.col("_hits") / n), two(1 - rest)) / jensen_shannon(two(F.lit(0.0)), two(1 - rest))
+    d = d.withColumn("missing_share", F.when(few_common, share))
     # a filter on the verdict must not be pushed below this: it would copy the whole computation into itself, many times
     d = d.withColumn("_here", F.monotonically_increasing_id())
     failed = (F.col("_n") < 10) | (100 * F.col("_repeat") > 20 * F.col("_n"))
-    good = (F.coalesce("class_distance", F.lit(0.0)) <= limits.classes) & (F.coalesce("word_distance", F.lit(0.0)) <= limits.words)
+    within = lambda c, limit: F.coalesce(F.col(c), F.lit(0.0)) <= limit
+    good = within("class_distance", limits.classes) & within("word_distance", limits.words) & within("missing_share", limits.missing)
     return d.select(
         "row",
         F.col("_n").alias("n_words"),
@@ -182,5 +196,6 @@ def judge(docs: DataFrame, limits: Limits = Limits(), against: References | None
         failed.alias("base_failed"),
         "class_distance",
         "word_distance",
+        "missing_share",
         (~failed & good & (F.col("_here") >= 0)).alias("kept"),
     )

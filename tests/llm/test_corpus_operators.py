@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -376,6 +377,69 @@ def test_quality_keeps_clean_rejects_junk(spark, data):
     assert sum(not r["kept"] for r in got if junk(r["text"]) and r["n_words"] > 100) >= 0.8 * sum(junk(r["text"]) and r["n_words"] > 100 for r in got)
 
 
+def brute_verdict(rows, limits):
+    """Distances and verdicts of (text, lang) rows, from the definition."""
+    kinds = ["[A-ZÄÖÜÉÈÀÇÑÍÓÚÁÂÊ]", "[0-9]"]
+
+    def classes(t):
+        up, digit = (len(re.findall(k, t)) for k in kinds)
+        mark = sum(unicodedata.category(c)[0] in "PS" for c in t)
+        space = len(t) - sum(map(len, words(t)))
+        return np.array([up, digit, mark, space, len(t) - up - digit - mark - space], float)
+
+    def js(p, q):
+        m = (p + q) / 2
+        part = lambda v: sum(x * math.log2(x / y) for x, y in zip(v, m) if x > 0)
+        return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+    out = []
+    for lang in {x for _, x in rows}:
+        own = [t or "" for t, x in rows if lang is None or x == lang]
+        ref_c = sum(map(classes, own)) / max(1, sum(map(len, own)))
+        count = Counter(w for t in own for w in words(t))
+        top = sorted(count, key=lambda w: (-count[w], w.encode()))[:12]
+        ref_w = np.array([count[w] for w in top]) / max(1, count.total())
+        for t, x in rows:
+            if x != lang:
+                continue
+            t, c = t or "", Counter(words(t or ""))
+            n, hits = c.total(), sum(c[w] for w in top)
+            d1 = js(classes(t) / max(1, len(t)), ref_c) if len(t) >= limits.least_chars else None
+            d2 = js(np.array([*(c[w] for w in top), n - hits]) / n, np.array([*ref_w, max(0.0, 1 - ref_w.sum())])) if n >= limits.least_words else None
+            r = ref_w.sum()
+            two = lambda v: np.array([v, 1 - v])
+            d3 = js(two(hits / n), two(r)) / js(two(0), two(r)) if n >= limits.least_words and n * r >= limits.least_common and hits < n * r else None
+            good = all(d is None or d <= m for d, m in ((d1, limits.classes), (d2, limits.words), (d3, limits.missing)))
+            out.append((t, lang, *(None if d is None else round(d, 6) for d in (d1, d2, d3)), good and not brute_quality(t)[-1]))
+    return Counter(out)
+
+
+def test_quality_verdicts(spark, data):
+    """Every distance and verdict on the smallest table, with a null language, against the definition."""
+    from lectern.llm.quality import Limits
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.col("lang")))
+    got = judge(docs).select(F.coalesce("row.text", F.lit("")), "row.lang", *[F.round(c, 6) for c in ("class_distance", "word_distance", "missing_share")], "kept")
+    assert Counter(map(tuple, got.collect())) == brute_verdict([(r["text"], r["lang"]) for r in docs.collect()], Limits())
+
+
+def test_quality_tells_other_languages_and_salad(spark):
+    """Texts in another language than their label's, and with their letters exchanged, are rejected; the rest is kept."""
+    import random
+
+    rng = random.Random(1)
+    common = {"en": "the of and to a in is that it for was on".split(), "xx": "longishword anotherword thirdword fourthword fifthword sixthword".split()}
+
+    def text(lang, n):
+        return " ".join(rng.choice(common[lang]) if rng.random() < 0.3 else "".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(n)) + "."
+
+    langs = [*["en", "xx"] * 200, *(f"l{i}" for i in range(40) for _ in range(5))]  # many languages, each with its own reference
+    rows = [(i, text("xx" if x != "en" else "en", 60 + i % 140), x) for i, x in enumerate(langs)]
+    rows += [(1000 + i, text("xx", 100), "en") for i in range(5)] + [(2000 + i, text("en", 100).translate(str.maketrans("aeioutnhs", "zxqvkzjwx")), "en") for i in range(5)]
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("row.doc_id", "kept").collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} == {r["doc_id"] for r in got if r["doc_id"] >= 1000}
+
+
 def luhn(x):
     return sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(map(int, reversed(x)))) % 10 == 0
 
@@ -398,6 +462,9 @@ def test_personal_data(spark):
     red = {r["doc_id"]: r["red"] for r in found}
     assert red[2] is None and red[9] == texts[9] and red[0] == "<EMAIL> <IP>.<IP> 999.1.1.1"
     assert personal_data.find(d.where("false")).count() == 0
+    many = spark.createDataFrame([(1, "mail a@b.org " * 100_000 + "1.2.3.4 " * 100_000)], "doc_id long, text string")
+    found = personal_data.find(many).select(F.size("spans").alias("n"), personal_data.redacted(F.col("row.text"), F.col("spans")).alias("red")).first()
+    assert found["n"] == 200_000 and found["red"] == "mail <EMAIL> " * 100_000 + "<IP> " * 100_000
     one = {(1, 1, 1, 1, 1): 50, (0, 0, 0, 0, 0): 50, (1, 0, 1, 1, 1): 5}
     post = personal_data.reliabilities(one)
     assert post[1, 1, 1, 1, 1] > 0.9 and post[0, 0, 0, 0, 0] < 0.1 and personal_data.reliabilities({}) == {}
