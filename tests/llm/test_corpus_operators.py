@@ -207,10 +207,69 @@ def test_language_id_edges(docs, spark):
     got = {r["doc_id"]: r for r in train_and_identify(spark, docs).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (5, 6, 7))
     nothing = train(docs.where("false"))
-    assert {r["lang_pred"] for r in identify(docs.select("doc_id", "text"), nothing).collect()} == {"und"}
+    assert {r["lang_pred"] for r in identify(docs.select("doc_id", "text", F.lit(1).alias("score")), nothing).collect()} == {"und"}
     assert train_and_identify(spark, docs.where("false")).count() == 0
 
 
+def brute_languages(rows, folds=5):
+    """The backoff from its definition, on (doc_id, text, lang): {doc_id: (held_out, lang_pred, score)}."""
+    from lectern.llm.language_id import LONGEST, SMOOTH, grams, words_of
+
+    held = lambda i: zlib.crc32(str(i).encode()) % folds == 0
+    tables = [{} for _ in range(LONGEST + 1)]
+    for i, t, x in rows:
+        if not held(i) and t is not None and x is not None:
+            for w in words_of(t):
+                for table, own in zip(tables, [[w], *(grams(w, k) for k in range(1, LONGEST + 1))]):
+                    table.setdefault(x, Counter()).update(own)
+    langs = sorted({x for i, t, x in rows if not held(i) and t is not None and x is not None})
+    known = [set().union(*table.values()) for table in tables]
+    log_p = lambda k, g, x: math.log((tables[k].get(x, {}).get(g, 0) + SMOOTH) / (tables[k].get(x, Counter()).total() + SMOOTH * len(known[k])))
+    all_words = sum(c.total() for c in tables[0].values())
+    out = {}
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            out[i] = (held(i), "und", 0.0)
+            continue
+        total = {x: math.log(max(SMOOTH, tables[0].get(x, Counter()).total()) / all_words) for x in langs}
+        for w, m in Counter(words_of(t)).items():
+            k, own = 0, [w] if w in known[0] else []
+            for k in range(LONGEST, 0, -1) if not own else ():
+                own = [g for g in grams(w, k) if g in known[k]]
+                if own:
+                    break
+            for x in langs if own else ():
+                total[x] += m * sum(log_p(k, g, x) for g in own) / len(own)
+        best = max(langs, key=lambda x: total[x])
+        out[i] = (held(i), best, 1 / sum(math.exp(v - total[best]) for v in total.values()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 40, 600_000])
+def test_language_id_is_the_backoff(spark, data, monkeypatch, hot):
+    """Scores equal to the definition's, whatever part of the vocabulary is broadcast."""
+    from lectern.llm import language_id
+
+    monkeypatch.setattr(language_id, "HOT_WORDS", hot)
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60").select("doc_id", F.substring("text", 1, 900).alias("text"), F.when(F.col("doc_id") % 9 > 0, F.col("lang")).alias("lang"))
+    docs = docs.unionByName(spark.createDataFrame([(900, None, "en"), (901, "12 34 …", "fr"), (902, "qqqq zzzzq", "de"), (903, "", "x")], docs.schema))
+    want = brute_languages([tuple(r) for r in docs.collect()])
+    got = train_and_identify(spark, docs).collect()
+    assert len(got) == len(want)
+    for r in got:
+        held, pred, score = want[r["doc_id"]]
+        assert (r["held_out"], r["lang_pred"]) == (held, pred) and r["score"] == pytest.approx(score, abs=1e-6)
+
+
+def test_language_id_of_many_languages(spark):
+    """Every label is learned, however many there are and however large another is."""
+    rows = [(i, f"tongue{i % 300:03d}q word{i % 300:03d}z " * 3, f"l{i % 300:03d}") for i in range(1500)] + [(9000 + i, sentence(i, 50), "big") for i in range(300)]
+    rows = [(i, re.sub("[0-9]", lambda m: "abcdefghij"[int(m.group())], t), x) for i, t, x in rows]
+    got = train_and_identify(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {i: x for i, _, x in rows}
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in got) >= 0.99 * len(rows)
+
+
 def test_mixing(docs, spark):
     got = mix(docs).collect()
     assert len(got) == docs.count()
