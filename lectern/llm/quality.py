@@ -59,8 +59,8 @@ def features(docs: DataFrame, common: Column) -> DataFrame:
     d = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     d = d.withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words").cast("long"))
     d = d.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    window = lambda i: F.xxhash64(*[F.get(F.col("_h"), i + j) for j in range(WINDOW)])
-    d = d.withColumn("_w5", F.when(F.col("_n") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
+    window = lambda x, i: F.xxhash64(x, *[F.get(F.col("_h"), i + j) for j in range(1, WINDOW)])
+    d = d.withColumn("_w5", F.transform(F.slice("_h", 1, F.greatest(F.col("_n").cast("int") - (WINDOW - 1), F.lit(0))), window))
     some = F.size("_w5") > F.size(F.array_distinct("_w5"))
     d = d.withColumn("_placed", F.when(some, F.array_sort(F.transform("_w5", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twin = lambda x, j: (x["h"] == F.get(F.col("_placed"), j - 1)["h"]) | (x["h"] == F.get(F.col("_placed"), j + 1)["h"])
@@ -119,9 +119,12 @@ def references(docs: DataFrame) -> References:
     d = docs.select(F.col("lang").cast("string").alias("_lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = words_of(F.col("text"))
     counts = keep(d.select("_lang", F.explode(words).alias("word")).groupBy("_lang", "word").agg(F.count("*").alias("count")), "words")
-    d = d.withColumn("space", F.length("text") - F.length(F.regexp_replace("text", WORD_SPACE, ""))).withColumn("few", few(F.col("text")))
+    d = d.withColumn("few", few(F.col("text")))
     sums = [F.sum(F.regexp_count("few", F.lit(x))).alias(n) for n, x in CLASSES.items()]
-    whole = keep(d.groupBy("_lang").agg(F.sum(F.length("text")).alias("length"), F.sum("space").alias("space"), *sums), "sums")
+    whole = d.groupBy("_lang").agg(F.sum(F.length("text")).alias("length"), *sums)
+    chars = counts.groupBy(F.col("_lang").alias("_l")).agg(F.sum(F.length("word") * F.col("count")).alias("chars"))
+    whole = whole.join(chars, F.col("_lang").eqNullSafe(F.col("_l")), "left").withColumn("space", F.col("length") - F.coalesce("chars", F.lit(0)))
+    whole = keep(whole.select("_lang", "length", "space", *CLASSES), "sums")
 
     def classes(d: DataFrame) -> DataFrame:
         own = [*CLASSES, "space"]
