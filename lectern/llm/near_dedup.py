@@ -36,7 +36,8 @@ _ADD = _rng.integers(0, 2**32, TREES * _DEPTH, dtype=np.uint32)
 def shingle_sets(b: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct fingerprints of each document's word shingles, A-Z taken as a-z, and where each set begins.
 
-    A document with fewer words has its whole sequence as its one shingle; without words the set is empty.
+    A document with fewer words has its whole sequence as its one shingle; without words the set is empty. Fingerprints
+    have 64 bits: a text of a million words has two alike with probability 3e-8. At most 65 536 documents at a time.
     """
     s, e, wo = tb.word_bounds(b, off)
     wh = tb.word_hashes(b, s, e, lower=True)
@@ -50,8 +51,12 @@ def shingle_sets(b: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray
     i = np.flatnonzero(take)
     sh = tb.spans_hash(pre, i, np.minimum(i + words, last[i]), 1)
     d = doc[i]
-    key = np.unique((d.astype(np.uint64) << np.uint64(52)) | (sh >> np.uint64(12)))
-    return key & np.uint64(2**52 - 1), np.searchsorted(key >> np.uint64(52), np.arange(len(off), dtype=np.uint64))
+    order = np.argsort(sh)
+    order = order[np.argsort(d[order].astype(np.uint16), kind="stable")]
+    d, sh = d[order], sh[order]
+    new = np.ones(len(sh), bool)
+    new[1:] = (sh[1:] != sh[:-1]) | (d[1:] != d[:-1])
+    return sh[new], np.searchsorted(d[new], np.arange(len(off)))
 
 
 def _signatures(words: int):
@@ -93,7 +98,7 @@ def _signatures(words: int):
 
 
 def _small(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """tb.chunks of at most 2048 documents each, so that a document's number fits beside a 52-bit fingerprint."""
+    """tb.chunks of at most 2048 documents each."""
     for at in range(0, len(col), 2048):
         for first, stop, b, off in tb.chunks(col.slice(at, 2048)):
             yield at + first, at + stop, b, off
@@ -250,7 +255,7 @@ def _crowded_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Each row of docs (doc_id, text) with n_shingles, component_id, kept.
+    """Each row of docs (doc_id, text) with n_shingles, component_id, kept, text_hash, first.
 
     Two documents are linked when their sets of `words`-word shingles have a Jaccard similarity of percent/100 or
     more; component_id is the smallest doc_id reachable over links and kept says whether the row has that doc_id.
@@ -263,7 +268,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     compared by prefix filtering, which is exact. A pair at exactly 0.8 is missed with probability 3e-6.
 
     Null or wordless texts have n_shingles 0 and stay alone. A null doc_id counts as smaller than any other and its
-    component_id is null. Rows repeated whole share a class. Other columns are ignored; no rows give no rows.
+    component_id is null. Rows repeated whole share a class. `first` marks one document of each component where several
+    have its smallest doc_id (or none): that whose text has the smallest hash (text_hash); rows repeated whole are all
+    first. Other columns are ignored; no rows give no rows.
     """
     base = docs.select("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), "text")
     sig = keep(base.mapInArrow(_signatures(words), "doc_id long, _id long, _th long, n_shingles long, set_lo long, set_hi long, trees binary, sketch binary"), "signatures")
@@ -307,14 +314,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if not late.isEmpty():
             label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(late)))
 
-    of = keep(classes.join(label, "node", "left").select(*same, "first_id", F.coalesce("component", "node").alias("root")), "roots")
-    least = of.groupBy("root").agg(F.min("first_id").alias("component"))
-    of = of.join(least, "root").select(*same, "component")
-    out = sig.select("doc_id", "_id", *same).join(of, same, "left").withColumn("component", F.coalesce("component", "_id"))
+    of = keep(classes.join(label, "node", "left").select(*same, "first_id", "first_th", F.coalesce("component", "node").alias("root")), "roots")
+    least = of.groupBy("root").agg(F.min(F.struct("first_id", "first_th")).alias("least"))
+    of = of.join(least, "root").select(*same, "least")
+    out = sig.select("doc_id", "_id", "_th", *same).join(of, same, "left")
+    component = F.coalesce(F.col("least.first_id"), F.col("_id"))
     null = F.lit(None).cast("long")
     return out.select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("component") == -(2**63), null).otherwise(F.col("component")).alias("component_id"),
-        (F.col("_id") == F.col("component")).alias("kept"),
+        F.when(component == -(2**63), null).otherwise(component).alias("component_id"),
+        (F.col("_id") == component).alias("kept"),
+        F.col("_th").alias("text_hash"),
+        ((F.col("_id") == component) & (F.col("_th") == F.coalesce(F.col("least.first_th"), F.col("_th")))).alias("first"),
     )

@@ -31,7 +31,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2, percent=80).drop("text_hash", "first")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

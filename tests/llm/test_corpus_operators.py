@@ -84,7 +84,7 @@ def brute_components(rows, k):
 
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_duplicates(docs, given, k):
-    got = Counter(tuple(r) for r in near_duplicates(docs, words=k).collect())
+    got = Counter(tuple(r) for r in near_duplicates(docs, words=k).drop("text_hash", "first").collect())
     assert got == brute_components(given, k)
 
 
