@@ -9,28 +9,14 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import keep
 
-#: Vectors packed in one row, on the side of the queries and of the candidates.
-QUERY_BLOCK, BLOCK = 512, 1024
-#: Bins of a query's histogram in one pass, and parts that each block of queries is dealt out to.
-BINS, PARTS = 1024, 8
-
-
-def _pack(batches):
-    """Candidates as blocks: their ids and the components floor(1024 x), for each dimension apart."""
-    for batch in batches:
-        ids = batch.column("vec_id").to_numpy()
-        values, off = batch.column("v").flatten().to_numpy(zero_copy_only=False), batch.column("v").offsets.to_numpy()
-        off = off - off[0]
-        for dim in np.unique(np.diff(off)):
-            own = np.flatnonzero(np.diff(off) == dim)
-            for x in range(0, len(own), BLOCK):
-                pick = own[x : x + BLOCK]
-                m = values[off[pick][:, None] + np.arange(dim)[None, :]]
-                m = np.floor(1024.0 * m.astype(np.float64)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(dim)], pa.int32()), pa.array([int(ids[pick[0]])], pa.int64()), pa.array([ids[pick].tobytes()]), pa.array([m.tobytes()])],
-                    ["dim", "salt", "c_ids", "c_mat"],
-                )
+#: Queries and candidates that are scored at once, and those that meet in one task at most.
+QUERIES, CANDIDATES, MOST = 512, 8192, 65_536
+#: Bins of a query's histogram in one pass.
+BINS = 1024
+
+
+def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) if len(col) else np.zeros((0, dim), np.int64)
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -41,15 +27,21 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q @ c.T
 
 
-def _each(fn, names):
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_mat"], np.int64).reshape(-1, r["dim"])
-                own, c = np.frombuffer(r["c_ids"], np.int64), np.frombuffer(r["c_mat"], np.int64).reshape(-1, r["dim"])
-                state = {n: np.frombuffer(r[n], np.int64) for n in ("lo", "hi", "need") if n in r}
-                cols = fn(ids, own, _scores(q, c), ids[:, None] != own[None, :], **state)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+def _each(fn, schema: dict[str, pa.DataType]):
+    """What fn makes of every block of a cell's queries and candidates, one block at a time."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        dim, out = key[0].as_py(), []
+        ids, q = left.column("q_id").to_numpy(), _matrix(left.column("q"), dim)
+        own, c = right.column("vec_id").to_numpy(), _matrix(right.column("v"), dim)
+        state = {n: left.column(n).to_numpy() for n in ("lo", "hi", "need") if n in left.column_names}
+        for x in range(0, len(ids) if len(own) else 0, QUERIES):
+            part = slice(x, x + QUERIES)
+            for y in range(0, len(own), CANDIDATES):
+                near = own[y : y + CANDIDATES]
+                cols = fn(ids[part], near, _scores(q[part], c[y : y + CANDIDATES]), ids[part][:, None] != near[None, :], **{n: v[part] for n, v in state.items()})
+                out.append(pa.table([pa.array(v, t) for v, t in zip(cols, schema.values(), strict=True)], names=list(schema)))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in schema.values()], names=list(schema))
 
     return run
 
@@ -93,51 +85,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors (vec_id, embedding) with the
     greatest integer inner product of floor(1024 x), the query's own vec_id left out, ties to the smaller vec_id.
 
-    Everything is scored in blocks: each block of queries meets every block of candidates of its dimension, dealt out
-    over PARTS tasks at least. A first pass takes each query's range of scores; passes over ever narrower bins then
-    sum histograms over all blocks and keep the bin that holds the kth value, until a bin is one value wide. A last
-    pass keeps what lies above it and the smallest ids at it, at most k from each block at the value itself.
+    Everything is scored: candidates and queries are dealt at random into groups of at most about MOST vectors, smaller
+    ones where that gives the cluster more tasks, and every two groups of a dimension meet in one task. A first pass
+    takes each query's range of scores; passes over ever narrower bins then sum histograms over all groups and keep the
+    bin that holds the kth value, until a bin is one value wide. A last pass keeps what lies above it and the smallest
+    ids at it, at most k from each block at the value itself. Candidates are written once; only their shuffles repeat
+    them, once for each group of queries.
 
     Vectors that are null, empty or hold a null or non-finite component, and null ids, take no part. A query id that
     several rows share is searched once, with the least of their vectors; candidates that share an id count each.
-    Components are 64-bit integers, and scores wrap like them. Other columns are ignored; no queries give no rows.
+    Components are 64-bit integers, larger ones the greatest of those, and scores wrap like them. Other columns are
+    ignored; no queries give no rows.
     """
     fine = lambda c: F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = lambda d: d.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    asked = keep(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    blocks = (asked.count() + QUERY_BLOCK - 1) // QUERY_BLOCK
-    blocks = max(1, blocks)
-    cand = usable(vectors).mapInArrow(_pack, "dim int, salt long, c_ids binary, c_mat binary")
-    cand = cand.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(PARTS)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cand = keep(cand, "candidates")
-    dealt = asked.withColumn("dim", F.size("v")).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-
-    def packed(state: DataFrame | None) -> DataFrame:
-        q = dealt if state is None else dealt.join(state, "vec_id")
-        extra = [] if state is None else ["lo", "hi", "need"]
-        q = q.groupBy("qb", "dim").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v", *extra))).alias("x"))
-
-        def pack(batches):
-            for batch in batches:
-                for r in batch.to_pylist():
-                    m = np.floor(1024.0 * np.array([x["v"] for x in r["x"]], np.float64)).astype(np.int64)
-                    cols = [np.array([x[c] for x in r["x"]], np.int64).tobytes() for c in ("vec_id", *extra)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r["qb"]], pa.int32()), pa.array([r["dim"]], pa.int32()), pa.array([m.tobytes()]), *(pa.array([x]) for x in cols)], ["qb", "dim", "q_mat", "q_ids", *extra])
-
-        q = q.mapInArrow(pack, "qb int, dim int, q_mat binary, q_ids binary" + "".join(f", {c} binary" for c in extra))
-        return q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).join(cand, ["qb", "dim", "salt"])
-
-    state = packed(None).mapInArrow(_each(_range, ["vec_id", "lo", "hi"]), "vec_id long, lo long, hi long").groupBy("vec_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    usable = lambda d: d.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(1024 * x)).alias("v"))
+    dealt = lambda d: d.withColumn("dim", F.size("v")).withColumn("_at", F.xxhash64(F.monotonically_increasing_id()))
+    asked = keep(dealt(usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))).withColumnsRenamed({"vec_id": "q_id", "v": "q"}), "queries")
+    cand = keep(dealt(usable(vectors)), "candidates")
+    few = vectors.sparkSession.sparkContext.defaultParallelism * 4
+    n = cand.count()
+    parts, groups = max(1, -(-n // MOST), min(few, n // 2048)), max(1, -(-asked.count() // MOST))
+    part = lambda m: F.pmod("_at", F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    right = cand.withColumn("c", part(parts)).withColumn("g", every(groups)).drop("_at").groupBy("dim", "g", "c")
+
+    def scored(fn, state: DataFrame | None, **schema: pa.DataType) -> DataFrame:
+        q = asked if state is None else asked.join(state, "q_id")
+        left = q.withColumn("g", part(groups)).withColumn("c", every(parts)).drop("_at").groupBy("dim", "g", "c")
+        return left.cogroup(right).applyInArrow(_each(fn, schema), ", ".join(f"{c} long" for c in schema))
+
+    long = pa.int64()
+    state = scored(_range, None, q_id=long, lo=long, hi=long).groupBy("q_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     state = keep(state.withColumn("need", F.lit(k).cast("long")), "ranges")
     while (state.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0) > 0:
-        hist = packed(state).mapInArrow(_each(_histogram, ["vec_id", "bin", "n"]), "vec_id long, bin long, n long").groupBy("vec_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("vec_id").orderBy(F.desc("bin"))
-        hist = hist.withColumn("above", F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(state, "vec_id")
+        hist = scored(_histogram, state, q_id=long, bin=long, n=long).groupBy("q_id", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("q_id").orderBy(F.desc("bin"))
+        hist = hist.withColumn("above", F.coalesce(F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(state, "q_id")
         # the first bin from the top that reaches the count, or the lowest of all where there are fewer
-        hist = hist.where("above < need").groupBy("vec_id").agg(F.min_by(F.struct("bin", "above", "lo", "hi", "need"), "bin").alias("s")).select("vec_id", "s.*")
+        hist = hist.where("above < need").groupBy("q_id").agg(F.min_by(F.struct("bin", "above", "lo", "hi", "need"), "bin").alias("s")).select("q_id", "s.*")
         width = F.greatest(F.lit(1), F.floor((F.col("hi") - F.col("lo")) / BINS) + 1).cast("long")
         low = F.col("lo") + F.col("bin") * width
-        state = keep(hist.select("vec_id", low.alias("lo"), F.least("hi", low + width - 1).alias("hi"), (F.col("need") - F.col("above")).alias("need")), "ranges")
-    won = packed(state).mapInArrow(_each(_winners, ["query_id", "vec_id", "score"]), "query_id long, vec_id long, score long")
+        state = keep(hist.select("q_id", low.alias("lo"), F.least("hi", low + width - 1).alias("hi"), (F.col("need") - F.col("above")).alias("need")), "ranges")
+    won = scored(_winners, state, query_id=long, vec_id=long, score=long)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return won.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
