@@ -16,6 +16,9 @@ def docs(spark):
         rows.append((i, t, "en", f"s{i % 3}", len(t), "k", "i", "r"))
     rows += [(40, rows[3][1], "en", "s0", 1, "k", "i", "r"), (41, rows[3][1] + " more", "en", "s0", 1, "k", "i", "r"), (42, None, None, None, None, None, None, None), (43, "short", "en", "s1", 5, "k", "i", "r")]
     rows += [(44, rows[5][1] + " mail me@here.org and more text", "en", None, 1, "k", "i", "r"), rows[7], (None, sentence(77, 300), "en", "s1", 1, "k", "i", "r")]
+    # near copies without a doc_id, and with one that they share
+    mixed = " ".join(w for pair in zip(sentence(90, 120).split(), (clean * 8).split()[:120], strict=True) for w in pair)
+    rows += [(i, mixed + x, "en", "s2", 1, "k", "i", "r") for i in (None, 50, 50) for x in (" one.", " two.")]
     return spark.createDataFrame(rows, SCHEMA)
 
 
