@@ -26,12 +26,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that with the smallest doc_id.
 
-    Of rows repeated whole one stays; rows without a doc_id count as having the smallest, and of them unlike texts stay.
+    Rows without a doc_id count as having the smallest. Where several unlike texts of a group share the smallest, that
+    with the smallest hash stays; of rows repeated whole one stays.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("kept")
-    kept = kept.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id")).distinct()
+    kept = near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("first")
+    kept = kept.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("text_hash").alias("_th")).distinct()
     rows = docs.select(*text_key(), F.struct("*").alias("_row"))
-    return rows.join(kept.hint("merge"), "_id", "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")
+    return rows.join(kept.hint("merge"), ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*")
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
