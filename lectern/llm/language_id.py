@@ -19,7 +19,7 @@ from lectern.llm.common import keep
 LONGEST = 4
 #: The most frequent words, at most so many and so many numbers with all languages, are looked up where a text is read
 #: and are broadcast; all others are joined. The bound has no bearing on results.
-HOT_WORDS, HOT_NUMBERS = 600_000, 4_000_000
+HOT_WORDS, HOT_NUMBERS = 250_000, 4_000_000
 #: Added to every count of a language.
 SMOOTH = 0.5
 
