@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ASCII-only, without look-around, so that every engine reads them alike.
-TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|\n|[^A-Za-z0-9_\x20\x09-\x0D]"
-IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
-NUMBER = r"^[0-9]+$"
+# What the lexers take for tokens, ASCII-only and without look-around, so that every engine reads them alike.
+OPERATOR = r">>>=|>>=|<<=|\+\+|--|==|!=|>=|<=|&&|\|\||\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>>|>>|->|::"
+QUOTED = r"\"[^\"\\]*(?:\\.[^\"\\]*)*\"|'[^'\\]*(?:\\.[^'\\]*)*'"
+TOKEN = rf"{OPERATOR}|[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?[A-Za-z]*|{QUOTED}|[{{}}()\[\];,.:?~!%^&*+\-/=<>|]"
+CHUNK_TOKEN = rf"{QUOTED}|0[xX][0-9A-Fa-f]+|[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*|==|!=|<=|>=|&&|\|\||<<|>>|\+\+|--|\+=|-=|\*=|/=|%=|[()+\-*/%<>&|^~=!]"
+ACCESS_TOKEN = rf"{QUOTED}|`[^`]*`|#.*|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][A-Za-z0-9_.]*|\?\.|::|->|[^\x20\x09-\x0D]"
+IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
+NUMBER = r"^[0-9]"
 
 
 def fingerprint(c: Column) -> Column:

@@ -1,101 +1,189 @@
-"""Per-document measures: one grouped pass over lines, tokens or characters each."""
+"""Per-document measures, worked out where a document is read: arrays of lines, tokens and chunks, nothing shuffled."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from lectern.functions.scalar import IDENTIFIER, sigmoid
-from lectern.operators.text import category
+from lectern.functions.arrays import counts, deviation, largest, mean, total, variation
+from lectern.functions.scalar import IDENTIFIER, sigmoid, subtokens
+from lectern.operators import text as X
 
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
-def line_stats(lines: DataFrame) -> DataFrame:
-    """Over non-blank lines: their number, lengths, share of long ones, indents and steps between indents."""
-    l = lines.where(F.trim("text") != "").withColumn("len", F.length("text")).withColumn("indent", F.length("text") - F.length(F.ltrim("text")))
-    step = F.abs(F.col("indent") - F.lag("indent").over(Window.partitionBy("doc_id").orderBy("line")))
-    l = l.withColumn("step", step)
-    return l.groupBy("doc_id").agg(
-        F.count("*").alias("loc"),
-        r6(F.log1p(F.count("*"))).alias("log_loc"),
-        r6(F.avg("len")).alias("mean_length"),
-        r6(F.stddev_pop("len")).alias("std_length"),
-        F.max("len").cast("long").alias("max_length"),
-        r6(F.avg((F.col("len") > 80).cast("double"))).alias("over_80"),
-        r6(F.avg((F.col("len") > 100).cast("double"))).alias("over_100"),
-        r6(F.avg("indent")).alias("mean_indent"),
-        F.max("indent").cast("long").alias("max_indent"),
-        r6(F.coalesce(F.avg("step"), F.lit(0.0))).alias("mean_step"),
-        r6(F.coalesce(F.stddev_pop("step"), F.lit(0.0))).alias("std_step"),
+def parsed(docs: DataFrame, language: str = "java") -> DataFrame:
+    """docs (doc_id, content, more) with _lines, _code (the lines without comments), _tokens and _chunks, line by line."""
+    d = docs.withColumn("_lines", X.line_array(F.col("content"))).withColumn("_code", X.line_array(X.strip_comments(F.col("content"))))
+    return d.withColumn("_tokens", X.token_lines(F.col("_code"))).withColumn("_chunks", X.chunk_lines(F.col("_code")))
+
+
+def _written(d: DataFrame) -> Column:
+    """Lines that are not blank."""
+    return F.filter("_lines", lambda l: F.trim(l) != "")
+
+
+def line_stats(docs: DataFrame) -> DataFrame:
+    """Over non-blank lines: their number, lengths, share of long ones, indents and steps between indents; a document
+    without any has zeros."""
+    d = docs.withColumn("_lines", X.line_array(F.col("content")))
+    d = d.withColumn("_own", _written(d)).withColumn("_len", F.transform("_own", lambda l: F.length(l).cast("double")))
+    d = d.withColumn("_indent", F.transform("_own", lambda l: (F.length(l) - F.length(F.ltrim(l))).cast("double")))
+    d = d.withColumn("_step", F.transform(F.slice("_indent", 2, F.greatest(F.size("_indent") - 1, F.lit(0))), lambda x, i: F.abs(x - F.get("_indent", i))))
+    n, zero = F.size("_own"), lambda c: r6(F.coalesce(c, F.lit(0.0)))
+    share = lambda most: F.size(F.filter("_len", lambda x: x > most)) / F.greatest(n, F.lit(1))
+    return d.select(
+        "doc_id",
+        n.cast("long").alias("loc"),
+        r6(F.log1p(n)).alias("log_loc"),
+        zero(mean(F.col("_len"))).alias("mean_length"),
+        zero(deviation(F.col("_len"))).alias("std_length"),
+        largest(F.col("_len")).cast("long").alias("max_length"),
+        r6(share(80)).alias("over_80"),
+        r6(share(100)).alias("over_100"),
+        zero(mean(F.col("_indent"))).alias("mean_indent"),
+        zero(deviation(F.col("_indent"))).alias("std_indent"),
+        largest(F.col("_indent")).cast("long").alias("max_indent"),
+        r6(variation(F.col("_indent"))).alias("indent_cv"),
+        zero(mean(F.col("_step"))).alias("mean_step"),
+        zero(deviation(F.col("_step"))).alias("std_step"),
+        largest(F.col("_step")).cast("long").alias("max_step"),
     )
 
 
-def chunk_stats(chunks: DataFrame) -> DataFrame:
-    """Chunks: number, per line mean and deviation, share of distinct lexemes, lengths; identifiers apart."""
-    by_line = chunks.groupBy("doc_id", "line").agg(F.count("*").alias("n")).groupBy("doc_id").agg(r6(F.avg("n")).alias("per_line"), r6(F.stddev_pop("n")).alias("per_line_std"))
-    name = F.col("chunk_type") == "IDENTIFIER"
-    size = F.length("token")
-    c = chunks.groupBy("doc_id").agg(
-        F.count("*").alias("n_chunks"),
-        r6(F.countDistinct("token") / F.count("*")).alias("unique_ratio"),
-        r6(F.avg(size)).alias("mean_length"),
-        F.max(size).cast("long").alias("max_length"),
-        r6(F.stddev_pop(size) / F.avg(size)).alias("cv_length"),
-        r6(F.avg(F.when(name, size))).alias("mean_name_length"),
-        r6(F.avg(F.when(name, (size == 1).cast("double")))).alias("single_letter"),
-        r6(F.log1p(F.count_if(~F.col("chunk_type").isin("LITERAL"))) - F.log1p(F.count_if(F.col("chunk_type") == "LITERAL"))).alias("expression_literal"),
+def chunk_stats(docs: DataFrame) -> DataFrame:
+    """Chunks: number, per line with any their mean and deviation, share of distinct lexemes, lengths in characters and in
+    word parts, and expressions against literals. Identifiers: lengths, single letters, digits, word parts."""
+    d = parsed(docs).withColumn("_all", F.flatten("_chunks"))
+    d = d.withColumn("_n", F.filter(F.transform("_chunks", lambda c: F.size(c).cast("double")), lambda x: x > 0))
+    d = d.withColumn("_chars", F.transform("_all", lambda c: F.length(c["lexeme"]).cast("double")))
+    d = d.withColumn("_parts", F.transform("_all", lambda c: F.greatest(F.size(subtokens(c["lexeme"])), F.lit(1)).cast("double")))
+    d = d.withColumn("_names", F.transform(F.filter("_all", lambda c: c["kind"] == "IDENTIFIER"), lambda c: c["lexeme"]))
+    d = d.withColumn("_name_chars", F.transform("_names", lambda x: F.length(x).cast("double")))
+    many = lambda *kinds: F.size(F.filter("_all", lambda c: c["kind"].isin(*kinds)))
+    digits = F.transform("_names", lambda x: F.length(F.regexp_replace(x, "[^0-9]+", "")).cast("double"))
+    zero = lambda c: r6(F.coalesce(c, F.lit(0.0)))
+    size = F.greatest(F.size("_all"), F.lit(1))
+    return d.select(
+        "doc_id",
+        F.size("_all").cast("long").alias("n_chunks"),
+        zero(mean(F.col("_n"))).alias("per_line"),
+        zero(deviation(F.col("_n"))).alias("per_line_std"),
+        r6(F.size(F.array_distinct(F.transform("_all", lambda c: c["lexeme"]))) / size).alias("unique_ratio"),
+        r6(F.log1p(F.coalesce(mean(F.col("_chars")), F.lit(0.0)))).alias("log_mean_chars"),
+        r6(variation(F.col("_chars"))).alias("chars_cv"),
+        r6(F.log1p(largest(F.col("_chars")))).alias("log_max_chars"),
+        r6(variation(F.col("_parts"))).alias("parts_cv"),
+        r6(F.log1p(many("ARITHMETIC", "COMPARISON", "LOGICAL", "BITWISE", "ASSIGNMENT", "CALL")) - F.log1p(many("LITERAL"))).alias("expression_literal"),
+        zero(mean(F.col("_name_chars"))).alias("name_mean"),
+        zero(deviation(F.col("_name_chars"))).alias("name_std"),
+        largest(F.col("_name_chars")).cast("long").alias("name_max"),
+        r6(variation(F.col("_name_chars"))).alias("name_cv"),
+        r6(F.size(F.filter("_names", lambda x: F.length(x) == 1)) / F.greatest(F.size("_names"), F.lit(1))).alias("single_letter"),
+        r6(total(digits) / F.greatest(total(F.col("_name_chars")), F.lit(1.0))).alias("digit_share"),
+        zero(mean(F.transform("_names", lambda x: F.size(subtokens(x)).cast("double")))).alias("name_parts"),
     )
-    return c.join(by_line, "doc_id")
-
-
-def chunk_inventory(chunks: DataFrame, types: list[str]) -> DataFrame:
-    """A count and a share for each chunk type."""
-    n = F.count("*")
-    own = [F.count_if(F.col("chunk_type") == t) for t in types]
-    return chunks.groupBy("doc_id").agg(*[c.alias(f"n_{t.lower()}") for c, t in zip(own, types, strict=True)], *[r6(c / n).alias(f"share_{t.lower()}") for c, t in zip(own, types, strict=True)])
-
-
-def token_density(tokens: DataFrame) -> DataFrame:
-    """Tokens of a kind for each line that has tokens, and the most names and numbers in one line."""
-    t = tokens.withColumn("kind", category(F.col("token")))
-    line = t.groupBy("doc_id", "line").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("kind").isin("CONTROL_FLOW", "DECLARATION")).alias("keywords"),
-        F.count_if(F.col("token") == ".").alias("periods"),
-        F.count_if(F.col("token") == ",").alias("commas"),
-        F.count_if(F.col("token").isin("(", ")")).alias("parens"),
-        F.count_if(F.col("kind") == "IDENTIFIER").alias("names"),
-        F.count_if(F.col("kind") == "LITERAL").alias("numbers"),
+
+
+def chunk_inventory(docs: DataFrame) -> DataFrame:
+    """A count and a share of all chunks for each of the chunk types, comments and imports among them."""
+    lexical = [t for t in X.CHUNK_TYPES if t not in ("COMMENT", "IMPORT", "UNUSED_IMPORT")]
+    d = parsed(docs).withColumn("_kinds", F.transform(F.flatten("_chunks"), lambda c: c["kind"]))
+    many = lambda t: F.size(F.filter("_kinds", lambda k: k == t)).cast("long").alias(f"n_{t.lower()}")
+    own = d.select("doc_id", *map(many, lexical))
+    notes = X.comment_lines(X.comments(docs)).groupBy("doc_id").agg(F.count("*").alias("n_comment"))
+    named = X.imports(docs).groupBy("doc_id").agg(F.count_if("used").alias("n_import"), F.count_if(~F.col("used")).alias("n_unused_import"))
+    all_ = own.join(notes, "doc_id", "left").join(named, "doc_id", "left").na.fill(0)
+    names = [f"n_{t.lower()}" for t in X.CHUNK_TYPES]
+    n = F.greatest(sum(map(F.col, names)), F.lit(1))
+    return all_.select("doc_id", *names, *[r6(F.col(c) / n).alias(f"share_{c[2:]}") for c in names])
+
+
+def token_density(docs: DataFrame, language: str = "java") -> DataFrame:
+    """Tokens of a kind for each non-blank line, the most names and numbers in one line, and the share of the text's
+    characters that keywords and operators take, also against those of names."""
+    d = parsed(docs)
+    v = lambda kind: (lambda x: X.vocabulary(x, language)[kind])
+    loc = F.greatest(F.size(_written(d)), F.lit(1))
+    d = d.withColumn("_flat", F.flatten("_tokens"))
+    rate = lambda good: r6(F.size(F.filter("_flat", good)) / loc)
+    area = lambda kind: total(F.transform(F.filter("_flat", v(kind)), lambda x: F.length(x).cast("double")))
+    ink = F.greatest(F.length(F.regexp_replace("content", r"[\x20\x09-\x0D]+", "")), F.lit(1))
+    return d.select(
+        "doc_id",
+        rate(v("keyword")).alias("keywords_per_line"),
+        rate(v("operator")).alias("operators_per_line"),
+        rate(v("comparison")).alias("comparisons_per_line"),
+        rate(lambda x: x == ".").alias("periods_per_line"),
+        rate(lambda x: x == ",").alias("commas_per_line"),
+        rate(lambda x: x.isin("(", ")")).alias("parens_per_line"),
+        largest(counts(F.col("_tokens"), v("identifier"))).cast("long").alias("max_names"),
+        largest(counts(F.col("_tokens"), v("number"))).cast("long").alias("max_numbers"),
+        r6(area("keyword") / ink).alias("keyword_area"),
+        r6(area("operator") / ink).alias("operator_area"),
+        r6(area("keyword") / F.greatest(area("identifier"), F.lit(1.0))).alias("keyword_name_area"),
     )
-    rate = lambda c: r6(F.sum(c) / F.count("*")).alias(f"{c}_per_line")
-    return line.groupBy("doc_id").agg(*[rate(c) for c in ("keywords", "periods", "commas", "parens")], F.max("names").alias("max_names"), F.max("numbers").alias("max_numbers"))
 
 
-def vertical_position(tokens: DataFrame) -> DataFrame:
-    """Where token kinds stand on the page: mean and deviation of (line - 1) / (lines - 1), and their span of lines."""
-    last = F.max("line").over(Window.partitionBy("doc_id"))
-    t = tokens.withColumn("y", (F.col("line") - 1) / F.greatest(last - 1, F.lit(1))).withColumn("kind", category(F.col("token")))
-    return t.groupBy("doc_id", "kind").agg(r6(F.avg("y")).alias("mean_y"), r6(F.stddev_pop("y")).alias("std_y"), (F.max("line") - F.min("line") + 1).cast("long").alias("line_span"))
+#: Token kinds whose places on the page are measured.
+PLACED = {"identifier": lambda x: X.vocabulary(x)["identifier"], "keyword": lambda x: X.vocabulary(x)["keyword"], "operator": lambda x: X.vocabulary(x)["operator"], "period": lambda x: x == ".", "number": lambda x: X.vocabulary(x)["number"]}
+
+
+def vertical_position(docs: DataFrame) -> DataFrame:
+    """Where tokens of a kind, comments and chunks stand on the page: (doc_id, kind, mean_y, std_y, line_span) with
+    y = (line - 1) / (lines - 1); kinds that a document lacks have no row."""
+    d = parsed(docs).withColumn("_last", F.greatest(F.size("_lines") - 1, F.lit(1)))
+    found = F.filter(F.regexp_extract_all("content", F.lit(rf"(?s){X.STRING}|{X.COMMENT}|\r\n|[\r\n]"), F.lit(0)), lambda x: x.rlike(r"^(?://|/\*|[\r\n])"))
+    ends = lambda x: F.regexp_count(x, F.lit(r"\r\n|\r|\n"))
+    # the line that each comment begins on: the line ends before it
+    notes = F.aggregate(found, F.struct(F.lit(0).alias("line"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["line"] + ends(x)).alias("line"), F.when(x.startswith("/"), F.concat(a["out"], F.array(a["line"]))).otherwise(a["out"]).alias("out")))["out"]
+
+    def at(array: str, good) -> Column:
+        return F.flatten(F.transform(array, lambda t, i: F.transform(F.filter(t, good), lambda _: i)))
+
+    kinds = {**{k: at("_tokens", good) for k, good in PLACED.items()}, "chunk": at("_chunks", lambda _: F.lit(True)), "comment": notes}
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("at")) for k, c in kinds.items()])
+    d = d.select("doc_id", "_last", F.explode(rows).alias("x")).where(F.size("x.at") > 0)
+    y = F.transform("x.at", lambda i: i / F.col("_last"))
+    return d.select("doc_id", "x.kind", r6(mean(y)).alias("mean_y"), r6(deviation(y)).alias("std_y"), (F.array_max("x.at") - F.array_min("x.at") + 1).cast("long").alias("line_span"))
+
+
+def halstead(docs: DataFrame, language: str = "java") -> DataFrame:
+    """docs with length, vocabulary, volume and n_lines: tokens of the text without its comments; keywords and operators
+    are operators, all other tokens operands; all lines count, blank ones too."""
+    d = docs.withColumn("_t", F.flatten(X.token_lines(X.line_array(X.strip_comments(F.col("content"))))))
+    keywords, operators, _, _ = X.LANGUAGES[language]
+    acts = lambda x: x.isin(*keywords, *operators)
+    d = d.withColumn("length", F.size("_t").cast("long"))
+    distinct = F.array_distinct("_t")
+    d = d.withColumn("vocabulary", (F.size(F.filter(distinct, acts)) + F.size(F.filter(distinct, lambda x: ~acts(x)))).cast("long"))
+    d = d.withColumn("n_lines", F.size(X.line_array(F.col("content"))).cast("long"))
+    return d.withColumn("volume", F.when(F.col("vocabulary") > 1, F.col("length") * F.log2("vocabulary")).otherwise(0.0)).drop("_t")
 
 
-def halstead(tokens: DataFrame) -> DataFrame:
-    """(doc_id, length, vocabulary, volume): operands are names and numbers, operators all other tokens."""
-    operand = F.col("token").rlike(IDENTIFIER) | F.col("token").rlike("^[0-9]+$")
-    h = tokens.groupBy("doc_id").agg(F.count("*").alias("length"), (F.countDistinct(F.when(operand, F.col("token"))) + F.countDistinct(F.when(~operand, F.col("token")))).alias("vocabulary"))
-    return h.withColumn("volume", F.when(F.col("vocabulary") > 1, F.col("length") * F.log2("vocabulary")).otherwise(0.0))
+@F.pandas_udf(DoubleType())
+def entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Shannon entropy of the bytes of UTF-8 texts, in bits: one histogram of 256 counts a text."""
+    for texts in batches:
+        out = []
+        for t in texts:
+            n = np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) if t else np.zeros(0)
+            p = n[n > 0] / max(1, n.sum())
+            out.append(float(-(p * np.log2(p)).sum()) + 0.0)
+        yield pd.Series(out)
 
 
 def byte_entropy(docs: DataFrame) -> DataFrame:
-    """Shannon entropy of the bytes of the UTF-8 text, in bits; counted, so long texts shuffle at most 256 rows."""
-    b = docs.select("doc_id", F.explode(F.expr("regexp_extract_all(hex(encode(content, 'UTF-8')), '..', 0)")).alias("byte")).groupBy("doc_id", "byte").count()
-    total = F.sum("count").over(Window.partitionBy("doc_id"))
-    p = F.col("count") / total
-    return b.withColumn("bits", -p * F.log2(p)).groupBy("doc_id").agg(F.sum("bits").alias("entropy"), F.sum("count").alias("n_bytes"))
+    """(doc_id, entropy, n_bytes)"""
+    return docs.select("doc_id", entropy("content").alias("entropy"), F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 def posnett(volume: Column, lines: Column, entropy: Column) -> Column:
@@ -103,22 +191,43 @@ def posnett(volume: Column, lines: Column, entropy: Column) -> Column:
     return sigmoid(8.87 - 0.033 * volume + 0.40 * lines - 1.5 * entropy)
 
 
-def spectral_energy(series: DataFrame, bins: int = 4) -> DataFrame:
-    """Share of a series' energy, without its mean, in its lowest frequencies: (doc_id, line, value) -> low_energy.
+def spectral_energy(values: Column, bins: int = 4) -> Column:
+    """Share of a series' energy, without its mean, in its lowest frequencies.
 
-    The transform at k is two sums over lines; by Parseval the whole is the centred sum of squares, so only `bins`
+    The transform at k is two sums over the series; by Parseval the whole is the centred sum of squares, so only `bins`
     frequencies are computed. Frequencies k and n - k are one, and the middle one of an even n counts half.
     """
-    w = Window.partitionBy("doc_id")
-    s = series.withColumn("n", F.count("*").over(w)).withColumn("c", F.col("value") - F.avg("value").over(w)).withColumn("t", F.row_number().over(w.orderBy("line")) - 1)
-    angle = lambda k: 2 * math.pi * k * F.col("t") / F.col("n")
-    sums = [x for k in range(1, bins + 1) for x in (F.sum(F.col("c") * F.cos(angle(k))).alias(f"a{k}"), F.sum(F.col("c") * F.sin(angle(k))).alias(f"b{k}"))]
-    # the transform at n/2, which stands alone among the pairs
-    middle = F.sum(F.col("c") * F.when(F.col("t") % 2 == 0, 1.0).otherwise(-1.0)).alias("mid")
-    g = s.groupBy("doc_id").agg(F.first("n").alias("n"), F.sum(F.col("c") * F.col("c")).alias("ss"), middle, *sums)
-    low = sum((F.when(2 * F.lit(k) <= F.col("n"), F.col(f"a{k}") ** 2 + F.col(f"b{k}") ** 2).otherwise(0.0) for k in range(1, bins + 1)), F.lit(0.0))
-    whole = (F.col("n") * F.col("ss") + F.when(F.col("n") % 2 == 0, F.col("mid") ** 2).otherwise(0.0)) / 2
-    return g.select("doc_id", F.when(whole > 1e-9, low / whole).otherwise(0.0).alias("low_energy"))
+
+    def own(s: Column) -> Column:
+        n, m = F.size(s), mean(s)
+        c = F.transform(s, lambda x: x - m)
+        part = lambda wave, k: F.aggregate(F.transform(c, lambda x, t: x * wave(2 * math.pi * k * t / n)), F.lit(0.0), lambda a, x: a + x)
+        low = sum((F.when(2 * F.lit(k) <= n, part(F.cos, k) ** 2 + part(F.sin, k) ** 2).otherwise(0.0) for k in range(1, bins + 1)), F.lit(0.0))
+        # the transform at n/2, which stands alone among the pairs
+        middle = total(F.transform(c, lambda x, t: F.when(t % 2 == 0, x).otherwise(-x)))
+        whole = (n * total(F.transform(c, lambda x: x * x)) + F.when(n % 2 == 0, middle**2).otherwise(0.0)) / 2
+        return F.when(whole > 1e-9, low / whole).otherwise(0.0)
+
+    return F.get(F.transform(F.array(values), own), F.lit(0))
+
+
+#: The series by line whose low frequencies are measured, from lines and tokens.
+def series() -> dict[str, Column]:
+    v = lambda kind: (lambda x: X.vocabulary(x)[kind])
+    t = F.col("_tokens")
+    return {
+        "length": F.transform("_lines", lambda l: F.length(l).cast("double")),
+        "identifiers": counts(t, v("identifier")),
+        "keywords": counts(t, v("keyword")),
+        "periods": counts(t, lambda x: x == "."),
+        "commas": counts(t, lambda x: x == ","),
+        "comparisons": counts(t, v("comparison")),
+    }
+
+
+def spectra(docs: DataFrame) -> DataFrame:
+    """(doc_id, a low-frequency share for each series)"""
+    return parsed(docs).select("doc_id", *[spectral_energy(c).alias(f"low_{k}") for k, c in series().items()])
 
 
 def aligned_runs(lines: DataFrame) -> DataFrame:
@@ -131,19 +240,66 @@ def aligned_runs(lines: DataFrame) -> DataFrame:
     return ch.withColumn("second", second).groupBy("doc_id").agg(F.count_if("second").alias("runs"))
 
 
-def line_coherence(tokens: DataFrame) -> DataFrame:
-    """Greatest cosine between two lines of a document, each word weighed by 1 / its count in the document.
+def line_coherence(docs: DataFrame) -> DataFrame:
+    """(doc_id, coherence): greatest cosine between two lines, each word weighed by 1 / its count in the document.
 
-    Only lines that share a word meet, through the word; the pair sums combine before the last grouping.
+    A document's lines are rows of a sparse matrix that meet block by block where the document is read, so that a word
+    on every line costs no pairs of rows; documents without two lines that share a word have no row.
     """
-    words = tokens.where(F.col("token").rlike(IDENTIFIER)).groupBy("doc_id", "line", F.lower("token").alias("word")).agg(F.count("*").alias("n"))
-    whole = F.sum("n").over(Window.partitionBy("doc_id", "word"))
-    words = words.withColumn("w", F.col("n") / whole)
-    norm = words.groupBy("doc_id", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    a, b = words.select("doc_id", "word", F.col("line").alias("x"), F.col("w").alias("wx")), words.select("doc_id", "word", F.col("line").alias("y"), F.col("w").alias("wy"))
-    dots = a.join(b, ["doc_id", "word"]).where("x < y").groupBy("doc_id", "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"))
-    dots = dots.join(norm.select("doc_id", F.col("line").alias("x"), F.col("norm").alias("nx")), ["doc_id", "x"]).join(norm.select("doc_id", F.col("line").alias("y"), F.col("norm").alias("ny")), ["doc_id", "y"])
-    return dots.groupBy("doc_id").agg(F.max(F.col("dot") / (F.col("nx") * F.col("ny"))).alias("coherence"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(i, _most_alike(t)) for i, t in zip(batch["doc_id"], batch["words"], strict=True)]
+            yield pd.DataFrame([x for x in found if x[1] is not None], columns=["doc_id", "coherence"])
+
+    words = F.transform(X.token_lines(X.line_array(X.strip_comments(F.col("content")))), lambda t: F.transform(F.filter(t, lambda x: x.rlike(IDENTIFIER)), lambda x: F.lower(x)))
+    return docs.select("doc_id", words.alias("words")).mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, coherence double")
+
+
+def _most_alike(lines: list, block: int = 256) -> float | None:
+    """The greatest cosine of two rows that share something, in blocks of rows against all later rows."""
+    names: dict[str, int] = {}
+    rows = [np.unique([names.setdefault(w, len(names)) for w in own], return_counts=True) for own in lines if len(own)]
+    if len(rows) < 2:
+        return None
+    whole = np.bincount(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]))
+    lines_of = np.bincount(np.concatenate([r[0] for r in rows]))
+    rows = [(w, n / whole[w]) for w, n in rows]
+    norm = np.array([np.sqrt((v * v).sum()) for _, v in rows])
+    order = np.concatenate([np.full(len(w), i) for i, (w, _) in enumerate(rows)])
+    col, val = np.concatenate([w for w, _ in rows]), np.concatenate([v for _, v in rows])
+    shared = lines_of[col] > 1
+    order, col, val = order[shared], col[shared], val[shared]
+    best = None
+    for x in range(0, len(rows), block):
+        own = (order >= x) & (order < x + block)
+        cols, at = np.unique(col[own], return_inverse=True)
+        if not len(cols):
+            continue
+        # the block as a dense matrix over its own words only
+        a = np.zeros((block, len(cols)))
+        a[order[own] - x, at] = val[own]
+        place = np.searchsorted(cols, col)
+        meets = (place < len(cols)) & (cols[np.minimum(place, len(cols) - 1)] == col) & (order >= x)
+        for y in range(x, len(rows), block):
+            other = meets & (order >= y) & (order < y + block)
+            if not other.any():
+                continue
+            b = np.zeros((block, len(cols)))
+            b[order[other] - y, place[other]] = val[other]
+            dot = a @ b.T
+            i, j = np.nonzero(dot > 0)
+            i, j = i[i + x < j + y], j[i + x < j + y]
+            if len(i):
+                top = float((dot[i, j] / (norm[i + x] * norm[j + y])).max())
+                best = top if best is None else max(best, top)
+    return best
+
+
+def short_name_share(docs: DataFrame, short: str = "abcdeijkmnxyz") -> DataFrame:
+    """(doc_id, share): of the identifier chunks those that are one of the short names."""
+    names = F.filter(F.flatten(X.chunk_lines(X.line_array(X.strip_comments(F.col("content"))))), lambda c: c["kind"] == "IDENTIFIER")
+    return docs.select("doc_id", r6(F.size(F.filter(names, lambda c: c["lexeme"].isin(*short))) / F.greatest(F.size(names), F.lit(1))).alias("share"))
 
 
 def word_overlap(names: DataFrame, words: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lectern.operators import models as J
 from lectern.operators import statistics as G
 from lectern.operators.features import line_stats, token_density
-from lectern.operators.text import lines, tokens
 from lectern.plans.registry import query, table
 from lectern.plans.text import items
 
@@ -147,7 +146,7 @@ NAMES = ("mean_length", "std_length", "mean_indent", "commas_per_line", "periods
 def feature_table(spark, sf_dir):
     """documents with labels and a handful of measures: what the models below are fitted on."""
     d = items(spark, sf_dir)
-    f = line_stats(lines(d)).join(token_density(tokens(d)), "doc_id").select("doc_id", *NAMES)
+    f = line_stats(d).join(token_density(d), "doc_id").select("doc_id", *NAMES)
     l = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
     j = d.select("doc_id", F.col("dataset").alias("source")).join(l, "doc_id").join(f, "doc_id")
     return j.withColumn("fold", G.fold(["source"], ["doc_id"], 5)).withColumn("w", G.balanced_weight(["source"]))

@@ -25,6 +25,27 @@ def test_lines_and_tokens(spark):
     d = spark.createDataFrame([(1, "a = b1;\r\n\nc"), (2, "")], "doc_id long, content string")
     assert sorted(one(X.lines(d), "doc_id", "line", "text")) == [(1, 1, "a = b1;"), (1, 2, ""), (1, 3, "c")]
     assert sorted(one(X.tokens(d), "line", "token")) == [(1, ";"), (1, "="), (1, "a"), (1, "b1"), (3, "c")]
+    d = spark.createDataFrame([(1, "a == b && c >= 1.5e3 ? $x : 'p q' // z")], "doc_id long, content string")
+    assert [t for _, t in sorted(one(X.tokens(d), "pos", "token"))] == ["a", "==", "b", "&&", "c", ">=", "1.5e3", "?", "$x", ":", "'p q'"]
+
+
+def test_chunks(spark):
+    d = spark.createDataFrame([(1, "if (a == b && c >= d) x = f(1); // no\npublic int y = ~z << 2;\nString r = \"^[a-z]+\\\\d$\";")], "doc_id long, content string")
+    got = [(r["line"], r["chunk_type"], r["lexeme"]) for r in sorted(X.chunks(d).collect(), key=lambda r: (r["line"], r["pos"]))]
+    assert got[:9] == [(1, "CONTROL_FLOW", "if"), (1, "IDENTIFIER", "a"), (1, "COMPARISON", "=="), (1, "IDENTIFIER", "b"), (1, "LOGICAL", "&&"), (1, "IDENTIFIER", "c"), (1, "COMPARISON", ">="), (1, "IDENTIFIER", "d"), (1, "IDENTIFIER", "x")]
+    assert got[9:12] == [(1, "ASSIGNMENT", "="), (1, "CALL", "call_f"), (1, "LITERAL", "literal_1")]
+    assert [k for line, k, _ in got if line == 2] == ["DECLARATION", "IDENTIFIER", "ASSIGNMENT", "BITWISE", "IDENTIFIER", "BITWISE", "LITERAL"]
+    assert [k for line, k, _ in got if line == 3] == ["DECLARATION", "IDENTIFIER", "ASSIGNMENT", "REGEX"]
+
+
+def test_languages(spark):
+    d = spark.createDataFrame([("java",), ("Py ",), ("CUDA",), ("cobol",), ("",), (None,)], "l string")
+    assert [r[0] for r in d.select(X.routed(F.col("l"))).collect()] == ["java", "python", "c", None, "java", "java"]
+
+
+def test_imports(spark):
+    d = spark.createDataFrame([(1, "import java.util.List;\nimport a.b.C;\n// C\nList x;")], "doc_id long, content string")
+    assert sorted(one(X.imports(d), "line", "category", "base", "used")) == [(1, "stdlib", "util_List", True), (2, "external", "b_C", False)]
 
 
 def test_comments_respect_strings(spark):
@@ -34,26 +55,27 @@ def test_comments_respect_strings(spark):
 
 
 def test_comment_groups(spark):
-    d = spark.createDataFrame([("-----",), (" TODO later",), (" foo(bar);",), (" some words of prose",), ("x",)], "t string")
-    assert [r[0] for r in d.select(X.comment_group(F.col("t"))).collect()] == ["separator", "metadata", "code_like", "prose", "unknown"]
+    d = spark.createDataFrame([("-----",), ("@author x\nversion: 2",), (" foo(bar);",), (" some words of prose",), ("x",), ("some words of prose\nfoo(bar);",), ("Copyright by us",), ("@param x\nCopyright by us",)], "t string")
+    assert [r[0]["group"] for r in d.select(X.comment_group(F.col("t"))).collect()] == ["separator", "metadata", "code_like", "prose", "unknown", "mixed_unknown", "metadata", "mixed_unknown"]
 
 
 def test_access_chains(spark):
-    d = spark.createDataFrame([(1, "a.b(c.d).e; f.g")], "doc_id long, content string")
-    assert X.accesses(X.tokens(d)).count() == 4
-    assert sorted(one(X.access_chains(X.tokens(d)), "depth")) == [(1,), (1,), (2,)]
+    d = spark.createDataFrame([(1, "import x.y;\na.b(c.d)?.e; f->g; P::q 's.t' # u.v")], "doc_id long, content string")
+    t = X.access_tokens(d)
+    assert X.accesses(t).count() == 5
+    assert sorted(one(X.access_chains(t), "depth")) == [(1,), (1,), (1,), (2,)]
 
 
 def test_entropy_halstead_posnett(spark):
     d = spark.createDataFrame([(1, "abab")], "doc_id long, content string")
     assert D.byte_entropy(d).first()["entropy"] == 1.0
-    assert D.halstead(X.tokens(d)).first()["volume"] == 0.0
+    assert D.halstead(d).first()["volume"] == 0.0
     assert spark.range(1).select(D.posnett(F.lit(0.0), F.lit(1.0), F.lit(0.0))).first()[0] == pytest.approx(1 / (1 + np.exp(-9.27)))
 
 
 def test_spectrum_of_a_slow_wave(spark):
-    d = spark.createDataFrame([(1, t, float(np.cos(2 * np.pi * t / 16))) for t in range(16)], "doc_id long, line int, value double")
-    assert D.spectral_energy(d).first()["low_energy"] == pytest.approx(1.0)
+    d = spark.createDataFrame([([float(np.cos(2 * np.pi * t / 16)) for t in range(16)],)], "v array<double>")
+    assert d.select(D.spectral_energy(F.col("v"))).first()[0] == pytest.approx(1.0)
 
 
 def test_loss_measures(spark):
