@@ -31,11 +31,20 @@ def contained(spans: DataFrame, by: list[str]) -> DataFrame:
 
 
 def invalid_tokens(tokens: DataFrame) -> DataFrame:
-    """(doc_id, problem, n): indexes that repeat, offsets out of order, losses that are negative or not finite."""
-    w = Window.partitionBy("doc_id").orderBy("i")
-    t = tokens.withColumn("p", F.lag("start").over(w))
-    problem = F.when(F.col("start") > F.col("end"), "reversed").when(F.col("p") > F.col("start"), "order").when(F.isnan("bits") | (F.col("bits") < 0) | (F.col("bits") == float("inf")), "loss")
-    return t.withColumn("problem", problem).where("problem is not null").groupBy("doc_id", "problem").agg(F.count("*").alias("n"))
+    """(doc_id, problem, n): indexes that repeat, offsets reversed or out of order, losses that are negative or not finite.
+
+    A token may have several problems and counts for each.
+    """
+    w = Window.partitionBy("doc_id").orderBy("i", "start", "end")
+    t = tokens.withColumn("ps", F.lag("start").over(w)).withColumn("pe", F.lag("end").over(w)).withColumn("pi", F.lag("i").over(w))
+    found = {
+        "repeated": F.col("pi") == F.col("i"),
+        "reversed": F.col("start") >= F.col("end"),
+        "order": (F.col("ps") > F.col("start")) | (F.col("pe") > F.col("end")),
+        "loss": F.isnan("bits") | (F.col("bits") < 0) | (F.abs(F.col("bits")) == float("inf")) | F.col("bits").isNull(),
+    }
+    all_ = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in found.items()]))
+    return t.select("doc_id", F.explode(all_).alias("problem")).groupBy("doc_id", "problem").agg(F.count("*").alias("n"))
 
 
 def overlap(tokens: DataFrame, spans: DataFrame, block: int = 512) -> DataFrame:
@@ -52,15 +61,147 @@ def overlap(tokens: DataFrame, spans: DataFrame, block: int = 512) -> DataFrame:
     return j.where(F.col("_b") == F.greatest(F.floor(F.col("start") / block), F.floor(F.col("s_start") / block))).drop("_b")
 
 
-def role_loss(tokens: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, role, bits, bytes, bpb): each token's loss spread evenly over its characters, summed over a role's spans.
+def allocation(tokens: DataFrame) -> DataFrame:
+    """tokens (doc_id, start, end, bits, text) as segments (doc_id, start, end, bits, bytes, k, text) that don't overlap.
+
+    A token's bits are spread evenly over its UTF-8 bytes. Texts are cut at every end of a token; a segment has the bits of
+    the k tokens over it, and its bytes once. Tokens that touch but don't overlap are their own segments.
+    """
+    ends = tokens.select("doc_id", F.explode(F.array("start", "end")).alias("start")).distinct()
+    cuts = ends.withColumn("end", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))).where("end is not null")
+    j = overlap(tokens, cuts)
+    piece = F.substring(F.col("text"), F.col("s_start") - F.col("start") + 1, F.col("s_end") - F.col("s_start"))
+    j = j.withColumn("piece", piece).withColumn("own", F.col("bits") * F.octet_length("piece") / F.octet_length("text"))
+    g = j.groupBy("doc_id", F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg(F.sum("own").alias("bits"), F.count("*").alias("k"), F.first("piece").alias("text"))
+    return g.withColumn("bytes", F.octet_length("text"))
+
+
+def _shares(segments: DataFrame, spans: DataFrame) -> DataFrame:
+    """Segments with the spans over them, and the bits and bytes of what both have in common."""
+    j = overlap(segments, spans)
+    at = F.greatest("start", "s_start")
+    piece = F.octet_length(F.substring(F.col("text"), at - F.col("start") + 1, F.least("end", "s_end") - at))
+    return j.withColumn("own_bits", F.col("bits") * piece / F.col("bytes")).withColumn("own_bytes", piece)
+
+
+def interval_loss(segments: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """(doc_id, by, bits, bytes, bpb): bits per covered byte of the union of each group's spans; no row without bytes."""
+    merged = union(spans.select("doc_id", *by, "start", "end"), ["doc_id", *by])
+    g = _shares(segments, merged).groupBy("doc_id", *by).agg(F.sum("own_bits").alias("bits"), F.sum("own_bytes").alias("bytes"))
+    return g.withColumn("bpb", F.col("bits") / F.col("bytes"))
+
+
+def occurrence_loss(segments: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """(doc_id, by, start, end, bpb): bits per covered byte of each span; spans without a covered byte have no row."""
+    g = _shares(segments, spans).groupBy("doc_id", *by, F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg((F.sum("own_bits") / F.sum("own_bytes")).alias("bpb"))
+    return g
+
+
+def tail_mean(values: DataFrame, by: list[str], value: str, share: float = 0.1) -> DataFrame:
+    """(by, tail): the mean of the ceil(share * n) greatest values, one at least."""
+    w = Window.partitionBy(*by)
+    v = values.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.desc(value))))
+    return v.where(F.col("_k") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * share))).groupBy(*by).agg(F.avg(value).alias("tail"))
 
-    tokens: doc_id, start, end, bits, bytes; spans: doc_id, role, start, end, of one role apart. null without bytes.
+
+#: Roles whose difficulty is measured.
+ROLES = ("identifier", "literal", "call_target", "expression", "assignment_rhs", "control_header", "declaration_header")
+#: Sets of occurrences whose gain from context is measured.
+CONTEXT_ROLES = ("identifier", "short_identifier", "call_target", "expression", "assignment_rhs", "control_header")
+SHORT_NAMES = "abcdeijkmnxyz"
+
+
+def role_difficulty(segments: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, role, mean, tail, std): of the union of a role's spans, of its hardest tenth, and among its spans."""
+    each = occurrence_loss(segments, spans, ["role"])
+    std = each.groupBy("doc_id", "role").agg(F.stddev_pop("bpb").alias("std"))
+    mean = interval_loss(segments, spans, ["role"]).select("doc_id", "role", F.col("bpb").alias("mean"))
+    return mean.join(tail_mean(each, ["doc_id", "role"], "bpb"), ["doc_id", "role"]).join(std, ["doc_id", "role"])
+
+
+def role_table(difficulty: DataFrame) -> DataFrame:
+    """(doc_id, and mean, tail and std of each role): null where a document lacks the role."""
+    wide = difficulty.groupBy("doc_id").pivot("role", list(ROLES)).agg(*[F.first(c).alias(c) for c in ("mean", "tail", "std")])
+    return wide.withColumnsRenamed({f"{r}_{k}": v for r, k, v in (("assignment_rhs", "mean", "assignment_value_surprisal"), ("literal", "tail", "literal_tail_surprisal"), ("declaration_header", "std", "declaration_surprisal_variation"))})
+
+
+def coverage(segments: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, role, occurrences, scored, covered_bytes): how much of a role's spans the trace covers."""
+    n = spans.groupBy("doc_id", "role").agg(F.count("*").alias("occurrences"))
+    scored = occurrence_loss(segments, spans, ["role"]).groupBy("doc_id", "role").agg(F.count("*").alias("scored"))
+    covered = interval_loss(segments, spans, ["role"]).select("doc_id", "role", F.col("bytes").alias("covered_bytes"))
+    return n.join(scored, ["doc_id", "role"], "left").join(covered, ["doc_id", "role"], "left").na.fill(0, ["scored", "covered_bytes"])
+
+
+def reuse_difficulty(segments: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans of bindings (doc_id, binding, start, end): (doc_id, first, later, later_tail, increase, within_std).
+
+    first and later are of the unions of bindings' first and later spans; increase and within_std are means over the
+    bindings met twice or more whose spans are all covered.
+    """
+    k = F.row_number().over(Window.partitionBy("doc_id", "binding").orderBy("start", "end"))
+    s = spans.withColumn("part", F.when(k == 1, "first").otherwise("later"))
+    parts = interval_loss(segments, s, ["part"]).groupBy("doc_id").pivot("part", ["first", "later"]).agg(F.first("bpb"))
+    each = occurrence_loss(segments, s, ["binding", "part"])
+    tail = tail_mean(each.where("part = 'later'"), ["doc_id"], "bpb").withColumnRenamed("tail", "later_tail")
+    n = s.groupBy("doc_id", "binding").agg(F.count("*").alias("n")).where("n > 1")
+    one = F.max(F.when(F.col("part") == "first", F.col("bpb")))
+    by = each.groupBy("doc_id", "binding").agg(F.count("*").alias("scored"), one.alias("one"), F.stddev_pop("bpb").alias("std"), F.collect_list(F.when(F.col("part") == "later", F.col("bpb"))).alias("rest"))
+    by = by.join(n, ["doc_id", "binding"]).where("scored = n")
+    up = F.aggregate("rest", F.lit(0.0), lambda a, x: a + F.greatest(x - F.col("one"), F.lit(0.0))) / F.size("rest")
+    means = by.groupBy("doc_id").agg(F.avg(up).alias("increase"), F.avg("std").alias("within_std"))
+    return parts.join(tail, "doc_id", "left").join(means, "doc_id", "left")
+
+
+def context_difficulty(short: DataFrame, long: DataFrame, spans: DataFrame, size: int = 32) -> DataFrame:
+    """(doc_id, role, gain, q10, scored, eligible, skipped): bits per byte in the short less that in the long context.
+
+    Traces (doc_id, i, start, end, bits, text) must have equal tokens: documents where they differ are left out. An
+    occurrence is eligible if every token over it lies past the first two blocks of `size`.
     """
-    j = overlap(tokens, spans)
-    share = (F.least("end", "s_end") - F.greatest("start", "s_start")) / (F.col("end") - F.col("start"))
-    g = j.groupBy("doc_id", "role").agg(F.sum(F.col("bits") * share).alias("bits"), F.sum(F.col("bytes") * share).alias("bytes"))
-    return g.withColumn("bpb", F.when(F.col("bytes") > 0, F.col("bits") / F.col("bytes")))
+    same = ["doc_id", "i", "start", "end"]
+    print_ = lambda d: d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*same).cast("decimal(38,0)")).alias("h"))
+    good = print_(short).join(print_(long), ["doc_id", "n", "h"]).select("doc_id")
+    early = short.where(F.floor(F.col("i") / size) * size <= size).select("doc_id", "start", "end").withColumn("early", F.lit(1))
+    spans = spans.join(good, "doc_id", "left_semi").select("doc_id", "role", "start", "end").distinct()
+    cut = overlap(early, spans).select("doc_id", "role", F.col("s_start").alias("start"), F.col("s_end").alias("end")).distinct()
+    key = ["doc_id", "role", "start", "end"]
+    fit = spans.join(cut, key, "left_anti")
+    each = [occurrence_loss(allocation(t), fit, ["role"]).withColumnRenamed("bpb", c) for t, c in ((short, "s"), (long, "l"))]
+    gain = each[0].join(each[1], key).withColumn("g", F.col("s") - F.col("l"))
+    out = gain.groupBy("doc_id", "role").agg(F.avg("g").alias("gain"), F.percentile("g", F.lit(0.1)).alias("q10"), F.count("*").alias("scored"))
+    n = spans.groupBy("doc_id", "role").agg(F.count("*").alias("n")).join(cut.groupBy("doc_id", "role").agg(F.count("*").alias("skipped")), ["doc_id", "role"], "left").na.fill(0, ["skipped"])
+    n = n.select("doc_id", "role", (F.col("n") - F.col("skipped")).alias("eligible"), "skipped")
+    return n.join(out, ["doc_id", "role"], "left").na.fill(0, ["scored"])
+
+
+def comment_gain(present: DataFrame, removed: DataFrame) -> DataFrame:
+    """(doc_id, gain, tokens, bytes) from losses (doc_id, i, start, end, bits, text) of the same tokens with the comment
+    before them and without it: what the comment saves, over the bytes that the tokens cover, each once."""
+    j = present.join(removed.select("doc_id", "i", "start", "end", F.col("bits").alias("after")), ["doc_id", "i", "start", "end"])
+    bits = j.groupBy("doc_id").agg(F.sum(F.col("after") - F.col("bits")).alias("saved"), F.count("*").alias("tokens"))
+    size = allocation(present).groupBy("doc_id").agg(F.sum("bytes").alias("bytes"))
+    return bits.join(size, "doc_id").select("doc_id", (F.col("saved") / F.col("bytes")).alias("gain"), "tokens", "bytes")
+
+
+def group_loss(segments: DataFrame, spans: DataFrame, group: str) -> DataFrame:
+    """(doc_id, group, bits, bytes, bpb, whole): by the groups of spans that don't overlap; whole says whether the groups'
+    bytes add up to those of all spans together."""
+    parts = interval_loss(segments, spans, [group])
+    all_ = interval_loss(segments, spans, []).select("doc_id", F.col("bytes").alias("_all"))
+    sums = parts.groupBy("doc_id").agg(F.sum("bytes").alias("_sum"))
+    return parts.join(all_.join(sums, "doc_id").select("doc_id", (F.col("_all") == F.col("_sum")).alias("whole")), "doc_id")
+
+
+def definitions() -> list[tuple[str, str, str, str]]:
+    """(name, family, formula, roles) of every measure of token losses, by rule."""
+    out = [("perplexity", "global", "exp(mean(loss))", ""), ("bpb", "global", "bits / bytes", ""), ("block_tail", "global", "mean of the hardest tenth of blocks", "")]
+    for r in ROLES:
+        out += [(f"{r}_mean", "role", "bits / bytes of the union of spans", r), (f"{r}_tail", "role", "mean of the hardest tenth of spans", r), (f"{r}_std", "role", "deviation among spans", r)]
+    out += [(f"block_{k}", "block", f, "") for k, f in (("std", "deviation among blocks"), ("tail_ratio", "tail / whole"), ("jump_mean", "mean change between neighbours"), ("jump_q90", "0.9 quantile of changes"), ("run_ratio", "longest run above the 0.8 quantile / blocks"), ("gini", "Gini coefficient of blocks"))]
+    out += [(f"identifier_{k}", "identifier", f, "identifier") for k, f in (("short", "bits / bytes of short names"), ("first", "of first spans"), ("later", "of later spans"), ("later_tail", "hardest tenth of later spans"), ("increase", "mean rise over the first span"), ("within_std", "mean deviation within bindings"), ("onset", "first pieces"), ("continuation", "later pieces"))]
+    out += [(f"{r}_context_gain", "context", "mean of short less long context", r) for r in CONTEXT_ROLES] + [("identifier_context_q10", "context", "0.1 quantile of gains", "identifier")]
+    return out + [("comment_gain", "comment", "bits saved / bytes", "comment"), ("comment_density", "comment", "bytes of comments / bytes", "comment")]
 
 
 def blocks(tokens: DataFrame, size: int = 32) -> DataFrame:
@@ -69,14 +210,21 @@ def blocks(tokens: DataFrame, size: int = 32) -> DataFrame:
     return g.select("doc_id", "block", (F.col("b") / F.col("n")).alias("bpb"))
 
 
-def block_measures(blocks: DataFrame) -> DataFrame:
-    """Over a document's blocks: mean of the top tenth, deviation, Gini, and the 0.9 quantile of the jumps between them."""
+def block_measures(blocks: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Over a document's blocks: mean of the top tenth, also over the document's own loss (doc_id, bpb) where given,
+    deviation, Gini, mean and 0.9 quantile of the jumps between them, and the longest run above their 0.8 quantile."""
     w = Window.partitionBy("doc_id")
     up = F.row_number().over(w.orderBy("bpb", "block"))
     b = blocks.withColumn("n", F.count("*").over(w)).withColumn("up", up).withColumn("jump", F.abs(F.col("bpb") - F.lag("bpb").over(w.orderBy("block"))))
+    hot = blocks.join(blocks.groupBy("doc_id").agg(F.percentile("bpb", F.lit(0.8)).alias("q")), "doc_id").where("bpb > q")
+    runs = hot.withColumn("island", F.col("block") - F.row_number().over(w.orderBy("block"))).groupBy("doc_id", "island").agg(F.count("*").alias("run")).groupBy("doc_id").agg(F.max("run").alias("run"))
     tail = F.when(F.col("n") - F.col("up") < F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1)), F.col("bpb"))
     gini = F.when(F.sum("bpb") > 0, 2 * F.sum(F.col("up") * F.col("bpb")) / (F.max("n") * F.sum("bpb")) - (F.max("n") + 1) / F.max("n")).otherwise(0.0)
-    return b.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.round(F.avg(tail), 6).alias("tail"), F.round(F.stddev_pop("bpb"), 6).alias("std"), F.round(gini, 6).alias("gini"), F.round(F.percentile("jump", F.lit(0.9)), 6).alias("jump_q90"))
+    g = b.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.avg(tail).alias("tail"), F.round(F.stddev_pop("bpb"), 6).alias("std"), F.round(gini, 6).alias("gini"), F.round(F.avg("jump"), 6).alias("jump_mean"), F.round(F.percentile("jump", F.lit(0.9)), 6).alias("jump_q90"))
+    g = g.join(runs, "doc_id", "left").withColumn("run_ratio", F.round(F.coalesce("run", F.lit(0)) / F.col("blocks"), 6)).drop("run")
+    if whole is not None:
+        g = g.join(whole.select("doc_id", F.col("bpb").alias("_whole")), "doc_id").withColumn("tail_ratio", F.round(F.when(F.col("_whole") > 0, F.col("tail") / F.col("_whole")), 6)).drop("_whole")
+    return g.withColumn("tail", F.round("tail", 6))
 
 
 def reuse(occurrences: DataFrame) -> DataFrame:

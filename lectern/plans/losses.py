@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.operators import losses as H
 from lectern.plans.registry import query
-from lectern.plans.text import items
+from lectern.operators import text as X
+from lectern.plans.text import COMMENTS_SQL, PAGE_DOCS, PAGES, code, items
 
 LOSS_SQL = r"""
 raw as (select doc_id, cast(unnest(range(len(a))) as int) as i, unnest(a) as tok from (select doc_id, regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]') as a from documents)),
@@ -62,15 +63,184 @@ def containment(spark, sf_dir):
     return H.contained(intervals(spark, sf_dir).distinct(), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
+#: Tokens some of which run into the next one, and spans of all roles; in SQL spread over single characters.
+SPREAD_SQL = rf"""
+{LOSS_SQL},
+src as (select doc_id, text, length(text) as len from documents),
+traced as (select l.doc_id, i, l.start, least(l."end" + case when i % 6 = 0 then 2 else 0 end, len) as "end", bits, substring(text, l.start + 1, least(l."end" + case when i % 6 = 0 then 2 else 0 end, len) - l.start) as tok from loss l join src using (doc_id) where i % 5 <> 3),
+chars as (select doc_id, unnest(range(len)) as pos, strlen(unnest(str_split(text, ''))) as bytes from src where len > 0),
+dense as (select doc_id, unnest(range(start, "end")) as pos, bits / strlen(tok) as d from traced),
+spread as (select doc_id, pos, sum(d) as d, count(*) as k from dense group by all),
+cover as (select doc_id, pos, bytes, d * bytes as bits, k from chars join spread using (doc_id, pos)),
+spans as (select l.doc_id, role, lower(tok) as binding, start, "end" from loss l where role is not null
+  union all select l.doc_id, r.role, null, start, least(start + r.size, len) from loss l join src using (doc_id) join (values ('call_target', 17, 4, 3), ('expression', 10, 0, 12), ('assignment_rhs', 9, 2, 7), ('control_header', 23, 1, 20), ('declaration_header', 29, 3, 5)) r(role, m, k, size) on i % r.m = r.k),
+role_spans as (select distinct doc_id, role, start, "end" from spans),
+in_role as (select distinct doc_id, role, unnest(range(start, "end")) as pos from role_spans),
+role_mean as (select doc_id, role, sum(bits) as bits, sum(bytes) as bytes, sum(bits) / sum(bytes) as mean from in_role join cover using (doc_id, pos) group by all),
+each_char as (select doc_id, role, start, "end", unnest(range(start, "end")) as pos from role_spans),
+occurrence as (select doc_id, role, start, "end", sum(bits) / sum(bytes) as q from each_char join cover using (doc_id, pos) group by all)
+"""
+
+_SPAN_RULES = (("call_target", 17, 4, 3), ("expression", 10, 0, 12), ("assignment_rhs", 9, 2, 7), ("control_header", 23, 1, 20), ("declaration_header", 29, 3, 5))
+
+
+def traced(spark, sf_dir):
+    """(doc_id, i, start, end, bits, text): a trace with gaps, and with tokens that run into the next."""
+    l = losses(spark, sf_dir).where("i % 5 <> 3").join(items(spark, sf_dir).select("doc_id", "content"), "doc_id")
+    end = F.least(F.col("end") + F.when(F.col("i") % 6 == 0, 2).otherwise(0), F.length("content"))
+    return l.select("doc_id", "i", "start", end.alias("end"), "bits", F.substring(F.col("content"), F.col("start") + 1, end - F.col("start")).alias("text"))
+
+
+def role_spans(spark, sf_dir):
+    """(doc_id, role, binding, start, end): names and numbers, and spans of the other roles by their tokens' places."""
+    l = losses(spark, sf_dir)
+    named = l.where("role is not null").select("doc_id", "role", F.lower("tok").alias("binding"), "start", "end")
+    rules = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(n).alias("n")) for r, m, k, n in _SPAN_RULES])
+    more = l.join(items(spark, sf_dir).select("doc_id", F.length("content").alias("len")), "doc_id").withColumn("r", F.explode(rules)).where("i % r.m = r.k")
+    return named.unionByName(more.select("doc_id", "r.role", F.lit(None).cast("string").alias("binding"), "start", F.least(F.col("start") + F.col("r.n"), F.col("len")).alias("end")))
+
+
+@query(f"with {SPREAD_SQL} select doc_id, role, round(bits, 6) as bits, bytes, round(mean, 6) as bpb from role_mean")
+def role_bpb(spark, sf_dir):
+    s = role_spans(spark, sf_dir).select("doc_id", "role", "start", "end").distinct()
+    r = H.interval_loss(H.allocation(traced(spark, sf_dir)), s, ["role"])
+    return r.select("doc_id", "role", F.round("bits", 6).alias("bits"), "bytes", F.round("bpb", 6).alias("bpb"))
+
+
 @query(f"""
-with {LOSS_SQL}, s as (select doc_id, role, start, "end" from loss where role is not null),
-j as (select l.doc_id, s.role, l.bits, l.bytes, (least(l."end", s."end") - greatest(l.start, s.start)) / (l."end" - l.start) as share from loss l join s on l.doc_id = s.doc_id and l.start < s."end" and l."end" > s.start)
-select doc_id, role, round(sum(bits * share), 6) as bits, round(sum(bytes * share), 6) as bytes, round(sum(bits * share) / sum(bytes * share), 6) as bpb from j group by doc_id, role
+with {SPREAD_SQL} select doc_id, count(*) as covered_chars, cast(sum(bytes) as bigint) as covered_bytes, round(sum(bits), 6) as bits, count(*) filter (where k > 1) as shared_chars from cover group by doc_id
 """)
-def role_bpb(spark, sf_dir):
-    l = losses(spark, sf_dir)
-    r = H.role_loss(l.select("doc_id", "start", "end", "bits", "bytes"), l.where("role is not null").select("doc_id", "role", "start", "end"))
-    return r.select("doc_id", "role", *[F.round(c, 6).alias(c) for c in ("bits", "bytes", "bpb")])
+def byte_allocation(spark, sf_dir):
+    """What a trace's tokens cover: bytes once, bits of all tokens over them."""
+    a = H.allocation(traced(spark, sf_dir)).withColumn("n", F.col("end") - F.col("start"))
+    return a.groupBy("doc_id").agg(F.sum("n").alias("covered_chars"), F.sum("bytes").cast("long").alias("covered_bytes"), F.round(F.sum("bits"), 6).alias("bits"), F.sum(F.when(F.col("k") > 1, F.col("n")).otherwise(0)).cast("long").alias("shared_chars"))
+
+
+_RENAMED = {"assignment_rhs_mean": "assignment_value_surprisal", "literal_tail": "literal_tail_surprisal", "declaration_header_std": "declaration_surprisal_variation"}
+_ROLE_COLUMNS = [(r, k, _RENAMED.get(f"{r}_{k}", f"{r}_{k}")) for r in H.ROLES for k in ("mean", "tail", "std")]
+
+
+@query(f"""
+with {SPREAD_SQL},
+o as (select *, row_number() over (partition by doc_id, role order by q desc) as k, count(*) over (partition by doc_id, role) as n from occurrence),
+m as (select doc_id, role, avg(q) filter (where k <= greatest(1, ceil(n * 0.1))) as tail, stddev_pop(q) as std from o group by all),
+a as (select * from role_mean join m using (doc_id, role))
+select doc_id, {", ".join(f"round(max({k}) filter (where role = '{r}') + 1e-9, 6) as {c}" for r, k, c in _ROLE_COLUMNS)} from a group by doc_id
+""")
+def role_measures(spark, sf_dir):
+    """Mean, tail and deviation of seven roles."""
+    s = role_spans(spark, sf_dir).select("doc_id", "role", "start", "end").distinct()
+    t = H.role_table(H.role_difficulty(H.allocation(traced(spark, sf_dir)), s))
+    return t.select("doc_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in t.columns if c != "doc_id"])
+
+
+@query(f"""
+with {SPREAD_SQL},
+n as (select doc_id, role, count(*) as occurrences from role_spans group by all), s as (select doc_id, role, count(*) as scored from occurrence group by all)
+select doc_id, role, occurrences, coalesce(scored, 0) as scored, coalesce(bytes, 0) as covered_bytes from n left join s using (doc_id, role) left join role_mean using (doc_id, role)
+""")
+def role_coverage(spark, sf_dir):
+    s = role_spans(spark, sf_dir).select("doc_id", "role", "start", "end").distinct()
+    return H.coverage(H.allocation(traced(spark, sf_dir)), s)
+
+
+@query(f"""
+with {SPREAD_SQL},
+b as (select doc_id, binding, start, "end", row_number() over (partition by doc_id, binding order by start, "end") as k, count(*) over (partition by doc_id, binding) as n from spans where role = 'identifier'),
+c as (select doc_id, binding, start, "end", case when k = 1 then 'first' else 'later' end as part, n, unnest(range(start, "end")) as pos from b),
+p as (select doc_id, part, sum(bits) / sum(bytes) as q from (select distinct doc_id, part, pos from c) join cover using (doc_id, pos) group by all),
+e as (select doc_id, binding, part, n, start, "end", sum(bits) / sum(bytes) as q from c join cover using (doc_id, pos) group by all),
+t as (select doc_id, avg(q) as later_tail from (select *, row_number() over (partition by doc_id order by q desc) as r, count(*) over (partition by doc_id) as m from e where part = 'later') where r <= greatest(1, ceil(m * 0.1)) group by doc_id),
+w as (select *, max(q) filter (where part = 'first') over (partition by doc_id, binding) as one from e),
+g as (select doc_id, binding, avg(greatest(q - one, 0)) filter (where part = 'later') as up, stddev_pop(q) as std from w group by doc_id, binding having count(*) = max(n) and max(n) > 1),
+m as (select doc_id, avg(up) as increase, avg(std) as within_std from g group by doc_id)
+select p.doc_id, round(max(q) filter (where part = 'first') + 1e-9, 6) as first, round(max(q) filter (where part = 'later') + 1e-9, 6) as later, round(max(later_tail) + 1e-9, 6) as later_tail, round(max(increase) + 1e-9, 6) as increase, round(max(within_std) + 1e-9, 6) as within_std
+from p left join t using (doc_id) left join m using (doc_id) group by p.doc_id
+""")
+def reuse_measures(spark, sf_dir):
+    s = role_spans(spark, sf_dir).where("role = 'identifier'").select("doc_id", "binding", "start", "end")
+    r = H.reuse_difficulty(H.allocation(traced(spark, sf_dir)), s)
+    return r.select("doc_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("first", "later", "later_tail", "increase", "within_std")])
+
+
+@query(f"""
+with {SPREAD_SQL},
+more as (select doc_id, unnest(range(start, "end")) as pos, (bits + (i % 5) / 10.0) / strlen(tok) as d from traced),
+more_spread as (select doc_id, pos, sum(d) as d from more group by all),
+more_cover as (select doc_id, pos, bytes, d * bytes as bits from chars join more_spread using (doc_id, pos)),
+early as (select distinct doc_id, unnest(range(start, "end")) as pos from traced where (i // 32) * 32 <= 32),
+kinds as (select * from role_spans where role in ('identifier', 'call_target', 'expression', 'assignment_rhs', 'control_header') union select doc_id, 'short_identifier', start, "end" from spans where role = 'identifier' and binding in ('a', 'b', 'c', 'd', 'e', 'i', 'j', 'k', 'm', 'n', 'x', 'y', 'z')),
+each_pos as (select *, unnest(range(start, "end")) as pos from kinds),
+flagged as (select distinct doc_id, role, start, "end", true as cut from each_pos join early using (doc_id, pos)),
+fit as (select k.*, coalesce(cut, false) as cut from kinds k left join flagged using (doc_id, role, start, "end")),
+fit_pos as (select *, unnest(range(start, "end")) as pos from fit where not cut),
+l as (select doc_id, role, start, "end", sum(bits) / sum(bytes) as q from fit_pos join cover using (doc_id, pos) group by all),
+s as (select doc_id, role, start, "end", sum(bits) / sum(bytes) as q from fit_pos join more_cover using (doc_id, pos) group by all),
+g as (select doc_id, role, avg(s.q - l.q) as gain, quantile_cont(s.q - l.q, 0.1) as q10, count(*) as scored from s join l using (doc_id, role, start, "end") group by all),
+n as (select doc_id, role, count(*) filter (where not cut) as eligible, count(*) filter (where cut) as skipped from fit group by all)
+select doc_id, role, round(gain + 1e-9, 6) as gain, round(q10 + 1e-9, 6) as q10, coalesce(scored, 0) as scored, eligible, skipped from n left join g using (doc_id, role)
+""")
+def context_measures(spark, sf_dir):
+    """Gain from context of six sets of occurrences."""
+    t = traced(spark, sf_dir)
+    s = role_spans(spark, sf_dir)
+    short = s.where((F.col("role") == "identifier") & F.col("binding").isin(*H.SHORT_NAMES)).withColumn("role", F.lit("short_identifier"))
+    s = s.where(F.col("role").isin(*H.CONTEXT_ROLES)).unionByName(short)
+    g = H.context_difficulty(t.withColumn("bits", F.col("bits") + (F.col("i") % 5) / 10.0), t, s)
+    return g.select("doc_id", "role", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("gain", "q10")], "scored", "eligible", "skipped")
+
+
+@query(f"""
+with {SPREAD_SQL},
+g as (select doc_id, sum((i % 7) / 10.0 - 0.2) as saved, count(*) as tokens from traced group by doc_id), b as (select doc_id, cast(sum(bytes) as bigint) as bytes from cover group by doc_id)
+select doc_id, round(saved / bytes, 6) as gain, tokens, bytes from g join b using (doc_id)
+""")
+def comment_gain(spark, sf_dir):
+    """What a comment before the tokens saves; losses without it are derived by a rule."""
+    t = traced(spark, sf_dir)
+    g = H.comment_gain(t, t.withColumn("bits", F.col("bits") + (F.col("i") % 7) / 10.0 - 0.2))
+    return g.select("doc_id", F.round("gain", 6).alias("gain"), "tokens", F.col("bytes").cast("long").alias("bytes"))
+
+
+PAGE_LOSS_SQL = rf"""
+{COMMENTS_SQL},
+src as ({PAGE_DOCS}),
+cut as (select doc_id, unnest(range(len(a))) as k, unnest(a) as x from (select doc_id, regexp_extract_all(text, '(?s)' || $p${X.STRING}|{X.COMMENT}|[^"'/]+|["'/]$p$) as a from src)),
+spots as (select doc_id, x, sum(length(x)) over (partition by doc_id order by k) as "end" from cut),
+notes as (select doc_id, cast("end" - length(x) as bigint) as start, cast("end" as bigint) as "end", case when starts_with(x, '//') then 'line' when starts_with(x, '/**') then 'documentation' else 'block' end as form from spots where starts_with(x, '//') or starts_with(x, '/*')),
+chars as (select doc_id, unnest(range(length(text))) as pos, strlen(unnest(str_split(text, ''))) as bytes from src),
+loss as (select doc_id, pos, bytes, ((pos * 7) % 11) / 4.0 as bits from chars where pos % 9 <> 4),
+spans as (select doc_id, form, unnest(range(start, "end")) as pos from notes)
+"""
+
+
+@query(f"""
+with {PAGE_LOSS_SQL},
+g as (select doc_id, form, sum(bits) as bits, cast(sum(bytes) as bigint) as bytes from spans join loss using (doc_id, pos) group by all)
+select doc_id, form, round(bits, 6) as bits, bytes, round(bits / bytes, 6) as bpb, true as whole from g
+""")
+def comment_form_loss(spark, sf_dir):
+    """Loss of comments by their form, with the check that the forms' bytes are those of all comments. A token is a character."""
+    d = code(spark, sf_dir)
+    t = d.select("doc_id", F.posexplode(F.split("content", "")).alias("i", "text")).where("text <> '' and i % 9 <> 4")
+    t = t.select("doc_id", "i", F.col("i").alias("start"), (F.col("i") + 1).alias("end"), (((F.col("i").cast("long") * 7) % 11) / 4.0).alias("bits"), "text")
+    r = H.group_loss(t.withColumn("bytes", F.octet_length("text")), X.comment_spans(d), "form")
+    return r.select("doc_id", "form", F.round("bits", 6).alias("bits"), F.col("bytes").cast("long").alias("bytes"), F.round("bpb", 6).alias("bpb"), "whole")
+
+
+_DEFS = ", ".join("(" + ", ".join(f"'{x}'" for x in d) + ")" for d in H.definitions())
+
+
+@query(f"""
+with {SPREAD_SQL}, d as (select * from (values {_DEFS}) t(name, family, formula, role)), n as (select role, count(distinct doc_id) as documents from role_mean group by role)
+select name, family, formula, d.role, coalesce(documents, 0) as documents from d left join n on n.role = d.role
+""")
+def loss_definitions(spark, sf_dir):
+    """Every measure of token losses, with the number of documents that have its role."""
+    d = spark.createDataFrame(H.definitions(), "name string, family string, formula string, role string")
+    s = role_spans(spark, sf_dir).select("doc_id", "role", "start", "end").distinct()
+    n = H.interval_loss(H.allocation(traced(spark, sf_dir)), s, ["role"]).groupBy("role").agg(F.countDistinct("doc_id").alias("documents"))
+    return d.join(n, "role", "left").select("name", "family", "formula", "role", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
 
 
 @query(f"with {LOSS_SQL} select doc_id, round(exp(avg(bits * ln(2))), 6) as perplexity, round(sum(bits) / sum(bytes), 6) as bpb, count(*) as tokens from loss group by doc_id")
@@ -79,13 +249,17 @@ def global_loss(spark, sf_dir):
 
 
 @query(f"""
-with {LOSS_SQL}, b as (select doc_id, i // 32 as block, sum(bits) / sum(bytes) as bpb from loss group by 1, 2),
-r as (select *, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by bpb, block) as up, abs(bpb - lag(bpb) over (partition by doc_id order by block)) as jump from b)
-select doc_id, count(*) as blocks, round(avg(case when n - up < greatest(1, ceil(n * 0.1)) then bpb end), 6) as tail, round(stddev_pop(bpb), 6) as std,
-  round(case when sum(bpb) > 0 then 2 * sum(up * bpb) / (max(n) * sum(bpb)) - (max(n) + 1) / max(n) else 0 end, 6) as gini, round(quantile_cont(jump, 0.9), 6) as jump_q90 from r group by doc_id
+with {LOSS_SQL}, b as (select doc_id, i // 32 as block, sum(bits) / sum(bytes) as bpb from loss group by 1, 2), h as (select doc_id, sum(bits) / sum(bytes) as q from loss group by 1),
+r as (select *, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by bpb, block) as up, abs(bpb - lag(bpb) over (partition by doc_id order by block)) as jump from b),
+hot as (select doc_id, block - row_number() over (partition by doc_id order by block) as island from (select *, quantile_cont(bpb, 0.8) over (partition by doc_id) as q from b) where bpb > q),
+runs as (select doc_id, max(n) as run from (select doc_id, island, count(*) as n from hot group by all) group by doc_id),
+g as (select doc_id, count(*) as blocks, avg(case when n - up < greatest(1, ceil(n * 0.1)) then bpb end) as tail, round(stddev_pop(bpb), 6) as std,
+  round(case when sum(bpb) > 0 then 2 * sum(up * bpb) / (max(n) * sum(bpb)) - (max(n) + 1) / max(n) else 0 end, 6) as gini, round(avg(jump), 6) as jump_mean, round(quantile_cont(jump, 0.9), 6) as jump_q90 from r group by doc_id)
+select doc_id, blocks, round(tail, 6) as tail, std, gini, jump_mean, jump_q90, round(coalesce(run, 0) / blocks, 6) as run_ratio, round(tail / q, 6) as tail_ratio from g join h using (doc_id) left join runs using (doc_id)
 """)
 def block_measures(spark, sf_dir):
-    return H.block_measures(H.blocks(losses(spark, sf_dir)))
+    l = losses(spark, sf_dir)
+    return H.block_measures(H.blocks(l), l.groupBy("doc_id").agg((F.sum("bits") / F.sum("bytes")).alias("bpb")))
 
 
 @query(f"""
@@ -108,7 +282,21 @@ def context_gain(spark, sf_dir):
     return H.context_gain(l.withColumn("bits", F.col("bits") + (F.col("i") % 5) / 10.0), l)
 
 
-@query(f"with {LOSS_SQL} select doc_id, 'reversed' as problem, count(*) as n from loss where start > \"end\" group by doc_id")
+_BROKEN = """
+broken as (select doc_id, case when doc_id % 5 = 2 and i = 9 then 8 else i end as i, case when doc_id % 5 = 1 and i = 7 then "end" else start end as start, case when doc_id % 5 = 1 and i = 7 then start else "end" end as "end",
+  case when doc_id % 5 = 0 and i = 5 then -1.0 when doc_id % 5 = 3 and i % 10 = 1 then cast('nan' as double) else bits end as bits from loss)
+"""
+
+
+@query(f"""
+with {LOSS_SQL}, {_BROKEN},
+l as (select *, lag(start) over w as ps, lag("end") over w as pe, lag(i) over w as pi from broken window w as (partition by doc_id order by i, start, "end")),
+p as (select doc_id, 'repeated' as problem from l where pi = i union all select doc_id, 'reversed' from l where start >= "end" union all select doc_id, 'order' from l where ps > start or pe > "end" union all select doc_id, 'loss' from l where isnan(bits) or bits < 0)
+select doc_id, problem, count(*) as n from p group by all
+""")
 def trace_problems(spark, sf_dir):
-    """Tokens whose trace is not valid: none, by the rule that losses are derived by."""
-    return H.invalid_tokens(losses(spark, sf_dir))
+    """Tokens whose trace is not valid: some are broken by a rule."""
+    l, k, i = losses(spark, sf_dir), F.col("doc_id") % 5, F.col("i")
+    swap = (k == 1) & (i == 7)
+    l = l.select("doc_id", F.when((k == 2) & (i == 9), 8).otherwise(i).alias("i"), F.when(swap, F.col("end")).otherwise(F.col("start")).alias("start"), F.when(swap, F.col("start")).otherwise(F.col("end")).alias("end"), F.when((k == 0) & (i == 5), -1.0).when((k == 3) & (i % 10 == 1), float("nan")).otherwise(F.col("bits")).alias("bits"))
+    return H.invalid_tokens(l)

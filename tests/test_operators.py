@@ -79,13 +79,38 @@ def test_spectrum_of_a_slow_wave(spark):
 
 
 def test_loss_measures(spark):
-    t = spark.createDataFrame([(1, 0, 0, 1, 1.0, 1), (1, 1, 1, 2, 2.0, 1), (1, 2, 2, 3, 3.0, 1)], "doc_id long, i int, start int, end int, bits double, bytes long")
+    """The text a+a with 1, 2 and 3 bits: every measure worked out by hand."""
+    t = spark.createDataFrame([(1, 0, 0, 1, 1.0, 1, "a"), (1, 1, 1, 2, 2.0, 1, "+"), (1, 2, 2, 3, 3.0, 1, "a")], "doc_id long, i int, start int, end int, bits double, bytes long, text string")
     s = spark.createDataFrame([(1, "identifier", 0, 1), (1, "identifier", 2, 3), (1, "expression", 0, 3)], "doc_id long, role string, start int, end int")
-    assert dict(one(H.role_loss(t, s), "role", "bpb")) == {"identifier": 2.0, "expression": 2.0}
-    b = H.block_measures(H.blocks(t, 1)).first()
-    assert b["tail"] == 3.0 and b["gini"] == pytest.approx(2 / 9, abs=1e-6)
-    o = spark.createDataFrame([(1, "a", 0, 1.0), (1, "a", 2, 3.0)], "doc_id long, binding string, start int, bpb double")
-    assert one(H.reuse(o), "first", "later", "increase") == [(1.0, 3.0, 2.0)]
+    a = H.allocation(t)
+    assert dict(one(H.interval_loss(a, s, ["role"]), "role", "bpb")) == {"identifier": 2.0, "expression": 2.0}
+    r = {x["role"]: x for x in H.role_difficulty(a, s).collect()}["identifier"]
+    assert (r["mean"], r["tail"], r["std"]) == (2.0, 3.0, 1.0)
+    assert {(x["role"], x["occurrences"], x["scored"], x["covered_bytes"]) for x in H.coverage(a, s).collect()} == {("identifier", 2, 2, 2), ("expression", 1, 1, 3)}
+    b = H.block_measures(H.blocks(t, 1), spark.createDataFrame([(1, 2.0)], "doc_id long, bpb double")).first()
+    assert (b["tail"], b["tail_ratio"], b["jump_mean"]) == (3.0, 1.5, 1.0) and b["gini"] == pytest.approx(2 / 9, abs=1e-6) and b["run_ratio"] == pytest.approx(1 / 3, abs=1e-6)
+    o = spark.createDataFrame([(1, "a", 0, 1), (1, "a", 2, 3)], "doc_id long, binding string, start int, end int")
+    u = H.reuse_difficulty(a, o).first()
+    assert (u["first"], u["later"], u["later_tail"], u["increase"], u["within_std"]) == (1.0, 3.0, 3.0, 2.0, 1.0)
+    g = {x["role"]: x for x in H.context_difficulty(t.withColumn("bits", F.col("bits") + 1), t, s, size=1).collect()}
+    assert (g["identifier"]["gain"], g["identifier"]["scored"], g["identifier"]["eligible"], g["identifier"]["skipped"]) == (1.0, 1, 1, 1)
+    assert g["expression"]["gain"] is None and g["expression"]["skipped"] == 1
+    c = H.comment_gain(t, t.withColumn("bits", F.col("bits") + 0.5)).first()
+    assert (c["gain"], c["tokens"], c["bytes"]) == (0.5, 3, 3)
+
+
+def test_bytes_are_shared_by_tokens_that_overlap(spark):
+    t = spark.createDataFrame([(1, 0, 0, 2, 6.0, "éa"), (1, 1, 1, 3, 2.0, "ab")], "doc_id long, i int, start int, end int, bits double, text string")
+    got = sorted((r["start"], r["bits"], r["bytes"], r["k"]) for r in H.allocation(t).collect())
+    assert got == [(0, 4.0, 2, 1), (1, 3.0, 1, 2), (2, 1.0, 1, 1)]
+    s = spark.createDataFrame([(1, "x", 0, 1), (1, "x", 0, 2)], "doc_id long, role string, start int, end int")
+    assert one(H.interval_loss(H.allocation(t), s, ["role"]), "bits", "bytes") == [(7.0, 3)]
+
+
+def test_broken_traces(spark):
+    rows = [(1, 0, 0, 1, 1.0), (1, 0, 1, 2, -1.0), (1, 1, 5, 4, float("nan")), (1, 2, 2, 3, 1.0)]
+    t = spark.createDataFrame(rows, "doc_id long, i int, start int, end int, bits double")
+    assert sorted(one(H.invalid_tokens(t), "problem", "n")) == [("loss", 2), ("order", 1), ("repeated", 1), ("reversed", 1)]
 
 
 def test_intervals(spark):
