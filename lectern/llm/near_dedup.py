@@ -241,7 +241,9 @@ def _crowded_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
     Prefix filtering: in one order of all shingles, two sets of n and more shingles with a similarity t or more share
     one of the first n - ceil(2t/(1+t) n) + 1 of the smaller and the first m - ceil(t m) + 1 of the larger. Shingles
     of one component alone come first, as they link nothing, then the rarest; so what a template's texts share comes
-    last, and a group that is connected already drops out.
+    last, and a group that is connected already drops out. A pair's first common shingle also leaves room enough behind
+    it, in both sets, for all that they must have in common: texts of one template that each have too much of their own
+    are told from it within the join, and are no candidates.
     """
     s = texts.mapInArrow(_shingles(words), "shingle long, node long, component long, n long")
     shared = s.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle", "f")
@@ -249,8 +251,9 @@ def _crowded_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
     own = s.join(shared, "shingle").withColumn("place", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("f", "shingle")))
     more = own.where(f"place <= n - (({percent} * n + 99) div 100) + 1")
     fewer = more.where(f"place <= n - (({2 * percent} * n + {99 + percent}) div {100 + percent}) + 1")
-    x, y = (d.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "component", "n")]) for d, k in ((fewer, 1), (more, 2)))
-    pairs = x.join(y, "shingle").where(f"component1 <> component2 and (n1 < n2 or n1 = n2 and node1 < node2) and 100 * n1 >= {percent} * n2")
+    x, y = (d.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "component", "n", "place")]) for d, k in ((fewer, 1), (more, 2)))
+    common = f"(({percent} * (n1 + n2) + {99 + percent}) div {100 + percent})"
+    pairs = x.join(y, "shingle").where(f"component1 <> component2 and (n1 < n2 or n1 = n2 and node1 < node2) and 100 * n1 >= {percent} * n2 and n1 - place1 + 1 >= {common} and n2 - place2 + 1 >= {common}")
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
