@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.statistics import following
+
 
 def occurrence(by: Sequence[str], order: Sequence[str]) -> Column:
     """A row's place, from 0, among those of its key."""
@@ -87,5 +89,41 @@ def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def negatives(df: DataFrame, by: str, order: str) -> DataFrame:
     """Each row with `borrowed`: the next row's key in its group, the last taking the first's."""
-    w = Window.partitionBy(by).orderBy(order)
-    return df.withColumn("borrowed", F.coalesce(F.lead(order).over(w), F.first(order).over(w)))
+    return following(df, [by], order, "borrowed")
+
+
+def attach(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """A left join that neither loses nor repeats a row of `left`: repeated keys on the right are an error, found before
+    anything is returned."""
+    twice = right.groupBy(*key).count().where("count > 1")
+    if twice.take(1):
+        raise ValueError(f"the key {list(key)} is not unique on the right")
+    return left.join(right, list(key), "left")
+
+
+def join_audit(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row: rows and repeated keys on either side, keys without a partner, and rows of the inner join."""
+    l = left.groupBy(*key).agg(F.count("*").alias("l"))
+    r = right.groupBy(*key).agg(F.count("*").alias("r"))
+    j = l.join(r, list(key), "full_outer").na.fill(0, ["l", "r"])
+    return j.agg(
+        F.sum("l").alias("left_rows"), F.sum("r").alias("right_rows"), F.count_if(F.col("l") > 1).alias("left_repeated"), F.count_if(F.col("r") > 1).alias("right_repeated"),
+        F.count_if(F.col("r") == 0).alias("left_only"), F.count_if(F.col("l") == 0).alias("right_only"), F.sum(F.col("l") * F.col("r")).alias("joined"),
+    )
+
+
+def failed_groups(rows: DataFrame, group: str, reasons: dict[str, Column]) -> DataFrame:
+    """(group, reasons): groups in which any row meets a reason, with the sorted names of all that are met."""
+    met = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in reasons.items()]))
+    return rows.select(group, F.explode(met).alias("reason")).groupBy(group).agg(F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def set_print(df: DataFrame, by: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """(by, n, print): the number of distinct keys of each group and a sum of their hashes, equal where the sets are."""
+    d = df.select(*by, *key).distinct()
+    return d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*key).cast("decimal(38,0)")).alias("print"))
+
+
+def replace_scope(store: DataFrame, new: DataFrame, scope: str) -> DataFrame:
+    """The store with the rows of every scope that `new` has replaced by its rows."""
+    return store.join(new.select(scope).distinct(), scope, "left_anti").unionByName(new.select(store.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lectern.functions import scalar as S
 from lectern.operators import models as J
 from lectern.operators import statistics as G
 from lectern.operators.features import line_stats, token_density
@@ -20,7 +21,8 @@ def scores(spark, sf_dir):
 
 @query("select o_orderkey, o_orderpriority, rank() over (partition by o_orderpriority order by o_totalprice) + (count(*) over (partition by o_orderpriority, o_totalprice) - 1) / 2.0 as rank from orders")
 def average_rank(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", G.average_rank(["o_orderpriority"], "o_totalprice").alias("rank"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return G.average_rank(o, ["o_orderpriority"], "o_totalprice").select("o_orderkey", "o_orderpriority", "rank")
 
 
 @query("""
@@ -35,7 +37,8 @@ def rank_target(spark, sf_dir):
 
 @query("with i as (select c_custkey, 1.0 / count(*) over (partition by c_nationkey) as i from customer) select c_custkey, round(i * count(*) over () / sum(i) over (), 6) as weight from i")
 def balanced_weights(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.round(G.balanced_weight(["c_nationkey"]), 6).alias("weight"))
+    c = G.balanced_weight(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"])
+    return c.select("c_custkey", F.round("weight", 6).alias("weight"))
 
 
 @query(f"""
@@ -109,7 +112,45 @@ def macro_f1(spark, sf_dir):
 @query("select doc_id, source, (row_number() over (partition by source order by sha256('5:' || doc_id), '5', doc_id) - 1) % 10 as fold from documents")
 def fold_assignment(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit("5").alias("seed"))
-    return d.select("doc_id", "source", G.fold(["source"], ["seed", "doc_id"], 10).cast("long").alias("fold"))
+    return G.fold(d, ["source"], ["seed", "doc_id"], 10).select("doc_id", "source", F.col("fold").cast("long").alias("fold"))
+
+
+@query("select doc_id, quality, (row_number() over (partition by quality order by sha256('9:' || doc_id), doc_id) - 1) % 10 as fold from labels")
+def stratified_folds(spark, sf_dir):
+    """Folds even within each label."""
+    l = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit("9").alias("seed"))
+    return G.fold(l, ["quality"], ["seed", "doc_id"], 10).select("doc_id", "quality", F.col("fold").cast("long").alias("fold"))
+
+
+_DOWN = CURVE_SQL.replace("order by score desc", "order by score")
+
+
+def _mcc_sql(curve: str, sign: str, order: str) -> str:
+    return f"select l_returnflag, score, '{sign}' as direction, round(case when (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 then (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) else 0 end, 6) as mcc, score * {order} as tie from {curve}"
+
+
+@query(f"""
+with {CURVE_SQL}, lower_c as (select *, sum(p) over w as tp2, sum(q) over w as fp2 from g window w as (partition by l_returnflag order by score)),
+lower_d as (select l_returnflag, score, tp2 as tp, fp2 as fp, sum(p) over (partition by l_returnflag) - tp2 as fn, sum(q) over (partition by l_returnflag) - fp2 as tn from lower_c),
+m as ({_mcc_sql("c", ">=", "1")} union all {_mcc_sql("lower_d", "<=", "-1")}),
+o as (select *, row_number() over (partition by l_returnflag order by mcc desc, direction desc, tie) as place from m)
+select l_returnflag, direction, score as threshold, mcc from o where place = 1
+""")
+def best_mcc_direction(spark, sf_dir):
+    """The best threshold of either direction."""
+    return G.best_mcc_either(scores(spark, sf_dir), ["l_returnflag"], "score", F.col("label"))
+
+
+@query(f"""
+with {SCORES_SQL}, w as (select score, label, count(*) over () * 1.0 / (count(*) over (partition by l_returnflag) * (select count(distinct l_returnflag) from s)) as w from s),
+g as (select score, sum(case when label then w else 0 end) as p, sum(case when label then 0 else w end) as q from w group by 1),
+c as (select score, sum(p) over d as tp, sum(q) over d as fp, sum(p) over () - sum(p) over d as fn, sum(q) over () - sum(q) over d as tn from g window d as (order by score desc)),
+m as (select score as threshold, round(case when (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 1e-9 then (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) else 0 end, 6) as mcc from c)
+select * from m order by mcc desc, abs(threshold - 0.5), threshold limit 1
+""")
+def dataset_balanced_threshold(spark, sf_dir):
+    """One threshold for all groups, each of the same weight; of equals that nearest to a half."""
+    return G.balanced_mcc(scores(spark, sf_dir), "l_returnflag", "score", F.col("label"))
 
 
 @query("""
@@ -149,65 +190,168 @@ def feature_table(spark, sf_dir):
     f = line_stats(d).join(token_density(d), "doc_id").select("doc_id", *NAMES)
     l = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
     j = d.select("doc_id", F.col("dataset").alias("source")).join(l, "doc_id").join(f, "doc_id")
-    return j.withColumn("fold", G.fold(["source"], ["doc_id"], 5)).withColumn("w", G.balanced_weight(["source"]))
+    return G.balanced_weight(G.fold(j, ["source"], ["doc_id"], 5), ["source"], "w")
 
 
 def _scored(df, by):
     return G.spearman(df, by, "prediction", "y").withColumn("spearman", F.round("spearman", 4))
 
 
-@query()
+#: A table that SQL can fit too: two features of lineitem, a target and folds, one row for each line.
+LINE_SQL = """
+t as (select l_orderkey, l_linenumber, l_returnflag, l_orderkey % 3 as fold, l_discount as x1, l_tax as x2, l_quantity / 50.0 as y from lineitem),
+h as (select distinct fold as held from t), r as (select t.*, h.held from t join h on t.fold <> h.held)
+"""
+
+
+def _fit_sql(rows: str, by: str, alpha: float = 200.0) -> str:
+    """The ridge of two standardised features in closed form, for each group of `rows`."""
+    return f"""
+st as (select {by}, avg(x1) as m1, stddev_pop(x1) as s1, avg(x2) as m2, stddev_pop(x2) as s2, avg(y) as my from {rows} group by {by}),
+gm as (select {by}, sum(((x1 - m1) / s1) * ((x1 - m1) / s1)) as a, sum(((x1 - m1) / s1) * ((x2 - m2) / s2)) as b, sum(((x2 - m2) / s2) * ((x2 - m2) / s2)) as c, sum(((x1 - m1) / s1) * (y - my)) as u, sum(((x2 - m2) / s2) * (y - my)) as v from {rows} join st using ({by}) group by {by}),
+co as (select st.*, (u * (c + {alpha}) - v * b) / ((a + {alpha}) * (c + {alpha}) - b * b) as b1, (v * (a + {alpha}) - u * b) / ((a + {alpha}) * (c + {alpha}) - b * b) as b2 from gm join st using ({by}))
+"""
+
+
+def line_table(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    return l.select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_orderkey") % 3).alias("fold"), F.col("l_discount").alias("x1"), F.col("l_tax").alias("x2"), (F.col("l_quantity") / 50.0).alias("y"))
+
+
+@query(f"with {LINE_SQL}, {_fit_sql('r', 'held')} select l_returnflag, fold, count(*) as n, round(sum(greatest(0, least(1, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2))), 4) as total from t join co on held = fold group by all")
 def cv_predictions(spark, sf_dir):
-    t = feature_table(spark, sf_dir).cache()
-    out = J.out_of_fold(t, NAMES, "y", F.col("w"), "fold", range(5))
-    return out.select("doc_id", "source", "fold", F.round("prediction", 6).alias("prediction"))
+    """Sums of the predictions that a ridge fitted without a row's fold gives it."""
+    out = J.out_of_fold(line_table(spark, sf_dir), ["x1", "x2"], "y", F.lit(1.0), "fold")
+    return out.groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"), F.round(F.sum("prediction"), 4).alias("total"))
+
+
+@query(f"""
+with t as (select l_orderkey, l_returnflag as fold, l_discount as x1, l_tax as x2, l_quantity / 50.0 as y from lineitem), h as (select distinct fold as held from t), r as (select t.*, held from t join h on t.fold <> h.held),
+{_fit_sql('r', 'held')}
+select fold as l_returnflag, count(*) as n, round(sum(greatest(0, least(1, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2))), 4) as total from t join co on held = fold group by fold
+""")
+def leave_one_group_out(spark, sf_dir):
+    out = J.out_of_fold(line_table(spark, sf_dir), ["x1", "x2"], "y", F.lit(1.0), "l_returnflag")
+    return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("prediction"), 4).alias("total"))
+
+
+@query(f"with {LINE_SQL}, {_fit_sql('t', 'l_returnflag')} select l_returnflag, round(b1, 7) as b1, round(b2, 7) as b2, round(my, 6) as intercept from co")
+def ridge_coefficients(spark, sf_dir):
+    """A ridge for each group, in full."""
+    _, fits = J.full_fit(line_table(spark, sf_dir), ["x1", "x2"], "y", F.lit(1.0), by=["l_returnflag"])
+    return spark.createDataFrame([(*k, round(float(b[0]), 7), round(float(b[1]), 7), round(b0, 6)) for k, b, b0 in fits], "l_returnflag string, b1 double, b2 double, intercept double")
+
+
+@query(f"with {LINE_SQL}, one as (select 1 as g, * from t), {_fit_sql('one', 'g')} select l_returnflag, count(*) as n, round(sum(my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2), 4) as total, round(min(my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2), 6) as least from one join co using (g) group by l_returnflag")
+def full_fit_unbounded(spark, sf_dir):
+    """In-sample predictions of one ridge, not cut to 0 and 1."""
+    p, _ = J.full_fit(line_table(spark, sf_dir), ["x1", "x2"], "y", F.lit(1.0), bounded=False)
+    return p.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("prediction"), 4).alias("total"), F.round(F.min("prediction"), 6).alias("least"))
+
+
+@query(f"""
+with {LINE_SQL}, p as (select l_returnflag, unnest(['x1', 'x2']) as feature, unnest([1, -1]) as expected from t),
+{_fit_sql('t', 'l_returnflag')},
+b as (select l_returnflag, unnest(['x1', 'x2']) as feature, unnest([b1, b2]) as b from co), e as (select distinct feature, expected from p)
+select feature, count(*) as fits, count(*) filter (where sign(b) = expected) as agree from b join e using (feature) group by feature
+""")
+def sign_agreement(spark, sf_dir):
+    """How many groups' fits have a feature's coefficient with the sign that is expected of it."""
+    _, fits = J.full_fit(line_table(spark, sf_dir), ["x1", "x2"], "y", F.lit(1.0), by=["l_returnflag"])
+    b = spark.createDataFrame([(k[0], f, float(x)) for k, beta, _ in fits for f, x in zip(("x1", "x2"), beta, strict=True)], "l_returnflag string, feature string, b double")
+    e = spark.createDataFrame([("x1", 1), ("x2", -1)], "feature string, expected int")
+    return b.join(e, "feature").groupBy("feature").agg(F.count("*").alias("fits"), F.count_if(F.signum("b") == F.col("expected")).alias("agree"))
+
+
+@query(f"""
+with {LINE_SQL}, one as (select 1 as g, * from t where l_linenumber = 1), {_fit_sql('one', 'g')},
+z as (select l_orderkey, unnest(['x1', 'x2']) as feature, unnest([x1, x2]) as value, unnest([(x1 - m1) / s1, (x2 - m2) / s2]) as z, unnest([b1, b2]) as b from one join co using (g))
+select feature, count(*) as n, round(sum(value), 4) as value, round(sum(abs(z)), 3) as z, round(sum(abs(z * b)), 5) as contribution, 0 as imputed, 0 as clipped from z group by feature
+""")
+def score_contributions(spark, sf_dir):
+    """Scores of first lines taken apart, summed by feature."""
+    t = line_table(spark, sf_dir).where("l_linenumber = 1")
+    stats = J._stats(t, ["x1", "x2"])
+    beta, _ = J.solve(J.gram(t.select("y", *J.standardised(t, ["x1", "x2"], stats)), ["x1", "x2"], "y", F.lit(1.0)).first(), 200.0)
+    c = J.contributions(t, "l_orderkey", ["x1", "x2"], stats, beta)
+    return c.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"), F.round(F.sum(F.abs("z")), 3).alias("z"), F.round(F.sum(F.abs("contribution")), 5).alias("contribution"), F.count_if("imputed").cast("int").alias("imputed"), F.count_if("clipped").cast("int").alias("clipped"))
+
+
+@query("select event_type, count(*) as n, round(sum(1 / (1 + exp(-(0.3 + 0.02 * coalesce(case when isfinite(value) then value end, 0) - 0.5 * (user_id % 3))))), 4) as total from events group by event_type")
+def frozen_logistic(spark, sf_dir):
+    """Scores of a frozen logistic model whose names map to other columns."""
+    names = {"metric_value": F.coalesce(S.finite(F.col("value")), F.lit(0.0)), "metric_user": F.col("user_id") % 3}
+    weights = {"metric_value": 0.02, "metric_user": -0.5}
+    z = F.lit(0.3)
+    for k, w in weights.items():
+        z = z + w * names[k]
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(S.sigmoid(z)), 4).alias("total"))
 
 
 @query()
 def leave_one_source_out(spark, sf_dir):
-    t = feature_table(spark, sf_dir).cache()
-    sources = [r[0] for r in t.select("source").distinct().orderBy("source").collect()]
-    return _scored(J.out_of_fold(t, NAMES, "y", F.col("w"), "source", sources), ["source"])
+    return _scored(J.out_of_fold(feature_table(spark, sf_dir), NAMES, "y", F.col("w"), "source"), ["source"])
+
+
+FAMILIES = {"none": [], "length": [0, 1], "indent": [2], "tokens": [3, 4, 5]}
 
 
 @query()
 def family_ablation(spark, sf_dir):
     """Cross-validated correlation with all features, and without each family of them: sub-models of the same sums."""
-    t = feature_table(spark, sf_dir).withColumn("all_rows", F.lit(1)).cache()
-    families = {"none": [], "length": [0, 1], "indent": [2], "tokens": [3, 4, 5]}
-    out = None
-    for name, gone in families.items():
-        use = [i for i in range(len(NAMES)) if i not in gone]
-        part = _scored(J.out_of_fold(t, NAMES, "y", F.col("w"), "fold", range(5), use=use), ["all_rows"]).select(F.lit(name).alias("without"), "n", "spearman")
-        out = part if out is None else out.unionByName(part)
-    return out
+    use = {name: [i for i in range(len(NAMES)) if i not in gone] for name, gone in FAMILIES.items()}
+    out = J.out_of_fold(feature_table(spark, sf_dir), NAMES, "y", F.col("w"), "fold", configurations=use)
+    return _scored(out, ["configuration"]).withColumnRenamed("configuration", "without")
+
+
+@query("""
+with f as (select unnest(['mean_length', 'std_length', 'mean_indent', 'commas_per_line', 'periods_per_line', 'max_names']) as feature, unnest(['length', 'length', 'indent', 'tokens', 'tokens', 'tokens']) as family)
+select family, count(*) as features, (select count(*) from documents) as rows from f group by family
+""")
+def family_counts(spark, sf_dir):
+    """How many columns of the feature table belong to each family."""
+    d = items(spark, sf_dir)
+    f = line_stats(d).join(token_density(d), "doc_id").select("doc_id", *NAMES)
+    family = {NAMES[i]: k for k, own in FAMILIES.items() for i in own}
+    long = f.unpivot(["doc_id"], list(NAMES), "feature", "x").withColumn("family", F.create_map(*[F.lit(x) for kv in family.items() for x in kv])[F.col("feature")])
+    return long.groupBy("family").agg(F.countDistinct("feature").alias("features"), F.countDistinct("doc_id").alias("rows"))
 
 
 @query()
 def feature_count_curve(spark, sf_dir):
-    """Fit on the first K features, for each K: leading parts of one Gram matrix."""
-    t = feature_table(spark, sf_dir).cache()
-    stats = J._stats(t, NAMES)
-    row = J.gram(t.select("y", "w", *J.standardised(t, NAMES, stats)), list(NAMES), "y", F.col("w")).first()
-    out = []
-    for k in range(1, len(NAMES) + 1):
-        beta, b0 = J.solve(row, 200.0, range(k))
-        out.append((k, float(b0), *[float(x) for x in beta]))
-    return spark.createDataFrame(out, "k int, intercept double, " + ", ".join(f"{n} double" for n in NAMES))
+    """Cross-validated correlation of the first K features, for each K, with the row of none: leading parts of one Gram
+    matrix a fold."""
+    use = {str(k): list(range(k)) for k in range(1, len(NAMES) + 1)}
+    out = _scored(J.out_of_fold(feature_table(spark, sf_dir), NAMES, "y", F.col("w"), "fold", configurations=use), ["configuration"])
+    origin = spark.createDataFrame([(0, None, None)], "k int, n long, spearman double")
+    return out.select(F.col("configuration").cast("int").alias("k"), "n", "spearman").unionByName(origin)
 
 
 @query()
-def score_contributions(spark, sf_dir):
-    t = feature_table(spark, sf_dir).cache()
-    stats = J._stats(t, NAMES)
-    beta, _ = J.solve(J.gram(t.select("y", "w", *J.standardised(t, NAMES, stats)), list(NAMES), "y", F.col("w")).first(), 200.0)
-    return J.contributions(t, "doc_id", NAMES, stats, beta)
+def selected_evaluation(spark, sf_dir):
+    """The features that the correlation filter keeps, evaluated out of fold, out of source, and in sample."""
+    t = feature_table(spark, sf_dir).withColumn("all_rows", F.lit(1))
+    kept = J.correlation_filter(t, NAMES)
+    full, _ = J.full_fit(t, kept, "y", F.col("w"))
+    parts = {"cross_validation": J.out_of_fold(t, kept, "y", F.col("w"), "fold"), "leave_one_out": J.out_of_fold(t, kept, "y", F.col("w"), "source"), "in_sample": full}
+    rows = [_scored(p, ["all_rows"]).select(F.lit(k).alias("evaluation"), F.lit(len(kept)).alias("features"), "n", "spearman") for k, p in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query()
+def instantiation_comparison(spark, sf_dir):
+    """The same model refitted for each instantiation, here thirds of the documents: coefficients and in-sample correlation."""
+    t = feature_table(spark, sf_dir).withColumn("instantiation", F.col("doc_id") % 3)
+    p, fits = J.full_fit(t, NAMES, "y", F.col("w"), by=["instantiation"])
+    c = spark.createDataFrame([(int(k[0]), [float(x) for x in beta]) for k, beta, _ in fits], "instantiation long, beta array<double>")
+    return _scored(p, ["instantiation"]).join(c, "instantiation").select("instantiation", "n", "spearman", *[F.round(F.get("beta", F.lit(i)), 6).alias(f) for i, f in enumerate(NAMES)])
 
 
 @query()
 def bootstrap_interval(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("n"))
-    return J.bootstrap(c, "c_mktsegment", "c_custkey", "c_acctbal", "n", 200, 20260923)
+    return J.bootstrap(c, "c_mktsegment", "c_custkey", "c_acctbal", "n")
 
 
 @query()
@@ -216,9 +360,62 @@ def correlation_selection(spark, sf_dir):
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(kept)], "rank int, feature string")
 
 
+@query()
+def joint_selection(spark, sf_dir):
+    """The filter over instantiations together: a pair counts as correlated if any of them shows it."""
+    kept = J.joint_filter(feature_table(spark, sf_dir).withColumn("instantiation", F.col("doc_id") % 3), "instantiation", NAMES)
+    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(kept)], "rank int, feature string")
+
+
 @query()
 def stability_ranking(spark, sf_dir):
-    return J.stability(feature_table(spark, sf_dir), NAMES, "y", "source", "doc_id", rounds=5)
+    return J.stability(feature_table(spark, sf_dir), NAMES, "y", "doc_id")
+
+
+@query()
+def candidate_extension(spark, sf_dir):
+    """Whether further candidates change which three features come first: both rankings side by side."""
+    t = feature_table(spark, sf_dir)
+    one = J.stability(t, NAMES[:4], "y", "doc_id").where("rank <= 3").select("feature", F.col("rank").alias("before"))
+    two = J.stability(t, NAMES, "y", "doc_id").where("rank <= 3").select("feature", F.col("rank").alias("after"))
+    j = one.join(two, "feature", "full_outer")
+    return j.select("feature", "before", "after", F.when(F.col("after").isNull(), "left").when(F.col("before").isNull(), "entered").otherwise("stayed").alias("change"))
+
+
+@query()
+def forward_features(spark, sf_dir):
+    """Greedy forward selection by the cross-validated accuracy of a logistic model."""
+    found = J.forward_selection(feature_table(spark, sf_dir), list(NAMES[:4]), "y", "doc_id", "fold", 5, 2)
+    return spark.createDataFrame([(i + 1, f, float(a)) for i, (f, a) in enumerate(found)], "step int, feature string, accuracy double")
+
+
+@query()
+def logistic_model(spark, sf_dir):
+    """A logistic fit that is hardly penalised, with the statistics that it freezes."""
+    t = feature_table(spark, sf_dir)
+    stats = J._stats(t, NAMES)
+    beta = J.logistic(J.prepared(t, NAMES, "y", "doc_id"), NAMES, "_y", "_w", l2=1e-6)[0]
+    return spark.createDataFrame([(f, float(b), *map(float, stats[f])) for f, b in zip(NAMES, beta, strict=False)] + [("intercept", float(beta[-1]), *[None] * 5)], "feature string, coefficient double, median double, low double, high double, mean double, scale double")
+
+
+@query("""
+select source, count(*) as rows, count(quality) as labelled from documents left join labels using (doc_id) group by source
+""")
+def model_rows(spark, sf_dir):
+    """A model card's counts by dataset."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return d.groupBy("source").agg(F.count("*").alias("rows"), F.count("quality").alias("labelled"))
+
+
+@query()
+def model_card(spark, sf_dir):
+    """A fitted model's parameters, its features and rows, and a hash of the rows' identities."""
+    t = feature_table(spark, sf_dir)
+    _, fits = J.full_fit(t, NAMES, "y", F.col("w"))
+    beta, b0 = fits[0][1], fits[0][2]
+    rows = t.agg(F.count("*").alias("rows"), F.countDistinct("source").alias("datasets"), F.sum(F.xxhash64("source", "doc_id").cast("decimal(38,0)")).alias("identities"))
+    card = spark.createDataFrame([("ridge", 200.0, float(b0), list(NAMES), [float(x) for x in beta])], "method string, alpha double, intercept double, features array<string>, coefficients array<double>")
+    return card.crossJoin(rows)
 
 
 @query("""

@@ -136,10 +136,11 @@ with r as (select *, row_number() over (partition by o_orderpriority order by o_
 select o_orderpriority, o_orderkey, case when lo <= floor(0.25 * n) then 'low' else 'high' end as part from r where lo <= floor(0.25 * n) or hi <= floor(0.25 * n)
 """)
 def extreme_quartiles(spark, sf_dir):
-    w = Window.partitionBy("o_orderpriority")
-    o = table(spark, sf_dir, "orders").withColumn("n", F.count("*").over(w)).withColumn("lo", F.row_number().over(w.orderBy("o_totalprice", "o_orderkey"))).withColumn("hi", F.row_number().over(w.orderBy(F.desc("o_totalprice"), F.desc("o_orderkey"))))
-    quarter = F.floor(0.25 * F.col("n"))
-    return o.where((F.col("lo") <= quarter) | (F.col("hi") <= quarter)).select("o_orderpriority", "o_orderkey", F.when(F.col("lo") <= quarter, "low").otherwise("high").alias("part"))
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    o = G.positions(o, ["o_orderpriority"], "o_totalprice", ["o_orderkey"])
+    quarter = F.floor(0.25 * F.col("_all"))
+    low, high = F.col("_place") <= quarter, F.col("_place") > F.col("_all") - quarter
+    return o.where(low | high).select("o_orderpriority", "o_orderkey", F.when(low, "low").otherwise("high").alias("part"))
 
 
 @query("""

@@ -9,6 +9,8 @@ from lectern.functions import scalar as S
 from lectern.operators import losses as H
 from lectern.operators import vectors as V
 from lectern.plans.losses import LOSS_SQL, losses
+from lectern.operators import relations as E
+from lectern.operators import statistics as G
 from lectern.plans.registry import query, table
 from lectern.plans.text import items
 from lectern.plans.vectors import BASE_SQL, vectors
@@ -37,8 +39,9 @@ def catalog_search(spark, sf_dir):
 
 @query("select p_partkey, p_brand, round(percent_rank() over (partition by p_brand order by p_retailprice), 6) as percent_rank, round(cume_dist() over (partition by p_brand order by p_retailprice), 6) as cume_dist from part")
 def percentile_position(spark, sf_dir):
-    w = Window.partitionBy("p_brand").orderBy("p_retailprice")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.round(F.percent_rank().over(w), 6).alias("percent_rank"), F.round(F.cume_dist().over(w), 6).alias("cume_dist"))
+    p = G.standing(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice")
+    below = F.when(F.col("_all") > 1, F.col("_below") / (F.col("_all") - 1)).otherwise(0.0)
+    return p.select("p_partkey", "p_brand", F.round(below, 6).alias("percent_rank"), F.round((F.col("_below") + F.col("_equal")) / F.col("_all"), 6).alias("cume_dist"))
 
 
 @query("""
@@ -48,7 +51,7 @@ select l.doc_id, coalesce(n.quality, l.quality) as quality, n.quality is not nul
 def label_sync(spark, sf_dir):
     l = table(spark, sf_dir, "labels")
     new = l.where("doc_id % 2 = 0").select("doc_id", (1 - F.col("quality")).alias("new"))
-    return l.join(new, "doc_id", "left").select("doc_id", F.coalesce("new", "quality").alias("quality"), F.col("new").isNotNull().alias("synced"), "toxic")
+    return E.attach(l, new, ["doc_id"]).select("doc_id", F.coalesce("new", "quality").alias("quality"), F.col("new").isNotNull().alias("synced"), "toxic")
 
 
 @query("""
@@ -57,12 +60,11 @@ o as (select *, row_number() over (order by model, run) as p from g)
 select model, run, tasks, ids = (select ids from o where p = 1) as aligned from o
 """)
 def archive_alignment(spark, sf_dir):
-    """Whether each model's runs cover the same tasks: one hash for each sorted set."""
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("run"), F.col("l_suppkey").cast("string").alias("task"))
-    ids = F.sha2(F.array_join(F.sort_array(F.collect_set("task")), ",").cast("binary"), 256)
-    g = r.groupBy("model", "run").agg(F.countDistinct("task").alias("tasks"), ids.alias("ids"))
-    first = g.select(F.min(F.struct("model", "run", "ids"))["ids"].alias("first"))
-    return g.join(F.broadcast(first)).select("model", "run", "tasks", (F.col("ids") == F.col("first")).alias("aligned"))
+    """Whether each model's runs cover the same tasks: a count and a sum of hashes of each set, against the first run's."""
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("run"), F.col("l_suppkey").alias("task"))
+    g = E.set_print(r, ["model", "run"], ["task"])
+    first = g.agg(F.min_by(F.struct("n", "print"), F.struct("model", "run")).alias("first"))
+    return g.crossJoin(first).select("model", "run", F.col("n").alias("tasks"), (F.struct("n", "print") == F.col("first")).alias("aligned"))
 
 
 @query(f"""
@@ -108,7 +110,7 @@ def view_coverage(spark, sf_dir):
     views = spark.createDataFrame([("all", k) for k in range(4)] + [("names", 1), ("core", 0), ("core", 2)], "view string, kind long")
     total = v.agg(F.sum("w").alias("total"))
     g = v.join(views, "kind").groupBy("view").agg(F.sum("w").alias("own"))
-    return g.join(F.broadcast(total)).select("view", "own", F.round(F.col("own") / F.greatest("total", F.lit(1)), 6).alias("coverage"))
+    return g.crossJoin(total).select("view", "own", F.round(F.col("own") / F.greatest("total", F.lit(1)), 6).alias("coverage"))
 
 
 @query(f"""
