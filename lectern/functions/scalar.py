@@ -92,3 +92,70 @@ def stable_index(n: int, *parts: Column) -> Column:
     """A choice from 0 to n - 1 that depends on the parts alone: the head of their SHA-256."""
     head = F.substring(F.sha2(F.concat_ws(":", *parts).cast("binary"), 256), 1, 8)
     return F.conv(head, 16, 10).cast("long") % n
+
+
+def namespaced(*parts: Column) -> Column:
+    """A feature's name within its namespace and family."""
+    return F.concat_ws("__", *parts)
+
+
+def family(name: Column) -> Column:
+    """The family that a feature's name tells: the part after the namespace, else what stands before the first underscore."""
+    parts = F.split(name, "__")
+    return F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise(F.regexp_extract(name, "^([^_]*)", 1))
+
+
+def without_surrogates(c: Column) -> Column:
+    """A text with lone surrogates replaced, as before it is hashed."""
+    return F.regexp_replace(c, "[\\x{D800}-\\x{DFFF}]", "\ufffd")
+
+
+def reusable(record: Column) -> Column:
+    """Whether a nested record (result: score, reasoning; error) holds a finite score with a reason, and no error."""
+    good = finite(record["result"]["score"]).isNotNull() & record["error"].isNull() & (F.length(F.trim(record["result"]["reasoning"])) > 0)
+    return F.coalesce(good, F.lit(False))
+
+
+_TYPE = r"(^|[^A-Za-z0-9_])(class|interface|enum|record)\s+[A-Za-z_]"
+
+
+def complete_type(c: Column) -> Column:
+    """Whether a text declares a type, strings and line comments set aside."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"\"[^\"\n]*\"|'[^'\n]*'", '""'), r"//[^\n]*", "")
+    return bare.rlike(_TYPE)
+
+
+def wrapped(c: Column) -> Column:
+    """A text that declares a type as it is; another within one."""
+    return F.when(complete_type(c), c).otherwise(F.concat(F.lit("class Snippet {\n"), c, F.lit("\n}")))
+
+
+def metrics(c: Column) -> Column:
+    """Lines of `name: value` as a map to numbers; NaN is kept, what is no number is passed over."""
+    lines = F.filter(F.split(c, "\n"), lambda l: l.rlike(r"^\s*[A-Za-z][^:]*:\s*(?:[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?|NaN)\s*$"))
+    pair = lambda l: F.struct(F.trim(F.regexp_extract(l, "^([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(l, ":(.*)$", 1)).try_cast("double").alias("v"))
+    return F.map_from_entries(F.filter(F.transform(lines, pair), lambda p: p["v"].isNotNull()))
+
+
+def first_object(c: Column) -> Column:
+    """The first balanced JSON object of a text, braces within strings set aside; null without one.
+
+    Strings and braces are cut out first; the depth at each brace is a running count, and the object ends where the depth
+    that the first brace opened is closed.
+    """
+    parts = F.regexp_extract_all(c, F.lit(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}]|[^"{}]+|"'), F.lit(0))
+
+    def found(p: Column) -> Column:
+        step = lambda a, x: F.when(a["done"], a).otherwise(_step(a, x))
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("from"), F.lit(0).alias("i"), F.lit(False).alias("done"))
+        end = F.aggregate(p, zero, step)
+        return F.when(end["done"], F.array_join(F.slice(p, end["from"], end["i"] - end["from"] + 1), ""))
+
+    return F.get(F.transform(F.array(parts), found), F.lit(0))
+
+
+def _step(a: Column, x: Column) -> Column:
+    i = a["i"] + 1
+    depth = a["depth"] + F.when(x == "{", 1).when((x == "}") & (a["depth"] > 0), -1).otherwise(0)
+    begins = (a["depth"] == 0) & (x == "{")
+    return F.struct(depth.alias("depth"), F.when(begins, i).otherwise(a["from"]).alias("from"), i.alias("i"), ((a["depth"] > 0) & (depth == 0)).alias("done"))

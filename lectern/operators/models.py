@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.statistics import spearman
+from lectern.operators.statistics import average_rank
+from lectern.sources.tables import checkpointed
 
 
 def preprocess(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -220,11 +221,9 @@ def greedy_filter(ranked: Sequence[str], corr: dict[tuple[str, str], float], mos
 
 def correlation_filter(df: DataFrame, ranked: Sequence[str], most: float = 0.9) -> list[str]:
     """The greedy filter by the greater of |Pearson| and |Spearman|; the walk over the p x p numbers is the driver's."""
-    from lectern.operators.statistics import average_rank
-
-    ranks = df
+    ranks = checkpointed(df.select(*ranked))
     for f in ranked:
-        ranks = average_rank(ranks, [], f, f"_rank_{f}")
+        ranks = checkpointed(average_rank(ranks, [], f, f"_rank_{f}"))
     one, two = correlations(df, ranked), correlations(ranks, [f"_rank_{f}" for f in ranked])
     return greedy_filter(ranked, {(a, b): max(v, two[f"_rank_{a}", f"_rank_{b}"]) for (a, b), v in one.items()}, most)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,16 @@ from lectern.operators.text import strip_comments
 _PARTS = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+"
 
 
+def comment_removal(docs: DataFrame) -> DataFrame:
+    """docs without their comments, with how many there were and how many characters went."""
+    from lectern.operators.text import COMMENT, STRING
+
+    found = F.filter(F.regexp_extract_all("content", F.lit(rf"{STRING}|{COMMENT}"), F.lit(0)), lambda x: x.startswith("//") | x.startswith("/*"))
+    bare = strip_comments(F.col("content"))
+    d = docs.withColumn("comments", F.size(found)).withColumn("removed", F.length("content") - F.length(bare))
+    return d.withColumn("content", bare)
+
+
 def hexadecimal(content: Column) -> Column:
     """Whole numbers of up to 15 digits without a leading zero in hexadecimal."""
     one = lambda x: F.when(x.rlike("^(?:0|[1-9][0-9]{0,14})$"), F.concat(F.lit("0x"), F.lower(F.hex(x.cast("long"))))).otherwise(x)
@@ -23,14 +35,76 @@ def short_names(content: Column, keep: int = 3) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(_PARTS), F.lit(0)), one), "")
 
 
+NAME = "[A-Za-z_][A-Za-z0-9_]*"
+
+
+def _names(docs: DataFrame) -> DataFrame:
+    """(doc_id, name): the names of each document, each once."""
+    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(NAME), F.lit(0)))).alias("name"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def letters(n: Column, most: int = 8) -> Column:
+    """The nth name of letters: a to Z, then aa to ZZ, and so on, as long as it takes, up to `most` letters."""
+    one = lambda k: F.substring(F.lit(_LETTERS), k.cast("int") + 1, F.lit(1))
+    # how many letters, and the place among names of that length
+    before = [sum(52**i for i in range(1, k)) for k in range(1, most + 2)]
+    out = F.lit(None).cast("string")
+    for k in range(most, 0, -1):
+        place = n - before[k - 1]
+        digits = [one(F.floor(place / F.lit(52**i)) % 52) for i in range(k - 1, -1, -1)]
+        out = F.when(n < before[k], F.concat(*digits)).otherwise(out) if k == most else F.when(n < before[k], F.concat(*digits)).otherwise(out)
+    return out
+
+
 def garbled_names(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, garbled): a letter, or more, for each name of a document, in the order of its SHA-256."""
-    names = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
+    """(doc_id, name, garbled): a letter, or as many as are needed, for each name in the order of its SHA-256."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(fingerprint(F.col("name")), "name")) - 1
-    letter = lambda n: F.substring(F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), n.cast("int") + 1, F.lit(1))
-    n = names.withColumn("n", place)
-    more = F.col("n") >= 52
-    return n.select("doc_id", "name", F.concat(F.when(more, letter(F.floor(F.col("n") / 52 - 1) % 52)).otherwise(""), letter(F.col("n") % 52)).alias("garbled"))
+    return _names(docs).withColumn("n", place.cast("long")).select("doc_id", "name", letters(F.col("n")).alias("garbled"))
+
+
+def renamed_short(docs: DataFrame, keep: int = 3) -> DataFrame:
+    """(doc_id, name, renamed): names cut to their first characters; of those that would become one all but the first, in
+    the order of their SHA-256, get a number."""
+    n = _names(docs).withColumn("short", F.left("name", F.lit(keep)))
+    k = F.row_number().over(Window.partitionBy("doc_id", "short").orderBy(fingerprint(F.col("name")), "name"))
+    return n.withColumn("k", k).select("doc_id", "name", F.when(F.col("k") == 1, F.col("short")).otherwise(F.concat_ws("_", "short", F.col("k").cast("string"))).alias("renamed"))
+
+
+def renamed_misleading(docs: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(doc_id, name, misleading): a word of the length nearest to the name's, the shorter of two as near, chosen by a hash."""
+    sizes = sorted({len(w) for w in words})
+    by_size = {n: sorted(w for w in words if len(w) == n) for n in sizes}
+    n, name = F.length("name"), _names(docs)
+    nearest = F.array_min(F.array(*[F.struct(F.abs(n - F.lit(s)).alias("d"), F.lit(s).alias("s")) for s in sizes]))["s"]
+    pick = F.lit(None).cast("string")
+    for s, own in by_size.items():
+        at = stable_index(len(own), F.col("doc_id").cast("string"), F.col("name")).cast("int")
+        pick = F.when(nearest == s, F.get(F.array(*map(F.lit, own)), at)).otherwise(pick)
+    return name.select("doc_id", "name", pick.alias("misleading"))
+
+
+def rewritten(docs: DataFrame, names: DataFrame, to: str) -> DataFrame:
+    """docs with their names exchanged for those of the table (doc_id, name, `to`): one map a document."""
+    maps = names.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", to))).alias("_map"))
+    parts = F.regexp_extract_all("content", F.lit(rf"{NAME}|[0-9]+|[^A-Za-z0-9_]+"), F.lit(0))
+    j = docs.join(maps, "doc_id", "left")
+    return j.withColumn("content", F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at("_map", x), x)), "")).drop("_map")
+
+
+def class_corpus(files: DataFrame, kinds: Sequence[str], excluded: Sequence[str], each: int) -> DataFrame:
+    """Files (project, path, content) of the wanted kinds outside excluded folders, `each` of a project: those with a method
+    first, then of a middling size, then in the order of a seeded hash."""
+    good = F.lit(True)
+    for x in excluded:
+        good = good & ~F.contains(F.col("path"), F.lit(x))
+    kind = F.lit(False)
+    for x in kinds:
+        kind = kind | F.col("path").endswith(x)
+    order = [F.desc(F.contains(F.col("content"), F.lit("("))), F.desc(F.length("content").between(1000, 20000)), fingerprint(F.concat(F.lit("5:"), "path")), "path"]
+    return files.where(good & kind).withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy(*order))).where(F.col("place") <= each)
 
 
 def compact_layout(content: Column, key: Column, share: int = 40) -> Column:

@@ -121,10 +121,37 @@ def best_match(left: DataFrame, right: DataFrame, by: list[str], threshold: floa
     return best.groupBy(*by).agg((F.sum(F.col("w") * F.col("best")) / whole).alias("mean"), F.min("best").alias("min"), (F.sum(F.when(F.col("best") < threshold, F.col("w")).otherwise(0)) / whole).alias("below"), (F.sum(F.col("w") * low) / whole).alias("deficit"))
 
 
-def cluster_summary(vectors: DataFrame, by: list[str], cluster: str) -> DataFrame:
-    """(by, clusters, largest, size_cv): weights of clusters."""
+def alignment(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """(by, mean, most, centroids): each left vector's best cosine among its group's right ones, weighed, the greatest of
+    all, and the cosine of both sides' weighted centroids; groups that lack a side have no row."""
+    best = best_match(left, right, by, 0.0).select(*by, "mean")
+    far = best_match_extreme(left, right, by)
+    c = centroids(left, by).withColumnRenamed("centroid", "c1").join(centroids(right, by).withColumnRenamed("centroid", "c2"), by)
+    return best.join(far, by).join(c, by).select(*by, "mean", "most", cosine(F.col("c1"), F.col("c2")).alias("centroids"))
+
+
+def best_match_extreme(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """(by, most): the greatest cosine between a left and a right vector of a group, block by block."""
+    x, y = (_dealt(d.select(*by, unit(F.col("v")).alias("u")), by, "u") for d in (left, right))
+    n = [d.select(*by, F.col("_n").alias("_m")).distinct() for d in (y, x)]
+    every = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    x = x.join(n[0], by).select(*by, "u", F.lit(True).alias("_left"), F.col("_b").alias("_i"), every.alias("_j"))
+    y = y.join(n[1], by).select(*by, "u", F.lit(False).alias("_left"), every.alias("_i"), F.col("_b").alias("_j"))
+
+    def most(key, pdf):
+        import pandas as pd
+
+        a, b = (np.array(pdf["u"][pdf["_left"] == side].tolist(), float) for side in (True, False))
+        return pd.DataFrame([[*key[: len(by)], float((a @ b.T).max())]] if len(a) and len(b) else [], columns=[*by, "m"])
+
+    return x.unionByName(y).groupBy(*by, "_i", "_j").applyInPandas(most, f"{_fields(left, by)}, m double").groupBy(*by).agg(F.max("m").alias("most"))
+
+
+def cluster_summary(vectors: DataFrame, by: list[str], cluster: str, noise: int = -1) -> DataFrame:
+    """(by, clusters, largest, size_cv, noise): weights of clusters, and the share of the weight in none of them."""
     c = vectors.groupBy(*by, cluster).agg(F.sum("w").alias("s"))
-    return c.groupBy(*by).agg(F.count("*").alias("clusters"), (F.max("s") / F.sum("s")).alias("largest"), (F.stddev_pop("s") / F.avg("s")).alias("size_cv"))
+    own = F.when(F.col(cluster) != noise, F.col("s"))
+    return c.groupBy(*by).agg(F.count(own).alias("clusters"), (F.max(own) / F.sum(own)).alias("largest"), (F.stddev_pop(own) / F.avg(own)).alias("size_cv"), (F.sum(F.when(F.col(cluster) == noise, F.col("s")).otherwise(0)) / F.sum("s")).alias("noise"))
 
 
 def cluster_mixing(vectors: DataFrame, by: list[str], cluster: str, kind: str) -> DataFrame:
@@ -149,6 +176,39 @@ def diameters(vectors: DataFrame, by: list[str]) -> DataFrame:
     return _self_blocks(u, by).applyInPandas(most, f"{_fields(vectors, by)}, d double").groupBy(*by).agg(F.max("d").alias("diameter"))
 
 
+def diameter_summary(vectors: DataFrame, by: list[str], cluster: str) -> DataFrame:
+    """(by, greatest, mean): of the clusters' diameters, the mean weighed by the clusters' weights."""
+    d = diameters(vectors, [*by, cluster]).join(vectors.groupBy(*by, cluster).agg(F.sum("w").alias("s")), [*by, cluster])
+    return d.groupBy(*by).agg(F.max("diameter").alias("greatest"), (F.sum(F.col("diameter") * F.col("s")) / F.sum("s")).alias("mean"))
+
+
+def control_share(vectors: DataFrame, by: list[str], cluster: str, kind: str, control: int) -> DataFrame:
+    """(by, clusters, weight, kind_share): shares of the clusters, and of their weight, that hold a vector of the control
+    kind, and the mean share of that kind in them."""
+    c = vectors.groupBy(*by, cluster).agg(F.sum("w").alias("s"), F.sum(F.when(F.col(kind) == control, F.col("w")).otherwise(0)).alias("k"))
+    has = F.col("k") > 0
+    return c.groupBy(*by).agg((F.count_if(has) / F.count("*")).alias("clusters"), (F.sum(F.when(has, F.col("s")).otherwise(0)) / F.sum("s")).alias("weight"), F.avg(F.when(has, F.col("k") / F.col("s"))).alias("kind_share"))
+
+
+def anchor_calibration(scores: DataFrame, label: str, score: str, anchor: str) -> DataFrame:
+    """(anchor, threshold, accuracy, held_out): for each anchor the balanced threshold of all other anchors' scores, and its
+    balanced accuracy on the anchor's own. One row a score joins every other anchor; anchors are few."""
+    from lectern.operators.statistics import threshold_curve
+
+    a = scores.select(F.col(anchor).alias("_held")).distinct()
+    rest = scores.join(a, F.col(anchor) != F.col("_held"))
+    c = threshold_curve(rest, ["_held"], score, F.col(label))
+    own = Window.partitionBy("_held")
+    accuracy = F.round((F.col("tp") / (F.col("tp") + F.col("fn")) + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2, 9)
+    c = c.withColumn("accuracy", accuracy).withColumn("below", F.lead(score).over(own.orderBy(F.desc(score)))).withColumn("best", F.max("accuracy").over(own))
+    middle = F.when(F.col("below").isNull(), F.col(score)).otherwise((F.col(score) + F.col("below")) / 2)
+    t = c.where("accuracy = best").groupBy("_held").agg(F.percentile(middle, F.lit(0.5)).alias("threshold"), F.max("best").alias("accuracy"))
+    j = scores.join(t, F.col(anchor) == F.col("_held"))
+    hit = (F.col(score) >= F.col("threshold")) == F.col(label)
+    part = lambda side: F.avg(F.when(F.col(label) == side, hit.cast("double")))
+    return j.groupBy(anchor, "threshold", "accuracy").agg(((F.coalesce(part(True), part(False)) + F.coalesce(part(False), part(True))) / 2).alias("held_out"))
+
+
 def median_distance(vectors: DataFrame, by: list[str]) -> DataFrame:
     """(by, median): of 1 - cosine over the pairs of a group that are apart at all.
 
@@ -191,19 +251,32 @@ def median_distance(vectors: DataFrame, by: list[str]) -> DataFrame:
 def spectrum(vectors: DataFrame, by: list[str]) -> DataFrame:
     """(by, dispersion, effective_rank): 1 - the first component's share, and exp of the spectrum's entropy.
 
-    The weighted covariance of a group's unit vectors is summed in Spark, dimension by dimension pair; only its
-    dim x dim matrix, however large the group, meets the eigenvalue solver in a task.
+    Each task sums its own rows' weighted products as one matrix; only a group's dim x dim sums, however large the group,
+    are shuffled and meet the eigenvalue solver.
     """
-    u = vectors.select(*by, "w", unit(F.col("v")).alias("u"))
-    pairs = F.flatten(F.transform("u", lambda x, i: F.transform("u", lambda y, j: F.struct(i.alias("i"), j.alias("j"), (x * y).alias("p")))))
-    g = u.select(*by, "w", F.explode(F.filter(pairs, lambda s: s["i"] <= s["j"])).alias("s")).groupBy(*by, "s.i", "s.j").agg((F.sum(F.col("w") * F.col("s.p")) / F.sum("w")).alias("p"))
-    m = u.select(*by, "w", F.posexplode("u").alias("i", "x")).groupBy(*by, "i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    g = g.join(m, [*by, "i"]).join(m.withColumnsRenamed({"i": "j", "m": "mj"}), [*by, "j"]).withColumn("c", F.col("p") - F.col("m") * F.col("mj"))
+    u = vectors.select(*by, F.col("w").cast("double").alias("w"), unit(F.col("v")).alias("u"))
+
+    def partial(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for key, g in pdf.groupby(by, dropna=True):
+                x, w = np.array(g["u"].tolist(), float), g["w"].to_numpy()
+                i, j = np.triu_indices(x.shape[1])
+                rows.append([*key, np.concatenate([[w.sum()], w @ x, ((x * w[:, None]).T @ x)[i, j]])])
+            yield pd.DataFrame(rows, columns=[*by, "s"])
+
+    sums = u.mapInPandas(partial, f"{_fields(vectors, by)}, s array<double>").select(*by, F.posexplode("s").alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"))
 
     def solve(key, pdf):
-        n = int(pdf["j"].max()) + 1
+        s = pdf.sort_values("i")["x"].to_numpy()
+        n = int((np.sqrt(9 + 8 * (len(s) - 1)) - 3) / 2 + 0.5)  # 1 + n + n (n + 1) / 2 numbers
         a = np.zeros((n, n))
-        a[pdf["i"], pdf["j"]] = a[pdf["j"], pdf["i"]] = pdf["c"]
+        a[np.triu_indices(n)] = s[1 + n :] / s[0]
+        a = a + np.triu(a, 1).T
+        m = s[1 : 1 + n] / s[0]
+        a -= np.outer(m, m)
         e = np.clip(np.linalg.eigvalsh(a), 0, None)
         p = e / max(e.sum(), 1e-300)
         own = p[p > 1e-12]
@@ -212,13 +285,13 @@ def spectrum(vectors: DataFrame, by: list[str]) -> DataFrame:
         return pd.DataFrame([[*key, 1 - p.max() if e.sum() > 0 else 0.0, float(np.exp(-(own * np.log(own)).sum())) if e.sum() > 0 else 0.0]])
 
     fields = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in by)
-    return g.groupBy(*by).applyInPandas(solve, f"{fields}, dispersion double, effective_rank double")
+    return sums.groupBy(*by).applyInPandas(solve, f"{fields}, dispersion double, effective_rank double")
 
 
 def margins(vectors: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
     """vectors with `margin`: cosine to the first centroid less that to the second; both are one row and broadcast."""
-    both = one.select(F.col("centroid").alias("c1")).crossJoin(two.select(F.col("centroid").alias("c2")))
-    return vectors.crossJoin(F.broadcast(both)).withColumn("margin", cosine(F.col("v"), F.col("c1")) - cosine(F.col("v"), F.col("c2"))).drop("c1", "c2")
+    both = one.select(F.col("centroid").alias("c1")).limit(1).crossJoin(two.select(F.col("centroid").alias("c2")).limit(1))
+    return vectors.crossJoin(both).withColumn("margin", cosine(F.col("v"), F.col("c1")) - cosine(F.col("v"), F.col("c2"))).drop("c1", "c2")
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -227,22 +300,28 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def auto_kmeans(vectors: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 6, 8, 12, 16), seed: int = 7) -> DataFrame:
-    """(id, k, cluster): weighted k-means on unit vectors for the k with the best cosine silhouette."""
+    """(id, k, cluster): weighted k-means on unit vectors for the k with the best cosine silhouette; a k is valid if it is
+    below the number of distinct vectors and every cluster has a member. Without a valid k all are one cluster."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    x = vectors.select("id", F.col("w").cast("double").alias("w"), array_to_vector(unit(F.col("v"))).alias("features")).cache()
-    n, best = x.count(), (-2.0, 0, None)
+    from lectern.sources.tables import checkpointed
+
+    u = checkpointed(vectors.select("id", F.col("w").cast("double").alias("w"), unit(F.col("v")).alias("u")))
+    x = u.select("id", "w", array_to_vector("u").alias("features"))
+    n, best = u.select("u").distinct().count(), None
     for k in ks:
         if 2 <= k < n:
             out = KMeans(k=k, seed=seed, weightCol="w", distanceMeasure="cosine", maxIter=10).fit(x).transform(x)
+            if out.select("prediction").distinct().count() < k:
+                continue
             score = ClusteringEvaluator(distanceMeasure="cosine").evaluate(out)
-            best = max(best, (score, k, out), key=lambda b: b[0])
-    x.unpersist()
-    if best[2] is None:
-        return x.select("id", F.lit(1).alias("k"), F.lit(0).alias("cluster"))
+            if best is None or score > best[0]:
+                best = (score, k, out)
+    if best is None:
+        return u.select("id", F.lit(1).alias("k"), F.lit(0).alias("cluster"))
     return best[2].select("id", F.lit(best[1]).alias("k"), F.col("prediction").alias("cluster"))
 
 
-__all__ = ["auto_kmeans", "best_match", "centroid_distance", "centroids", "cluster_mixing", "cluster_summary", "diameters", "latest", "margins", "median_distance", "pairwise", "spectrum"]
+__all__ = ["alignment", "anchor_calibration", "auto_kmeans", "best_match", "centroid_distance", "centroids", "cluster_mixing", "cluster_summary", "control_share", "diameter_summary", "diameters", "latest", "margins", "median_distance", "pairwise", "spectrum"]

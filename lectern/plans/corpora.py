@@ -23,8 +23,22 @@ def votes_unpivot(spark, sf_dir):
     """A wide matrix, an item to a row and a column to a rater, back to a score for each item."""
     l = table(spark, sf_dir, "labels")
     wide = l.select("doc_id", *[F.when((F.col("doc_id") + r) % 7 != 0, 1 + (F.col("doc_id") * 3 + r + F.col("quality")) % 5).alias(f"r{r}") for r in RATERS])
-    long = wide.unpivot(["doc_id"], [f"r{r}" for r in RATERS], "rater", "vote").where("vote is not null")
-    return long.groupBy("doc_id").agg(F.round(F.avg("vote"), 6).alias("score"), F.count("*").alias("votes"), F.min("vote").cast("double").alias("low"), F.max("vote").cast("double").alias("high"))
+    # readers.votes has raters in rows and items in columns: here an item is a row, so the roles of the two are exchanged
+    long = wide.unpivot(["doc_id"], [f"r{r}" for r in RATERS], "rater", "vote").withColumn("vote", F.col("vote").cast("string"))
+    v = A.vote_scores(long, "doc_id")
+    return v.select("doc_id", F.round("score", 6).alias("score"), "votes", "low", "high")
+
+
+@query("""
+with v as (select l_linenumber as rater, l_suppkey % 10 as item, max(1 + cast(l_quantity as bigint) % 5) as vote from lineitem group by 1, 2)
+select 'i' || item as item, round(avg(vote), 6) as score, count(*) as votes, cast(min(vote) as double) as low, cast(max(vote) as double) as high from v group by item
+""")
+def vote_matrix(spark, sf_dir):
+    """A matrix with a row for each rater and a column for each item, through the reader of such files."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("rater"), F.concat(F.lit("i"), (F.col("l_suppkey") % 10).cast("string")).alias("item"), (1 + F.col("l_quantity").cast("long") % 5).alias("vote"))
+    wide = l.groupBy("rater").pivot("item", [f"i{k}" for k in range(10)]).agg(F.max("vote"))
+    v = A.votes(wide, "rater", [f"i{k}" for k in range(10)])
+    return v.select("item", F.round("score", 6).alias("score"), "votes", "low", "high")
 
 
 @query("select p_partkey, cast(case when p_size <= 15 then 0 when p_size <= 35 then 0.5 else 1 end as double) as score from part")
@@ -44,11 +58,8 @@ with c as (select c_custkey, c_name, 'task' || (c_custkey % 900) as task from cu
 select c_custkey, case when count(*) over (partition by task) > 1 then task || '#' || left(sha256(c_name), 12) else task end as task_id from c
 """)
 def disambiguated_ids(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("path"), F.concat(F.lit("task"), (F.col("c_custkey") % 900).cast("string")).alias("task"))
-    from pyspark.sql import Window
-
-    many = F.count("*").over(Window.partitionBy("task")) > 1
-    return c.select("c_custkey", F.when(many, F.concat("task", F.lit("#"), F.left(F.sha2(F.col("path").cast("binary"), 256), F.lit(12)))).otherwise(F.col("task")).alias("task_id"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("path"), F.concat(F.lit("task"), (F.col("c_custkey") % 900).cast("string")).alias("task"), F.lit("{0.4,0.3,0.2,0.1}").alias("readability"))
+    return A.probabilities(c, "customers", ("c_custkey",)).select("c_custkey", "task_id")
 
 
 @query("""
@@ -58,8 +69,8 @@ union all select conv_id, turn, null, 'rejected' from conversations where length
 def response_parse(spark, sf_dir):
     """Model responses, fenced JSON between other words, read back: a score within 0 and 20 and a reason, or rejected."""
     c = table(spark, sf_dir, "conversations")
-    said = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.struct((F.length("text") % 23).alias("score"), F.col("text").alias("reasoning"))), F.lit("\n```\nDone."))
-    body = F.regexp_extract(said, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
+    said = F.concat(F.lit("Sure, {not json}? No:\n".replace("{not json}", "so")), F.lit("```json\n"), F.to_json(F.struct((F.length("text") % 23).alias("score"), F.col("text").alias("reasoning"))), F.lit("\n```\nDone, or {\"score\": 3}."))
+    body = S.first_object(said)
     parsed = F.from_json(body, "score double, reasoning string")
     good = parsed["score"].between(0, 20) & (F.length(F.trim(parsed["reasoning"])) > 0)
     good = F.coalesce(good, F.lit(False))
@@ -90,18 +101,52 @@ def perturb_short_names(spark, sf_dir):
     return items(spark, sf_dir).select("doc_id", S.fingerprint(K.short_names(F.col("content"))).alias("sha"))
 
 
-@query("""
-with n as (select distinct doc_id, name from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from documents)),
-p as (select *, row_number() over (partition by doc_id order by sha256(name), name) - 1 as n from n), l as (select 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ' as l)
-select doc_id, name, (case when n >= 52 then substring(l, cast(floor(n / 52.0 - 1) as bigint) % 52 + 1, 1) else '' end) || substring(l, n % 52 + 1, 1) as garbled from p, l
-""")
+GARBLED_SQL = """
+n as (select distinct doc_id, name from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from documents)),
+p as (select *, row_number() over (partition by doc_id order by sha256(name), name) - 1 as n from n), l as (select 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ' as l),
+g as (select doc_id, name, case when n < 52 then substring(l, n + 1, 1) when n < 52 + 2704 then substring(l, (n - 52) // 52 + 1, 1) || substring(l, (n - 52) % 52 + 1, 1)
+  else substring(l, (n - 2756) // 2704 + 1, 1) || substring(l, ((n - 2756) // 52) % 52 + 1, 1) || substring(l, (n - 2756) % 52 + 1, 1) end as garbled from p, l)
+"""
+
+
+@query(f"with {GARBLED_SQL} select * from g")
 def perturb_garbled_names(spark, sf_dir):
     return K.garbled_names(items(spark, sf_dir))
 
 
-@query()
+@query(f"""
+with {GARBLED_SQL},
+x as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+')) as x, generate_subscripts(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+'), 1) as i from documents)
+select x.doc_id, sha256(string_agg(coalesce(garbled, x), '' order by i)) as sha from x left join g on g.doc_id = x.doc_id and g.name = x.x group by x.doc_id
+""")
+def rewrite_garbled(spark, sf_dir):
+    """Texts with their names exchanged for letters."""
+    d = items(spark, sf_dir).select("doc_id", "content")
+    r = K.rewritten(d, K.garbled_names(d), "garbled")
+    return r.select("doc_id", S.fingerprint(F.col("content")).alias("sha"))
+
+
+@query(r"""
+with d as (select doc_id, text, text || chr(10) || '// note ' || doc_id as noted from documents)
+select doc_id, 1 as comments, length('// note ' || doc_id) as removed from d where not regexp_matches(text, '[/"'']')
+""")
+def removed_comments(spark, sf_dir):
+    """How many comments, and characters of them, are taken out of texts that had none and get one."""
+    d = items(spark, sf_dir).where(~F.col("content").rlike("[/\"']")).withColumn("content", F.concat("content", F.lit("\n// note "), F.col("doc_id").cast("string")))
+    return K.comment_removal(d).select("doc_id", F.col("comments").cast("int").alias("comments"), F.col("removed").cast("long").alias("removed"))
+
+
+@query("""
+with p as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+')) as x, generate_subscripts(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+'), 1) as i from documents),
+h as (select doc_id, string_agg(case when regexp_matches(x, '^(?:0|[1-9][0-9]{0,14})$') then '0x' || lower(format('{:x}', cast(x as bigint))) else x end, '' order by i) as hex, string_agg(case when regexp_matches(x, '^[A-Za-z_]') then left(x, 3) else x end, '' order by i) as short from p group by doc_id),
+v as (select d.doc_id, text, hex, short from documents d left join h using (doc_id)),
+u as (select doc_id, 'original' as kind, 0 as position, text as content, text from v union all select doc_id, 'hexadecimal', 2, coalesce(hex, ''), text from v union all select doc_id, 'short_names', 3, coalesce(short, ''), text from v)
+select doc_id, kind, position, sha256(content) as content_sha256, sha256(content) <> sha256(text) as changed from u
+""")
 def perturbation_manifest(spark, sf_dir):
-    return K.variants(items(spark, sf_dir)).drop("content")
+    """The manifest of variants: the original, integers in hexadecimal, and names cut short."""
+    specs = {k: v for k, v in K.SPECS.items()}
+    return K.variants(items(spark, sf_dir), specs).where("kind in ('original', 'hexadecimal', 'short_names')").drop("content")
 
 
 @query("select doc_id, cast(concat('0x', left(sha256('11:' || doc_id || ':' || source), 8)) as bigint) % 13 as choice from documents")

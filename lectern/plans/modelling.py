@@ -11,6 +11,7 @@ from lectern.operators import statistics as G
 from lectern.operators.features import line_stats, token_density
 from lectern.plans.registry import query, table
 from lectern.plans.text import items
+from lectern.sources.tables import checkpointed
 
 SCORES_SQL = "s as (select l_orderkey, l_linenumber, l_returnflag, l_linestatus, round(l_discount * 10 + l_tax, 6) as score, l_quantity > 25 as label, l_quantity, l_extendedprice from lineitem)"
 
@@ -189,12 +190,12 @@ def feature_table(spark, sf_dir):
     d = items(spark, sf_dir)
     f = line_stats(d).join(token_density(d), "doc_id").select("doc_id", *NAMES)
     l = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
-    j = d.select("doc_id", F.col("dataset").alias("source")).join(l, "doc_id").join(f, "doc_id")
-    return G.balanced_weight(G.fold(j, ["source"], ["doc_id"], 5), ["source"], "w")
+    j = checkpointed(d.select("doc_id", F.col("dataset").alias("source")).join(l, "doc_id").join(f, "doc_id"))
+    return checkpointed(G.balanced_weight(G.fold(j, ["source"], ["doc_id"], 5), ["source"], "w"))
 
 
 def _scored(df, by):
-    return G.spearman(df, by, "prediction", "y").withColumn("spearman", F.round("spearman", 4))
+    return G.spearman(checkpointed(df.select(*by, "prediction", "y")), by, "prediction", "y").withColumn("spearman", F.round("spearman", 4))
 
 
 #: A table that SQL can fit too: two features of lineitem, a target and folds, one row for each line.

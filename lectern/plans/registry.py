@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("text", "features", "relations", "losses", "vectors", "modelling", "corpora", "scoring")
+MODULES = ("text", "features", "relations", "losses", "vectors", "modelling", "corpora", "scoring", "records")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalar as S
 from lectern.operators import vectors as I
+from lectern.operators import relations as E
 from lectern.plans.registry import query, table
 
 BASE_SQL = """
@@ -55,9 +56,68 @@ def best_match(spark, sf_dir):
     return rounded(I.best_match(v.where("kind = 0"), v.where("kind <> 0"), ["label"], 0.3), "mean", "min", "below", "deficit")
 
 
-@query("with c as (select vec_id % 4 as kind, label, sum(1 + vec_id % 3) as s from embeddings group by 1, 2) select kind, count(*) as clusters, round(max(s) / sum(s), 6) as largest, round(stddev_pop(s) / avg(s), 6) as size_cv from c group by kind")
+@query("""
+with c as (select vec_id % 4 as kind, case when label = 9 then -1 else label end as c, sum(1 + vec_id % 3) as s from embeddings group by 1, 2)
+select kind, count(*) filter (where c >= 0) as clusters, round(max(s) filter (where c >= 0) / sum(s) filter (where c >= 0), 6) as largest, round(stddev_pop(s) filter (where c >= 0) / avg(s) filter (where c >= 0), 6) as size_cv, round(coalesce(sum(s) filter (where c < 0), 0) / sum(s), 6) as noise from c group by kind
+""")
 def cluster_summary(spark, sf_dir):
-    return rounded(I.cluster_summary(vectors(spark, sf_dir), ["kind"], "label"), "largest", "size_cv")
+    """Clusters of each kind; vectors of the last label stand for noise."""
+    v = vectors(spark, sf_dir).withColumn("label", F.when(F.col("label") == 9, -1).otherwise(F.col("label")))
+    return rounded(I.cluster_summary(v, ["kind"], "label"), "largest", "size_cv", "noise")
+
+
+@query(f"""
+with {BASE_SQL}, b as (select a.label, a.id, a.w, max(list_dot_product(a.u, r.u)) as best from n a join n r on a.label = r.label and r.kind <> 0 where a.kind = 0 group by 1, 2, 3),
+x as (select label, kind = 0 as side, i, sum(w * x) / sum(w) as x from (select label, kind, w, unnest(range(len(u))) as i, unnest(v) as x from n join e using (id)) group by all),
+m as (select a.label, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) as c from x a join x b on a.label = b.label and a.i = b.i and a.side and not b.side group by a.label)
+select label, round(sum(w * best) / sum(w), 6) as mean, round(max(best), 6) as most, round(any_value(c), 6) as centroids from b join m using (label) group by label
+""".replace("select label, kind, w, unnest(range(len(u))) as i, unnest(v) as x from n join e using (id)", "select n.label, n.kind, n.w, unnest(range(len(n.u))) as i, unnest(n.u) as x from n"))
+def typed_alignment(spark, sf_dir):
+    """Vectors of one kind against all others of their label: best matches, and the cosine of both centroids."""
+    v = vectors(spark, sf_dir)
+    return rounded(I.alignment(v.where("kind = 0"), v.where("kind <> 0"), ["label"]), "mean", "most", "centroids")
+
+
+@query(f"""
+with {BASE_SQL}, dd as (select a.kind, a.label, greatest(0, max(case when a.id < b.id then 1 - list_dot_product(a.u, b.u) end)) as d from n a join n b on a.label = b.label and a.kind = b.kind and a.id <= b.id group by 1, 2),
+s as (select kind, label, sum(w) as s from n group by 1, 2)
+select kind, round(max(coalesce(d, 0)), 6) as greatest, round(sum(coalesce(d, 0) * s) / sum(s), 6) as mean from dd join s using (kind, label) group by kind
+""")
+def diameter_summary(spark, sf_dir):
+    return rounded(I.diameter_summary(vectors(spark, sf_dir), ["kind"], "label"), "greatest", "mean")
+
+
+@query("""
+with c as (select vec_id % 2 as part, label, sum(1 + vec_id % 3) as s, sum(case when vec_id % 8 = 0 then 1 + vec_id % 3 else 0 end) as k from embeddings group by 1, 2)
+select part, round(count(*) filter (where k > 0) / count(*), 6) as clusters, round(coalesce(sum(s) filter (where k > 0), 0) / sum(s), 6) as weight, round(avg(k / s) filter (where k > 0), 6) as kind_share from c group by part
+""")
+def control_cluster_share(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("part", F.col("id") % 2).withColumn("eighth", F.col("id") % 8)
+    return rounded(I.control_share(v, ["part"], "label", "eighth", 0), "clusters", "weight", "kind_share")
+
+
+@query("""
+with s as (select l_linenumber as anchor, round(l_discount * 10 + l_tax, 6) as score, l_quantity > 25 as label from lineitem), h as (select distinct anchor as held from s),
+g as (select held, score, sum(case when label then 1.0 else 0.0 end) as p, sum(case when label then 0.0 else 1.0 end) as q from s join h on anchor <> held group by 1, 2),
+c as (select held, score, sum(p) over w as tp, sum(q) over w as fp, sum(p) over (partition by held) as pp, sum(q) over (partition by held) as qq, lead(score) over w as below from g window w as (partition by held order by score desc)),
+b as (select *, round((tp / pp + (qq - fp) / qq) / 2, 9) as accuracy from c), m as (select *, max(accuracy) over (partition by held) as best from b),
+t as (select held, quantile_cont(case when below is null then score else (score + below) / 2 end, 0.5) as threshold, max(best) as accuracy from m where accuracy = best group by held),
+o as (select anchor, threshold, accuracy, avg(case when label then case when score >= threshold then 1.0 else 0.0 end end) as a, avg(case when not label then case when score < threshold then 1.0 else 0.0 end end) as b from s join t on anchor = held group by 1, 2, 3)
+select anchor, round(threshold, 6) as threshold, round(accuracy, 6) as accuracy, round((coalesce(a, b) + coalesce(b, a)) / 2, 6) as held_out from o
+""")
+def leave_one_anchor_out(spark, sf_dir):
+    """A threshold for each anchor from all others' scores, and how it does on the anchor's own."""
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("anchor"), F.round(F.col("l_discount") * 10 + F.col("l_tax"), 6).alias("score"), (F.col("l_quantity") > 25).alias("label"))
+    return rounded(I.anchor_calibration(s, "label", "score", "anchor"), "threshold", "accuracy", "held_out")
+
+
+@query("select case when label = 3 then 103 else label end as label, count(*) as n from embeddings where label <> 4 group by 1")
+def scoped_replacement(spark, sf_dir):
+    """A store after one scope is replaced and another deleted."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("label").alias("scope"))
+    new = e.where("scope = 3").withColumn("label", F.col("label") + 100)
+    left = E.replace_scope(e.where("scope <> 4"), new, "scope")
+    return left.groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -101,4 +161,4 @@ def upsert_latest(spark, sf_dir):
 
 @query()
 def kmeans_autok(spark, sf_dir):
-    return I.auto_kmeans(vectors(spark, sf_dir), (2, 4, 8))
+    return I.auto_kmeans(vectors(spark, sf_dir))

@@ -49,8 +49,13 @@ def unescaped(c: Column) -> Column:
 def votes(matrix: DataFrame, rater: str, columns: list[str], item: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """A matrix of raters by items as (item, score, votes, low, high); blank and unreadable cells don't count."""
     long = matrix.select(rater, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot([rater], columns, "item", "vote")
-    v = long.withColumn("item", item(F.col("item"))).withColumn("vote", F.trim("vote").try_cast("double")).where("vote is not null")
-    return v.groupBy("item").agg(F.avg("vote").alias("score"), F.count("*").alias("votes"), F.min("vote").alias("low"), F.max("vote").alias("high"))
+    return vote_scores(long.withColumn("item", item(F.col("item"))), "item")
+
+
+def vote_scores(long: DataFrame, item: str) -> DataFrame:
+    """(item, score, votes, low, high) from (item, vote); blank and unreadable votes don't count."""
+    v = long.withColumn("vote", F.trim("vote").try_cast("double")).where("vote is not null")
+    return v.groupBy(item).agg(F.avg("vote").alias("score"), F.count("*").alias("votes"), F.min("vote").alias("low"), F.max("vote").alias("high"))
 
 
 def vote_matrix(spark: SparkSession, path: str, items: int, header: bool) -> DataFrame:
@@ -69,13 +74,13 @@ def vote_counts(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("snip_id").alias("task_id"), F.when(total > 0, F.col("readable") / total).alias("readability_score"))
 
 
-def probabilities(raw: DataFrame, dataset: str) -> DataFrame:
+def probabilities(raw: DataFrame, dataset: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(dataset, task_id, readability_score) from probability vectors; an id that several paths share gets the path's hash."""
     from pyspark.sql import Window
 
     many = F.count("*").over(Window.partitionBy("task")) > 1
     task = F.when(many, F.concat("task", F.lit("#"), F.left(F.sha2(F.col("path").cast("binary"), 256), F.lit(12)))).otherwise(F.col("task"))
-    return raw.select(F.lit(dataset).alias("dataset"), task.alias("task_id"), expected_rating(F.col("readability")).alias("readability_score"))
+    return raw.select(F.lit(dataset).alias("dataset"), task.alias("task_id"), expected_rating(F.col("readability")).alias("readability_score"), *carry)
 
 
 def text_files(spark: SparkSession, path: str, dataset: str) -> DataFrame:
@@ -111,6 +116,65 @@ def valid(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return r.where("reason is null").drop("reason"), r.where("reason is not null")
 
 
-def write_features(features: DataFrame, path: str, order: list[str]) -> None:
-    """A feature table by dataset, its columns in order, replacing only the datasets it has."""
-    features.select(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
+ARCHIVE_ROW = "schema_version int, model string, run int, dataset string, task_id string, source_sha256 string, human_readability_score double, llm_readability_score double, explanation string, token_usage struct<input: long>"
+
+
+def archived_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Records of judged items, compressed or not, under their schema; rows without a required field are left out."""
+    return spark.read.schema(ARCHIVE_ROW).json(path).where("model is not null and run is not null and dataset is not null and task_id is not null")
+
+
+def arff(spark: SparkSession, path: str, columns: list[str], prefix: str, label: str) -> DataFrame:
+    """The data of a file with comments and a declared header: columns of a prefix as numbers, and the class."""
+    lines = spark.read.text(path).where(~F.col("value").rlike("^\\s*(?:[%@].*)?$"))
+    parts = F.split("value", ",")
+    at = {c: i for i, c in enumerate(columns)}
+    numbers = [F.get(parts, F.lit(at[c])).try_cast("double").alias(c) for c in columns if c.startswith(prefix)]
+    return lines.select(*numbers, F.trim(F.get(parts, F.lit(at[label]))).alias(label))
+
+
+def manifest_problems(manifest: DataFrame, modules: list[str]) -> DataFrame:
+    """(row's columns, problem): rows of a manifest (path, position, module) that break a rule, once for each."""
+    rules = {
+        "outside the root": F.col("path").rlike(r"(^|/)\.\.(/|$)") | F.col("path").startswith("/"),
+        "no file": F.col("path").isNull() | F.col("path").endswith("/"),
+        "negative position": F.col("position").isNull() | (F.col("position") < 0),
+        "unknown module": F.col("module").isNull() | ~F.col("module").isin(*modules),
+    }
+    met = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]))
+    return manifest.select("*", F.explode(met).alias("problem"))
+
+
+def manifest_corpus(texts: DataFrame, manifest: DataFrame, dataset: str) -> DataFrame:
+    """Variants with their texts and where they come from: manifest (variant_id, base_sample_id, local_path, content_sha256)
+    joined to texts (path, content); a text whose hash is not the declared one is an error."""
+    from lectern.functions.scalar import fingerprint
+
+    j = manifest.join(texts.withColumnRenamed("path", "local_path"), "local_path")
+    wrong = j.where(fingerprint(F.col("content")) != F.col("content_sha256"))
+    if wrong.take(1):
+        raise ValueError(f"texts of {[r['variant_id'] for r in wrong.select('variant_id').take(5)]} are not those that were declared")
+    return j.select(F.lit(dataset).alias("dataset"), F.col("variant_id").alias("task_id"), "content", F.lit(None).cast("double").alias("readability_score"), F.struct("base_sample_id", "local_path").alias("provenance"))
+
+
+def groups(spark: SparkSession, path: str, manifest: DataFrame, key: str) -> DataFrame:
+    """(group_id, files, known) of the rows under a folder of groups: how many a manifest (key, known) knows."""
+    found = spark.read.parquet(path).select(key, "group_id")
+    return found.join(manifest, key, "left").groupBy("group_id").agg(F.count("*").alias("files"), F.count("known").alias("known"))
+
+
+def layout(names: list[str]) -> str:
+    """The reader that a corpus's file names call for."""
+    if any(n.endswith((".jsonl", ".jsonl.gz")) for n in names):
+        return "json_lines"
+    if any(n.endswith(".json") for n in names):
+        return "json_array"
+    return "text_files"
+
+
+def load(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+    """A corpus by the reader that its files call for."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.getFileStatus(folder).isDirectory() else [folder.getName()]
+    return READERS[layout(names)](spark, path, dataset)
