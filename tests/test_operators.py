@@ -200,7 +200,7 @@ def test_thresholds(spark):
 
 def test_scalars(spark):
     d = spark.createDataFrame([("getHTTPName_2x",)], "t string")
-    assert d.select(S.subtokens(F.col("t"))).first()[0] == ["get", "http", "name", "2", "x"] or d.select(F.size(S.subtokens(F.col("t")))).first()[0] >= 4
+    assert d.select(S.subtokens(F.col("t"))).first()[0] == ["get", "http", "name", "2", "x"]
     assert d.select(S.expected_rating(F.lit("{1, 0, 0, 0}"))).first()[0] == 4.0
     assert [d.select(S.level(F.lit(x))).first()[0] for x in (0.4, 0.5, 0.7, float("nan"))] == ["LOW", "MEDIUM", "HIGH", ""]
 
@@ -215,6 +215,119 @@ def test_readers(spark, tmp_path):
         A.scored_texts(got.select("task_id", "readability_score"), got.where("task_id = 'a'").select("task_id", "content"))
 
 
+def test_first_json_object(spark):
+    said = ['no {"a": "}", "b": {"c": 1}} and {"d": 2}', "none", '{"open": 1', "} {}", '"{" {"x": 1}']
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in said], "t string").select(S.first_object(F.col("t"))).collect()]
+    assert got == ['{"a": "}", "b": {"c": 1}}', None, None, "{}", '{"x": 1}']
+
+
+def test_names_of_letters(spark):
+    got = [r[0] for r in spark.range(52 + 52**2 + 52**3 + 3).orderBy("id").select(K.letters(F.col("id"))).collect()]
+    assert got[:2] == ["a", "b"] and got[51:54] == ["Z", "aa", "ab"] and got[52 + 52**2 - 1 : 52 + 52**2 + 1] == ["ZZ", "aaa"] and got[-3] == "aaaa"
+    assert len(set(got)) == len(got)
+
+
+def test_renamed_texts(spark):
+    d = spark.createDataFrame([(1, "counter = count + county; // counts")], "doc_id long, content string")
+    r = K.renamed_short(d)
+    assert len({x["renamed"] for x in r.collect()}) == r.count() == 4
+    text = K.rewritten(d, r, "renamed").first()["content"]
+    assert text.startswith("cou") and " = cou" in text and text.endswith(tuple("0123456789u"))
+    wrong = {x["name"]: x["misleading"] for x in K.renamed_misleading(d, ["abc", "sixsix", "sevenss"]).collect()}
+    assert wrong == {"counter": "sevenss", "count": "sixsix", "county": "sixsix", "counts": "sixsix"}
+
+
+def test_places_within_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v), i) for i, (g, v) in enumerate(zip(rng.integers(0, 2, 3000), rng.integers(0, 400, 3000), strict=True))] + [(7, 1.0, 9000), (None, 2.0, 9001)]
+    d = spark.createDataFrame(rows, "g int, v double, id long")
+    place = {r["id"]: (r["_place"], r["_all"]) for r in G.positions(d, ["g"], "v", ["id"]).collect()}
+    rank = {r["id"]: r["rank"] for r in G.average_rank(d, ["g"], "v").collect()}
+    fold = {r["id"]: r["fold"] for r in G.fold(d, ["g"], ["id"], 4).collect()}
+    for g in (0, 1, 7, None):
+        own = sorted((v, i) for h, v, i in rows if h == g)
+        assert [place[i] for _, i in own] == [(k + 1, len(own)) for k in range(len(own))]
+        values = [v for v, _ in own]
+        assert all(rank[i] == values.index(v) + (values.count(v) + 1) / 2 for v, i in own)
+        sizes = np.bincount([fold[i] for _, i in own], minlength=4)
+        assert sizes.max() - sizes.min() <= 1
+    ids = d.select("g", "id")
+    nxt = {r["id"]: r["n"] for r in G.following(ids, ["g"], "id", "n").collect()}
+    own = sorted(i for h, _, i in rows if h == 0)
+    assert [nxt[i] for i in own] == [*own[1:], own[0]]
+
+
+def test_logistic_models(spark):
+    """Newton steps over sums: the gradient vanishes, and L1 leaves out what has no part in the label."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 3))
+    y = (rng.random(600) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - 1.0 * x[:, 1] + 0.3)))).astype(float)
+    d = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, y double").withColumn("w", F.lit(1.0)).withColumn("_h", F.xxhash64("id"))
+    beta = J.logistic(d, ["a", "b", "c"], "y", "w", l2=1.0)[0]
+    p = 1 / (1 + np.exp(-(x @ beta[:3] + beta[3])))
+    assert np.abs(x.T @ (p - y) + beta[:3]).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    r = {q["feature"]: q for q in J.stability(d, ["a", "b", "c"], "y", "id", rounds=40, c=0.03).collect()}
+    assert r["a"]["rank"] == 1 and r["a"]["frequency"] == 1.0 and r["b"]["frequency"] > 0.9 > 0.5 > r["c"]["frequency"] and r["a"]["coefficient"] > 0 > r["b"]["coefficient"]
+    chosen = J.forward_selection(d.withColumn("fold", F.col("id") % 4), ["c", "b", "a"], "y", "id", "fold", 4, 2)
+    assert [f for f, _ in chosen] == ["a", "b"] and chosen[1][1] > chosen[0][1] > 0.6
+
+
+def test_bootstrap_interval(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    rows = [("g", i, float(a), float(a + b)) for i, (a, b) in enumerate(zip(x, rng.normal(size=300), strict=True))] + [("one", 1000, 1.0, 1.0)]
+    r = {q["g"]: q for q in J.bootstrap(spark.createDataFrame(rows, "g string, id long, x double, y double"), "g", "id", "x", "y", rounds=1000).collect()}
+    ranks = lambda v: np.argsort(np.argsort(v))
+    draws = rng.integers(0, 300, (400, 300))
+    a, b = np.array([q[2] for q in rows[:300]]), np.array([q[3] for q in rows[:300]])
+    own = [np.corrcoef(ranks(a[k]), ranks(b[k]))[0, 1] for k in draws]
+    assert r["g"]["valid"] == 1000 and r["g"]["low"] == pytest.approx(np.quantile(own, 0.025), abs=0.03) and r["g"]["high"] == pytest.approx(np.quantile(own, 0.975), abs=0.03)
+    assert r["one"]["low"] is None if "one" in r else True
+
+
+def test_folds_fit_apart(spark):
+    """Out-of-fold predictions against a ridge fitted by numpy for each fold."""
+    rng = np.random.default_rng(4)
+    x, fold = rng.normal(size=(90, 2)), np.arange(90) % 3
+    y = x @ [0.1, -0.05] + 0.5 + rng.normal(size=90) * 0.05
+    d = spark.createDataFrame([(i, *map(float, r), float(t), int(k)) for i, (r, t, k) in enumerate(zip(x, y, fold, strict=True))], "id long, a double, b double, y double, fold int")
+    got = {r["id"]: r["prediction"] for r in J.out_of_fold(d, ["a", "b"], "y", F.lit(1.0), "fold", alpha=3.0).collect()}
+    for k in range(3):
+        tr, te = fold != k, fold == k
+        lo, hi = x[tr].min(axis=0), x[tr].max(axis=0)
+        m, s = x[tr].mean(axis=0), x[tr].std(axis=0)
+        z, zt = (x[tr] - m) / s, (np.clip(x[te], lo, hi) - m) / s
+        beta = np.linalg.solve(z.T @ z + 3 * np.eye(2), z.T @ (y[tr] - y[tr].mean()))
+        want = np.clip(zt @ beta + y[tr].mean(), 0, 1)
+        assert [got[i] for i in np.flatnonzero(te)] == pytest.approx(want.tolist())
+
+
+def test_contracts(spark, tmp_path):
+    """A feature table is loaded only if it is what its corpus says."""
+    from lectern.sources import sinks as W
+
+    f = spark.createDataFrame([("d", "1", "h1", 0.5), ("d", "2", "h2", None)], "dataset string, task_id string, sha string, x double")
+    W.write_features(f, f"file://{tmp_path}/t", ["task_id", "sha", "x"], {"x": "a measure"}, {"version": 1})
+    assert W.load_features(spark, f"file://{tmp_path}/t", ["x"], f.select("dataset", "task_id", "sha")).count() == 2
+    for bad in (f.where("task_id = '1'"), f.withColumn("sha", F.lit("other"))):
+        with pytest.raises(ValueError):
+            W.load_features(spark, f"file://{tmp_path}/t", ["x"], bad.select("dataset", "task_id", "sha"))
+    with pytest.raises(ValueError):
+        W.load_features(spark, f"file://{tmp_path}/t", ["y"], f)
+    with pytest.raises(ValueError):
+        E.attach(f, f.unionByName(f).select("task_id"), ["task_id"])
+
+
+def test_corpora_by_layout(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.json").write_text('[{"task_id": "t", "code": "x\\\\ny", "readability_score": 1.5}]')
+    assert A.layout(["a.jsonl.gz"]) == "json_lines" and A.layout(["a.java"]) == "text_files"
+    assert one(A.load(spark, f"file://{tmp_path}/c", "d"), "task_id", "content") == [("t", "x\ny")]
+    m = spark.createDataFrame([("v", "b", "p", "0" * 64)], "variant_id string, base_sample_id string, local_path string, content_sha256 string")
+    with pytest.raises(ValueError):
+        A.manifest_corpus(spark.createDataFrame([("p", "text")], "path string, content string"), m, "d")
+
+
 def test_perturbations(spark):
     d = spark.createDataFrame([(1, "total = 255 + 007 // sum\n\n\nnext")], "doc_id long, content string")
     assert d.select(K.hexadecimal(F.col("content"))).first()[0] == "total = 0xff + 007 // sum\n\n\nnext"

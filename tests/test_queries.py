@@ -39,10 +39,33 @@ def test_matches_oracle(spark, duck, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"family_ablation", "leave_one_source_out", "stability_ranking", "kmeans_autok"}))
-def test_runs_without_oracle(spark, name):
-    got = QUERIES[name](spark, DATA)
-    assert got.columns and got.count() >= 0
+#: What SQL can't express is at least held to its shape and ranges; the operators are tested against numpy beside.
+SHAPES = {
+    "spectral_dispersion": lambda r: len(r) == 10 and all(0 <= x["dispersion"] <= 1 and 1 <= x["effective_rank"] <= 64 for x in r),
+    "kmeans_autok": lambda r: len({x["id"] for x in r}) == len(r) == 500 and len({x["cluster"] for x in r}) == r[0]["k"] and r[0]["k"] in (2, 3, 4, 6, 8, 12, 16),
+    "leave_one_source_out": lambda r: len(r) == 20 and all(x["spearman"] is None or abs(x["spearman"]) <= 1 for x in r),
+    "family_ablation": lambda r: {x["without"] for x in r} == {"none", "length", "indent", "tokens"} and len({x["n"] for x in r}) == 1,
+    "feature_count_curve": lambda r: sorted(x["k"] for x in r) == list(range(7)) and all((x["spearman"] is None) == (x["k"] == 0) for x in r),
+    "selected_evaluation": lambda r: {x["evaluation"] for x in r} == {"cross_validation", "leave_one_out", "in_sample"} and len({x["n"] for x in r}) == 1,
+    "instantiation_comparison": lambda r: sorted(x["instantiation"] for x in r) == [0, 1, 2],
+    "bootstrap_interval": lambda r: len(r) == 5 and all(x["valid"] >= 9500 and -1 <= x["low"] < x["high"] <= 1 for x in r),
+    "correlation_selection": lambda r: [x["rank"] for x in r] == list(range(1, len(r) + 1)) and r[0]["feature"] == "mean_length",
+    "joint_selection": lambda r: [x["rank"] for x in r] == list(range(1, len(r) + 1)) and r[0]["feature"] == "mean_length",
+    "stability_ranking": lambda r: sorted(x["rank"] for x in r) == list(range(1, 7)) and all(0 <= x["frequency"] <= 1 and round(x["frequency"] * 200, 6) % 1 == 0 for x in r),
+    "candidate_extension": lambda r: sum(x["before"] is not None for x in r) == 3 and sum(x["after"] is not None for x in r) == 3,
+    "forward_features": lambda r: 1 <= len(r) <= 2 and all(0.5 <= x["accuracy"] <= 1 for x in r),
+    "logistic_model": lambda r: len(r) == 7 and r[-1]["feature"] == "intercept",
+    "model_card": lambda r: len(r) == 1 and len(r[0]["coefficients"]) == 6 and r[0]["rows"] == 87,
+}
+
+
+def test_every_query_is_tested():
+    assert set(SHAPES) == set(QUERIES) - set(ORACLE)
+
+
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_shape(spark, name):
+    assert SHAPES[name](QUERIES[name](spark, DATA).collect())
 
 
 def test_imports_without_the_corpus_operators():
