@@ -174,7 +174,8 @@ class _Bins:
     def exchange(self, displaced: list[int]) -> list[int]:
         """Displaced items for smaller ones: each bin with room gives up what lets longer displaced ones fill it better.
 
-        One item goes out for one longer, or two for one or two that together are longer, never beyond the room left.
+        One item goes out for one longer, or two for one, or in bins of up to four items for two, that are longer together,
+        never beyond the room left.
         """
         sizes = self.sizes
         out = sorted((sizes[i], i) for i in displaced)
@@ -189,7 +190,7 @@ class _Bins:
                 k = bisect_right(out, (size + room, self.length + len(sizes))) - 1
                 if k >= 0 and out[k][0] > size and (best is None or out[k][0] - size > best[0]):
                     best = (out[k][0] - size, gone, (k,))
-                if len(gone) == 2 and (best is None or best[0] < room):
+                if len(gone) == 2 and len(bin_) <= 4 and (best is None or best[0] < room):
                     lo, hi = 0, len(out) - 1
                     while lo < hi:  # the two displaced ones that come nearest to the room from below
                         both = out[lo][0] + out[hi][0]
