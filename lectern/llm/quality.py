@@ -18,7 +18,7 @@ _BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 #: Character classes of the histogram; white space and everything else complete it.
 CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "mark": r"[\p{P}\p{S}]"}
-#: Words of a window for repetition.
+#: Words of a window for repetition: features() builds its hashes from those of two and four words.
 WINDOW = 5
 #: Words in a language's reference: its most frequent.
 COMMON = 12
@@ -52,15 +52,19 @@ def _lines_twice(text: Column) -> Column:
 def features(docs: DataFrame, common: Column) -> DataFrame:
     """docs with _n (words), _chars, _symbols, _lines, _repeat, _classes and _common (counts for the words of `common`).
 
-    Windows are told apart by 64-bit hashes of their words' hashes: a text of a million words with unlike windows alone
+    Words are told apart by 64-bit hashes, windows by hashes of those: a text of a million words with unlike windows alone
     is taken to have equal ones with probability 3e-8. Words in windows met twice: a text without any such window, nearly every one, is told by a hash set; otherwise
     windows are sorted with their places, equal neighbours flagged, and the cover of the flagged places is summed.
     """
     d = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     d = d.withColumn("_words", words_of(F.col("_text"))).withColumn("_n", F.size("_words").cast("long"))
     d = d.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    window = lambda x, i: F.xxhash64(x, *[F.get(F.col("_h"), i + j) for j in range(1, WINDOW)])
-    d = d.withColumn("_w5", F.transform(F.slice("_h", 1, F.greatest(F.col("_n").cast("int") - (WINDOW - 1), F.lit(0))), window))
+    # hashes of two words, of four, of five: each pairs two arrays, one of them set off
+    two = lambda x, y: F.xxhash64(x, y)
+    room = F.greatest(F.col("_n").cast("int") - (WINDOW - 1), F.lit(0))
+    d = d.withColumn("_h2", F.zip_with("_h", F.slice("_h", 2, F.size("_h")), two))
+    d = d.withColumn("_h4", F.zip_with("_h2", F.slice("_h2", 3, F.size("_h2")), two))
+    d = d.withColumn("_w5", F.zip_with(F.slice("_h4", 1, room), F.slice("_h", WINDOW, room), two))
     some = F.size("_w5") > F.size(F.array_distinct("_w5"))
     d = d.withColumn("_placed", F.when(some, F.array_sort(F.transform("_w5", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     twin = lambda x, j: (x["h"] == F.get(F.col("_placed"), j - 1)["h"]) | (x["h"] == F.get(F.col("_placed"), j + 1)["h"])
@@ -70,10 +74,10 @@ def features(docs: DataFrame, common: Column) -> DataFrame:
     d = d.withColumn("_chars", F.length(F.array_join("_words", "")).cast("long"))
     d = d.withColumn("_few", few(F.col("_text"))).withColumn("_lines", _lines_twice(F.col("_text")).cast("long"))
     d = d.withColumn("_symbols", F.regexp_count("_few", F.lit(SYMBOLS)).cast("long")).withColumn("_classes", class_counts(F.col("_text"), F.col("_chars"), F.col("_few")))
-    d = d.withColumn("_list", common)
-    d = d.withColumn("_short", F.filter("_words", lambda w: F.array_contains(F.col("_list"), w)))
+    d = d.withColumn("_list", F.transform(common, lambda w: F.xxhash64(w)))
+    d = d.withColumn("_short", F.filter("_h", lambda w: F.array_contains(F.col("_list"), w)))
     d = d.withColumn("_common", F.transform("_list", lambda c: F.size("_short") - F.size(F.array_remove("_short", c))))
-    return d.drop("_text", "_words", "_few", "_h", "_w5", "_placed", "_at", "_list", "_short")
+    return d.drop("_text", "_words", "_few", "_h", "_h2", "_h4", "_w5", "_placed", "_at", "_list", "_short")
 
 
 def few(text: Column) -> Column:
