@@ -33,3 +33,29 @@ l as (select d.doc_id, string_agg(substring(h, 2 * e.a + 1, case when e.b is nul
 select d.doc_id, len(d.h) // 2 as n_bytes, cast(coalesce(n.n, 0) as bigint) as n_removed, coalesce(n.runs, 0) as n_spans, sha256(unhex(case when n.n is null then d.h else coalesce(l.h, '') end)) as kept_sha256
 from d left join n using (doc_id) left join l using (doc_id)
 """
+
+FILTER_AUDIT = r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+m as (select part, if(len(w) < 50, 'A', '') || if(100 * len(list_distinct(w)) < 65 * len(w), 'B', '') || if(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), 'C', '')
+    || if(regexp_matches(text, '[#$%&*|]'), 'D', '') || if(min(doc_id) over (partition by text) < doc_id, 'E', '') as mask,
+  coalesce(l.quality = 1, false) as good, coalesce(l.toxic = 1, false) as toxic from d left join labels l using (doc_id)),
+c as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from m group by all),
+f as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as o from f a, f b, f c, f d, f e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select o as filter_order, step, o[step] as letter, o[1:step - 1] as before from o, (select unnest(range(1, 6)) as step)),
+r as (select part, filter_order, step, letter,
+  coalesce(sum(n) filter (translate(mask, before || letter, '') = mask), 0) as kept,
+  coalesce(sum(n) filter (contains(mask, letter) and translate(mask, before, '') = mask), 0) as removed,
+  coalesce(sum(n) filter (contains(mask, letter) and translate(mask, before, '') <> mask), 0) as redundant,
+  coalesce(sum(n) filter (mask = letter), 0) as unique_fails,
+  coalesce(sum(good) filter (contains(mask, letter) and translate(mask, before, '') = mask), 0) as good_lost,
+  coalesce(sum(toxic) filter (contains(mask, letter) and translate(mask, before, '') = mask), 0) as toxic_lost
+  from c, s group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, letter) as bigint) as shapley from r
+"""
+
+EXACT_GROUPS = """
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
+from documents window w as (partition by coalesce(text, ''))
+"""

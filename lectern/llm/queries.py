@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from lectern.llm import oracles, personal_data
 from lectern.llm.byte_repeats import earlier_passages
 from lectern.llm.common import read_table
+from lectern.llm.exact_dedup import exact_groups
+from lectern.llm.filter_audit import filter_interactions
 from lectern.llm.html_text import extract
 from lectern.llm.language_id import train_and_identify
 from lectern.llm.mixing import mix
 from lectern.llm.near_dedup import near_duplicates
 from lectern.llm.packing import pack
 from lectern.llm.quality import judge
+from lectern.llm.resampling import resample
 from lectern.llm.top_k import top_k
 from lectern.llm.word_repeats import repeated_passages
 
@@ -72,5 +75,23 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, base.alias("base_sha256"), personal_data.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_language_id, op4_mix_sources, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_quality_rules, op10_personal_data)}
-ORACLE: dict[str, str] = {"op5_exact_top_k": oracles.TOP_K, "op7_substring_dedup": oracles.WORD_REPEATS, "op8_suffix_array_dedup": oracles.BYTE_REPEATS}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(read_table(spark, sf_dir, "documents")).drop("first_id")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=25, buckets=10_000, seed=7, least=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_language_id, op4_mix_sources, op5_exact_top_k, op6_best_fit_packing, op7_substring_dedup, op8_suffix_array_dedup, op9_quality_rules, op10_personal_data, op11_filter_audit, op12_exact_dedup, op13_importance_resampling)}
+ORACLE: dict[str, str] = {
+    "op5_exact_top_k": oracles.TOP_K,
+    "op7_substring_dedup": oracles.WORD_REPEATS,
+    "op8_suffix_array_dedup": oracles.BYTE_REPEATS,
+    "op11_filter_audit": oracles.FILTER_AUDIT,
+    "op12_exact_dedup": oracles.EXACT_GROUPS,
+}
