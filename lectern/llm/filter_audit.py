@@ -73,8 +73,8 @@ def audit(marks: DataFrame, letters: str = LETTERS) -> DataFrame:
     ends = counts.join(F.broadcast(spans), "mask").select("part", "step", F.explode(F.array(*[
         F.struct(F.col(end).alias("rank"), *[(sign * F.col(c)).alias(c) for c in what]) for end, sign in (("start", 1), ("stop", -1))
     ])).alias("e"))
-    steps = F.sequence(F.lit(1), F.lit(n))
-    grid = parts.crossJoin(F.broadcast(orders)).select("part", F.explode(steps).alias("step"), "rank", *[F.lit(0).cast("long").alias(c) for c in what])
+    grid = parts.select("part", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("step")).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(factorial(n) - 1))))
+    grid = grid.select("*", *[F.lit(0).cast("long").alias(c) for c in what])
     change = ends.select("part", "step", "e.*").where(F.col("rank") < factorial(n)).unionByName(grid)
     change = change.groupBy("part", "step", "rank").agg(*[F.sum(c).alias(c) for c in what])
     along = Window.partitionBy("part", "step").orderBy("rank")
