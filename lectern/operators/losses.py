@@ -47,54 +47,107 @@ def invalid_tokens(tokens: DataFrame) -> DataFrame:
     return t.select("doc_id", F.explode(all_).alias("problem")).groupBy("doc_id", "problem").agg(F.count("*").alias("n"))
 
 
-def overlap(tokens: DataFrame, spans: DataFrame, block: int = 512) -> DataFrame:
+def overlap(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Tokens with the spans of their document that they overlap.
 
-    Both sides name the blocks of `block` characters that they touch and meet on document and block, so a long
-    document's pairs are found in many tasks; a pair counts in the first block that both touch.
+    Tokens are numbered in the order of their starts. One sweep over the sorted boundaries of both counts, for each span,
+    the tokens that have started before its end and those of which, and of all before which, none reaches past its start:
+    the tokens between are joined by their numbers, so that no more pairs meet than overlap (where tokens lie
+    within others, a few more, which are dropped). A span given twice meets its tokens twice.
     """
-    at = lambda c: F.floor(F.col(c) / block)
-    t = tokens.withColumn("_b", F.explode(F.sequence(at("start"), F.floor((F.greatest(F.col("end") - 1, F.col("start"))) / block))))
+    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
+    so_far = by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = tokens.withColumn("_n", F.row_number().over(by_start)).withColumn("_reach", F.max("end").over(so_far))
     s = spans.withColumnsRenamed({"start": "s_start", "end": "s_end"})
-    s = s.withColumn("_b", F.explode(F.sequence(at("s_start"), F.floor((F.greatest(F.col("s_end") - 1, F.col("s_start"))) / block))))
-    j = t.join(s, ["doc_id", "_b"]).where("start < s_end and end > s_start")
-    return j.where(F.col("_b") == F.greatest(F.floor(F.col("start") / block), F.floor(F.col("s_start") / block))).drop("_b")
+    key = s.columns
+    none = [F.lit(None).cast(s.schema[c].dataType).alias(c) for c in key if c != "doc_id"]
+    edge = lambda at, turn: F.struct(F.col(at).cast("long").alias("at"), F.lit(turn).alias("turn"))
+    # of what lies at one place, tokens that end come before a span's start, and a span's end before tokens that start
+    ends = t.select("doc_id", *none, F.explode(F.array(edge("_reach", 0), edge("start", 3))).alias("e"))
+    ends = ends.unionByName(s.select(*key, F.explode(F.array(edge("s_start", 1), edge("s_end", 2))).alias("e")))
+    sweep = Window.partitionBy("doc_id").orderBy("e.at", "e.turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = lambda turn: F.sum((F.col("e.turn") == turn).cast("long")).over(sweep)
+    seen = ends.select(*key, "e.turn", run(0).alias("past"), run(3).alias("begun")).where("turn in (1, 2)")
+    seen = seen.groupBy(*key).agg(F.max(F.when(F.col("turn") == 1, F.col("past"))).alias("lo"), F.max(F.when(F.col("turn") == 2, F.col("begun"))).alias("hi"), F.count(F.when(F.col("turn") == 1, 1)).cast("int").alias("copies"))
+    seen = seen.where("lo < hi").select(*key, F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("_n"), "copies")
+    j = t.join(seen.withColumn("_n", F.col("_n").cast("int")), ["doc_id", "_n"]).where("start < s_end and end > s_start")
+    return j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_n", "_reach", "copies", "_copy")
+
+
+def _edges(trace: DataFrame) -> DataFrame:
+    """(doc_id, at, bits, bytes, k): by how much bits and bytes a character, and the tokens over it, change at each place.
+
+    A token's bits are spread evenly over its UTF-8 bytes, so a token of one-byte characters changes them where it starts
+    and where it ends; one with longer characters does so at every character. A trace without texts has `bytes` instead.
+    """
+    piece = lambda start, end, bits, size: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), bits.cast("double").alias("bits"), size.cast("double").alias("bytes"))
+    start, end = F.col("start"), F.col("end")
+    if "text" in trace.columns:
+        size = F.octet_length("text")
+        plain = F.array(piece(start, end, F.col("bits") / size * F.length("text"), F.length("text")))
+        each = F.transform(F.split("text", ""), lambda c, i: piece(start + i, start + i + 1, F.col("bits") * F.octet_length(c) / size, F.octet_length(c)))
+        pieces = F.when(size == F.length("text"), plain).otherwise(each)
+    else:
+        pieces = F.array(piece(start, end, F.col("bits"), F.col("bytes")))
+    p = trace.where("start < end").select("doc_id", F.explode(pieces).alias("p"))
+    wide = F.col("p.end") - F.col("p.start")
+    edge = lambda at, sign: F.struct(F.col(at).alias("at"), (sign * F.col("p.bits") / wide).alias("bits"), (sign * F.col("p.bytes") / wide).alias("bytes"), F.lit(sign).alias("k"))
+    return p.select("doc_id", F.explode(F.array(edge("p.start", 1), edge("p.end", -1))).alias("e")).select("doc_id", "e.*")
+
+
+def _swept(edges: DataFrame) -> DataFrame:
+    """edges in the order of their places, with width, own_bits, own_bytes and over: from the place before to this one, the
+    characters between, their bits, their bytes (each once, however many tokens are over it) and the tokens over them."""
+    order = Window.partitionBy("doc_id").orderBy("at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    run = {c: F.sum(c).over(before).alias(f"_{c}") for c in ("bits", "bytes", "k")}
+    d = edges.select("*", (F.col("at") - F.lag("at").over(order)).alias("width"), *run.values())
+    live = F.coalesce(F.col("_k"), F.lit(0)) > 0
+    own = lambda c: F.when(live, c * F.col("width")).otherwise(0.0)
+    return d.withColumns({"own_bits": own(F.col("_bits")), "own_bytes": own(F.col("_bytes") / F.col("_k")), "over": F.coalesce("_k", F.lit(0))})
 
 
 def allocation(tokens: DataFrame) -> DataFrame:
-    """tokens (doc_id, start, end, bits, text) as segments (doc_id, start, end, bits, bytes, k, text) that don't overlap.
+    """tokens (doc_id, start, end, bits, text) as segments (doc_id, start, end, bits, bytes, k) that don't overlap.
 
-    A token's bits are spread evenly over its UTF-8 bytes. Texts are cut at every end of a token; a segment has the bits of
-    the k tokens over it, and its bytes once. Tokens that touch but don't overlap are their own segments.
+    A token's bits are spread evenly over its UTF-8 bytes. Texts are cut at every end of a token (at every character of
+    tokens that aren't ASCII); a segment has the bits of the k tokens over it, and its bytes once.
     """
-    ends = tokens.select("doc_id", F.explode(F.array("start", "end")).alias("start")).distinct()
-    cuts = ends.withColumn("end", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))).where("end is not null")
-    j = overlap(tokens, cuts)
-    piece = F.substring(F.col("text"), F.col("s_start") - F.col("start") + 1, F.col("s_end") - F.col("s_start"))
-    j = j.withColumn("piece", piece).withColumn("own", F.col("bits") * F.octet_length("piece") / F.octet_length("text"))
-    g = j.groupBy("doc_id", F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg(F.sum("own").alias("bits"), F.count("*").alias("k"), F.first("piece").alias("text"))
-    return g.withColumn("bytes", F.octet_length("text"))
-
+    s = _swept(_edges(tokens)).where("over > 0 and width > 0")
+    return s.select("doc_id", (F.col("at") - F.col("width")).alias("start"), F.col("at").alias("end"), F.col("own_bits").alias("bits"), F.round("own_bytes").cast("long").alias("bytes"), F.col("over").alias("k"))
 
-def _shares(segments: DataFrame, spans: DataFrame) -> DataFrame:
-    """Segments with the spans over them, and the bits and bytes of what both have in common."""
-    j = overlap(segments, spans)
-    at = F.greatest("start", "s_start")
-    piece = F.octet_length(F.substring(F.col("text"), at - F.col("start") + 1, F.least("end", "s_end") - at))
-    return j.withColumn("own_bits", F.col("bits") * piece / F.col("bytes")).withColumn("own_bytes", piece)
 
+def _read_off(trace: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """(doc_id, key, bits, bytes): of what a trace (tokens, or segments of allocation) has within spans, summed by key.
 
-def interval_loss(segments: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    One sweep over the sorted boundaries of trace and spans: running sums of bits and covered bytes, and a span is the
+    difference of those at its two ends. Nothing is joined, and all steps of a document stay in one partition.
+    """
+    wanted = [c for c in key if c != "doc_id"]
+    place = lambda c, sign: F.struct(F.col(c).cast("long").alias("at"), F.lit(sign).alias("sign"))
+    fields = F.struct(*wanted) if wanted else F.struct(F.lit(0).alias("_"))
+    ends = spans.where("start < end").select("doc_id", fields.alias("_key"), F.explode(F.array(place("start", -1), place("end", 1))).alias("p"))
+    nothing = [F.lit(0.0).alias("bits"), F.lit(0.0).alias("bytes"), F.lit(0).alias("k")]
+    ends = ends.select("doc_id", "p.at", *nothing, "p.sign", "_key")
+    edges = _edges(trace)
+    all_ = edges.select("*", F.lit(0).alias("sign"), F.lit(None).cast(ends.schema["_key"].dataType).alias("_key")).unionByName(ends)
+    total = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = _swept(all_).select("doc_id", "sign", "_key", F.sum("own_bits").over(total).alias("b"), F.sum("own_bytes").over(total).alias("n"))
+    s = s.where("sign <> 0").select("doc_id", *[F.col(f"_key.`{c}`").alias(c) for c in wanted], (F.col("sign") * F.col("b")).alias("b"), (F.col("sign") * F.col("n")).alias("n"))
+    g = s.groupBy("doc_id", *wanted).agg(F.sum("b").alias("bits"), F.round(F.sum("n")).cast("long").alias("bytes"))
+    return g.where("bytes > 0")
+
+
+def interval_loss(trace: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
     """(doc_id, by, bits, bytes, bpb): bits per covered byte of the union of each group's spans; no row without bytes."""
     merged = union(spans.select("doc_id", *by, "start", "end"), ["doc_id", *by])
-    g = _shares(segments, merged).groupBy("doc_id", *by).agg(F.sum("own_bits").alias("bits"), F.sum("own_bytes").alias("bytes"))
-    return g.withColumn("bpb", F.col("bits") / F.col("bytes"))
+    return _read_off(trace, merged, by).withColumn("bpb", F.col("bits") / F.col("bytes"))
 
 
-def occurrence_loss(segments: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+def occurrence_loss(trace: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
     """(doc_id, by, start, end, bpb): bits per covered byte of each span; spans without a covered byte have no row."""
-    g = _shares(segments, spans).groupBy("doc_id", *by, F.col("s_start").alias("start"), F.col("s_end").alias("end")).agg((F.sum("own_bits") / F.sum("own_bytes")).alias("bpb"))
-    return g
+    key = [*by, "start", "end"]
+    return _read_off(trace, spans.select("doc_id", *key), key).select("doc_id", *key, (F.col("bits") / F.col("bytes")).alias("bpb"))
 
 
 def tail_mean(values: DataFrame, by: list[str], value: str, share: float = 0.1) -> DataFrame:
@@ -162,12 +215,12 @@ def context_difficulty(short: DataFrame, long: DataFrame, spans: DataFrame, size
     same = ["doc_id", "i", "start", "end"]
     print_ = lambda d: d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*same).cast("decimal(38,0)")).alias("h"))
     good = print_(short).join(print_(long), ["doc_id", "n", "h"]).select("doc_id")
-    early = short.where(F.floor(F.col("i") / size) * size <= size).select("doc_id", "start", "end").withColumn("early", F.lit(1))
+    early = short.where(F.floor(F.col("i") / size) * size <= size)
     spans = spans.join(good, "doc_id", "left_semi").select("doc_id", "role", "start", "end").distinct()
-    cut = overlap(early, spans).select("doc_id", "role", F.col("s_start").alias("start"), F.col("s_end").alias("end")).distinct()
     key = ["doc_id", "role", "start", "end"]
+    cut = occurrence_loss(early, spans, ["role"]).select(*key)
     fit = spans.join(cut, key, "left_anti")
-    each = [occurrence_loss(allocation(t), fit, ["role"]).withColumnRenamed("bpb", c) for t, c in ((short, "s"), (long, "l"))]
+    each = [occurrence_loss(t, fit, ["role"]).withColumnRenamed("bpb", c) for t, c in ((short, "s"), (long, "l"))]
     gain = each[0].join(each[1], key).withColumn("g", F.col("s") - F.col("l"))
     out = gain.groupBy("doc_id", "role").agg(F.avg("g").alias("gain"), F.percentile("g", F.lit(0.1)).alias("q10"), F.count("*").alias("scored"))
     n = spans.groupBy("doc_id", "role").agg(F.count("*").alias("n")).join(cut.groupBy("doc_id", "role").agg(F.count("*").alias("skipped")), ["doc_id", "role"], "left").na.fill(0, ["skipped"])

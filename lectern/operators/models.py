@@ -8,16 +8,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.statistics import average_rank
+from lectern.operators.quantiles import quantiles
+from lectern.operators.statistics import _same, average_rank
 from lectern.sources.tables import checkpointed
 
 
+def _finite(c: str | Column) -> Column:
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def _long(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), _finite(f).alias("x")) for f in features])).alias("s")).select(*keys, "s.*")
+
+
 def preprocess(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, feature, median, low, high, mean, scale): what imputes, clips and standardises each feature of a group."""
-    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select(*by, "s.*")
-    first = long.groupBy(*by, "feature").agg(F.percentile("x", F.lit(0.5)).alias("median"), F.min("x").alias("low"), F.max("x").alias("high"))
-    j = long.join(first, [*by, "feature"]).withColumn("x", F.coalesce("x", "median"))
-    g = j.groupBy(*by, "feature").agg(*[F.first(c).alias(c) for c in ("median", "low", "high")], F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale"))
+    """(by, feature, median, low, high, mean, scale): what imputes, clips and standardises each feature of a group.
+
+    Values that are null, NaN or infinite are missing: the exact median stands in for them.
+    """
+    key = [*by, "feature"]
+    long = _long(df, features, by)
+    first = _same(key, quantiles(long, key, "x", {"median": 0.5}), long.groupBy(*key).agg(F.min("x").alias("low"), F.max("x").alias("high")))
+    j = _same(key, long, first).withColumn("x", F.coalesce("x", "median"))
+    g = j.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("median", "low", "high")], F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale"))
     return g.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
 
 
@@ -26,16 +40,67 @@ def standardised(df: DataFrame, features: Sequence[str], stats: dict[str, tuple]
     out = []
     for f in features:
         median, low, high, mean, scale = stats[f]
-        x = F.least(F.greatest(F.coalesce(F.col(f).cast("double"), F.lit(median)), F.lit(low)), F.lit(high))
+        x = F.least(F.greatest(F.coalesce(_finite(f), F.lit(median)), F.lit(low)), F.lit(high))
         out.append(((x - mean) / scale).alias(f))
     return out
 
 
+#: Partial sums that one task adds up at most before they are added up again.
+FAN_IN = 32
+
+
+def cross_products(df: DataFrame, columns: Sequence[str], weight: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, s): the weighted sums of products of every two of the columns, row by row of the symmetric matrix.
+
+    A task multiplies its rows as matrices, a batch at a time, and emits one matrix for each group; those are added up as a
+    tree, FAN_IN at a time. So a plan for 228 columns is as short as for two, and only matrices are shuffled. Columns
+    must not be null; `by` names groups of which there are few, such as datasets or folds.
+    """
+    k = len(columns)
+    rows = df.select(*by, weight.cast("double").alias("_weight"), F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by], "_part long, s array<double>"])
+
+    def multiply(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, sums, keys = TaskContext.get().partitionId(), {}, {}
+        for batch in batches:
+            v = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            w = batch.column("_weight").to_numpy(zero_copy_only=False)
+            own = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else [()] * len(w)
+            code = {key: i for i, key in enumerate(dict.fromkeys(own))}
+            at = np.fromiter((code[key] for key in own), np.int64, len(own))
+            for key, i in code.items():
+                x = v[at == i]
+                sums[key] = sums.get(key, 0) + x.T @ (x * w[at == i][:, None])
+                keys[key] = key
+        names = [f.name for f in arrow]
+        for key, m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([x], arrow.field(n).type) for n, x in zip(names, [*key, part, m.ravel().tolist()], strict=True)], names=names)
+
+    def add(key, table):
+        import pyarrow as pa
+
+        total = table.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k * k).sum(axis=0)
+        first = table.slice(0, 1)
+        return pa.table([*[first.column(c).cast(arrow.field(c).type) for c in by], pa.array([0], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=[f.name for f in arrow])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(rows.select(*by, F.lit(0).cast("long").alias("_part"), F.col("_v").alias("s")).schema)
+    parts = rows.mapInArrow(multiply, fields)
+    halfway = parts.groupBy(*by, F.floor(F.col("_part") / FAN_IN).alias("_bundle")).applyInArrow(add, fields)
+    return halfway.withColumn("_whole", F.lit(0)).groupBy(*(by or ["_whole"])).applyInArrow(add, fields).drop("_part")
+
+
 def gram(df: DataFrame, x: Sequence[str], y: str, w: Column, by: Sequence[str] = ()) -> DataFrame:
     """(by, w, wx, wxx, wy, wxy): weighted sums from which any sub-model of x solves; p(p+3)/2 + 2 numbers a group."""
-    p = len(x)
-    cells = [F.sum(w * F.col(a) * F.col(b)) for i, a in enumerate(x) for b in x[i:]]
-    return df.groupBy(*by).agg(F.sum(w).alias("w"), F.array(*[F.sum(w * F.col(a)) for a in x]).alias("wx"), F.array(*cells).alias("wxx"), F.sum(w * F.col(y)).alias("wy"), F.array(*[F.sum(w * F.col(a) * F.col(y)) for a in x]).alias("wxy")).withColumn("p", F.lit(p))
+    p, k = len(x), len(x) + 2
+    m = cross_products(df.withColumn("_one", F.lit(1.0)), ["_one", *x, y], w, by)
+    row = lambda i, a, n: F.slice("s", i * k + a + 1, n)
+    upper = F.flatten(F.array(*[row(i, i, p - i + 1) for i in range(1, p + 1)]))
+    return m.select(*by, F.get("s", F.lit(0)).alias("w"), row(0, 1, p).alias("wx"), upper.alias("wxx"), F.get("s", F.lit(p + 1)).alias("wy"), row(p + 1, 1, p).alias("wxy"), F.lit(p).alias("p"))
 
 
 def solve(row, alpha: float, use: Sequence[int] | None = None) -> tuple[np.ndarray, float]:
@@ -65,69 +130,100 @@ def _stats(df: DataFrame, features: Sequence[str]) -> dict[str, tuple]:
     return {r["feature"]: (r["median"], r["low"], r["high"], r["mean"], r["scale"]) for r in preprocess(df, features).collect()}
 
 
-def fold_models(df: DataFrame, features: Sequence[str], target: str, weight: Column, fold: str) -> tuple[DataFrame, list]:
-    """For each fold, what preprocesses the rows outside it (_held, and arrays by feature), and their Gram sums.
+def summaries(df: DataFrame, features: Sequence[str], target: str, weight: Column, by: Sequence[str] = (), held: bool = False) -> list[dict]:
+    """For each group of `by`, or with `held` for each group the rows of all others: what preprocesses these rows (`stats`,
+    by feature: median, low, high, mean, scale) and the weighted sums of the standardised features (as a row of gram()).
 
-    folds are the values of the column, numbers of folds or held-out datasets alike. A row joins every fold but its own,
-    so two aggregates serve all folds at once; only p x p numbers a fold reach the driver.
+    Everything comes from summaries of the groups that add up: counts, sums, least and greatest values, and products of the
+    features, which are centred, with zero and a mark where a value is missing. What a group's absence leaves is the total
+    less its own share, so no row is copied; medians without a group come from quantiles(). The driver gets a matrix and a
+    few numbers a feature for each group, never rows.
     """
-    held = df.select(F.col(fold).alias("_held")).distinct()
-    rest = df.join(held, F.col(fold) != F.col("_held"))
-    stats = preprocess(rest, features, ["_held"])
-    order = F.sort_array(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, features)), F.col("feature")).alias("i"), "median", "low", "high", "mean", "scale"))).alias("s")
-    stats = stats.groupBy("_held").agg(order)
-    x = rest.join(stats, "_held").select("_held", F.col(target).alias("_y"), weight.alias("_w"), *_scaled(features))
-    return stats, gram(x, features, "_y", F.col("_w"), ["_held"]).collect()
+    p, key = len(features), ["feature", *by]
+    df = checkpointed(df.select(*by, F.col(target).cast("double").alias("_y"), weight.cast("double").alias("_w"), *[_finite(f).alias(f) for f in features]))
+    long = _long(df, features, by)
+    centre = {r["feature"]: r["c"] or 0.0 for r in long.groupBy("feature").agg(F.avg("x").alias("c")).collect()}
+    c = F.element_at(F.create_map(*[y for f in features for y in (F.lit(f), F.lit(centre.get(f, 0.0)))]), F.col("feature"))
+    each = long.withColumn("d", F.col("x") - c).groupBy(*key).agg(F.count("*").alias("rows"), F.count("x").alias("n"), F.sum("d").alias("s1"), F.sum(F.col("d") * F.col("d")).alias("s2"), F.min("x").alias("low"), F.max("x").alias("high"))
+    medians = quantiles(long, ["feature"], "x", {"median": 0.5}, without=by[0]) if held else quantiles(long, key, "x", {"median": 0.5})
+    median = {(tuple(r[b] for b in by), r["feature"]): r["median"] for r in medians.collect()}
+    told = {}
+    for r in each.collect():
+        told.setdefault(tuple(r[b] for b in by), {})[r["feature"]] = (r["rows"], r["n"], r["s1"] or 0.0, r["s2"] or 0.0, r["low"], r["high"])
+    if not told:
+        return []
+    gaps = [f for f in features if any(t[f][0] > t[f][1] for t in told.values())]
+    columns = ["_one", *features, *[f"_gap{i}" for i in range(len(gaps))], "_y"]
+    wide = df.select(*by, "_w", "_y", F.lit(1.0).alias("_one"), *[F.coalesce(F.col(f) - F.lit(centre[f]), F.lit(0.0)).alias(f) for f in features], *[F.col(f).isNull().cast("double").alias(f"_gap{i}") for i, f in enumerate(gaps)])
+    k = len(columns)
+    matrix = {tuple(r[b] for b in by): np.array(r["s"]).reshape(k, k) for r in cross_products(wide, columns, F.col("_w"), by).collect()}
+    whole = sum(matrix.values())
+    ends = {f: (sorted((t[f][4], g) for g, t in told.items() if t[f][4] is not None), sorted(((t[f][5], g) for g, t in told.items() if t[f][5] is not None), reverse=True)) for f in features} if held else {}
 
-
-def _scaled(features: Sequence[str]) -> list[Column]:
-    """Each feature imputed, clipped and standardised by the array s of its row."""
     out = []
-    for i, f in enumerate(features):
-        s = F.get("s", F.lit(i))
-        x = F.least(F.greatest(F.coalesce(F.col(f).cast("double"), s["median"]), s["low"]), s["high"])
-        out.append(((x - s["mean"]) / s["scale"]).alias(f))
+    for g, own in told.items():
+        stats, turn = {}, np.zeros((p + 2, k))
+        turn[0, 0] = turn[p + 1, k - 1] = 1.0
+        for i, f in enumerate(features):
+            rows, n, s1, s2, low, high = own[f]
+            if held:  # all less own; of least and greatest values the first of another group
+                rows, n, s1, s2 = (sum(t[f][x] for t in told.values()) - own[f][x] for x in range(4))
+                low, high = (next((v for v, of in side[:2] if of != g), None) for side in ends[f])
+            m = median.get((g, f))
+            shift = 0.0 if m is None else m - centre[f]
+            mean, square = ((s1 + (rows - n) * shift) / rows, (s2 + (rows - n) * shift**2) / rows) if rows else (0.0, 0.0)
+            var = square - mean**2
+            scale = float(np.sqrt(var)) if var > 1e-14 * max(square, 1e-300) else 1.0
+            at = [centre[f] if x is None else x for x in (m, low, high)]
+            stats[f] = (*map(float, at), float(mean + centre[f]), scale)
+            turn[i + 1, 0], turn[i + 1, i + 1] = -mean / scale, 1 / scale
+            if f in gaps:
+                turn[i + 1, 1 + p + gaps.index(f)] = shift / scale
+        e = turn @ (whole - matrix[g] if held else matrix[g]) @ turn.T
+        out.append({"key": g, "stats": stats, "p": p, "w": e[0, 0], "wx": e[0, 1 : p + 1], "wxx": e[1 : p + 1, 1 : p + 1][np.triu_indices(p)], "wy": e[0, p + 1], "wxy": e[1 : p + 1, p + 1]})
     return out
 
 
+def _applied(df: DataFrame, features: Sequence[str], bounded: bool) -> DataFrame:
+    """df with `prediction` from its row's arrays s (what preprocesses each feature), beta, and b0."""
+    values = F.array(*[_finite(f) for f in features])
+    z = F.zip_with(values, "s", lambda x, s: (F.least(F.greatest(F.coalesce(x, s["median"]), s["low"]), s["high"]) - s["mean"]) / s["scale"])
+    total = F.col("b0") + F.aggregate(F.zip_with(z, "beta", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return df.withColumn("prediction", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)) if bounded else total).drop("s", "beta", "b0")
+
+
+_MODEL = "s array<struct<median: double, low: double, high: double, mean: double, scale: double>>, beta array<double>, b0 double"
+
+
 def out_of_fold(df: DataFrame, features: Sequence[str], target: str, weight: Column, fold: str, alpha: float = 200.0, configurations: dict[str, Sequence[int]] | None = None, bounded: bool = True) -> DataFrame:
     """df with `prediction`: each row's by the ridge fitted without its fold, cut to 0 and 1 if bounded.
 
-    With configurations (name to places of the features used), a row for each of them, named in `configuration`: all are
-    sub-models of the same sums.
+    folds are the values of the column, numbers of folds or held-out datasets alike. With configurations (name to places
+    of the features used), a row for each of them, named in `configuration`: all are sub-models of the same sums.
     """
     use = configurations or {"": range(len(features))}
-    stats, rows = fold_models(df, features, target, weight, fold)
-    fits = [(r["_held"], name, [float(b) for b in beta], float(b0)) for r in rows for name, own in use.items() for beta, b0 in [solve(r, alpha, own)]]
+    fits = []
+    for r in summaries(df, features, target, weight, [fold], held=True):
+        for name, own in use.items():
+            beta, b0 = solve(r, alpha, own)
+            fits.append((*r["key"], name, [r["stats"][f] for f in features], [float(b) for b in beta], float(b0)))
     kind = df.schema[fold].dataType.simpleString()
-    models = df.sparkSession.createDataFrame(fits, f"_held {kind}, configuration string, beta array<double>, b0 double").join(stats, "_held")
-    j = df.join(models, F.col(fold) == F.col("_held"))
-    total = F.col("b0")
-    for i, z in enumerate(_scaled(features)):
-        total = total + z * F.get("beta", F.lit(i))
-    if bounded:
-        total = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
-    out = j.withColumn("prediction", total).drop("_held", "s", "beta", "b0")
+    models = df.sparkSession.createDataFrame(fits, f"_held {kind}, configuration string, {_MODEL}")
+    out = _applied(df.join(models, F.col(fold).eqNullSafe(F.col("_held"))), features, bounded).drop("_held")
     return out if configurations else out.drop("configuration")
 
 
 def full_fit(df: DataFrame, features: Sequence[str], target: str, weight: Column, alpha: float = 200.0, by: Sequence[str] = (), bounded: bool = True) -> tuple[DataFrame, list[tuple]]:
     """df with in-sample predictions of one ridge for each group of `by`, and (group, beta, intercept) of each."""
-    stats = preprocess(df, features, by)
-    order = F.sort_array(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, features)), F.col("feature")).alias("i"), "median", "low", "high", "mean", "scale"))).alias("s")
-    stats = stats.groupBy(*by).agg(order)
-    j = df.join(stats, list(by)) if by else df.crossJoin(stats)
-    rows = gram(j.select(*by, F.col(target).alias("_y"), weight.alias("_w"), *_scaled(features)), features, "_y", F.col("_w"), by).collect()
-    fits = [([r[c] for c in by], *solve(r, alpha)) for r in rows]
-    fields = "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in by)
-    models = df.sparkSession.createDataFrame([(*k, [float(x) for x in beta], float(b0)) for k, beta, b0 in fits], f"{fields}beta array<double>, b0 double")
-    j = j.join(models, list(by)) if by else j.crossJoin(models)
-    total = F.col("b0")
-    for i, z in enumerate(_scaled(features)):
-        total = total + z * F.get("beta", F.lit(i))
-    if bounded:
-        total = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
-    return j.withColumn("prediction", total).drop("s", "beta", "b0"), fits
+    found = summaries(df, features, target, weight, list(by))
+    fits = [(list(r["key"]), *solve(r, alpha)) for r in found]
+    fields = "".join(f"_k{i} {df.schema[c].dataType.simpleString()}, " for i, c in enumerate(by))
+    rows = [(*r["key"], [r["stats"][f] for f in features], [float(x) for x in beta], float(b0)) for r, (_, beta, b0) in zip(found, fits, strict=True)]
+    models = df.sparkSession.createDataFrame(rows, f"{fields}{_MODEL}")
+    on = F.lit(True)
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return _applied(df.join(models, on), features, bounded).drop(*[f"_k{i}" for i in range(len(by))]), fits
 
 
 def contributions(df: DataFrame, key: str, features: Sequence[str], stats: dict[str, tuple], beta: Sequence[float]) -> DataFrame:
@@ -135,7 +231,7 @@ def contributions(df: DataFrame, key: str, features: Sequence[str], stats: dict[
     rows = []
     for f, b, z in zip(features, beta, standardised(df, features, stats), strict=True):
         _, low, high, _, _ = stats[f]
-        x = F.col(f).cast("double")
+        x = _finite(f)
         rows.append(F.struct(F.lit(f).alias("feature"), x.alias("value"), z.alias("z"), (z * float(b)).alias("contribution"), x.isNull().alias("imputed"), F.coalesce((x < low) | (x > high), F.lit(False)).alias("clipped")))
     return df.select(key, F.explode(F.array(*rows)).alias("s")).select(key, "s.*")
 

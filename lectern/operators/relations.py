@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.statistics import following
+from lectern.operators.quantiles import quantiles
+from lectern.operators.statistics import _same, following
+from lectern.sources.tables import checkpointed
 
 
 def occurrence(by: Sequence[str], order: Sequence[str]) -> Column:
@@ -51,15 +53,20 @@ def paired_summary(pairs: DataFrame, label: str, category: str, eps: float = 1e-
     """Over all, by label and by category: number, mean and median change, and rates of decrease, over changed texts too."""
     rate = lambda c, of: F.round(F.count_if(c & of) / F.greatest(F.count_if(of), F.lit(1)), 6)
     down, up, all_ = F.col("change") < -eps, F.col("change") > eps, F.lit(True)
-    return pairs.groupingSets([[], [label], [category]], label, category).agg(
+    nothing = lambda c: F.lit(None).cast(pairs.schema[c].dataType).alias(c)
+    sets = [(nothing(label), nothing(category)), (F.col(label), nothing(category)), (nothing(label), F.col(category))]
+    rows = pairs.select("change", "content_changed", F.explode(F.array(*[F.struct(F.lit(i).alias("_set"), a.alias(label), b.alias(category)) for i, (a, b) in enumerate(sets)])).alias("s")).select("s.*", "change", "content_changed")
+    rows, key = checkpointed(rows), ["_set", label, category]
+    counts = rows.groupBy(*key).agg(
         F.count("*").alias("n"),
         F.round(F.avg("change"), 6).alias("mean_change"),
-        F.round(F.percentile("change", F.lit(0.5)), 6).alias("median_change"),
         rate(down, all_).alias("decrease_rate"),
         rate(up, all_).alias("increase_rate"),
         F.count_if("content_changed").alias("n_changed"),
         rate(down, F.col("content_changed")).alias("changed_decrease_rate"),
     )
+    medians = quantiles(rows, key, "change", {"median_change": 0.5}).withColumn("median_change", F.round("median_change", 6))
+    return _same(key, counts, medians).select(label, category, "n", "mean_change", "median_change", "decrease_rate", "increase_rate", "n_changed", "changed_decrease_rate")
 
 
 def column_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.scalar import cosine, dot, unit
+from lectern.operators.quantiles import quantiles
+from lectern.sources.tables import checkpointed
 
 
 #: Vectors of a group that meet as many others in one task.
@@ -192,21 +194,29 @@ def control_share(vectors: DataFrame, by: list[str], cluster: str, kind: str, co
 
 def anchor_calibration(scores: DataFrame, label: str, score: str, anchor: str) -> DataFrame:
     """(anchor, threshold, accuracy, held_out): for each anchor the balanced threshold of all other anchors' scores, and its
-    balanced accuracy on the anchor's own. One row a score joins every other anchor; anchors are few."""
-    from lectern.operators.statistics import threshold_curve
-
-    a = scores.select(F.col(anchor).alias("_held")).distinct()
-    rest = scores.join(a, F.col(anchor) != F.col("_held"))
-    c = threshold_curve(rest, ["_held"], score, F.col(label))
-    own = Window.partitionBy("_held")
-    accuracy = F.round((F.col("tp") / (F.col("tp") + F.col("fn")) + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2, 9)
-    c = c.withColumn("accuracy", accuracy).withColumn("below", F.lead(score).over(own.orderBy(F.desc(score)))).withColumn("best", F.max("accuracy").over(own))
-    middle = F.when(F.col("below").isNull(), F.col(score)).otherwise((F.col(score) + F.col("below")) / 2)
-    t = c.where("accuracy = best").groupBy("_held").agg(F.percentile(middle, F.lit(0.5)).alias("threshold"), F.max("best").alias("accuracy"))
-    j = scores.join(t, F.col(anchor) == F.col("_held"))
-    hit = (F.col(score) >= F.col("threshold")) == F.col(label)
-    part = lambda side: F.avg(F.when(F.col(label) == side, hit.cast("double")))
-    return j.groupBy(anchor, "threshold", "accuracy").agg(((F.coalesce(part(True), part(False)) + F.coalesce(part(False), part(True))) / 2).alias("held_out"))
+    balanced accuracy on the anchor's own.
+
+    Scores are counted by value and anchor first; the others' counts at a value are those of all less the anchor's own, so
+    rows are never copied: an anchor adds a row for each distinct score.
+    """
+    counts = checkpointed(scores.groupBy(F.col(anchor).alias("_held"), F.col(score).alias("_s")).agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q")))
+    all_ = counts.groupBy("_s").agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"), F.map_from_entries(F.collect_list(F.struct("_held", F.struct("p", "q")))).alias("own"))
+    held = [r[0] for r in counts.select("_held").distinct().collect()]  # anchors are few
+    each = all_.select("_s", F.explode(F.array(*map(F.lit, held))).alias("_held"), "all_p", "all_q", "own")
+    own = lambda c: F.coalesce(F.element_at("own", F.col("_held"))[c], F.lit(0))
+    rest = each.select("_held", "_s", (F.col("all_p") - own("p")).alias("p"), (F.col("all_q") - own("q")).alias("q")).where("p + q > 0")
+    up = Window.partitionBy("_held").orderBy(F.desc("_s"))
+    whole = Window.partitionBy("_held")
+    share = lambda c: F.try_divide(F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, 0)), F.sum(c).over(whole))
+    accuracy = F.round((share("p") + 1 - share("q")) / 2, 9)
+    c = rest.withColumn("accuracy", accuracy).withColumn("below", F.lead("_s").over(up)).withColumn("best", F.max("accuracy").over(whole))
+    middle = F.when(F.col("below").isNull(), F.col("_s")).otherwise((F.col("_s") + F.col("below")) / 2)
+    c = checkpointed(c.where("accuracy = best").select("_held", middle.alias("middle"), "best"))
+    t = c.groupBy("_held").agg(F.max("best").alias("accuracy")).join(quantiles(c, ["_held"], "middle", {"threshold": 0.5}), "_held")
+    hits = counts.join(t, "_held").withColumn("above", F.col("_s") >= F.col("threshold"))
+    part = lambda c, side: F.try_divide(F.sum(F.when(F.col("above") == side, F.col(c)).otherwise(0)), F.sum(c))
+    right = (part("p", True), part("q", False))
+    return hits.groupBy(F.col("_held").alias(anchor), "threshold", "accuracy").agg(((F.coalesce(*right) + F.coalesce(*right[::-1])) / 2).alias("held_out"))
 
 
 def median_distance(vectors: DataFrame, by: list[str]) -> DataFrame:

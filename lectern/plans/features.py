@@ -9,6 +9,7 @@ from lectern.operators import statistics as G
 from lectern.operators import text as X
 from lectern.plans.registry import query, table
 from lectern.plans.text import COMMENTS_SQL, LINES_SQL, PAGE_DOCS, PAGES, code, code_sql, items, vocabulary_sql
+from lectern.sources.tables import checkpointed
 
 _ALL = "select doc_id from src"
 
@@ -147,7 +148,7 @@ select dataset, n, mean_score, case when n >= 2 and sx > 0 and sy > 0 then round
 """)
 def readability_by_source(spark, sf_dir):
     """The flagship: readability of each source, and how its ranks go with the quality labels."""
-    s = posnett_scores(spark, sf_dir).withColumn("score", F.round("score", 6))
+    s = checkpointed(posnett_scores(spark, sf_dir)).withColumn("score", F.round("score", 6))
     j = s.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id")
     mean = j.groupBy("dataset").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
     return mean.join(G.spearman(j, ["dataset"], "score", "quality").withColumn("spearman", F.round("spearman", 6)).select("dataset", "spearman"), "dataset")

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.operators import losses as H
+from lectern.operators.sweeps import role_losses
 from lectern.plans.registry import query
 from lectern.operators import text as X
 from lectern.plans.text import COMMENTS_SQL, PAGE_DOCS, PAGES, code, items
+from lectern.sources.tables import checkpointed
 
 LOSS_SQL = r"""
 raw as (select doc_id, cast(unnest(range(len(a))) as int) as i, unnest(a) as tok from (select doc_id, regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]') as a from documents)),
@@ -19,9 +21,15 @@ loss as (select doc_id, i, tok, "end" - length(tok) as start, "end", ((length(to
 
 
 def losses(spark, sf_dir):
+    """(doc_id, i, tok, start, end, bits, bytes, role, next, len): a token for each run of letters or digits and each other
+    character, bits by a rule; next are the two characters behind it, len is the text's length."""
     t = items(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("content", F.lit("[A-Za-z]+|[0-9]+|[^A-Za-z0-9]"), F.lit(0))).alias("i", "tok"))
-    end = F.sum(F.length("tok")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    t = t.withColumn("end", end).withColumn("start", F.col("end") - F.length("tok")).withColumn("bits", ((F.length("tok") * 7 + F.col("i") * 3) % 11) / 4.0).withColumn("bytes", F.octet_length("tok").cast("long"))
+    w = Window.partitionBy("doc_id").orderBy("i")
+    end = F.sum(F.length("tok")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    ahead = F.substring(F.concat_ws("", F.substring(F.lead("tok", 1).over(w), 1, 2), F.substring(F.lead("tok", 2).over(w), 1, 1)), 1, 2)
+    whole = F.sum(F.length("tok")).over(Window.partitionBy("doc_id")).cast("int")
+    t = t.select("*", end.alias("end"), ahead.alias("next"), whole.alias("len"))
+    t = t.withColumn("start", F.col("end") - F.length("tok")).withColumn("bits", ((F.length("tok") * 7 + F.col("i") * 3) % 11) / 4.0).withColumn("bytes", F.octet_length("tok").cast("long"))
     return t.withColumn("role", F.when(F.col("tok").rlike("^[A-Za-z]+$"), "identifier").when(F.col("tok").rlike("^[0-9]+$"), "literal"))
 
 
@@ -84,27 +92,65 @@ occurrence as (select doc_id, role, start, "end", sum(bits) / sum(bytes) as q fr
 _SPAN_RULES = (("call_target", 17, 4, 3), ("expression", 10, 0, 12), ("assignment_rhs", 9, 2, 7), ("control_header", 23, 1, 20), ("declaration_header", 29, 3, 5))
 
 
-def traced(spark, sf_dir):
-    """(doc_id, i, start, end, bits, text): a trace with gaps, and with tokens that run into the next."""
-    l = losses(spark, sf_dir).where("i % 5 <> 3").join(items(spark, sf_dir).select("doc_id", "content"), "doc_id")
-    end = F.least(F.col("end") + F.when(F.col("i") % 6 == 0, 2).otherwise(0), F.length("content"))
-    return l.select("doc_id", "i", "start", end.alias("end"), "bits", F.substring(F.col("content"), F.col("start") + 1, end - F.col("start")).alias("text"))
-
-
-def role_spans(spark, sf_dir):
-    """(doc_id, role, binding, start, end): names and numbers, and spans of the other roles by their tokens' places."""
-    l = losses(spark, sf_dir)
-    named = l.where("role is not null").select("doc_id", "role", F.lower("tok").alias("binding"), "start", "end")
-    rules = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(n).alias("n")) for r, m, k, n in _SPAN_RULES])
-    more = l.join(items(spark, sf_dir).select("doc_id", F.length("content").alias("len")), "doc_id").withColumn("r", F.explode(rules)).where("i % r.m = r.k")
-    return named.unionByName(more.select("doc_id", "r.role", F.lit(None).cast("string").alias("binding"), "start", F.least(F.col("start") + F.col("r.n"), F.col("len")).alias("end")))
-
-
-@query(f"with {SPREAD_SQL} select doc_id, role, round(bits, 6) as bits, bytes, round(mean, 6) as bpb from role_mean")
+def traced(tokens):
+    """(doc_id, i, start, end, bits, text) of losses(): a trace with gaps, and with tokens that run into the next."""
+    text = F.concat("tok", F.when(F.col("i") % 6 == 0, F.col("next")).otherwise(""))
+    return tokens.where("i % 5 <> 3").select("doc_id", "i", "start", (F.col("start") + F.length(text)).alias("end"), "bits", text.alias("text"))
+
+
+def role_spans(tokens):
+    """(doc_id, role, binding, start, end) of losses(): names and numbers, and spans of the other roles by their tokens' places."""
+    own = F.struct("role", F.lower("tok").alias("binding"), "start", "end")
+    more = [F.when(F.col("i") % m == k, F.struct(F.lit(r).alias("role"), F.lit(None).cast("string").alias("binding"), "start", F.least(F.col("start") + n, F.col("len")).alias("end"))) for r, m, k, n in _SPAN_RULES]
+    spans = tokens.select("doc_id", F.explode(F.array_compact(F.array(F.when(F.col("role").isNotNull(), own), *more))).alias("s"))
+    return spans.select("doc_id", "s.*")
+
+
+def trace_arrays(spark, sf_dir):
+    """The trace and the role spans of losses() as arrays of each document's row, by the same rule."""
+    d = items(spark, sf_dir).select("doc_id", F.col("content").alias("text"), F.regexp_extract_all("content", F.lit("[A-Za-z]+|[0-9]+|[^A-Za-z0-9]"), F.lit(0)).alias("toks"))
+
+    def build(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            toks = batch.column("toks")
+            tok, n = toks.flatten(), toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(n) - n
+            doc = np.repeat(np.arange(len(n)), n)
+            i, size = np.arange(len(doc)) - first[doc], pc.utf8_length(tok).to_numpy(zero_copy_only=False).astype(np.int64)
+            run = np.concatenate([[0], np.cumsum(size)])
+            start, length = run[:-1] - run[first][doc], (run[first + n] - run[first])[doc]
+            end = start + size
+            kept = i % 5 != 3
+            trace = {"starts": start[kept], "ends": np.minimum(end + np.where(i % 6 == 0, 2, 0), length)[kept], "bits": (((size * 7 + i * 3) % 11) / 4.0)[kept]}
+            word, number = (pc.match_substring_regex(tok, x).to_numpy(zero_copy_only=False).astype(bool) for x in ("^[A-Za-z]", "^[0-9]"))
+            spans = [(np.flatnonzero(word), H.ROLES.index("identifier"), None), (np.flatnonzero(number), H.ROLES.index("literal"), None)]
+            spans += [(np.flatnonzero(i % m == k), H.ROLES.index(r), w) for r, m, k, w in _SPAN_RULES]
+            at, role = np.concatenate([x for x, _, _ in spans]), np.concatenate([np.full(len(x), r) for x, r, _ in spans])
+            stop = np.concatenate([end[x] if w is None else np.minimum(start[x] + w, length[x]) for x, _, w in spans])
+            order = np.argsort(doc[at], kind="stable")
+            told = {"span_role": role[order], "span_start": start[at][order], "span_end": stop[order]}
+            lists = lambda v, d: pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(len(n) + 1)), pa.int32()), pa.array(v))
+            cols = [lists(v, doc[kept]) for v in trace.values()] + [lists(v, doc[at][order]) for v in told.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *cols], names=["doc_id", "text", *trace, *told])
+
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return d.mapInArrow(build, f"doc_id {kind}, text string, starts array<long>, ends array<long>, bits array<double>, span_role array<long>, span_start array<long>, span_end array<long>")
+
+
+def _once(spark, sf_dir):
+    """Trace and spans of the same tokens, which are worked out once."""
+    t = checkpointed(losses(spark, sf_dir))
+    return traced(t), role_spans(t)
+
+
+@query(f"with {SPREAD_SQL} select doc_id, role, round(bits + 1e-9, 6) as bits, bytes, round(mean + 1e-9, 6) as bpb from role_mean")
 def role_bpb(spark, sf_dir):
-    s = role_spans(spark, sf_dir).select("doc_id", "role", "start", "end").distinct()
-    r = H.interval_loss(H.allocation(traced(spark, sf_dir)), s, ["role"])
-    return r.select("doc_id", "role", F.round("bits", 6).alias("bits"), "bytes", F.round("bpb", 6).alias("bpb"))
+    r = role_losses(trace_arrays(spark, sf_dir), H.ROLES).where("bytes > 0")
+    return r.select("doc_id", "role", F.round(F.col("bits") + 1e-9, 6).alias("bits"), "bytes", F.round(F.col("mean") + 1e-9, 6).alias("bpb"))
 
 
 @query(f"""
@@ -112,7 +158,7 @@ with {SPREAD_SQL} select doc_id, count(*) as covered_chars, cast(sum(bytes) as b
 """)
 def byte_allocation(spark, sf_dir):
     """What a trace's tokens cover: bytes once, bits of all tokens over them."""
-    a = H.allocation(traced(spark, sf_dir)).withColumn("n", F.col("end") - F.col("start"))
+    a = H.allocation(traced(losses(spark, sf_dir))).withColumn("n", F.col("end") - F.col("start"))
     return a.groupBy("doc_id").agg(F.sum("n").alias("covered_chars"), F.sum("bytes").cast("long").alias("covered_bytes"), F.round(F.sum("bits"), 6).alias("bits"), F.sum(F.when(F.col("k") > 1, F.col("n")).otherwise(0)).cast("long").alias("shared_chars"))
 
 
@@ -129,8 +175,7 @@ select doc_id, {", ".join(f"round(max({k}) filter (where role = '{r}') + 1e-9, 6
 """)
 def role_measures(spark, sf_dir):
     """Mean, tail and deviation of seven roles."""
-    s = role_spans(spark, sf_dir).select("doc_id", "role", "start", "end").distinct()
-    t = H.role_table(H.role_difficulty(H.allocation(traced(spark, sf_dir)), s))
+    t = H.role_table(role_losses(trace_arrays(spark, sf_dir), H.ROLES).where("bytes > 0"))
     return t.select("doc_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in t.columns if c != "doc_id"])
 
 
@@ -140,8 +185,7 @@ n as (select doc_id, role, count(*) as occurrences from role_spans group by all)
 select doc_id, role, occurrences, coalesce(scored, 0) as scored, coalesce(bytes, 0) as covered_bytes from n left join s using (doc_id, role) left join role_mean using (doc_id, role)
 """)
 def role_coverage(spark, sf_dir):
-    s = role_spans(spark, sf_dir).select("doc_id", "role", "start", "end").distinct()
-    return H.coverage(H.allocation(traced(spark, sf_dir)), s)
+    return role_losses(trace_arrays(spark, sf_dir), H.ROLES).select("doc_id", "role", "occurrences", "scored", F.col("bytes").alias("covered_bytes"))
 
 
 @query(f"""
@@ -158,8 +202,8 @@ select p.doc_id, round(max(q) filter (where part = 'first') + 1e-9, 6) as first,
 from p left join t using (doc_id) left join m using (doc_id) group by p.doc_id
 """)
 def reuse_measures(spark, sf_dir):
-    s = role_spans(spark, sf_dir).where("role = 'identifier'").select("doc_id", "binding", "start", "end")
-    r = H.reuse_difficulty(H.allocation(traced(spark, sf_dir)), s)
+    t, s = _once(spark, sf_dir)
+    r = H.reuse_difficulty(t, s.where("role = 'identifier'").select("doc_id", "binding", "start", "end"))
     return r.select("doc_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("first", "later", "later_tail", "increase", "within_std")])
 
 
@@ -182,8 +226,7 @@ select doc_id, role, round(gain + 1e-9, 6) as gain, round(q10 + 1e-9, 6) as q10,
 """)
 def context_measures(spark, sf_dir):
     """Gain from context of six sets of occurrences."""
-    t = traced(spark, sf_dir)
-    s = role_spans(spark, sf_dir)
+    t, s = _once(spark, sf_dir)
     short = s.where((F.col("role") == "identifier") & F.col("binding").isin(*H.SHORT_NAMES)).withColumn("role", F.lit("short_identifier"))
     s = s.where(F.col("role").isin(*H.CONTEXT_ROLES)).unionByName(short)
     g = H.context_difficulty(t.withColumn("bits", F.col("bits") + (F.col("i") % 5) / 10.0), t, s)
@@ -193,13 +236,13 @@ def context_measures(spark, sf_dir):
 @query(f"""
 with {SPREAD_SQL},
 g as (select doc_id, sum((i % 7) / 10.0 - 0.2) as saved, count(*) as tokens from traced group by doc_id), b as (select doc_id, cast(sum(bytes) as bigint) as bytes from cover group by doc_id)
-select doc_id, round(saved / bytes, 6) as gain, tokens, bytes from g join b using (doc_id)
+select doc_id, round(saved / bytes + 1e-9, 6) as gain, tokens, bytes from g join b using (doc_id)
 """)
 def comment_gain(spark, sf_dir):
     """What a comment before the tokens saves; losses without it are derived by a rule."""
-    t = traced(spark, sf_dir)
+    t = traced(losses(spark, sf_dir))
     g = H.comment_gain(t, t.withColumn("bits", F.col("bits") + (F.col("i") % 7) / 10.0 - 0.2))
-    return g.select("doc_id", F.round("gain", 6).alias("gain"), "tokens", F.col("bytes").cast("long").alias("bytes"))
+    return g.select("doc_id", F.round(F.col("gain") + 1e-9, 6).alias("gain"), "tokens", F.col("bytes").cast("long").alias("bytes"))
 
 
 PAGE_LOSS_SQL = rf"""
@@ -238,8 +281,7 @@ select name, family, formula, d.role, coalesce(documents, 0) as documents from d
 def loss_definitions(spark, sf_dir):
     """Every measure of token losses, with the number of documents that have its role."""
     d = spark.createDataFrame(H.definitions(), "name string, family string, formula string, role string")
-    s = role_spans(spark, sf_dir).select("doc_id", "role", "start", "end").distinct()
-    n = H.interval_loss(H.allocation(traced(spark, sf_dir)), s, ["role"]).groupBy("role").agg(F.countDistinct("doc_id").alias("documents"))
+    n = role_losses(trace_arrays(spark, sf_dir), H.ROLES).where("bytes > 0").groupBy("role").agg(F.countDistinct("doc_id").alias("documents"))
     return d.join(n, "role", "left").select("name", "family", "formula", "role", F.coalesce("documents", F.lit(0)).cast("long").alias("documents"))
 
 

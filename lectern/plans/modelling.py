@@ -9,6 +9,7 @@ from lectern.functions import scalar as S
 from lectern.operators import models as J
 from lectern.operators import statistics as G
 from lectern.operators.features import line_stats, token_density
+from lectern.operators.quantiles import quantiles
 from lectern.plans.registry import query, table
 from lectern.plans.text import items
 from lectern.sources.tables import checkpointed
@@ -86,7 +87,9 @@ def balanced_threshold(spark, sf_dir):
     accuracy = F.round((F.col("tp") / (F.col("tp") + F.col("fn")) + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2, 6)
     c = c.withColumn("accuracy", accuracy).withColumn("below", F.lead("score").over(own.orderBy(F.desc("score")))).withColumn("best", F.max("accuracy").over(own))
     middle = F.when(F.col("below").isNull(), F.col("score")).otherwise((F.col("score") + F.col("below")) / 2)
-    return c.where("accuracy = best").groupBy("l_returnflag").agg(F.round(F.percentile(middle, F.lit(0.5)), 6).alias("threshold"), F.max("best").alias("accuracy"))
+    best = checkpointed(c.where("accuracy = best").select("l_returnflag", middle.alias("middle"), "best"))
+    at = quantiles(best, ["l_returnflag"], "middle", {"threshold": 0.5})
+    return best.groupBy("l_returnflag").agg(F.max("best").alias("accuracy")).join(at, "l_returnflag").select("l_returnflag", F.round("threshold", 6).alias("threshold"), "accuracy")
 
 
 @query(f"""
@@ -95,7 +98,9 @@ select l_linestatus, round(sum(case when score >= 0.5 and label then w else 0 en
   round(sum(case when score < 0.5 and label then w else 0 end), 6) as fn, round(sum(case when score < 0.5 and not label then w else 0 end), 6) as tn from w group by l_linestatus
 """)
 def weighted_confusion(spark, sf_dir):
-    s = scores(spark, sf_dir).withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("l_linestatus")))
+    s = scores(spark, sf_dir)
+    n = s.groupBy("l_linestatus").agg((1.0 / F.count("*")).alias("w"))
+    s = s.join(n, "l_linestatus")
     c = G.confusion(s, ["l_linestatus"], F.col("score") >= 0.5, F.col("label"), F.col("w"))
     return c.select("l_linestatus", *[F.round(x, 6).alias(x) for x in ("tp", "fp", "fn", "tn")])
 
@@ -160,7 +165,7 @@ select c_custkey, c_mktsegment, target from m
 """)
 def median_target(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    median = c.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", F.lit(0.5)).alias("m"))
+    median = quantiles(c, ["c_mktsegment"], "c_acctbal", {"m": 0.5})
     return c.join(median, "c_mktsegment").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") >= F.col("m")).alias("target"))
 
 

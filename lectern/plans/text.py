@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from lectern.functions import scalar as S
 from lectern.operators import text as X
 from lectern.plans.registry import query, table
+from lectern.sources.tables import spread
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as items: doc_id, dataset, content."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dataset"), F.coalesce("text", F.lit("")).alias("content"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return d.select("doc_id", F.col("source").alias("dataset"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as code-like items, their comments as block comments: doc_id, content."""
     html = F.replace(F.replace(F.coalesce("html", F.lit("")), F.lit("<!--"), F.lit("/*")), F.lit("-->"), F.lit("*/"))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), html.alias("content"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("doc_id"), html.alias("content"))
 
 
 PAGES = "(select page_id, replace(replace(html, '<!--', '/*'), '-->', '*/') as html from pages)"

@@ -26,3 +26,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out anew if it has fewer tasks than the cluster has cores, as one small file of one row group has.
+
+    A table of more files or row groups than cores is left as it is, so nothing large is ever shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
