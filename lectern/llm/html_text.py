@@ -25,8 +25,13 @@ _TAG = re.compile(
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
-#: Elements whose content is never read, those without content, and those that begin and end a block.
-UNREAD = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea button".split())
+#: Elements whose content is never read: those of raw text, which only their own end tag closes, and those that hold other
+#: elements, of which LOOSE end at the next block too. What may stand in a head; elements without content, and those that
+#: begin and end a block.
+RAW = frozenset("script style title textarea".split())
+UNREAD = RAW | frozenset("noscript template svg iframe object canvas audio video select button".split())
+LOOSE = frozenset("select button".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -92,14 +97,29 @@ def blocks(source: str) -> list[Block]:
     """The leaf blocks of a page in order: their text, the innermost open element, and characters in links.
 
     Markup may be broken or cut off anywhere. Character references are decoded, white space runs become one space,
-    br counts as white space; what UNREAD elements hold is passed over, to the end if they are never closed. The time
-    is linear in the page, whatever its depth.
+    br counts as white space; what UNREAD elements hold is passed over. Raw text that is never closed runs to the end of
+    the page; any other unread element that isn't closed, or within which another of its name begins, ends with the element
+    around it, a button or select with the next block. A head ends at the first text or element that can't stand in it.
+    The time is linear in the page, whatever its depth.
     """
     out: list[Block] = []
     stack: list[Open] = []
     places: dict[str, list[int]] = {}
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, hidden = 0, 0, 0, 0
+    marks: dict[str, list[int]] = {}
+
+    def closed(name: str, at: int) -> int:
+        """Where an unread element that begins before `at` has ended, if its end tag comes before another of its name (of
+        raw text: at all); -1 if not."""
+        if name not in marks:
+            tags = re.finditer(rf"<(/?){re.escape(name)}(?![a-zA-Z0-9])[^>]*(?:>|\Z)", source, re.I)
+            marks[name] = [m.end() if m[1] else -m.start() - 1 for m in tags if m[1] or name not in RAW]
+        own = marks[name]
+        seen[name] = next((i for i in range(seen.get(name, 0), len(own)) if (own[i] if own[i] >= 0 else -own[i] - 1) >= at), len(own))
+        return own[seen[name]] if seen[name] < len(own) and own[seen[name]] >= 0 else -1
+
+    seen: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -112,6 +132,10 @@ def blocks(source: str) -> list[Block]:
 
     def read(text: str) -> None:
         nonlocal linked
+        if hidden:
+            return
+        if places.get("head") and not text.isspace():
+            shut(places["head"][0])
         if "&" in text:
             text = html.unescape(text)
         parts.append(text)
@@ -119,8 +143,17 @@ def blocks(source: str) -> list[Block]:
             linked += len(text)
 
     def shut(depth: int) -> None:
+        nonlocal hidden
         while len(stack) > depth:
-            places[stack.pop().tag].pop()
+            tag = stack.pop().tag
+            places[tag].pop()
+            hidden -= tag in UNREAD
+
+    def open_(name: str, signs: tuple[str, ...] = ()) -> None:
+        nonlocal hidden
+        places.setdefault(name, []).append(len(stack))
+        stack.append(Open(name, signs, stack[-1] if stack else None))
+        hidden += name in UNREAD
 
     def last(names: Iterable[str]) -> int:
         return max((places[n][-1] for n in names if places.get(n)), default=-1)
@@ -133,6 +166,8 @@ def blocks(source: str) -> list[Block]:
         name = found["name"]
         if name:
             name = name.lower()
+            if places.get("head") and not found["end"] and name not in IN_HEAD:
+                shut(places["head"][0])
             if found["end"]:
                 if name == "a":
                     links = max(0, links - 1)
@@ -143,9 +178,14 @@ def blocks(source: str) -> list[Block]:
                 elif name == "p":
                     flush()
             elif name in UNREAD:
-                if not found["attrs"].endswith("/") or name in ("script", "style", "textarea", "title"):
-                    end = re.compile(rf"</{re.escape(name)}(?![a-zA-Z0-9])[^>]*(?:>|\Z)", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                if name in LOOSE and places.get(name):  # neither holds another of its kind
+                    shut(places[name][-1])
+                if not found["attrs"].endswith("/") or name in RAW:
+                    end = closed(name, at)
+                    if end >= 0 or name in RAW:
+                        at = end if end >= 0 else len(source)
+                    else:
+                        open_(name)
             elif name in VOID:
                 if name == "hr":
                     flush()
@@ -153,6 +193,9 @@ def blocks(source: str) -> list[Block]:
                     parts.append(" ")
             else:
                 if name in BLOCK:
+                    loose = min((places[x][0] for x in LOOSE if places.get(x)), default=-1)
+                    if loose >= 0:
+                        shut(loose)
                     flush()
                     p = last(("p",))
                     if p >= max(0, len(stack) - 6):
@@ -169,8 +212,7 @@ def blocks(source: str) -> list[Block]:
                 if attrs:
                     words = {w for g in _NAMED.findall(attrs) for w in _PARTS.findall("".join(g).lower())}
                     signs = tuple(sorted({_SIGN[w] for w in words if w in _SIGN}))
-                places.setdefault(name, []).append(len(stack))
-                stack.append(Open(name, signs, stack[-1] if stack else None))
+                open_(name, signs)
         found = _TAG.search(source, at)
     if at < len(source):
         read(source[at:])

@@ -550,6 +550,75 @@ def test_html_extraction(spark, data):
         assert "\n\n\n" not in r["text"]
 
 
+ARTICLE = "<article><h1>A heading</h1><p>The first sentence stands here, and goes on.</p>{}<p>The second one follows it, with more words.</p></article>"
+READ = ["A heading", "The first sentence stands here, and goes on.", "The second one follows it, with more words."]
+
+
+@pytest.mark.parametrize("name", sorted(html_text.UNREAD - html_text.RAW))
+def test_unread_elements_left_open(name):
+    """Before the article, within its parent; in the article; twice; and with another of its kind behind it that is closed."""
+    texts = lambda page: [b.text for b in html_text.blocks(page)]
+    assert texts(f"<body><div>x<{name}>gone</div>" + ARTICLE.format("")) == ["x", *READ]
+    assert texts(f"<body><ul><li><{name}>gone</ul>" + ARTICLE.format("")) == READ
+    assert texts(ARTICLE.format(f"<div><{name} class=y>gone</div>")) == READ
+    assert texts(ARTICLE.format(f"<div><{name}>gone <{name}>gone</div>") + f"<footer><{name}>gone</{name}>f</footer>") == [*READ, "f"]
+    assert texts(ARTICLE.format(f"<p>so <{name}>gone</{name}>it is</p>")) == [*READ[:2], "so it is", READ[2]]
+    if name in html_text.LOOSE:
+        assert texts(f"<body><{name}>gone" + ARTICLE.format("")) == READ
+        assert texts(ARTICLE.format(f"<{name}>gone")) == READ
+
+
+@pytest.mark.parametrize("name", sorted(html_text.RAW))
+def test_raw_text_left_open_runs_to_the_end(name):
+    assert [b.text for b in html_text.blocks(ARTICLE.format(f"<{name}>gone"))] == READ[:2]
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title>", "<head><meta charset=utf-8><title>T</title><link rel=x><noscript><img></noscript>", "<head><noscript><title>T</title>", "<title>T</title>", "<head>"])
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_tags_that_may_be_left_out(head, body):
+    page = "<!doctype html><html lang=en>" + head + "<script>no</script>" + body + ARTICLE.format("")
+    assert [b.text for b in html_text.blocks(page)] == READ
+    assert [b.text for b in html_text.blocks("<html><head><title>T</title>Some text, then <b>more</b>")] == ["Some text, then more"]
+
+
+def test_formulas_are_read():
+    assert [b.text for b in html_text.blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>")] == ["so x=2 holds"]
+
+
+#: Pages written by hand after common layouts, with what a reader would take for the article.
+PAGES_BY_HAND = [
+    (
+        "<!DOCTYPE html><html><head><meta charset=utf-8><title>River notes</title><link rel=stylesheet href=a.css><body class=home><header class=site-header><a href=/ class=logo>River Notes</a>"
+        "<nav class=main-nav><ul><li><a href=/a>Home</a><li><a href=/b>Archive</a><li><a href=/c>About</a></ul></nav></header><main><article class=post><h1>Why rivers bend</h1>"
+        "<p>A river that runs over flat land hardly ever keeps to a straight line, and its bends grow with the years.<p>Water on the outside of a bend is faster, so it carries soil away &amp; lays it down further on."
+        "<select><option>10<option>20</article><section class=comments><h3>Comments</h3><p>Nice one!</p></section></main><aside class=sidebar><h4>Related posts</h4><ul><li><a href=/x>Lakes</a></ul></aside>"
+        "<footer class=footer>© 2020 River Notes. All rights reserved.</footer>",
+        "Why rivers bend\n\nA river that runs over flat land hardly ever keeps to a straight line, and its bends grow with the years.\n\nWater on the outside of a bend is faster, so it carries soil away & lays it down further on.",
+    ),
+    (
+        "<html><head><title>t</title></head><body><div id=cookie-banner class=cookie>We use cookies. <button>OK</button></div><div class=topbar><a href=1>One</a> | <a href=2>Two</a></div><div id=content class=article-body><h2>Baking at night</h2>"
+        "<p>Bread that rises slowly in a cold room tastes better, as every baker who works at night will tell you.</p><blockquote>It needs time, and nothing else.</blockquote><ul><li>Mix the flour, the water and the salt.</li><li>Wait for twelve hours, then fold it.</li></ul>"
+        "<div class=ad>Buy pans now</div><p>In the morning the dough has doubled, and the oven should be as hot as it gets.</p></div><form class=newsletter><label>Subscribe to our newsletter</label><input name=e><button>Go</form><div class=footer><a href=p>Privacy</a> <a href=i>Imprint</a></div></body></html>",
+        "Baking at night\n\nBread that rises slowly in a cold room tastes better, as every baker who works at night will tell you.\n\nIt needs time, and nothing else.\n\nMix the flour, the water and the salt.\n\nWait for twelve hours, then fold it.\n\nIn the morning the dough has doubled, and the oven should be as hot as it gets.",
+    ),
+]
+
+
+def test_pages_written_by_hand(spark):
+    pages = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PAGES_BY_HAND)], "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).select("row.page_id", "text").collect()}
+    assert [got[i] for i in range(len(PAGES_BY_HAND))] == [t for _, t in PAGES_BY_HAND]
+
+
+def test_many_elements_left_open():
+    """Time linear in the page: none of 100 000 elements is closed, or each by the next one's beginning."""
+    import time
+
+    began = time.process_time()
+    assert len(html_text.blocks("<svg>x" * 100_000)) == 0 and len(html_text.blocks("<button>x<p>y" * 100_000)) == 100_000
+    assert time.process_time() - began < 20
+
+
 def test_html_of_any_depth():
     """Time and space linear in the page: 200 000 nested elements, and as many list items over a deep stack."""
     import time
