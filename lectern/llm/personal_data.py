@@ -11,12 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The base patterns and their order. Loops over groups are possessive, which matches the same strings
-# (nothing follows that could want a character back) and doesn't recurse on long runs.
+# The base patterns and their order. Loops are possessive, which matches the same strings (nothing follows
+# that could want a character back) and doesn't recurse on long runs. A run of characters that could begin a match does so
+# at its first character or where the last match has ended, or nowhere: the look-behinds spare reading it from each of them.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
-IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
-CARD = r"[0-9]+(?:[\x20-][0-9]+)*+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Further spans: runs of at least 16 key characters, with a letter and a digit among them, that are judged secrets.
@@ -38,12 +39,20 @@ def _running(numbers: Column, join=lambda x, y: x + y) -> Column:
     return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30)]), numbers, round_)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches with their places: the gaps between them and their own lengths, added up."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    ends = _running(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: g + F.length(m)))
-    return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+
+    def placed(s: Column) -> Column:
+        found, gaps = s["found"], F.transform(s["gaps"], lambda g: F.length(g))
+        ends = _running(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: g + F.length(m)))
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+
+    return _once(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
 #: Characters of the parts that a text is cut into where many places of it are read.
@@ -215,7 +224,8 @@ def find(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
 
     Base spans are the leftmost non-overlapping matches that pass their tests. Secrets are the candidates that the
     classifier gives at least 0.5 and that no base span touches. Null texts have no spans; columns of docs may have any
-    names; no rows give no rows. Every row is worked on where it is read.
+    names; no rows give no rows. Every row is worked on where it is read, in time linear in its text (times the logarithm
+    of its matches), runs of one kind of character included.
     """
     classifier = classifier or train(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -223,16 +233,27 @@ def find(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     named = lambda c, kind: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     d = d.withColumn("base", F.concat(*[named(base_spans(F.col("text"), k), k) for k in KINDS]))
 
-    # base spans are looked up among those of the candidate's neighbourhood: most texts have few, so a scan will do
-    touched = lambda x: F.exists("base", lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]))
+    def touched(x: Column, s: Column) -> Column:
+        """Whether a base span overlaps x: of those that start before its end (found by halving), any reaches past its start."""
+        half = lambda a, _: _once(F.floor((a["lo"] + a["hi"]) / 2).cast("int"), lambda m: F.when(F.get(s["starts"], m) < x["end"], F.struct((m + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), m.alias("hi"))))
+        step = lambda a, i: F.when(a["lo"] < a["hi"], half(a, i)).otherwise(a)
+        none, all_ = F.lit(0).alias("lo"), F.size(s["starts"]).alias("hi")
+        before = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(s["starts"]) + 1.0)).cast("int") + 1), F.struct(none, all_), step)["lo"]
+        return F.coalesce(F.when(F.size(s["starts"]) > 0, F.get(s["reach"], before - 1) > x["start"]), F.lit(False))
+
+    order = F.array_sort(F.transform("base", lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end"))))
+    reach = lambda o: _running(F.transform(o, lambda y: y["end"]), lambda a, b: F.greatest(a, b))
+    sorted_ = _once(order, lambda o: F.struct(F.transform(o, lambda y: y["start"]).alias("starts"), reach(o).alias("reach")))
 
-    def secret(x: Column) -> Column:
+    def secret(x: Column, s: Column) -> Column:
         score = F.lit(classifier.intercept)
         for k, value in _shape(x["value"], x["before"]).items():
             score = score + F.get(F.array(*map(F.lit, classifier.weights[k])), value)
-        return (score >= 0) & ~touched(x)
+        return (score >= 0) & ~touched(x, s)
 
-    more = named(F.filter(_candidates(F.col("text")), secret), SECRET)
+    both = F.struct(_candidates(F.col("text")).alias("found"), sorted_.alias("base"))
+    chosen = _once(both, lambda s: F.filter(s["found"], lambda x: secret(x, s["base"])))
+    more = named(chosen, SECRET)
     return d.select("row", F.concat("base", more).alias("spans"))
 
 
@@ -254,6 +275,5 @@ def redacted(text: Column, spans: Column) -> Column:
         return F.concat(F.array_join(F.transform(s["order"], piece), ""), _between(s["parts"], last, F.length(text) - last))
 
     # each lambda binds what the next one reads more than once
-    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    done = once(order, lambda o: once(F.struct(o.alias("order"), reach(o).alias("reach"), _parts(text).alias("parts")), cut))
+    done = _once(order, lambda o: _once(F.struct(o.alias("order"), reach(o).alias("reach"), _parts(text).alias("parts")), cut))
     return F.when(F.size(spans) > 0, done).otherwise(text)
