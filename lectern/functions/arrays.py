@@ -41,3 +41,14 @@ def largest(a: Column) -> Column:
 def counts(a: Column, good) -> Column:
     """How many of each inner array's members are good, as doubles."""
     return F.transform(a, lambda x: F.size(F.filter(x, good)).cast("double"))
+
+
+def running(numbers: Column) -> Column:
+    """Running sums of an array: each round adds what stands twice as far back, so n numbers take log n rounds."""
+    add = lambda a, d: F.when(F.size(a) > d, F.transform(a, lambda x, i: F.when(i >= d, x + F.get(a, i - d)).otherwise(x))).otherwise(a)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30)]), numbers, add)
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is read."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

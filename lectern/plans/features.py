@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import features as D
+from lectern.operators.lexing import python_halstead
 from lectern.operators import statistics as G
 from lectern.operators import text as X
 from lectern.plans.registry import query, table
-from lectern.plans.text import COMMENTS_SQL, LINES_SQL, PAGE_DOCS, PAGES, code, code_sql, items, vocabulary_sql
+from lectern.plans.text import COMMENTS_SQL, LINES_SQL, PAGE_DOCS, PAGES, code, code_sql, items, languages, vocabulary_sql
 from lectern.sources.tables import checkpointed
 
 _ALL = "select doc_id from src"
@@ -247,3 +248,13 @@ def longest_line(spark, sf_dir):
     start = F.coalesce(F.sum(F.length("text") + 1).over(own.orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     l = X.lines(items(spark, sf_dir)).withColumn("start", start).withColumn("place", F.row_number().over(own.orderBy(F.desc(F.length("text")), "line")))
     return l.where("place = 1").select("doc_id", "line", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("text")).cast("long").alias("end"))
+
+
+@query()
+def posnett_by_language(spark, sf_dir):
+    """Scores of texts of every language that can be read, each by its own tokens; those of Python by its lexer."""
+    d = languages(spark, sf_dir).withColumn("vocabulary_of", X.routed(F.col("language"))).where("vocabulary_of is not null")
+    brace = D.halstead(d.where("vocabulary_of = 'java'")).unionByName(D.halstead(d.where("vocabulary_of = 'c'"), "c")).select("doc_id", "content", "vocabulary_of", "length", "vocabulary", "volume", F.lit(True).alias("strict"))
+    python = d.where("vocabulary_of = 'python'").withColumn("h", python_halstead(F.col("content"))).select("doc_id", "content", "vocabulary_of", "h.length", "h.vocabulary", "h.volume", "h.strict")
+    all_ = checkpointed(brace.unionByName(python).withColumn("entropy", D.entropy("content")).withColumn("lines", F.size(X.line_array(F.col("content")))).drop("content"))
+    return all_.select("doc_id", F.col("vocabulary_of").alias("language"), "strict", "length", "vocabulary", F.round(D.posnett(F.col("volume"), F.col("lines"), F.col("entropy")), 6).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import scalar as S
+from lectern.operators import lexing as Z
 from lectern.operators import text as X
 from lectern.plans.registry import query, table
 from lectern.sources.tables import spread
@@ -357,3 +358,43 @@ def character_matrix(spark, sf_dir):
     plus = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     filled = F.size(F.filter("m", lambda x: x >= 0)).cast("long")
     return d.select("doc_id", filled.alias("filled"), (800 - filled).alias("padded"), F.round(plus("m"), 6).alias("total"), F.round(plus(F.transform("m", lambda x, i: F.greatest(x, F.lit(0.0)) * i)), 4).alias("weighed"))
+
+
+_ROLE_WORDS = among([*X.JAVA_KEYWORDS, *Z.BRACE_WORDS])
+_ROLE_PIECES = quoted(
+    r"(?s)//[^\n]*|/\*.*?\*/|\"\"\".*?\"\"\"|(?:u8|[LuU])?\"(?:\\.|[^\"\\])*\"|[LuU]?'(?:\\.|[^'\\])*'|\b(?:0[xX][0-9a-fA-F]+|0[bB][01]+|[0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?)[uUlLfFdD]*\b|[\pL\p{Nl}_][\pL\pN_$]*|[$][\pL\pN_$]+|/\*|."
+)
+
+
+@query(rf"""
+with p as (select doc_id, unnest(range(len(a))) as k, unnest(a) as x from (select doc_id, regexp_extract_all(coalesce(text, ''), '{_ROLE_PIECES}') as a from documents)),
+n as (select *, lag(x) over w as before, lead(x) over w as after, cast(sum(length(x)) over w as bigint) as stop, cast(sum(strlen(x)) over w as bigint) as byte_stop from p window w as (partition by doc_id order by k)),
+r as (select *, case when x in ('"', chr(39), '/*') then 'broken' when starts_with(x, '//') or starts_with(x, '/*') then 'comment' when length(x) > 1 and (x[-1] in ('"', chr(39)) or regexp_matches(x, '^[0-9]')) then 'literal'
+  when regexp_matches(x, '^[0-9]$') then case when regexp_matches(coalesce(before, ''), '[\pL\pN_]$') or regexp_matches(coalesce(after, ''), '^[\pL\pN_]') then 'other' else 'literal' end
+  when x in ({among(Z.LITERAL_WORDS)}) then 'literal' when x in ({_ROLE_WORDS}) then 'keyword' when regexp_matches(x, '^[\pL\p{{Nl}}_]') or length(x) > 1 and x[1] = '$' then 'identifier' else 'other' end as role from n),
+b as (select doc_id, min(k) as b from r where role = 'broken' group by doc_id),
+t as (select r.*, b.b from r left join b using (doc_id) where role not in ('broken', 'other') and (b.b is null or k < b.b)),
+c as (select doc_id, count(*) filter (where role = 'identifier') as identifiers, count(*) filter (where role = 'literal') as literals, count(*) filter (where role = 'comment') as comments,
+  coalesce(cast(sum(length(x)) filter (where role <> 'keyword') as bigint), 0) as chars, coalesce(cast(sum(byte_stop) filter (where role <> 'keyword') as bigint), 0) as byte_ends, max(stop) as last from t group by doc_id)
+select d.doc_id, coalesce(identifiers, 0) as identifiers, coalesce(literals, 0) as literals, coalesce(comments, 0) as comments, coalesce(chars, 0) as chars, coalesce(byte_ends, 0) as byte_ends,
+  case when b.b is not null then coalesce(last, 0) end as unterminated from documents d left join c using (doc_id) left join b using (doc_id)
+""")
+def lexical_roles(spark, sf_dir):
+    """Identifiers, literals and comments that the lexer alone tells, their lengths and places, and where reading ends."""
+    d = items(spark, sf_dir).select("doc_id", Z.lexical_roles(F.col("content")).alias("r"))
+    of = lambda role: F.size(F.filter("r.spans", lambda s: s["role"] == role)).cast("long").alias(f"{role}s")
+    add = lambda f, name: F.aggregate("r.spans", F.lit(0).cast("long"), lambda a, s: a + f(s)).alias(name)
+    return d.select("doc_id", of("identifier"), of("literal"), of("comment"), add(lambda s: s["end"] - s["start"], "chars"), add(lambda s: s["byte_end"], "byte_ends"), F.col("r.unterminated").cast("long").alias("unterminated"))
+
+
+def python_texts(spark, sf_dir):
+    return languages(spark, sf_dir).where(X.routed(F.col("language")) == "python")
+
+
+@query()
+def python_lexing(spark, sf_dir):
+    """Tokens of each text that is read as Python, by what they are, and whether it is well formed."""
+    d = python_texts(spark, sf_dir).select("doc_id", Z.python_tokens(F.col("content")).alias("t"))
+    of = lambda kind: F.size(F.filter("t.tokens", lambda x: x["kind"] == kind)).cast("long").alias(f"{kind}s")
+    last = F.coalesce(F.array_max(F.transform("t.tokens", lambda x: x["line"])), F.lit(0)).alias("last_line")
+    return d.select("doc_id", "t.strict", F.size("t.tokens").cast("long").alias("tokens"), *map(of, ("keyword", "name", "number", "string", "operator")), last)
