@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lectern.functions.arrays import counts, deviation, largest, mean, total, variation
+from lectern.functions.arrays import counts, deviation, largest, mean, once, running, total, variation
 from lectern.functions.scalar import IDENTIFIER, sigmoid, subtokens
 from lectern.operators import text as X
 
@@ -144,7 +146,8 @@ def vertical_position(docs: DataFrame) -> DataFrame:
     found = F.filter(F.regexp_extract_all("content", F.lit(rf"(?s){X.STRING}|{X.COMMENT}|\r\n|[\r\n]"), F.lit(0)), lambda x: x.rlike(r"^(?://|/\*|[\r\n])"))
     ends = lambda x: F.regexp_count(x, F.lit(r"\r\n|\r|\n"))
     # the line that each comment begins on: the line ends before it
-    notes = F.aggregate(found, F.struct(F.lit(0).alias("line"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["line"] + ends(x)).alias("line"), F.when(x.startswith("/"), F.concat(a["out"], F.array(a["line"]))).otherwise(a["out"]).alias("out")))["out"]
+    lines = lambda p: once(running(F.transform(p, ends)), lambda r: F.transform(p, lambda x, i: F.struct((F.get(r, i) - ends(x)).alias("line"), x.startswith("/").alias("note"))))
+    notes = F.transform(F.filter(once(found, lines), lambda x: x["note"]), lambda x: x["line"])
 
     def at(array: str, good) -> Column:
         return F.flatten(F.transform(array, lambda t, i: F.transform(F.filter(t, good), lambda _: i)))
@@ -230,14 +233,35 @@ def spectra(docs: DataFrame) -> DataFrame:
     return parsed(docs).select("doc_id", *[spectral_energy(c).alias(f"low_{k}") for k, c in series().items()])
 
 
-def aligned_runs(lines: DataFrame) -> DataFrame:
-    """Runs of one character that is no space, in one column of two or more lines on end."""
-    ch = lines.select("doc_id", "line", F.posexplode(F.filter(F.split("text", ""), lambda x: x != "")).alias("col", "ch"))
-    w = Window.partitionBy("doc_id", "col").orderBy("line")
-    same = (F.lag("ch").over(w) == F.col("ch")) & (F.lag("line").over(w) == F.col("line") - 1) & (F.col("ch") != " ")
-    ch = ch.withColumn("same", F.coalesce(same, F.lit(False)))
-    second = F.col("same") & ~F.coalesce(F.lag("same").over(w), F.lit(False))
-    return ch.withColumn("second", second).groupBy("doc_id").agg(F.count_if("second").alias("runs"))
+def aligned_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, runs): runs of one character that is no space, in one column of two or more lines on end.
+
+    Lines are arrays of code points of the document's own row, and each is compared with the one above it: nothing is
+    expanded or shuffled. Documents without a character have no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = batch.column("lines")
+            many = lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            text = lines.flatten()
+            size = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+            ch = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le"), np.uint32)
+            begins, line = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+            top = np.cumsum(many) - many  # the first line of each document has none above it
+            first = np.zeros(len(size) + 1, bool)
+            first[top] = True
+            col, up = np.arange(len(ch)) - begins[line], np.maximum(line - 1, 0)
+            above = np.where(~first[line] & (col < size[up]), begins[up] + col, -1)
+            same = (above >= 0) & (ch == ch[above]) & (ch != 32)
+            second = same & ~same[above]
+            doc = np.repeat(np.arange(len(many)), many)[line]
+            runs, chars = np.bincount(doc[second], minlength=len(many)), np.bincount(doc, minlength=len(many))
+            some = np.flatnonzero(chars)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), pa.array(runs[some].astype(np.int64))], names=["doc_id", "runs"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", X.line_array(F.col("content")).alias("lines")).mapInArrow(run, f"doc_id {kind}, runs long")
 
 
 def line_coherence(docs: DataFrame) -> DataFrame:

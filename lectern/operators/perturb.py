@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.arrays import once, running
 from lectern.functions.scalar import fingerprint, stable_index
 from lectern.operators.text import strip_comments
 
@@ -74,7 +75,9 @@ def renamed_short(docs: DataFrame, keep: int = 3) -> DataFrame:
 
 
 def renamed_misleading(docs: DataFrame, words: Sequence[str]) -> DataFrame:
-    """(doc_id, name, misleading): a word of the length nearest to the name's, the shorter of two as near, chosen by a hash."""
+    """(doc_id, name, misleading): a word of the length nearest to the name's, the shorter of two as near, chosen by a hash;
+    of a document's names that would become one word all but the first, in the order of their SHA-256, get a number, so no
+    two names of a document become one."""
     sizes = sorted({len(w) for w in words})
     by_size = {n: sorted(w for w in words if len(w) == n) for n in sizes}
     n, name = F.length("name"), _names(docs)
@@ -83,7 +86,9 @@ def renamed_misleading(docs: DataFrame, words: Sequence[str]) -> DataFrame:
     for s, own in by_size.items():
         at = stable_index(len(own), F.col("doc_id").cast("string"), F.col("name")).cast("int")
         pick = F.when(nearest == s, F.get(F.array(*map(F.lit, own)), at)).otherwise(pick)
-    return name.select("doc_id", "name", pick.alias("misleading"))
+    name = name.select("doc_id", "name", pick.alias("word"))
+    k = F.row_number().over(Window.partitionBy("doc_id", "word").orderBy(fingerprint(F.col("name")), "name"))
+    return name.withColumn("k", k).select("doc_id", "name", F.when(F.col("k") == 1, F.col("word")).otherwise(F.concat_ws("_", "word", F.col("k").cast("string"))).alias("misleading"))
 
 
 def rewritten(docs: DataFrame, names: DataFrame, to: str) -> DataFrame:
@@ -107,11 +112,39 @@ def class_corpus(files: DataFrame, kinds: Sequence[str], excluded: Sequence[str]
     return files.where(good & kind).withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy(*order))).where(F.col("place") <= each)
 
 
+#: A text in pieces: comments (a line's with its end), strings, white space, and what else there is.
+_LAYOUT = (
+    r"(?s)//[^\n]*\n?|/\*[^*]*+(?:\*++[^*/][^*]*+)*+(?:\*++/|\**+\z)|\"\"\"[^\"\\]*+(?:(?:\\.|\"(?!\"\"))[^\"\\]*+)*+\"\"\""
+    r"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|\s++|[^\s\"'/]++|."
+)
+
+
 def compact_layout(content: Column, key: Column, share: int = 40) -> Column:
-    """About `share` percent of the breaks between paragraphs made single line ends, chosen by a hash of their place."""
-    parts = F.split(content, "\n{2,}")
-    glue = lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.when(stable_index(100, key, i.cast("string")) < share, "\n").otherwise("\n\n"), x))
-    return F.array_join(F.transform(parts, glue), "")
+    """About `share` percent of the line breaks made single spaces: runs of white space with a line end, outside comments
+    and strings and not at the text's ends.
+
+    Of n such runs floor(share n / 100) go, one at least, but two always stay; which go is told by the SHA-256 of the key
+    and the run's place.
+    """
+
+    def joined(p: Column) -> Column:
+        def chosen(ends: Column) -> Column:
+            last = F.size(p) - 1
+            runs = F.filter(
+                F.transform(p, lambda x, i: F.struct(F.sha2(F.concat_ws(":", key, (F.get(ends, i) - F.length(x)).cast("string")).cast("binary"), 256).alias("h"), i.alias("i"), x.alias("x"))),
+                lambda r: r["x"].rlike(r"^\s*\n\s*$") & (r["i"] > 0) & (r["i"] < last),
+            )
+
+            def cut(r: Column) -> Column:
+                n = F.least(F.size(r) - 2, F.greatest(F.lit(1), F.floor(F.size(r) * share / 100).cast("int")))
+                gone = F.transform(F.slice(F.array_sort(r), F.lit(1), F.greatest(n, F.lit(0))), lambda x: x["i"])
+                return once(gone, lambda g: F.array_join(F.transform(p, lambda x, i: F.when(F.array_contains(g, i), " ").otherwise(x)), ""))
+
+            return once(runs, cut)
+
+        return once(running(F.transform(p, lambda x: F.length(x))), chosen)
+
+    return once(F.regexp_extract_all(content, F.lit(_LAYOUT), F.lit(0)), joined)
 
 
 SPECS = {

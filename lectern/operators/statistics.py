@@ -173,6 +173,19 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: Colu
     return df.withColumn(at, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(at) <= k)
 
 
+def capped_views(rows: DataFrame, by: Sequence[str], kind: str, views: dict[str, Sequence], weight: str, tie: Sequence[str], k: int = 512) -> DataFrame:
+    """(by, view, row's columns): for each group and view the k rows of greatest weight, ties in the order of `tie`.
+
+    A view is some values of `kind`, all where it names none; a row counts in every view that has its kind. Each task keeps
+    its own first k rows of a group before anything is shuffled (Spark's limit of groups by rank, which k up to 1000 gets),
+    so a group with a third of all rows sends k rows from each task, and the final rank is over those alone.
+    """
+    own = [F.when(F.lit(True) if not kinds else F.col(kind).isin(*kinds), F.lit(name)) for name, kinds in views.items()]
+    d = rows.withColumn("view", F.explode(F.array_compact(F.array(*own))))
+    place = F.row_number().over(Window.partitionBy(*by, "view").orderBy(F.desc(weight), *tie))
+    return d.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
 def macro_f1(df: DataFrame, by: Sequence[str], predicted: str, label: str) -> DataFrame:
     """(by, macro_f1): the unweighted mean over the classes that a group has, of either side."""
     pairs = df.groupBy(*by, predicted, label).count()

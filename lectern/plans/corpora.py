@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import scalar as S
 from lectern.operators import perturb as K
+from lectern.operators import text as X
 from lectern.operators.features import byte_entropy
 from lectern.plans.registry import query, table
-from lectern.plans.text import items
+from lectern.plans.text import PAGE_DOCS, code, code_sql, items, quoted
 from lectern.sources import readers as A
 from lectern.streaming import incremental as L
 
@@ -126,27 +127,37 @@ def rewrite_garbled(spark, sf_dir):
     return r.select("doc_id", S.fingerprint(F.col("content")).alias("sha"))
 
 
-@query(r"""
-with d as (select doc_id, text, text || chr(10) || '// note ' || doc_id as noted from documents)
-select doc_id, 1 as comments, length('// note ' || doc_id) as removed from d where not regexp_matches(text, '[/"'']')
+@query(f"""
+with {code_sql(PAGE_DOCS)},
+n as (select doc_id, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '{quoted(rf"{X.STRING}|{X.COMMENT}|[^{chr(34)}/{chr(39)}]+|[{chr(34)}/{chr(39)}]")}')) as x from src) where starts_with(x, '//') or starts_with(x, '/*') group by doc_id)
+select src.doc_id, cast(coalesce(n.n, 0) as int) as comments, length(src.text) - length(code.text) as removed, sha256(code.text) as sha from src join code using (doc_id) left join n using (doc_id)
 """)
 def removed_comments(spark, sf_dir):
-    """How many comments, and characters of them, are taken out of texts that had none and get one."""
-    d = items(spark, sf_dir).where(~F.col("content").rlike("[/\"']")).withColumn("content", F.concat("content", F.lit("\n// note "), F.col("doc_id").cast("string")))
-    return K.comment_removal(d).select("doc_id", F.col("comments").cast("int").alias("comments"), F.col("removed").cast("long").alias("removed"))
+    """How many comments, and characters of them, are taken out of each page, and what is left."""
+    d = K.comment_removal(code(spark, sf_dir))
+    return d.select("doc_id", F.col("comments").cast("int").alias("comments"), F.col("removed").cast("long").alias("removed"), S.fingerprint(F.col("content")).alias("sha"))
 
 
-@query("""
-with p as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+')) as x, generate_subscripts(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+'), 1) as i from documents),
-h as (select doc_id, string_agg(case when regexp_matches(x, '^(?:0|[1-9][0-9]{0,14})$') then '0x' || lower(format('{:x}', cast(x as bigint))) else x end, '' order by i) as hex, string_agg(case when regexp_matches(x, '^[A-Za-z_]') then left(x, 3) else x end, '' order by i) as short from p group by doc_id),
-v as (select d.doc_id, text, hex, short from documents d left join h using (doc_id)),
-u as (select doc_id, 'original' as kind, 0 as position, text as content, text from v union all select doc_id, 'hexadecimal', 2, coalesce(hex, ''), text from v union all select doc_id, 'short_names', 3, coalesce(short, ''), text from v)
+_LAYOUT_SQL = quoted(r"(?s)//[^\n]*\n?|/\*.*?(?:\*/|\z)|\"\"\"(?:\\.|[^\\])*?\"\"\"|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|[\x20\t\n\x0B\f\r]+|[^\x20\t\n\x0B\f\r\"'/]+|.")
+
+
+@query(f"""
+with {code_sql()},
+p as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+')) as x, generate_subscripts(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+'), 1) as i from documents),
+h as (select doc_id, string_agg(case when regexp_matches(x, '^(?:0|[1-9][0-9]{{0,14}})$') then '0x' || lower(format('{{:x}}', cast(x as bigint))) else x end, '' order by i) as hex, string_agg(case when regexp_matches(x, '^[A-Za-z_]') then left(x, 3) else x end, '' order by i) as short from p group by doc_id),
+lp as (select doc_id, unnest(a) as x, unnest(range(1, len(a) + 1)) as i, len(a) as n from (select doc_id, regexp_extract_all(text, '{_LAYOUT_SQL}') as a from documents)),
+ls as (select *, cast(sum(length(x)) over (partition by doc_id order by i) as bigint) - length(x) as start from lp),
+lr as (select *, regexp_matches(x, '^\\s*\\n\\s*$') and i > 1 and i < n as run from ls),
+lk as (select *, row_number() over (partition by doc_id, run order by sha256(doc_id || ':' || start)) as k, count(*) filter (where run) over (partition by doc_id) as runs from lr),
+lc as (select doc_id, string_agg(case when run and k <= least(runs - 2, greatest(1, runs * 40 // 100)) then ' ' else x end, '' order by i) as compact from lk group by doc_id),
+v as (select d.doc_id, d.text, hex, short, compact, code.text as bare from documents d left join h using (doc_id) left join lc using (doc_id) left join code on code.doc_id = d.doc_id),
+u as (select doc_id, 'original' as kind, 0 as position, text as content, text from v union all select doc_id, 'comments', 1, coalesce(bare, ''), text from v union all select doc_id, 'hexadecimal', 2, coalesce(hex, ''), text from v
+  union all select doc_id, 'short_names', 3, coalesce(short, ''), text from v union all select doc_id, 'compact', 4, coalesce(compact, ''), text from v)
 select doc_id, kind, position, sha256(content) as content_sha256, sha256(content) <> sha256(text) as changed from u
 """)
 def perturbation_manifest(spark, sf_dir):
-    """The manifest of variants: the original, integers in hexadecimal, and names cut short."""
-    specs = {k: v for k, v in K.SPECS.items()}
-    return K.variants(items(spark, sf_dir), specs).where("kind in ('original', 'hexadecimal', 'short_names')").drop("content")
+    """The manifest of variants: the original, and each of the perturbations."""
+    return K.variants(items(spark, sf_dir)).drop("content")
 
 
 @query("select doc_id, cast(concat('0x', left(sha256('11:' || doc_id || ':' || source), 8)) as bigint) % 13 as choice from documents")

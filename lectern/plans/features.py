@@ -201,7 +201,7 @@ z as (select *, same and not coalesce(lag(same) over (partition by doc_id, col o
 select doc_id, count(*) filter (where second) as runs from z group by doc_id
 """)
 def aligned_runs(spark, sf_dir):
-    return D.aligned_runs(X.lines(items(spark, sf_dir)))
+    return D.aligned_runs(items(spark, sf_dir))
 
 
 @query(f"""

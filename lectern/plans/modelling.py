@@ -9,6 +9,7 @@ from lectern.functions import scalar as S
 from lectern.operators import models as J
 from lectern.operators import statistics as G
 from lectern.operators.features import line_stats, token_density
+from lectern.operators.fitted import Ridge, cross_fitted
 from lectern.operators.quantiles import quantiles
 from lectern.plans.registry import query, table
 from lectern.plans.text import items
@@ -442,3 +443,10 @@ select l_returnflag, count(*) as count, count(*) filter (where l_discount >= 0.0
 def method_summary(spark, sf_dir):
     bad = F.col("l_discount") < 0.01
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("count"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("errors"), F.round(F.avg("l_discount"), 6).alias("mean_score"))
+
+
+@query(f"with {LINE_SQL}, {_fit_sql('r', 'held')} select l_returnflag, fold, count(*) as n, round(sum(greatest(0, least(1, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2))), 4) as total from t join co on held = fold group by all")
+def fitted_stages(spark, sf_dir):
+    """The same sums of predictions from a stage that is fitted again for each fold."""
+    out = cross_fitted(Ridge(features=["x1", "x2"], target="y"), line_table(spark, sf_dir), "fold")
+    return out.groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"), F.round(F.sum("prediction"), 4).alias("total"))

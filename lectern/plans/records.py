@@ -12,6 +12,7 @@ from lectern.operators import relations as E
 from lectern.operators import statistics as G
 from lectern.plans.registry import query, table
 from lectern.plans.text import items
+from lectern.sources import rated as R
 from lectern.sources import readers as A
 from lectern.sources import sinks as W
 from lectern.sources.tables import shared_folder
@@ -322,15 +323,16 @@ def rename_short(spark, sf_dir):
 
 @query(r"""
 with w as (select unnest(['rowbuffer', 'cat', 'stream', 'of', 'total', 'page', 'x', 'listener', 'queue', 'kernel', 'tableaux', 'go', 'heap']) as word), s as (select word, length(word) as n, row_number() over (partition by length(word) order by word) - 1 as k, count(*) over (partition by length(word)) as m from w),
-t as (select distinct doc_id, name from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from documents where doc_id < 100)),
-c as (select t.*, (select min(s.n) from s where abs(s.n - length(name)) = (select min(abs(s2.n - length(name))) from s s2)) as n from t),
-i as (select c.doc_id, c.name, s.word from c join s on s.n = c.n and s.k = cast(concat('0x', left(sha256(c.doc_id || ':' || c.name), 8)) as bigint) % s.m)
-select doc_id, name, word as misleading from i
+t as (select distinct doc_id, name from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from documents)),
+e as (select length(name) as own, arg_min(n, abs(n - length(name)) * 1000 + n) as n from (select distinct length(name) as l, name from t) x, (select distinct n from s) group by length(name)),
+i as (select t.doc_id, t.name, s.word from t join e on e.own = length(t.name) join s on s.n = e.n and s.k = cast(concat('0x', left(sha256(t.doc_id || ':' || t.name), 8)) as bigint) % s.m),
+k as (select *, row_number() over (partition by doc_id, word order by sha256(name), name) as k from i)
+select doc_id, name, case when k = 1 then word else word || '_' || k end as misleading from k
 """)
 def rename_misleading(spark, sf_dir):
-    """Names exchanged for words about other things of about the same length."""
+    """Names exchanged for words about other things of about the same length, no two of a document for one."""
     words = ("rowbuffer", "cat", "stream", "of", "total", "page", "x", "listener", "queue", "kernel", "tableaux", "go", "heap")
-    return K.renamed_misleading(items(spark, sf_dir).where("doc_id < 100"), words)
+    return K.renamed_misleading(items(spark, sf_dir), words)
 
 
 @query(r"""
@@ -355,3 +357,15 @@ def discovered_groups(spark, sf_dir):
     d.withColumn("group_id", F.concat(F.lit("g"), (F.col("doc_id") % 40).cast("string"))).write.partitionBy("group_id").parquet(path)
     manifest = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("known", F.lit(1))
     return A.groups(spark, path, manifest, "doc_id")
+
+
+@query("select doc_id, cast(quality as double) as score, sha256(text) as sha from documents join labels using (doc_id)")
+def rated_corpus(spark, sf_dir):
+    """Labelled texts written as JSON lines and read again through the data source of rated corpora."""
+    d = items(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    path = _place(spark, "rated")
+    d.select(F.col("doc_id").cast("string").alias("name"), F.col("content").alias("code_snippet"), F.col("quality").cast("double").alias("score")).write.json(path)
+    R.register(spark)
+    r = spark.read.format("rated").options(layout="json_lines", dataset="labelled").load(path)
+    return r.select(F.col("task_id").cast("long").alias("doc_id"), F.col("readability_score").alias("score"), S.fingerprint(F.col("content")).alias("sha"))
+

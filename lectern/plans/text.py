@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lectern.functions import scalar as S
 from lectern.operators import lexing as Z
 from lectern.operators import text as X
+from lectern.operators.statistics import capped_views as capped
 from lectern.plans.registry import query, table
-from lectern.sources.tables import spread
+from lectern.sources.tables import checkpointed, spread
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,3 +399,22 @@ def python_lexing(spark, sf_dir):
     of = lambda kind: F.size(F.filter("t.tokens", lambda x: x["kind"] == kind)).cast("long").alias(f"{kind}s")
     last = F.coalesce(F.array_max(F.transform("t.tokens", lambda x: x["line"])), F.lit(0)).alias("last_line")
     return d.select("doc_id", "t.strict", F.size("t.tokens").cast("long").alias("tokens"), *map(of, ("keyword", "name", "number", "string", "operator")), last)
+
+
+VIEWS = {"all": (), "names": ("IDENTIFIER", "CALL"), "values": ("LITERAL", "REGEX"), "signs": ("ARITHMETIC", "ASSIGNMENT", "BITWISE", "COMPARISON", "LOGICAL")}
+_VIEW_ROWS = " union all ".join(f"select '{v}' as view, {f"'{k}'" if k else 'null'} as kind" for v, own in VIEWS.items() for k in (own or (None,)))
+
+
+@query(f"""
+with {code_sql(PAGE_DOCS)}, m as (select doc_id, chunk_type, lexeme, count(*) as n from chunks group by all), w as ({_VIEW_ROWS}),
+r as (select w.view, m.*, row_number() over (partition by doc_id, w.view order by n desc, chunk_type, lexeme) as place from m join w on w.kind is null or w.kind = m.chunk_type)
+select doc_id, view, count(*) filter (where place <= 32) as kept, cast(sum(n) filter (where place <= 32) as bigint) as weight, min(n) filter (where place <= 32) as least, max(lexeme) filter (where place <= 32) as last, cast(sum(n) as bigint) as total from r group by doc_id, view
+""")
+def capped_views(spark, sf_dir):
+    """The heaviest lexemes of each page in several views, at most 32 of each, and what share of the weight they have."""
+    m = checkpointed(X.chunks(code(spark, sf_dir)).groupBy("doc_id", "chunk_type", "lexeme").agg(F.count("*").alias("n")))
+    kept = capped(m, ["doc_id"], "chunk_type", VIEWS, "n", ["chunk_type", "lexeme"], 32)
+    kept = kept.groupBy("doc_id", "view").agg(F.count("*").alias("kept"), F.sum("n").alias("weight"), F.min("n").alias("least"), F.max("lexeme").alias("last"))
+    in_view = F.explode(F.array_compact(F.array(*[F.when(F.col("chunk_type").isin(*own) if own else F.lit(True), F.lit(v)) for v, own in VIEWS.items()])))
+    total = m.select("doc_id", in_view.alias("view"), "n").groupBy("doc_id", "view").agg(F.sum("n").alias("total"))
+    return kept.join(total, ["doc_id", "view"])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.functions.scalar import fingerprint
 from lectern.operators.relations import reuse_plan
@@ -42,3 +43,64 @@ def follow(stream: DataFrame, path: str, build: Callable[[DataFrame], DataFrame]
         build(rows.select("sha", "content")).withColumn("version", F.lit(VERSION)).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+class _Tasks(StatefulProcessor):
+    """What is known of one task: the hash of its text, and until when it stands without being seen again."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "sha string, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        have = self.known.get()
+        sha, due = have if have is not None else (None, None)
+        old = due
+        for r in sorted(rows, key=lambda r: (r["seen"], r["sha"] or "")):
+            until = int(r["seen"].timestamp() * 1000) + self.keep_ms
+            if r["sha"] is None:
+                plan, sha = "retired", None
+            else:
+                plan, sha = ("reused" if r["sha"] == sha else "computed"), r["sha"]
+            due = until if due is None else max(due, until)
+            yield Row(task_id=key[0], sha=r["sha"] if r["sha"] is not None else "", content=r["content"] if plan == "computed" else None, plan=plan)
+        if old is not None and old != due:
+            self.handle.deleteTimer(old)
+        if sha is None:
+            if old is not None and old == due:
+                self.handle.deleteTimer(old)
+            self.known.clear()
+        else:
+            if old != due:
+                self.handle.registerTimer(due)
+            self.known.update((sha, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        have = self.known.get()
+        if have is not None:
+            self.known.clear()
+            yield Row(task_id=key[0], sha=have[0], content=None, plan="retired")
+
+    def close(self) -> None:
+        pass
+
+
+def tracked(stream: DataFrame, keep: str, late: str) -> DataFrame:
+    """What a stream of (task_id, content, seen: timestamp) asks for: (task_id, sha, content, plan) for each row, and one more
+    for each task that is retired.
+
+    plan is computed where a task is new or its text has changed (content comes along for those alone), reused where the
+    text is the same as before, retired where the content is null or, with an empty row of its own, where a task hasn't
+    been seen for `keep` (as "7 days") of event time; rows that are `late`r than that behind the newest are dropped.
+    The state holds a hash and a time for each task, in RocksDB, so it may be larger than memory and restarts go on from
+    it; rows of a task within a batch count in the order of `seen`. Nothing is compared with a whole table.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ms = int(spark.sql(f"select unix_millis(timestamp'1970-01-01 00:00:00Z' + interval {keep}) as ms").first()["ms"])
+    rows = stream.withWatermark("seen", late).select("task_id", F.when(F.col("content").isNotNull(), fingerprint(F.col("content"))).alias("sha"), "content", "seen")
+    kind = stream.schema["task_id"].dataType.simpleString()
+    return rows.groupBy("task_id").transformWithState(_Tasks(ms), f"task_id {kind}, sha string, content string, plan string", "Append", "EventTime")
