@@ -271,17 +271,17 @@ def sign_agreement(spark, sf_dir):
 
 
 @query(f"""
-with {LINE_SQL}, one as (select 1 as g, * from t where l_linenumber = 1), {_fit_sql('one', 'g')},
+with {LINE_SQL}, one as (select 1 as g, * from t ), {_fit_sql('one', 'g')},
 z as (select l_orderkey, unnest(['x1', 'x2']) as feature, unnest([x1, x2]) as value, unnest([(x1 - m1) / s1, (x2 - m2) / s2]) as z, unnest([b1, b2]) as b from one join co using (g))
-select feature, count(*) as n, round(sum(value), 4) as value, round(sum(abs(z)), 3) as z, round(sum(abs(z * b)), 5) as contribution, 0 as imputed, 0 as clipped from z group by feature
+select feature, count(*) as n, round(sum(value), 4) as value, round(sum(abs(z)), 2) as z, round(sum(abs(z * b)), 4) as contribution, 0 as imputed, 0 as clipped from z group by feature
 """)
 def score_contributions(spark, sf_dir):
-    """Scores of first lines taken apart, summed by feature."""
-    t = line_table(spark, sf_dir).where("l_linenumber = 1")
+    """Scores of all lines taken apart, summed by feature."""
+    t = checkpointed(line_table(spark, sf_dir))
     stats = J._stats(t, ["x1", "x2"])
     beta, _ = J.solve(J.gram(t.select("y", *J.standardised(t, ["x1", "x2"], stats)), ["x1", "x2"], "y", F.lit(1.0)).first(), 200.0)
     c = J.contributions(t, "l_orderkey", ["x1", "x2"], stats, beta)
-    return c.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"), F.round(F.sum(F.abs("z")), 3).alias("z"), F.round(F.sum(F.abs("contribution")), 5).alias("contribution"), F.count_if("imputed").cast("int").alias("imputed"), F.count_if("clipped").cast("int").alias("clipped"))
+    return c.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"), F.round(F.sum(F.abs("z")), 2).alias("z"), F.round(F.sum(F.abs("contribution")), 4).alias("contribution"), F.count_if("imputed").cast("int").alias("imputed"), F.count_if("clipped").cast("int").alias("clipped"))
 
 
 @query("select event_type, count(*) as n, round(sum(1 / (1 + exp(-(0.3 + 0.02 * coalesce(case when isfinite(value) then value end, 0) - 0.5 * (user_id % 3))))), 4) as total from events group by event_type")
@@ -450,3 +450,43 @@ def fitted_stages(spark, sf_dir):
     """The same sums of predictions from a stage that is fitted again for each fold."""
     out = cross_fitted(Ridge(features=["x1", "x2"], target="y"), line_table(spark, sf_dir), "fold")
     return out.groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"), F.round(F.sum("prediction"), 4).alias("total"))
+
+
+WIDE = 228
+
+
+def wide_table(spark, sf_dir):
+    """documents with labels and WIDE features: the shares of a text's words that a hash deals to each."""
+    word = F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0))
+    d = items(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id")
+    at = d.select("doc_id", "y", F.col("dataset").alias("source"), F.transform(word, lambda w: F.pmod(F.xxhash64(w), F.lit(WIDE)).cast("int")).alias("at"))
+
+    def dealt(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            own, n = batch.column("at"), len(batch)
+            size = own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cell = np.repeat(np.arange(n), size) * WIDE + own.flatten().to_numpy(zero_copy_only=False)
+            x = np.bincount(cell, minlength=n * WIDE).reshape(n, WIDE) / np.maximum(size, 1)[:, None]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "y", "source")], *[pa.array(x[:, k]) for k in range(WIDE)]], names=["doc_id", "y", "source", *[f"h{k}" for k in range(WIDE)]])
+
+    fields = [f"doc_id {at.schema['doc_id'].dataType.simpleString()}", "y double", "source string", *[f"h{k} double" for k in range(WIDE)]]
+    return checkpointed(G.fold(at.mapInArrow(dealt, ", ".join(fields)), ["source"], ["doc_id"], 5))
+
+
+@query()
+def wide_curve(spark, sf_dir):
+    """Cross-validated correlation of the first K of 150 features, for each K: sub-models of one matrix of sums a fold."""
+    names = [f"h{k}" for k in range(150)]
+    use = {str(k): range(k) for k in range(1, 151)}
+    out = J.out_of_fold(wide_table(spark, sf_dir), names, "y", F.lit(1.0), "fold", configurations=use)
+    g = out.groupBy("configuration").agg(F.count("*").alias("n"), F.round(F.corr("prediction", "y"), 4).alias("correlation"))
+    return g.select(F.col("configuration").cast("int").alias("k"), "n", "correlation")
+
+
+@query()
+def wide_stability(spark, sf_dir):
+    """How often L1 models of 200 subsamples keep each of 228 features."""
+    return J.stability(wide_table(spark, sf_dir), [f"h{k}" for k in range(WIDE)], "y", "doc_id")

@@ -222,3 +222,29 @@ def test_anchor_thresholds_equal_fits_on_the_others(spark):
 def test_weights_of_groups_balance(spark):
     d = spark.createDataFrame([(1,), (1,), (1,), (2,)], "g int")
     assert sorted(r["weight"] for r in balanced_weight(d, ["g"]).collect()) == pytest.approx([2 / 3] * 3 + [2.0])
+
+
+def test_steps_under_one_bound_end_where_newton_steps_do(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 5))
+    y = (x[:, 0] - 0.7 * x[:, 1] + rng.normal(size=300) > 0).astype(float)
+    df = spark.createDataFrame([(i, float(t), *map(float, r)) for i, (t, r) in enumerate(zip(y, x, strict=True))], "id int, y double, a double, b double, c double, d double, e double").cache()
+    one = {r["feature"]: r for r in J.stability(df, list("abcde"), "y", "id", rounds=12, c=0.05).collect()}
+    monkeypatch.setattr(J, "NEWTON", 0)
+    two = {r["feature"]: r for r in J.stability(df, list("abcde"), "y", "id", rounds=12, c=0.05).collect()}
+    for f in "abcde":
+        assert two[f]["coefficient"] == pytest.approx(one[f]["coefficient"], abs=1e-3) and two[f]["frequency"] == one[f]["frequency"]
+    assert one["a"]["frequency"] == one["b"]["frequency"] == 1.0
+
+
+def test_correlation_filter_by_either_correlation(spark):
+    """b follows a by ranks alone, c by value alone but for one outlier; d is constant, e has gaps."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=200)
+    cols = {"a": a, "b": np.exp(3 * a), "c": rng.normal(size=200), "d": np.full(200, 3.0), "e": rng.normal(size=200)}
+    rows = [(i, i % 2, *[float(v[i]) if not (k == "e" and i % 9 == 0) else None for k, v in cols.items()]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, g int, a double, b double, c double, d double, e double")
+    assert J.correlation_filter(df, list("abcde")) == ["a", "c", "e"]
+    assert J.joint_filter(df, "g", list("dbace")) == ["b", "c", "e"]
+    one = J.correlations(df, ["a", "b", "c"])[0]
+    assert one["a", "b"] == pytest.approx(abs(np.corrcoef(cols["a"], cols["b"])[0, 1])) and one["c", "c"] == pytest.approx(1.0)
