@@ -126,5 +126,5 @@ select d.doc_id, coalesce(k.language, 'java') as language, coalesce(k.metric, 'n
 """)
 def registry_support(spark, sf_dir):
     k = spark.createDataFrame([("src0", "java", "ridge"), ("src1", "python", "mcc"), ("src2", "java", "ridge")], "dataset string, language string, metric string").withColumn("known", F.lit(True))
-    d = items(spark, sf_dir).join(F.broadcast(k), "dataset", "left")
+    d = items(spark, sf_dir).join(k, "dataset", "left")
     return d.select("doc_id", F.coalesce("language", F.lit("java")).alias("language"), F.coalesce("metric", F.lit("none")).alias("metric"), F.col("known").isNotNull().alias("supported"))
