@@ -410,8 +410,9 @@ def logistic_sums(df: DataFrame, features: Sequence[str], label: str, weight: st
     return s[:, :p], s[:, p : p + p * p].reshape(m, p, p), s[:, -1]
 
 
-def logistic(df: DataFrame, features: Sequence[str], label: str, weight: str, l1: float = 0.0, l2: float = 0.0, models: int = 1, member=None, rounds: int = 15) -> np.ndarray:
+def logistic(df: DataFrame, features: Sequence[str], label: str, weight: str, l1: float = 0.0, l2: float = 0.0, models: int = 1, member=None, rounds: int = 15, allowed: np.ndarray | None = None) -> np.ndarray:
     """Coefficients of logistic models, (models, p + 1), by Newton steps over sums; l1 and l2 penalise all but the intercept.
+    allowed (models, p + 1) says which coefficients a model has; all, unless given.
 
     With l1 a step minimises the quadratic model plus the penalty, coordinate by coordinate; steps halve while they fail.
     """
@@ -434,10 +435,10 @@ def logistic(df: DataFrame, features: Sequence[str], label: str, weight: str, l1
         for k in range(models):
             a = h[k] + np.diag([l2] * (p - 1) + [0.0]) + 1e-9 * np.eye(p)
             d = g[k] + np.append(l2 * beta[k, :-1], 0.0)
-            v = beta[k].copy()
+            v, own = beta[k].copy(), range(p) if allowed is None else np.flatnonzero(allowed[k])
             for _ in range(200):
                 last = v.copy()
-                for j in range(p):
+                for j in own:
                     r = v[j] - (d[j] + a[j] @ (v - beta[k])) / a[j, j]
                     v[j] = np.sign(r) * max(0.0, abs(r) - (l1 if j < p - 1 else 0.0) / a[j, j])
                 if np.max(np.abs(v - last)) < 1e-10:
@@ -542,24 +543,50 @@ def stability(df: DataFrame, features: Sequence[str], label: str, key: str, roun
     return df.sparkSession.createDataFrame([(f, k, b, i + 1) for i, (f, k, b, _) in enumerate(rows)], "feature string, frequency double, coefficient double, rank int")
 
 
-def accuracy(df: DataFrame, features: Sequence[str], label: str, key: str, fold: str, folds: int) -> float:
-    """Cross-validated accuracy of a logistic model; every fold is a model of the same passes."""
-    x = prepared(df, features, label, key).join(df.select(F.xxhash64(F.lit(11), key).alias("_h"), F.col(fold).cast("long").alias("_fold")), "_h").withColumn("_h", F.col("_fold"))
-    beta = logistic(x, features, "_y", "_w", l2=1e-6, models=folds, member=lambda ids, m: (ids[:, None] != np.arange(m)[None, :]).astype(float), rounds=8)
-    models = df.sparkSession.createDataFrame([(k, [float(v) for v in b]) for k, b in enumerate(beta)], "_fold long, beta array<double>")
-    z = F.get("beta", F.lit(len(features)))
-    for i, f in enumerate(features):
-        z = z + F.col(f) * F.get("beta", F.lit(i))
-    return x.join(models, "_fold").agg(F.avg(((z > 0).cast("double") == F.col("_y")).cast("double"))).first()[0]
+def held_accuracy(x: DataFrame, features: Sequence[str], beta: np.ndarray, folds: int) -> np.ndarray:
+    """Right answers of each model on the fold that it is to be judged on (its number modulo folds), and that fold's rows,
+    as (models, 2): one pass for all of them. x has the fold in `_h`."""
+    m = len(beta)
+
+    def run(batches):
+        import pandas as pd
+
+        total = np.zeros((m, 2))
+        for pdf in batches:
+            v = np.column_stack([pdf[list(features)].to_numpy(float), np.ones(len(pdf))])
+            own = pdf["_h"].to_numpy()[:, None] == np.arange(m)[None, :] % folds
+            right = (v @ beta.T > 0) == (pdf["_y"].to_numpy()[:, None] > 0.5)
+            total += np.column_stack([(own & right).sum(axis=0), own.sum(axis=0)])
+        yield pd.DataFrame({"model": np.arange(m), "right": total[:, 0], "rows": total[:, 1]})
+
+    out = np.zeros((m, 2))
+    for r in x.select("_h", "_y", *features).mapInPandas(run, "model int, right double, rows double").groupBy("model").agg(F.sum("right").alias("right"), F.sum("rows").alias("rows")).collect():
+        out[r["model"]] = r["right"], r["rows"]
+    return out
 
 
 def forward_selection(df: DataFrame, features: Sequence[str], label: str, key: str, fold: str, folds: int, most: int) -> list[tuple[str, float]]:
-    """Greedy: the feature that raises the cross-validated accuracy most, until none does; features with fewer than 80 %
-    finite values don't take part."""
-    finite = df.agg(*[F.avg((F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f)) < float("inf"))).cast("double")).alias(f) for f in features]).first()
-    left, chosen, best = [f for f in features if (finite[f] or 0) >= 0.8], [], 0.0
+    """Greedy: the feature that raises the cross-validated accuracy most, of equals the last by name, until none does;
+    features with fewer than 80 % finite values don't take part.
+
+    A step's candidates and folds are models of the same passes, each with its own coefficients: eight passes a step at
+    most, however many candidates there are.
+    """
+    finite = df.agg(*[F.avg(_finite(f).isNotNull().cast("double")).alias(f) for f in features]).first()
+    names = [f for f in features if (finite[f] or 0) >= 0.8]
+    if not names:
+        return []
+    folded = df.select(F.xxhash64(F.lit(11), key).alias("_h"), F.col(fold).cast("long").alias("_fold"))
+    x = checkpointed(prepared(df, names, label, key).join(folded, "_h").withColumn("_h", F.col("_fold")).drop("_fold"))
+    left, chosen, best = list(names), [], 0.0
     while left and len(chosen) < most:
-        found = max(((accuracy(df, [*[c for c, _ in chosen], f], label, key, fold, folds), f) for f in left), key=lambda t: (t[0], t[1]))
+        allowed = np.zeros((len(left) * folds, len(names) + 1), bool)
+        allowed[:, [names.index(f) for f, _ in chosen] + [len(names)]] = True
+        for c, f in enumerate(left):
+            allowed[c * folds : (c + 1) * folds, names.index(f)] = True
+        beta = logistic(x, names, "_y", "_w", l2=1e-6, models=len(allowed), member=lambda ids, m: (ids[:, None] != np.arange(m)[None, :] % folds).astype(float), rounds=8, allowed=allowed)
+        right = held_accuracy(x, names, beta, folds).reshape(len(left), folds, 2).sum(axis=1)
+        found = max((float(r / n) if n else 0.0, f) for (r, n), f in zip(right, left, strict=True))
         if found[0] <= best + 1e-12:
             break
         best = found[0]

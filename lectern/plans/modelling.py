@@ -392,7 +392,7 @@ def candidate_extension(spark, sf_dir):
 @query()
 def forward_features(spark, sf_dir):
     """Greedy forward selection by the cross-validated accuracy of a logistic model."""
-    found = J.forward_selection(feature_table(spark, sf_dir), list(NAMES[:4]), "y", "doc_id", "fold", 5, 2)
+    found = J.forward_selection(feature_table(spark, sf_dir), list(NAMES), "y", "doc_id", "fold", 5, len(NAMES))
     return spark.createDataFrame([(i + 1, f, float(a)) for i, (f, a) in enumerate(found)], "step int, feature string, accuracy double")
 
 

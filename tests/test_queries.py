@@ -57,7 +57,7 @@ SHAPES = {
     "joint_selection": lambda r: [x["rank"] for x in r] == list(range(1, len(r) + 1)) and r[0]["feature"] == "mean_length",
     "stability_ranking": lambda r: sorted(x["rank"] for x in r) == list(range(1, 7)) and all(0 <= x["frequency"] <= 1 and round(x["frequency"] * 200, 6) % 1 == 0 for x in r),
     "candidate_extension": lambda r: sum(x["before"] is not None for x in r) == 3 and sum(x["after"] is not None for x in r) == 3,
-    "forward_features": lambda r: 1 <= len(r) <= 2 and all(0.5 <= x["accuracy"] <= 1 for x in r),
+    "forward_features": lambda r: 1 <= len(r) <= 6 and all(0.5 <= x["accuracy"] <= 1 for x in r),
     "logistic_model": lambda r: len(r) == 7 and r[-1]["feature"] == "intercept",
     "model_card": lambda r: len(r) == 1 and len(r[0]["coefficients"]) == 6 and r[0]["rows"] == 87,
 }

@@ -248,3 +248,19 @@ def test_correlation_filter_by_either_correlation(spark):
     assert J.joint_filter(df, "g", list("dbace")) == ["b", "c", "e"]
     one = J.correlations(df, ["a", "b", "c"])[0]
     assert one["a", "b"] == pytest.approx(abs(np.corrcoef(cols["a"], cols["b"])[0, 1])) and one["c", "c"] == pytest.approx(1.0)
+
+
+def test_forward_selection_of_all_candidates(spark):
+    """Two features tell the label, four are noise; a seventh has too many gaps. The first step equals fits one by one."""
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(240, 7))
+    y = (1.5 * x[:, 2] - x[:, 4] + 0.3 * rng.normal(size=240) > 0).astype(float)
+    x[::2, 6] = np.nan
+    names = list("abcdefg")
+    rows = [(i, i % 4, float(t), *[None if np.isnan(v) else float(v) for v in r]) for i, (t, r) in enumerate(zip(y, x, strict=True))]
+    df = spark.createDataFrame(rows, ", ".join(["id int", "fold int", "y double", *[f"{c} double" for c in names]])).cache()
+    found = J.forward_selection(df, names, "y", "id", "fold", 4, 7)
+    assert [f for f, _ in found[:2]] == ["c", "e"] and "g" not in dict(found)
+    assert all(a < b for (_, a), (_, b) in zip(found, found[1:], strict=False)) and found[1][1] > 0.9
+    alone = {f: J.forward_selection(df, [f], "y", "id", "fold", 4, 1)[0][1] for f in ("c", "a")}
+    assert alone["c"] == pytest.approx(found[0][1]) and alone["a"] < alone["c"]
