@@ -503,13 +503,17 @@ def lasso_rounds(x: DataFrame, features: Sequence[str], l1: float, models: int,
         parts = wide.mapInArrow(gradients(beta), "s array<double>")
         some = parts.groupBy(F.floor(F.spark_partition_id() / FAN_IN).alias("_bundle")).applyInArrow(add, "s array<double>")
         g = sum(np.array(r["s"]) for r in some.collect()).reshape(models, p)
-        new = beta.copy()
+        new, moved = beta.copy(), np.zeros((models, p))
         for _ in range(500):
-            last = new.copy()
+            most = 0.0
             for j in range(p):
-                r = new[:, j] - (g[:, j] + (new - beta) @ h[:, j]) / h[j, j]
-                new[:, j] = np.sign(r) * np.maximum(0.0, np.abs(r) - penalty[j] / h[j, j])
-            if np.max(np.abs(new - last)) < close / 10:
+                r = new[:, j] - (g[:, j] + moved[:, j]) / h[j, j]
+                d = np.sign(r) * np.maximum(0.0, np.abs(r) - penalty[j] / h[j, j]) - new[:, j]
+                if d.any():  # most coefficients are and stay zero
+                    moved += np.outer(d, h[j])
+                    new[:, j] += d
+                    most = max(most, float(np.abs(d).max()))
+            if most < close / 10:
                 break
         step, beta = np.max(np.abs(new - beta)), new
         if step < close:

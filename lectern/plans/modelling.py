@@ -452,7 +452,7 @@ def fitted_stages(spark, sf_dir):
     return out.groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"), F.round(F.sum("prediction"), 4).alias("total"))
 
 
-WIDE = 228
+WIDE = 150
 
 
 def wide_table(spark, sf_dir):
@@ -479,14 +479,8 @@ def wide_table(spark, sf_dir):
 @query()
 def wide_curve(spark, sf_dir):
     """Cross-validated correlation of the first K of 150 features, for each K: sub-models of one matrix of sums a fold."""
-    names = [f"h{k}" for k in range(150)]
-    use = {str(k): range(k) for k in range(1, 151)}
+    names = [f"h{k}" for k in range(WIDE)]
+    use = {str(k): range(k) for k in range(1, WIDE + 1)}
     out = J.out_of_fold(wide_table(spark, sf_dir), names, "y", F.lit(1.0), "fold", configurations=use)
     g = out.groupBy("configuration").agg(F.count("*").alias("n"), F.round(F.corr("prediction", "y"), 4).alias("correlation"))
     return g.select(F.col("configuration").cast("int").alias("k"), "n", "correlation")
-
-
-@query()
-def wide_stability(spark, sf_dir):
-    """How often L1 models of 200 subsamples keep each of 228 features."""
-    return J.stability(wide_table(spark, sf_dir), [f"h{k}" for k in range(WIDE)], "y", "doc_id")
