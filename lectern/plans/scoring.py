@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import scalar as S
-from lectern.operators import losses as H
 from lectern.operators import vectors as V
-from lectern.plans.losses import LOSS_SQL, losses
+from lectern.operators import sweeps as W
+from lectern.plans.losses import LOSS_SQL, losses, texts, trace_arrays
 from lectern.operators import relations as E
 from lectern.operators import statistics as G
 from lectern.plans.registry import query, table
@@ -83,11 +83,21 @@ select doc_id, round(sum(bits) filter (where k = 1) / sum(bytes) filter (where k
 """)
 def onset_loss(spark, sf_dir):
     """Loss of the first piece of a span against that of its later pieces; spans of four tokens stand in."""
-    t = losses(spark, sf_dir).select("doc_id", "i", "start", "end", "bits", "bytes")
-    spans = t.groupBy("doc_id", F.floor(F.col("i") / 4).alias("role")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    j = H.overlap(t, spans).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "role").orderBy("i")))
-    part = lambda c: F.round(F.sum(F.when(c, F.col("bits"))) / F.sum(F.when(c, F.col("bytes"))) + 1e-9, 6)
-    return j.groupBy("doc_id").agg(part(F.col("k") == 1).alias("onset"), part(F.col("k") > 1).alias("continuation"))
+    trace = trace_arrays(every=True)
+
+    def build(batch):
+        import pyarrow as pa
+
+        b = trace(batch)
+        n = np.nan_to_num(b.column("index").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        first, spans = np.cumsum(n) - n, (n + 3) // 4
+        k = 4 * (np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans))
+        own, most = np.repeat(first, spans), np.repeat(n, spans)
+        at = pa.array(np.concatenate([[0], np.cumsum(spans)]), pa.int32())
+        place = lambda c, i: pa.ListArray.from_arrays(at, b.column(c).flatten().take(pa.array(own + i)))
+        return b.append_column("span_start", place("starts", k)).append_column("span_end", place("ends", np.minimum(k + 4, most) - 1))
+
+    return W.onset_losses(texts(spark, sf_dir), build=build).select("doc_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("onset", "continuation")])
 
 
 @query("""

@@ -196,6 +196,53 @@ def test_relational_sweep_equals_the_rows(spark, traces):
     assert {(r["doc_id"], r["role"], r["start"], r["end"]): r["bpb"] for r in cut.collect()} == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_losses_in_the_row_equal_the_relations(spark, traces):
+    """Every measure whose arrays are made slice by slice, against the same measure by joins; gaps, overlaps, wide characters."""
+    rows = [(d, t, list(range(len(k))), *zip(*k)) if k else (d, t, [], [], [], []) for d, t, k, _ in traces]
+    rows = [(d, t, i, list(s), list(e), list(b), [x + n % 3 for n, x in enumerate(b)], [x[0] for x in own], [x[1] for x in own], [x[2] for x in own], [x[0] for x in own]) for (d, t, i, s, e, b), (*_, own) in zip(rows, traces, strict=True)]
+    kinds = "doc_id int, text string, index array<long>, starts array<long>, ends array<long>, bits array<double>, after array<double>, span_role array<long>, span_start array<long>, span_end array<long>, span_binding array<long>"
+    docs = spark.createDataFrame([*rows, (60, None, *[None] * 9), (61, "", *[[]] * 9)], kinds).repartition(2)
+    tokens = [(d, i, s, e, b, b + i % 3, t[s:e]) for d, t, k, _ in traces for i, (s, e, b) in enumerate(k)]
+    t = spark.createDataFrame(tokens, "doc_id int, i int, start int, end int, bits double, after double, text string")
+    s = spark.createDataFrame([(d, "pqr"[r], str(r), a, b) for d, _, _, own in traces for r, a, b in own], "doc_id int, role string, binding string, start int, end int")
+    plain = lambda df, cols: sorted(tuple(None if r[c] is None else r[c] if isinstance(r[c], str) else round(float(r[c]), 9) + 0.0 for c in cols) for r in df.collect())
+    after = t.withColumn("bits", F.col("after"))
+
+    a = H.allocation(t).groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered_chars"), F.sum("bytes").alias("covered_bytes"), F.round(F.sum("bits"), 9).alias("bits"), F.sum(F.when(F.col("k") > 1, F.col("end") - F.col("start")).otherwise(0)).alias("shared_chars"))
+    cols = ["doc_id", "covered_chars", "covered_bytes", "bits", "shared_chars"]
+    got = sweeps.allocations(docs)
+    assert plain(got, cols) == plain(a, cols)
+    gain = got.withColumn("gain", F.col("saved") / F.col("covered_bytes")).withColumnRenamed("covered_bytes", "bytes")
+    assert plain(gain, ["doc_id", "gain", "tokens", "bytes"]) == plain(H.comment_gain(t.drop("after"), after.drop("after")), ["doc_id", "gain", "tokens", "bytes"])
+    cols = ["doc_id", "first", "later", "later_tail", "increase", "within_std"]
+    assert plain(sweeps.reuse_losses(docs), cols) == plain(H.reuse_difficulty(t, s), cols)
+    cols = ["doc_id", "role", "gain", "q10", "scored", "eligible", "skipped"]
+    assert str(plain(sweeps.context_losses(docs, ["p", "q", "r"], size=2), cols)) == str(plain(H.context_difficulty(after, t, s, size=2), cols))
+
+
+def test_slices_hold_no_more_text_than_they_may(spark):
+    """The arrays of a batch of many documents are made a slice at a time."""
+    def build(batch):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        assert pc.sum(pc.binary_length(batch.column("text"))).as_py() <= 2 * sweeps.TOGETHER
+        n = len(batch)
+        one = lambda v, k: pa.array([[v]] * n, pa.list_(k))
+        return pa.RecordBatch.from_arrays([*batch.columns, one(0, pa.int64()), one(3, pa.int64()), one(6.0, pa.float64()), one(7.0, pa.float64())], names=["doc_id", "text", "starts", "ends", "bits", "after"])
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 1000).alias("text")).coalesce(1)
+    got = sweeps.allocations(docs, build=build).agg(F.count("*"), F.sum("covered_bytes"), F.sum("saved")).first()
+    assert tuple(got) == (3000, 9000, 3000.0)
+
+
+def test_onsets_of_spans(spark):
+    d = spark.createDataFrame([(1, "abcdé", [0, 1, 3], [1, 3, 5], [1.0, 4.0, 6.0], [0, 2, 4], [3, 5, 4]), (2, "", [], [], [], [], [])], "doc_id int, text string, starts array<long>, ends array<long>, bits array<double>, span_start array<long>, span_end array<long>")
+    r = sweeps.onset_losses(d).collect()
+    # the first span meets a and bc, the second bc and dé; the third is empty
+    assert [(x["doc_id"], x["onset"], x["continuation"]) for x in r] == [(1, pytest.approx(5 / 3), pytest.approx(10 / 5))]
+
+
 def test_overlaps_are_no_more_than_they_are(spark, traces):
     tokens = [(d, i, s, e) for d, _, k, _ in traces for i, (s, e, _) in enumerate(k)] + [(99, 0, 0, 100), (99, 1, 5, 6), (99, 2, 50, 51)]
     spans = [(d, r, s, e) for d, _, _, own in traces for r, s, e in own] + [(99, 0, 20, 30), (99, 0, 20, 30), (99, 1, 4, 60)]
