@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from lectern.functions.arrays import counts, deviation, largest, mean, once, running, total, variation
 from lectern.functions.scalar import IDENTIFIER, sigmoid, subtokens
 from lectern.operators import text as X
+from lectern.operators.sweeps import TOGETHER
 
 
 def r6(c: Column) -> Column:
@@ -241,11 +242,20 @@ def aligned_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, runs): runs of one character that is no space, in one column of two or more lines on end.
 
     Lines are arrays of code points of the document's own row, and each is compared with the one above it: nothing is
-    expanded or shuffled. Documents without a character have no row.
+    expanded or shuffled, and a task holds the arrays of as many documents at a time as have TOGETHER bytes. Documents
+    without a character have no row.
     """
 
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        off = batch.column("lines").offsets.to_numpy()
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("lines").values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        cut = (size[off[1:]] - size[off[0]]) // TOGETHER
+        edges = np.append(np.flatnonzero(np.append(True, cut[1:] != cut[:-1])[: len(cut)]), len(cut))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            yield batch.slice(lo, hi - lo)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             lines = batch.column("lines")
             many = lines.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             text = lines.flatten()

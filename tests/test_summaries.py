@@ -311,3 +311,12 @@ def test_forward_selection_of_all_candidates(spark):
     assert all(a < b for (_, a), (_, b) in zip(found, found[1:], strict=False)) and found[1][1] > 0.9
     alone = {f: J.forward_selection(df, [f], "y", "id", "fold", 4, 1)[0][1] for f in ("c", "a")}
     assert alone["c"] == pytest.approx(found[0][1]) and alone["a"] < alone["c"]
+
+
+def test_runs_of_columns_in_slices(spark, monkeypatch):
+    from lectern.operators import features
+
+    monkeypatch.setattr(features, "TOGETHER", 8)
+    rows = [(1, "ab\nab\nab"), (2, ""), (3, "a\nb\nb\n\nb\nb"), (4, "aé\nxé"), (5, "a")]
+    got = features.aligned_runs(spark.createDataFrame(rows, "doc_id int, content string").coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (3, 2), (4, 1), (5, 0)]
