@@ -25,14 +25,16 @@ def _long(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFr
 def preprocess(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by, feature, median, low, high, mean, scale): what imputes, clips and standardises each feature of a group.
 
-    Values that are null, NaN or infinite are missing: the exact median stands in for them.
+    Values that are null, NaN or infinite are missing: the exact median stands in for them. Mean and deviation follow from
+    those of the values that are there and the number of the others, so rows never meet the medians.
     """
     key = [*by, "feature"]
     long = _long(df, features, by)
-    first = _same(key, quantiles(long, key, "x", {"median": 0.5}), long.groupBy(*key).agg(F.min("x").alias("low"), F.max("x").alias("high")))
-    j = _same(key, long, first).withColumn("x", F.coalesce("x", "median"))
-    g = j.groupBy(*key).agg(*[F.first(c).alias(c) for c in ("median", "low", "high")], F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale"))
-    return g.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
+    own = long.groupBy(*key).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), (F.count("x") / F.count("*")).alias("_there"))
+    g = _same(key, quantiles(long, key, "x", {"median": 0.5}), own)
+    there, off = F.col("_there"), F.col("median") - F.col("_m")
+    g = g.withColumn("mean", F.col("_m") + (1 - there) * off).withColumn("scale", F.when(there < 1, F.sqrt(there * F.col("_s") ** 2 + there * (1 - there) * off**2)).otherwise(F.col("_s")))
+    return g.select(*key, "median", "low", "high", "mean", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0).alias("scale"))
 
 
 def standardised(df: DataFrame, features: Sequence[str], stats: dict[str, tuple]) -> list[Column]:

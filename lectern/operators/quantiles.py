@@ -11,6 +11,8 @@ from lectern.sources.tables import checkpointed
 
 #: Bins of a range in one pass, and the rows that a range may hold when its values are counted one by one.
 BINS, SMALL = 256, 2048
+#: Ranges that are told to every task, so that the rows stay where they lie; more of them meet their rows by a shuffle.
+TOLD = 10_000
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -27,14 +29,15 @@ def _scale(x: Column, log: bool) -> Column:
     return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.log(F.abs(x)) + 750.0)) if log else x  # the least logarithm is -744.4
 
 
-def _spread(rows: DataFrame, targets: DataFrame, by: Sequence[str], out: Sequence[str], cell: Column) -> DataFrame:
+def _spread(rows: DataFrame, targets: DataFrame, by: Sequence[str], out: Sequence[str], cell: Column, some: bool) -> DataFrame:
     """targets with the cell (x: its place, mn, mx, c, total) in which each one's rank lies, and the rows below it.
 
     Rows are counted by group, range, cell and the part they belong to, within tasks first; what a target leaves out is
-    taken off the counts of all, so no row is copied for it.
+    taken off the counts of all, so no row is copied for it. With `some` (at most TOLD targets) rows are not dealt out by
+    their groups, of which a few would hold them all.
     """
     ranges = targets.select(*by, "lo", "hi").distinct()
-    inside = _meet(rows, ranges, by).where("x between lo and hi").withColumn("_cell", cell)
+    inside = _meet(rows, F.broadcast(ranges) if some else ranges, by).where("x between lo and hi").withColumn("_cell", cell)
     own = inside.groupBy(*by, "lo", "hi", *out, "_cell").agg(F.count("*").alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
     own = checkpointed(own)
     key = [*by, "lo", "hi"]
@@ -88,15 +91,16 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     log = False
     while True:
         open_ = targets.where((F.col("lo") < F.col("hi")) & (F.col("total") > SMALL))
-        if open_.isEmpty():
+        left = open_.count()
+        if not left:
             break
         lo, hi = _scale(F.col("lo"), log), _scale(F.col("hi"), log)
         cell = F.coalesce(F.least(F.lit(BINS - 1), F.floor(F.try_divide(_scale(F.col("x"), log) / 2 - lo / 2, hi / 2 - lo / 2) * BINS)), F.lit(0)).cast("double")
         shut = targets.where((F.col("lo") == F.col("hi")) | (F.col("total") <= SMALL))
-        targets = checkpointed(shut.unionByName(_spread(rows, open_, group, out, cell)))
+        targets = checkpointed(shut.unionByName(_spread(rows, open_, group, out, cell, left <= TOLD)))
         log = not log
     few = targets.where(F.col("lo") < F.col("hi"))
-    found = targets.where(F.col("lo") == F.col("hi")).unionByName(_spread(rows, few, group, out, F.col("x")))
+    found = targets.where(F.col("lo") == F.col("hi")).unionByName(_spread(rows, few, group, out, F.col("x"), few.count() <= TOLD))
 
     at = checkpointed(found.select(*group, *out, "k", F.col("lo").alias("v"))).groupBy(*group, *out).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("v"))
     j = _meet(whole.select(*group, *out, "h"), at, [*group, *out], "left")

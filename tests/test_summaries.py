@@ -339,3 +339,34 @@ def test_character_matrix_cells(spark):
         assert m == want
     plan = spark.range(1).select(X.character_matrix(F.lit("a").substr(F.lit(1), F.col("id").cast("int")), 20, 40).alias("m"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(substr") == 1
+
+
+def test_rows_stay_where_they_lie_for_few_ranges(spark, monkeypatch):
+    """Three groups' rows must not be dealt out by their three keys."""
+    from lectern.operators import quantiles as Q
+
+    plans, real = [], Q.checkpointed
+    monkeypatch.setattr(Q, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    d = spark.range(9000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 9001).cast("double").alias("x"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["g"]: r["m"] for r in Q.quantiles(d, ["g"], "x", {"m": 0.5}).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    x = np.arange(9000) * 7919 % 9001
+    assert got == {g: float(np.median(x[g::3])) for g in range(3)}
+    bins = [p for p in plans if "HashAggregate" in p.splitlines()[1] and "_cell" in p.splitlines()[1]]
+    assert bins and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in bins)
+
+
+def test_preprocessing_without_joining_rows(spark):
+    from lectern.operators import models as J
+
+    x = [1.0, 2.0, None, 10.0, float("nan"), 4.0, float("inf")]
+    r = J.preprocess(spark.createDataFrame([(v, 5.0) for v in x], "a double, b double"), ["a", "b"]).collect()
+    a, b = sorted(r, key=lambda r: r["feature"])
+    full = [1.0, 2.0, 3.0, 10.0, 3.0, 4.0, 3.0]
+    assert (a["median"], a["low"], a["high"]) == (3.0, 1.0, 10.0)
+    assert (a["mean"], a["scale"]) == (pytest.approx(np.mean(full)), pytest.approx(np.std(full)))
+    assert (b["mean"], b["scale"]) == (5.0, 1.0)
