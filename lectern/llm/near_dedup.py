@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return keep(p.select("a", "b", "early", "sa", "sb").mapInArrow(_likely(percent / 100), "a long, b long, early boolean"), name)
 
     likely = promising(pairs, "likely")
-    members = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct()
+    # a class has at most NEIGHBOURS pairs on either side in each tree; either end of the pairs is told apart for itself
+    members = likely.select(F.col("a").alias("node")).distinct().unionByName(likely.select(F.col("b").alias("node")).distinct()).unionByName(crowded).distinct()
     members = members.join(classes, "node").select("node", F.col("first_id").alias("_id"), F.col("first_th").alias("_th"))
     texts = base.select("_id", "_th", "text").mapInArrow(packed, "_id long, _th long, ztext binary").join(members.hint("merge"), ["_id", "_th"])
     texts = keep(texts.select("node", "ztext").dropDuplicates(["node"]), "texts")
