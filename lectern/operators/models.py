@@ -269,55 +269,51 @@ def contributions(df: DataFrame, key: str, features: Sequence[str], stats: dict[
     return df.select(key, F.explode(F.array(*rows)).alias("s")).select(key, "s.*")
 
 
+#: Parts that the rounds of a bootstrap are dealt out in.
+BUNDLES = 20
+
+
 def bootstrap(df: DataFrame, by: str, order: str, x: str, y: str, rounds: int = 10_000, seed: int = 20260923) -> DataFrame:
     """(by, low, high, valid): a percentile interval of the rank correlation over resampled rows of each group; no interval
     where fewer than 95 % of the rounds have a correlation.
 
     How often a round draws a row is a Poisson number of the hash of (seed, round, row), which stands in for drawing with
-    replacement and needs no places; rounds are worked on in bundles. The draws of equal pairs of x and y add up first, so
-    a round's ranks are sums over the distinct pairs of its group.
+    replacement and needs no places; rounds are worked on in bundles, one task for each of a group's. The draws of equal
+    pairs of x and y add up first, so a round's ranks are sums over the distinct pairs of its group.
     """
-    bundle = 100
+    bundle = max(1, -(-rounds // BUNDLES))
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.xxhash64(F.lit(seed), by, order).alias("_h"))
-    each = pairs.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // bundle))))
+    # a bundle of a group is much work on few bytes: their number of tasks is told, as sizes would join them into one
+    each = pairs.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((rounds - 1) // bundle)))).repartition(10 * BUNDLES, by, "_b")
     fields = f"{by} {df.schema[by].dataType.simpleString()}"
 
-    def drawn(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for (own, b), g in pdf.groupby([by, "_b"], dropna=False):
-                key = (g["_h"].to_numpy(np.int64).view(np.uint64)[:, None] + (np.uint64(b) * np.uint64(bundle) + np.arange(bundle, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-                key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                key = (key ^ (key >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                u = ((key ^ (key >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
-                n = np.searchsorted(_POISSON, u, side="right").astype(np.int16)
-                _, first, at = np.unique(g[["_x", "_y"]].to_numpy(), axis=0, return_index=True, return_inverse=True)
-                sums = np.zeros((len(first), bundle), np.int64)
-                np.add.at(sums, at.ravel(), n)
-                yield pd.DataFrame({by: [own] * len(first), "_b": b, "_x": g["_x"].to_numpy()[first], "_y": g["_y"].to_numpy()[first], "n": list(sums)})
-
     def correlated(key, pdf):
         import pandas as pd
 
-        xs, ys, n = pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), np.array(pdf["n"].tolist(), float).reshape(len(pdf), bundle)
-
-        def ranks(v):
-            _, at = np.unique(v, return_inverse=True)
-            own = np.zeros((at.max() + 1, bundle))
-            np.add.at(own, at, n)
-            return (np.cumsum(own, axis=0) - own + (own + 1) / 2)[at]
-
-        a, b, total = ranks(xs), ranks(ys), n.sum(axis=0)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            da, db = a - (n * a).sum(axis=0) / total, b - (n * b).sum(axis=0) / total
-            r = (n * da * db).sum(axis=0) / np.sqrt((n * da * da).sum(axis=0) * (n * db * db).sum(axis=0))
-        rounds_here = np.arange(bundle) + int(key[1]) * bundle
-        r = np.where(np.isfinite(r) & (total >= 2) & (rounds_here < rounds), r, np.nan)
-        return pd.DataFrame({by: [key[0]] * bundle, "r": r})
-
-    sums = each.mapInPandas(drawn, f"{fields}, _b int, _x double, _y double, n array<long>")
-    s = sums.groupBy(by, "_b").applyInPandas(correlated, f"{fields}, r double").where(F.col("r").isNotNull() & ~F.isnan("r"))
+        xs, ix = np.unique(pdf["_x"].to_numpy(), return_inverse=True)
+        ys, iy = np.unique(pdf["_y"].to_numpy(), return_inverse=True)
+        pair = ix * len(ys) + iy
+        rows = np.argsort(pair, kind="stable")
+        own, first = np.unique(pair[rows], return_index=True)
+        ix, iy, hashes = own // len(ys), own % len(ys), pdf["_h"].to_numpy(np.int64).view(np.uint64)[rows]
+
+        def ranks(n, at, size):
+            c = np.bincount(at, n, size)
+            return (np.cumsum(c) - c + (c + 1) / 2)[at]
+
+        mine = range(int(key[1]) * bundle, min(rounds, (int(key[1]) + 1) * bundle))
+        r = np.full(len(mine), np.nan)
+        for k, i in enumerate(mine):  # a round at a time: memory is some numbers a row, whatever the number of rounds
+            n = np.add.reduceat(_drawn(hashes, i), first).astype(float)
+            a, b, total = ranks(n, ix, len(xs)), ranks(n, iy, len(ys)), n.sum()
+            if total >= 2:
+                da, db = a - n @ a / total, b - n @ b / total
+                na = n * da
+                spread = np.sqrt((na @ da) * (n @ (db * db)))
+                r[k] = na @ db / spread if spread > 0 else np.nan
+        return pd.DataFrame({by: [key[0]] * len(mine), "r": r})
+
+    s = each.groupBy(by, "_b").applyInPandas(correlated, f"{fields}, r double").where(F.col("r").isNotNull() & ~F.isnan("r"))
     g = s.groupBy(by).agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"), F.count("r").alias("valid"))
     good = F.col("valid") >= 0.95 * rounds
     return g.select(by, F.when(good, F.col("low")).alias("low"), F.when(good, F.col("high")).alias("high"), "valid")
@@ -325,6 +321,22 @@ def bootstrap(df: DataFrame, by: str, order: str, x: str, y: str, rounds: int =
 
 #: Cumulated probabilities of a Poisson number with mean 1.
 _POISSON = np.cumsum(np.exp(-1) / np.cumprod(np.concatenate([[1.0], np.arange(1, 16)])))
+#: The same number by the first 16 bits of a uniform one; -1 where the other bits decide.
+_SHORT = np.searchsorted(_POISSON, np.arange(1 << 16) / (1 << 16), side="right").astype(np.int16)
+_SHORT[np.searchsorted(_POISSON, (np.arange(1 << 16) + 1) / (1 << 16), side="right") != _SHORT] = -1
+
+
+def _drawn(hashes: np.ndarray, round_: int) -> np.ndarray:
+    """How often a round draws each row: Poisson numbers of the hash of row and round."""
+    with np.errstate(over="ignore"):
+        key = hashes + np.uint64(round_) * np.uint64(0x9E3779B97F4A7C15)
+        key = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        key = (key ^ (key >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    key ^= key >> np.uint64(31)
+    n = _SHORT[key >> np.uint64(48)]
+    open_ = np.flatnonzero(n < 0)
+    n[open_] = np.searchsorted(_POISSON, (key[open_] >> np.uint64(11)).astype(float) / 2**53, side="right")
+    return n
 
 
 def _correlation(m: np.ndarray) -> np.ndarray:

@@ -349,3 +349,25 @@ def test_stream_follows_incrementally(spark, tmp_path):
     spark.createDataFrame([(3, "a"), (4, "ccc")], schema).write.mode("append").parquet(f"file://{src}")
     run()
     assert sorted(r["n"] for r in spark.read.parquet(f"file://{out}").collect()) == [1, 2, 3]
+
+
+def test_bootstrap_draws(spark):
+    """A round's correlation is that of its Poisson draws, told here row by row; a group's rounds are dealt out over many tasks."""
+    rng = np.random.default_rng(6)
+
+    def ranks(v):
+        _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[at]
+
+    rows = [("g", i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.integers(0, 9, 40), rng.integers(0, 5, 40), strict=True))]
+    d = spark.createDataFrame(rows, "g string, id long, x double, y double")
+    h = np.array([r[0] for r in d.select(F.xxhash64(F.lit(20260923), "g", "id")).collect()], np.int64).view(np.uint64)
+    found = []
+    for k in range(60):
+        n = J._drawn(h, k)
+        x, y = (np.repeat([q[i] for q in rows], n) for i in (2, 3))
+        found.append(np.corrcoef(ranks(x), ranks(y))[0, 1])
+    r = J.bootstrap(d, "g", "id", "x", "y", rounds=60).first()
+    assert r["valid"] == 60 and r["low"] == pytest.approx(np.quantile(found, 0.025)) and r["high"] == pytest.approx(np.quantile(found, 0.975))
+    many = np.concatenate([J._drawn(np.arange(5000, dtype=np.uint64) * np.uint64(2**40 + 9), k) for k in range(20)])
+    assert abs(many.mean() - 1) < 0.02 and abs((many == 0).mean() - np.exp(-1)) < 0.01
