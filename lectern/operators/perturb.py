@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern.functions.arrays import once, running
 from lectern.functions.scalar import fingerprint, stable_index
@@ -66,6 +71,36 @@ def garbled_names(docs: DataFrame) -> DataFrame:
     return _names(docs).withColumn("n", place.cast("long")).select("doc_id", "name", letters(F.col("n")).alias("garbled"))
 
 
+_NAME, _PART = re.compile(NAME), re.compile(_PARTS)
+
+
+@lru_cache(1 << 16)
+def _sha(text: str) -> bytes:
+    return hashlib.sha256(text.encode()).digest()
+
+
+@lru_cache(1 << 16)
+def _lettered(n: int) -> str:
+    """The nth name of letters, as `letters` gives it."""
+    out = ""
+    while n >= 0:
+        out, n = _LETTERS[n % 52] + out, n // 52 - 1
+    return out
+
+
+@F.arrow_udf(StringType())
+def garbled(content: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """A text with its names exchanged for those of `garbled_names`: one table of names and one walk over its parts."""
+    for texts in content:
+        out = []
+        for t in texts:
+            parts = _PART.findall(t.as_py() or "")
+            names = sorted({x for x in parts if _NAME.match(x)}, key=lambda x: (_sha(x), x))
+            to = {x: _lettered(i) for i, x in enumerate(names)}
+            out.append("".join([to.get(x, x) for x in parts]))
+        yield pa.array(out, pa.string())
+
+
 def renamed_short(docs: DataFrame, keep: int = 3) -> DataFrame:
     """(doc_id, name, renamed): names cut to their first characters; of those that would become one all but the first, in
     the order of their SHA-256, get a number."""
