@@ -115,15 +115,23 @@ def renamed_misleading(docs: DataFrame, words: Sequence[str]) -> DataFrame:
     two names of a document become one."""
     sizes = sorted({len(w) for w in words})
     by_size = {n: sorted(w for w in words if len(w) == n) for n in sizes}
-    n, name = F.length("name"), _names(docs)
-    nearest = F.array_min(F.array(*[F.struct(F.abs(n - F.lit(s)).alias("d"), F.lit(s).alias("s")) for s in sizes]))["s"]
-    pick = F.lit(None).cast("string")
-    for s, own in by_size.items():
-        at = stable_index(len(own), F.col("doc_id").cast("string"), F.col("name")).cast("int")
-        pick = F.when(nearest == s, F.get(F.array(*map(F.lit, own)), at)).otherwise(pick)
-    name = name.select("doc_id", "name", pick.alias("word"))
-    k = F.row_number().over(Window.partitionBy("doc_id", "word").orderBy(fingerprint(F.col("name")), "name"))
-    return name.withColumn("k", k).select("doc_id", "name", F.when(F.col("k") == 1, F.col("word")).otherwise(F.concat_ws("_", "word", F.col("k").cast("string"))).alias("misleading"))
+
+    nearest = [by_size[min(sizes, key=lambda s: (abs(n - s), s))] for n in range(sizes[-1] + 1)]
+
+    def renamed(batches):
+        for batch in batches:
+            for key, text in zip(batch.column("doc_id"), batch.column("content"), strict=True):
+                doc, used, new = f"{key.as_py()}:".encode(), {}, []
+                names = sorted(set(_NAME.findall(text.as_py() or "")), key=lambda x: (_sha(x), x))
+                for x in names:
+                    own = nearest[min(len(x), sizes[-1])]
+                    word = own[int.from_bytes(hashlib.sha256(doc + x.encode()).digest()[:4]) % len(own)]
+                    k = used[word] = used.get(word, 0) + 1
+                    new.append(word if k == 1 else f"{word}_{k}")
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(names), batch.schema.field("doc_id").type), pa.array(names, pa.string()), pa.array(new, pa.string())], names=["doc_id", "name", "misleading"])
+
+    # a document's names are few beside the rows of a table, so they are told where it lies, without a shuffle
+    return docs.select("doc_id", "content").mapInArrow(renamed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name string, misleading string")
 
 
 def rewritten(docs: DataFrame, names: DataFrame, to: str) -> DataFrame:

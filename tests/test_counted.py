@@ -22,3 +22,10 @@ def test_garbled(spark, data):
     two = {r["doc_id"]: r["content"] for r in K.rewritten(d, K.garbled_names(d), "garbled").collect()}
     assert one == two and len(set(one[3].split())) == 3000
     assert "hashpartitioning" not in plan(registry.queries()["rewrite_garbled"](spark, data))
+
+
+def test_misleading_in_place(spark, data):
+    d = spark.createDataFrame([(1, "abc abd x abc"), (2, "")], "doc_id long, content string")
+    r = {x["name"]: x["misleading"] for x in K.renamed_misleading(d, ["one", "z"]).collect()}
+    assert sorted(r.values()) == ["one", "one_2", "z"] and r["x"] == "z"
+    assert "hashpartitioning" not in plan(registry.queries()["rename_misleading"](spark, data))
