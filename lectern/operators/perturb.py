@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lectern.functions.arrays import once, running
-from lectern.functions.scalar import fingerprint, stable_index
+from lectern.functions.scalar import fingerprint
 from lectern.operators.text import strip_comments
 
 _PARTS = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^A-Za-z0-9_]+"
@@ -29,16 +28,25 @@ def comment_removal(docs: DataFrame) -> DataFrame:
     return d.withColumn("content", bare)
 
 
-def hexadecimal(content: Column) -> Column:
+@F.arrow_udf(StringType())
+def hexadecimal(content: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Whole numbers of up to 15 digits without a leading zero in hexadecimal."""
-    one = lambda x: F.when(x.rlike("^(?:0|[1-9][0-9]{0,14})$"), F.concat(F.lit("0x"), F.lower(F.hex(x.cast("long"))))).otherwise(x)
-    return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(_PARTS), F.lit(0)), one), "")
+    for texts in content:
+        yield pa.array([None if t is None else _DIGITS.sub(_hex, t) for t in texts.to_pylist()], pa.string())
+
+
+#: Runs of digits that no name or other digit stands before.
+_DIGITS = re.compile("(?<![A-Za-z0-9_])[0-9]+")
+
+
+def _hex(m: re.Match) -> str:
+    x = m[0]
+    return f"0x{int(x):x}" if len(x) <= 15 and (x == "0" or x[0] != "0") else x
 
 
 def short_names(content: Column, keep: int = 3) -> Column:
     """Names cut to their first characters."""
-    one = lambda x: F.when(x.rlike("^[A-Za-z_]"), F.left(x, F.lit(keep))).otherwise(x)
-    return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(_PARTS), F.lit(0)), one), "")
+    return F.regexp_replace(content, "([A-Za-z_][A-Za-z0-9_]{0,%d})[A-Za-z0-9_]*" % (keep - 1), "$1")
 
 
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
@@ -156,9 +164,10 @@ def class_corpus(files: DataFrame, kinds: Sequence[str], excluded: Sequence[str]
 
 
 #: A text in pieces: comments (a line's with its end), strings, white space, and what else there is.
-_LAYOUT = (
-    r"(?s)//[^\n]*\n?|/\*[^*]*+(?:\*++[^*/][^*]*+)*+(?:\*++/|\**+\z)|\"\"\"[^\"\\]*+(?:(?:\\.|\"(?!\"\"))[^\"\\]*+)*+\"\"\""
-    r"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|\s++|[^\s\"'/]++|."
+_LAYOUT = re.compile(
+    r"//[^\n]*\n?|/\*[^*]*+(?:\*++[^*/][^*]*+)*+(?:\*++/|\**+\Z)|\"\"\"[^\"\\]*+(?:(?:\\.|\"(?!\"\"))[^\"\\]*+)*+\"\"\""
+    r"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"?|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|\s++|[^\s\"'/]++|.",
+    re.DOTALL | re.ASCII,
 )
 
 
@@ -170,24 +179,25 @@ def compact_layout(content: Column, key: Column, share: int = 40) -> Column:
     and the run's place.
     """
 
-    def joined(p: Column) -> Column:
-        def chosen(ends: Column) -> Column:
-            last = F.size(p) - 1
-            runs = F.filter(
-                F.transform(p, lambda x, i: F.struct(F.sha2(F.concat_ws(":", key, (F.get(ends, i) - F.length(x)).cast("string")).cast("binary"), 256).alias("h"), i.alias("i"), x.alias("x"))),
-                lambda r: r["x"].rlike(r"^\s*\n\s*$") & (r["i"] > 0) & (r["i"] < last),
-            )
-
-            def cut(r: Column) -> Column:
-                n = F.least(F.size(r) - 2, F.greatest(F.lit(1), F.floor(F.size(r) * share / 100).cast("int")))
-                gone = F.transform(F.slice(F.array_sort(r), F.lit(1), F.greatest(n, F.lit(0))), lambda x: x["i"])
-                return once(gone, lambda g: F.array_join(F.transform(p, lambda x, i: F.when(F.array_contains(g, i), " ").otherwise(x)), ""))
-
-            return once(runs, cut)
-
-        return once(running(F.transform(p, lambda x: F.length(x))), chosen)
-
-    return once(F.regexp_extract_all(content, F.lit(_LAYOUT), F.lit(0)), joined)
+    @F.arrow_udf(StringType())
+    def compact(content: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, keys in content:
+            yield pa.array([_compact(t.as_py(), k.as_py() or "", share) for t, k in zip(texts, keys, strict=True)], pa.string())
+
+    return compact(content, key)
+
+
+def _compact(text: str | None, key: str, share: int) -> str | None:
+    if text is None:
+        return None
+    pieces, runs, start = _LAYOUT.findall(text), [], 0
+    for i, x in enumerate(pieces):
+        if "\n" in x and x[0] in " \t\n\r\f\v" and 0 < i < len(pieces) - 1:
+            runs.append((hashlib.sha256(f"{key}:{start}".encode()).digest(), i))
+        start += len(x)
+    for _, i in sorted(runs)[: max(0, min(len(runs) - 2, max(1, len(runs) * share // 100)))]:
+        pieces[i] = " "
+    return "".join(pieces)
 
 
 SPECS = {
