@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from lectern.functions.arrays import counts, deviation, largest, mean, once, running, total, variation
 from lectern.functions.scalar import IDENTIFIER, sigmoid, subtokens
+from lectern.operators import counted
 from lectern.operators import text as X
 from lectern.operators.sweeps import TOGETHER
 
@@ -65,34 +66,29 @@ def line_stats(docs: DataFrame) -> DataFrame:
 def chunk_stats(docs: DataFrame) -> DataFrame:
     """Chunks: number, per line with any their mean and deviation, share of distinct lexemes, lengths in characters and in
     word parts, and expressions against literals. Identifiers: lengths, single letters, digits, word parts."""
-    d = parsed(docs).withColumn("_all", F.flatten("_chunks"))
-    d = d.withColumn("_n", F.filter(F.transform("_chunks", lambda c: F.size(c).cast("double")), lambda x: x > 0))
-    d = d.withColumn("_chars", F.transform("_all", lambda c: F.length(c["lexeme"]).cast("double")))
-    d = d.withColumn("_parts", F.transform("_all", lambda c: F.greatest(F.size(subtokens(c["lexeme"])), F.lit(1)).cast("double")))
-    d = d.withColumn("_names", F.transform(F.filter("_all", lambda c: c["kind"] == "IDENTIFIER"), lambda c: c["lexeme"]))
-    d = d.withColumn("_name_chars", F.transform("_names", lambda x: F.length(x).cast("double")))
-    many = lambda *kinds: F.size(F.filter("_all", lambda c: c["kind"].isin(*kinds)))
-    digits = F.transform("_names", lambda x: F.length(F.regexp_replace(x, "[^0-9]+", "")).cast("double"))
-    zero = lambda c: r6(F.coalesce(c, F.lit(0.0)))
-    size = F.greatest(F.size("_all"), F.lit(1))
+    d = counted.measured(docs, counted.CHUNK_FIELDS, counted.chunk_counts)
+    mean_ = lambda of, n: F.when(F.col(n) > 0, F.col(of) / F.col(n)).otherwise(0.0)
+    spread = lambda of, squares, n: F.when(F.col(n) > 0, F.sqrt(F.col(n) * F.col(squares) - F.col(of) * F.col(of)) / F.col(n)).otherwise(0.0)
+    cv = lambda of, squares, n: F.when(F.col(of) > 0, spread(of, squares, n) / mean_(of, n)).otherwise(0.0)
+    least = lambda c: F.greatest(F.col(c), F.lit(1))
     return d.select(
         "doc_id",
-        F.size("_all").cast("long").alias("n_chunks"),
-        zero(mean(F.col("_n"))).alias("per_line"),
-        zero(deviation(F.col("_n"))).alias("per_line_std"),
-        r6(F.size(F.array_distinct(F.transform("_all", lambda c: c["lexeme"]))) / size).alias("unique_ratio"),
-        r6(F.log1p(F.coalesce(mean(F.col("_chars")), F.lit(0.0)))).alias("log_mean_chars"),
-        r6(variation(F.col("_chars"))).alias("chars_cv"),
-        r6(F.log1p(largest(F.col("_chars")))).alias("log_max_chars"),
-        r6(variation(F.col("_parts"))).alias("parts_cv"),
-        r6(F.log1p(many("ARITHMETIC", "COMPARISON", "LOGICAL", "BITWISE", "ASSIGNMENT", "CALL")) - F.log1p(many("LITERAL"))).alias("expression_literal"),
-        zero(mean(F.col("_name_chars"))).alias("name_mean"),
-        zero(deviation(F.col("_name_chars"))).alias("name_std"),
-        largest(F.col("_name_chars")).cast("long").alias("name_max"),
-        r6(variation(F.col("_name_chars"))).alias("name_cv"),
-        r6(F.size(F.filter("_names", lambda x: F.length(x) == 1)) / F.greatest(F.size("_names"), F.lit(1))).alias("single_letter"),
-        r6(total(digits) / F.greatest(total(F.col("_name_chars")), F.lit(1.0))).alias("digit_share"),
-        zero(mean(F.transform("_names", lambda x: F.size(subtokens(x)).cast("double")))).alias("name_parts"),
+        F.col("n").alias("n_chunks"),
+        r6(mean_("line_sum", "lines")).alias("per_line"),
+        r6(spread("line_sum", "line_squares", "lines")).alias("per_line_std"),
+        r6(F.col("distinct") / least("n")).alias("unique_ratio"),
+        r6(F.log1p(mean_("chars", "n"))).alias("log_mean_chars"),
+        r6(cv("chars", "chars_squares", "n")).alias("chars_cv"),
+        r6(F.log1p("chars_most")).alias("log_max_chars"),
+        r6(cv("parts", "parts_squares", "n")).alias("parts_cv"),
+        r6(F.log1p("expressions") - F.log1p("literals")).alias("expression_literal"),
+        r6(mean_("name_chars", "names")).alias("name_mean"),
+        r6(spread("name_chars", "name_squares", "names")).alias("name_std"),
+        F.col("name_most").alias("name_max"),
+        r6(cv("name_chars", "name_squares", "names")).alias("name_cv"),
+        r6(F.col("single") / least("names")).alias("single_letter"),
+        r6(F.col("digits") / least("name_chars")).alias("digit_share"),
+        r6(mean_("name_parts", "names")).alias("name_parts"),
     )
 
 

@@ -38,3 +38,17 @@ def test_layout_of_many_lines(spark):
     r = d.select(F.regexp_count(K.compact_layout(F.col("content"), F.lit("k")), F.lit("\n")).alias("n"), F.substring(K.hexadecimal("content"), 1, 17).alias("h"), F.substring(K.short_names(F.lit("abcd 1abcd a")), 1, 20).alias("s")).first()
     assert r["n"] == 100000 - 20000 and r["h"] == "a\nb1 0xc 007 // c" and r["s"] == "abc 1abc a"  # a comment's own line ends stay
     assert time.monotonic() - begun < 20
+
+
+CODE = 'import a.b;\nint x = f(a.b(c.d[1].e)).g + "a.*$" /* no\n x.y */; // z\nfooBar1(0x1F, \'\\d\', "p|q", "")\n\nreturn x_y2 == "" && this.m::n -> o;\n\x85 "a\\\x85b" ' + "q" * 300
+
+
+def test_chunk_counts(spark, data):
+    """Counts of one walk against the relation of chunks; no array of chunks is built."""
+    d = spark.createDataFrame([(1, CODE), (2, ""), (3, "( )"), (4, CODE * 3)], "doc_id long, content string")
+    r = {x["doc_id"]: x for x in X.chunks(d).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("lexeme").alias("distinct"), F.sum(F.length("lexeme")).alias("chars"), F.count_if(F.col("chunk_type") == "LITERAL").alias("literals"), F.count_if(F.col("chunk_type") == "IDENTIFIER").alias("names"), F.countDistinct("line").alias("lines")).collect()}
+    got = {x["doc_id"]: x for x in counted.measured(d, counted.CHUNK_FIELDS, counted.chunk_counts).collect()}
+    assert len(got) == 4 and len(r) == 2
+    for k, own in got.items():
+        assert all(own[c] == (r[k][c] if k in r else 0) for c in ("n", "distinct", "chars", "literals", "names", "lines"))
+    assert "lambdafunction" not in plan(registry.queries()["chunk_stats"](spark, data))
