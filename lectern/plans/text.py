@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import scalar as S
+from lectern.operators import counted
 from lectern.operators import lexing as Z
 from lectern.operators import text as X
 from lectern.operators.statistics import capped_views as capped
@@ -317,8 +318,8 @@ c as (select doc_id, depth, chain, count(*) filter (where {_SIGN.format("token")
 select doc_id, count(*) as chains, max(dots) as deepest, round(avg(dots), 6) as mean_depth from c where dots > 0 group by doc_id
 """)
 def access_depth(spark, sf_dir):
-    c = X.access_chains(X.access_tokens(code(spark, sf_dir)))
-    return c.groupBy("doc_id").agg(F.count("*").alias("chains"), F.max("depth").alias("deepest"), F.round(F.avg("depth"), 6).alias("mean_depth"))
+    c = counted.measured(code(spark, sf_dir), "chains deepest depths", counted.access_counts).where("chains > 0")
+    return c.select("doc_id", "chains", "deepest", F.round(F.col("depths") / F.col("chains"), 6).alias("mean_depth"))
 
 
 @query(f"""

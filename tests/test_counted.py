@@ -52,3 +52,12 @@ def test_chunk_counts(spark, data):
     for k, own in got.items():
         assert all(own[c] == (r[k][c] if k in r else 0) for c in ("n", "distinct", "chars", "literals", "names", "lines"))
     assert "lambdafunction" not in plan(registry.queries()["chunk_stats"](spark, data))
+
+
+def test_access_counts(spark, data):
+    """Chains of one walk against the relation of chains; tokens are not shuffled by document."""
+    d = spark.createDataFrame([(1, CODE), (2, ""), (3, "a.b a.b.c) d.e ( f.g"), (4, CODE * 3)], "doc_id long, content string")
+    r = {x["doc_id"]: (x["n"], x["m"], x["s"]) for x in X.access_chains(X.access_tokens(d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("depth").alias("m"), F.sum("depth").alias("s")).collect()}
+    got = {x["doc_id"]: tuple(x)[1:] for x in counted.measured(d, "chains deepest depths", counted.access_counts).collect()}
+    assert all(got[k] == r.get(k, (0, 0, 0)) for k in got) and len(r) == 3
+    assert "hashpartitioning" not in plan(registry.queries()["access_depth"](spark, data))
