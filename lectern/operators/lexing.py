@@ -6,8 +6,14 @@ it is column expressions: a document is read where it lies, and only the relatio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lectern.functions.arrays import once, running
 from lectern.operators.text import JAVA_KEYWORDS, PYTHON_KEYWORDS, PYTHON_WORDS
@@ -170,6 +176,9 @@ ROLE_PIECE = "(?s)" + "|".join([
 ])
 
 
+_LITERALS, _KEYWORDS = frozenset(LITERAL_WORDS), frozenset([*JAVA_KEYWORDS, *BRACE_WORDS])
+
+
 def lexical_roles(content: Column) -> Column:
     """What the lexer alone tells of a text of a brace language: `spans`, array of (role, start, end, byte_start, byte_end)
     of its identifiers, literals and comments, and `unterminated`.
@@ -177,42 +186,123 @@ def lexical_roles(content: Column) -> Column:
     Places count code points and UTF-8 bytes from 0, ends are exclusive. Where a string or comment is never closed reading
     ends: unterminated is the end of the last token before it (0 if none), else null. A null text is empty.
     """
-    kind = lambda x: (
-        F.when(x.isin('"', "'", "/*"), "broken")
-        .when(x.rlike(r"^/[/*]"), "comment")
-        .when((F.length(x) > 1) & (F.right(x, F.lit(1)).isin('"', "'") | x.rlike("^[0-9]")), "literal")
-        .when(x.rlike("^[0-9]$"), "digit")
-        .when(x.isin(*LITERAL_WORDS), "literal")
-        .when(x.isin(*JAVA_KEYWORDS, *BRACE_WORDS), "keyword")
-        .when(x.rlike(r"^[\p{L}\p{Nl}_]") | (F.length(x) > 1) & x.startswith("$"), "identifier")
-        .otherwise("other")
-    )
-
-    def placed(p: Column) -> Column:
-        """Pieces with their ends; a single digit is a literal unless its neighbours are of the same word."""
-        chars, size = running(F.transform(p, lambda x: F.length(x))), running(F.transform(p, lambda x: F.octet_length(x)))
-        kinds = F.transform(p, kind)
-        word = lambda i, at: F.coalesce(F.get(p, i).rlike(at), F.lit(False))
+    pieces, told = _role_pieces(content)
+    return _roles_of(pieces, told)
 
-        def spans(s: Column) -> Column:
-            last = lambda i: F.get(s["chars"], i)
-            told = F.transform(p, lambda x, i: F.struct(
-                F.when(F.get(s["kinds"], i) != "digit", F.get(s["kinds"], i)).when(F.when(i > 0, word(i - 1, r"[\p{L}\p{N}_]$")).otherwise(F.lit(False)) | word(i + 1, r"^[\p{L}\p{N}_]"), "other").otherwise("literal").alias("role"),
-                (last(i) - F.length(x)).alias("start"), last(i).alias("end"), (F.get(s["size"], i) - F.octet_length(x)).alias("byte_start"), F.get(s["size"], i).alias("byte_end"),
-            ))
 
-            def cut(t: Column) -> Column:
-                broken = F.array_position(F.transform(t, lambda x: x["role"]), "broken")
-                read = F.when(broken > 0, F.slice(t, F.lit(1), (broken - 1).cast("int"))).otherwise(t)
-                tokens = F.filter(read, lambda x: x["role"] != "other")
-                stop = F.when(broken > 0, F.coalesce(F.array_max(F.transform(tokens, lambda x: x["end"])), F.lit(0)))
-                return F.struct(F.filter(tokens, lambda x: x["role"] != "keyword").alias("spans"), stop.alias("unterminated"))
-
-            return once(told, cut)
-
-        return once(F.struct(chars.alias("chars"), size.alias("size"), kinds.alias("kinds")), spans)
-
-    return once(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(ROLE_PIECE), F.lit(0)), placed)
+def _role_pieces(content: Column) -> tuple[Column, Column]:
+    """The pieces of a text, and what Java's letters and numbers beyond ASCII are of it: a letter each with a mark before it
+    (n where it can't begin a name, l otherwise)."""
+    text = F.coalesce(content, F.lit(""))
+    far = F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}&&[^\x00-\x7F]]"), F.lit(0)))
+    mark = lambda c: F.concat(F.when(c.rlike(r"[\p{L}\p{Nl}]"), "l").otherwise("n"), c)
+    return F.regexp_extract_all(text, F.lit(ROLE_PIECE), F.lit(0)), F.transform(far, mark)
+
+
+ROLES = ("broken", "comment", "literal", "digit", "keyword", "identifier", "other")
+#: Pieces that are worked on at once.
+_PIECES = 1 << 18
+
+
+def _role(x: str, names: set[str]) -> int:
+    """What a piece is by itself, as a place in ROLES; names are the characters beyond ASCII that names begin with."""
+    first = x[0]
+    if x in ('"', "'", "/*"):
+        return 0
+    if x.startswith(("//", "/*")):
+        return 1
+    if len(x) > 1 and (x[-1] in "\"'" or first in "0123456789"):
+        return 2
+    if first in "0123456789":
+        return 3
+    if x in _LITERALS:
+        return 2
+    if x in _KEYWORDS:
+        return 4
+    if first == "_" or first.isascii() and first.isalpha() or first in names or len(x) > 1 and first == "$":
+        return 5
+    return 6
+
+
+def _spans(pieces: pa.Array, told: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+    """For slices of documents: of each span its document in the slice, role, start, end, byte start and byte end; and of
+    each document where reading ends, -1 if nowhere.
+
+    Equal pieces are told once; places are running sums over the slice, less those at a document's beginning.
+    """
+    sizes = np.nan_to_num(pieces.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    begin = 0
+    while begin < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[begin : begin + _PIECES]), _PIECES)))
+        own, size = pieces.slice(begin, n), sizes[begin : begin + n]
+        marks = pc.unique(told.slice(begin, n).flatten()).to_pylist()
+        begin += n
+        encoded = own.flatten().dictionary_encode()
+        code, values = encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary
+        words = values.to_pylist()
+        names, far = {m[1] for m in marks if m[0] == "l"}, {m[1] for m in marks}
+        joins = lambda c: c == "_" or c.isascii() and c.isalnum() or c in far
+        kind = np.array([_role(x, names) for x in words], np.int8)[code] if len(words) else np.zeros(0, np.int8)
+        chars = np.array([len(x) for x in words], np.int64)[code] if len(words) else np.zeros(0, np.int64)
+        size_bytes = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)[code] if len(words) else chars
+        doc = np.repeat(np.arange(len(size)), size)
+        first = np.concatenate([[0], np.cumsum(size)])
+        ends, byte_ends = (np.concatenate([[0], np.cumsum(x)]) for x in (chars, size_bytes))
+        ends, byte_ends = (x[1:] - x[first[doc]] for x in (ends, byte_ends))
+        # a single digit is a literal unless its neighbours are of the same word
+        at = np.flatnonzero(kind == 3)
+        if len(at):
+            tail, head = np.array([joins(x[-1]) for x in words])[code], np.array([joins(x[0]) for x in words])[code]
+            before = (at > first[doc[at]]) & tail[at - 1]
+            after = (at + 1 < first[doc[at] + 1]) & head[np.minimum(at + 1, len(head) - 1)]
+            kind[at] = np.where(before | after, 6, 2)
+        # what stands before the first piece that is broken
+        stop = first[1:].copy()
+        broken = np.flatnonzero(kind == 0)
+        np.minimum.at(stop, doc[broken], broken)
+        read = np.arange(len(kind)) < stop[doc]
+        unterminated = np.where(stop < first[1:], 0, -1)
+        token = np.flatnonzero(read & (kind != 6))
+        cut = token[unterminated[doc[token]] >= 0]
+        np.maximum.at(unterminated, doc[cut], ends[cut])
+        s = token[kind[token] != 4]
+        yield doc[s], kind[s], ends[s] - chars[s], ends[s], byte_ends[s] - size_bytes[s], byte_ends[s], unterminated
+
+
+_SPAN = StructType([StructField("role", StringType()), *[StructField(c, IntegerType()) for c in ("start", "end", "byte_start", "byte_end")]])
+
+
+@F.arrow_udf(StructType([StructField("spans", ArrayType(_SPAN)), StructField("unterminated", IntegerType())]))
+def _roles_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for pieces, told in batches:
+        parts = []
+        for doc, kind, *places, unterminated in _spans(pieces, told):
+            role = pa.array(ROLES).take(pa.array(kind))
+            spans = pa.StructArray.from_arrays([role, *[pa.array(x.astype(np.int32)) for x in places]], names=["role", "start", "end", "byte_start", "byte_end"])
+            off = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(unterminated)))]).astype(np.int32)
+            parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(off), spans), pa.array(unterminated.astype(np.int32), mask=unterminated < 0)], names=["spans", "unterminated"]))
+        yield pa.concat_arrays(parts)
+
+
+def role_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, identifiers, literals, comments, chars, byte_ends, unterminated) of texts (doc_id, content): how many spans of
+    lexical_roles there are of each role, sums of their lengths and of their byte ends, and where reading ends."""
+    names = ["identifiers", "literals", "comments", "chars", "byte_ends", "unterminated"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin = 0
+            for doc, kind, start, end, _, byte_end, unterminated in _spans(batch.column("p"), batch.column("told")):
+                n = len(unterminated)
+                of = lambda role: np.bincount(doc[kind == ROLES.index(role)], minlength=n)
+                add = lambda x: np.bincount(doc, x, n).astype(np.int64)
+                own = [of("identifier"), of("literal"), of("comment"), add(end - start), add(byte_end)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, n), *[pa.array(x.astype(np.int64)) for x in own], pa.array(unterminated.astype(np.int64), mask=unterminated < 0)], names=["doc_id", *names])
+                begin += n
+
+    pieces, told = _role_pieces(F.col("content"))
+    key = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", pieces.alias("p"), told.alias("told")).mapInArrow(run, f"doc_id {key}, " + ", ".join(f"{c} long" for c in names))
 
 
 def tokens(docs: DataFrame) -> DataFrame:

@@ -383,10 +383,7 @@ select d.doc_id, coalesce(identifiers, 0) as identifiers, coalesce(literals, 0)
 """)
 def lexical_roles(spark, sf_dir):
     """Identifiers, literals and comments that the lexer alone tells, their lengths and places, and where reading ends."""
-    d = items(spark, sf_dir).select("doc_id", Z.lexical_roles(F.col("content")).alias("r"))
-    of = lambda role: F.size(F.filter("r.spans", lambda s: s["role"] == role)).cast("long").alias(f"{role}s")
-    add = lambda f, name: F.aggregate("r.spans", F.lit(0).cast("long"), lambda a, s: a + f(s)).alias(name)
-    return d.select("doc_id", of("identifier"), of("literal"), of("comment"), add(lambda s: s["end"] - s["start"], "chars"), add(lambda s: s["byte_end"], "byte_ends"), F.col("r.unterminated").cast("long").alias("unterminated"))
+    return Z.role_counts(items(spark, sf_dir).select("doc_id", "content"))
 
 
 def python_texts(spark, sf_dir):

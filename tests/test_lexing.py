@@ -137,3 +137,18 @@ def test_long_texts_dont_recurse(spark):
     d = spark.createDataFrame([(1, long)], "doc_id int, content string")
     r = d.select(L.lexical_roles(F.col("content")).alias("r"), F.size(L.python_tokens(F.concat(F.lit("s = '''"), F.col("content"), F.lit("'''")))["tokens"]).alias("n")).first()
     assert [s["role"] for s in r["r"]["spans"]] == ["literal", "comment", "identifier"] and r["n"] == 3
+
+
+def test_role_counts(spark):
+    """Counts against the spans that they are of, over documents of one slice and of several; no lambda reads the pieces."""
+    from lectern.plans import registry
+
+    some = ['int é5 = 5; // ü\n"a\\"b" x 7é \'c', "", "/* open", "$a _b 1_ 0x1F null 中文 Ⅷ ² 3²", "a 1 b /* c */ 2" * 50]
+    d = spark.createDataFrame([(i, some[i % 5]) for i in range(40)] + [(40, None), (41, "ab 1 " * 200000)], "doc_id long, content string").coalesce(1)
+    got = {r["doc_id"]: tuple(r)[1:] for r in L.role_counts(d).collect()}
+    for r in d.select("doc_id", L.lexical_roles(F.col("content")).alias("r")).collect():
+        s, stop = r["r"]["spans"], r["r"]["unterminated"]
+        assert got[r["doc_id"]] == (*[sum(x["role"] == k for x in s) for k in ("identifier", "literal", "comment")], sum(x["end"] - x["start"] for x in s), sum(x["byte_end"] for x in s), stop)
+    assert len(got) == 42 and got[2] == (0, 0, 0, 0, 0, 0) and got[41][:2] == (200000, 200000)
+    assert got[3][0] == 5 and got[0][5] is not None  # $a, _b, the line behind 1, the two letters as one name, a numeral that is a letter
+    assert "lambdafunction(isnotnull" not in registry.queries()["lexical_roles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
