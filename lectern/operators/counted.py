@@ -152,11 +152,12 @@ def chunk_counts(text: str) -> tuple:
 
 
 KINDS = ("keyword", "operator", "comparison", "number", "identifier", "period", "comma", "paren")
-DENSITY_FIELDS = " ".join([*[f"n_{k}" for k in KINDS], *[f"c_{k}" for k in KINDS], "max_names", "max_numbers"])
+DENSITY_FIELDS = " ".join([*[f"n_{k}" for k in KINDS], *[f"c_{k}" for k in KINDS], "max_names", "max_numbers", "loc", "ink"])
 
 
 def density_counts(language: str) -> Callable[[str], tuple]:
-    """DENSITY_FIELDS of a text: tokens of each kind, their characters, and the most names and numbers in a line."""
+    """DENSITY_FIELDS of a text: tokens of each kind, their characters, the most names and numbers in a line, lines
+    that are not blank, and characters that are no white space."""
     keywords, operators, comparisons, words = map(frozenset, X.LANGUAGES[language])
     single = {".": "period", ",": "comma", "(": "paren", ")": "paren"}
 
@@ -189,7 +190,7 @@ def density_counts(language: str) -> Callable[[str], tuple]:
             for kind in kinds[x]:
                 n[kind] += k
                 c[kind] += k * len(x)
-        return (*[n[k] for k in KINDS], *[c[k] for k in KINDS], names, numbers)
+        return (*[n[k] for k in KINDS], *[c[k] for k in KINDS], names, numbers, sum(bool(x.strip(" ")) for x in lines(text)), len(_SPACE.sub("", text)))
 
     return count
 

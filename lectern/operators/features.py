@@ -108,31 +108,19 @@ def chunk_inventory(docs: DataFrame) -> DataFrame:
 
 def token_density(docs: DataFrame, language: str = "java") -> DataFrame:
     """Tokens of a kind for each non-blank line, the most names and numbers in one line, and the share of the text's
-    characters that keywords and operators take, also against those of names. Each token is told once, as bits of what it is.
+    characters that keywords and operators take, also against those of names. Equal tokens are told once.
     """
-    kinds = ("keyword", "operator", "comparison", "number", "identifier", "period", "comma", "paren")
-    bit = {k: 1 << i for i, k in enumerate(kinds)}
-
-    def told(x: Column) -> Column:
-        is_ = X.vocabulary(x, language) | {"period": x == ".", "comma": x == ",", "paren": x.isin("(", ")")}
-        return F.struct(sum((F.when(is_[k], b).otherwise(0) for k, b in bit.items()), F.lit(0)).alias("is"), F.length(x).alias("n"))
-
-    d = parsed(docs).withColumn("_told", F.transform("_tokens", lambda t: F.transform(t, told)))
-    has = lambda kind: (lambda x: x["is"].bitwiseAND(bit[kind]) != 0)
-    loc = F.greatest(F.size(_written(d)), F.lit(1))
-    ink = F.greatest(F.length(F.regexp_replace("content", r"[\x20\x09-\x0D]+", "")), F.lit(1))
-    d = d.select("doc_id", "_told", F.flatten("_told").alias("_flat"), loc.alias("_loc"), ink.alias("_ink"))
-    rate = lambda kind: r6(F.size(F.filter("_flat", has(kind))) / F.col("_loc"))
-    area = lambda kind: F.aggregate("_flat", F.lit(0.0), lambda a, x: a + F.when(has(kind)(x), x["n"]).otherwise(0))
-    d = d.select("*", *[area(k).alias(f"_{k}") for k in ("keyword", "operator", "identifier")])
+    d = counted.measured(docs, counted.DENSITY_FIELDS, counted.density_counts(language))
+    rate = lambda kind: r6(F.col(f"n_{kind}") / F.greatest("loc", F.lit(1)))
+    ink = F.greatest("ink", F.lit(1))
     return d.select(
         "doc_id",
         *[rate(k).alias(f"{k}s_per_line") for k in ("keyword", "operator", "comparison", "period", "comma", "paren")],
-        largest(counts(F.col("_told"), has("identifier"))).cast("long").alias("max_names"),
-        largest(counts(F.col("_told"), has("number"))).cast("long").alias("max_numbers"),
-        r6(F.col("_keyword") / F.col("_ink")).alias("keyword_area"),
-        r6(F.col("_operator") / F.col("_ink")).alias("operator_area"),
-        r6(F.col("_keyword") / F.greatest("_identifier", F.lit(1.0))).alias("keyword_name_area"),
+        "max_names",
+        "max_numbers",
+        r6(F.col("c_keyword") / ink).alias("keyword_area"),
+        r6(F.col("c_operator") / ink).alias("operator_area"),
+        r6(F.col("c_keyword") / F.greatest("c_identifier", F.lit(1))).alias("keyword_name_area"),
     )
 
 

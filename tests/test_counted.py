@@ -61,3 +61,15 @@ def test_access_counts(spark, data):
     got = {x["doc_id"]: tuple(x)[1:] for x in counted.measured(d, "chains deepest depths", counted.access_counts).collect()}
     assert all(got[k] == r.get(k, (0, 0, 0)) for k in got) and len(r) == 3
     assert "hashpartitioning" not in plan(registry.queries()["access_depth"](spark, data))
+
+
+def test_density_counts(spark, data):
+    """Counts of one walk against the relation of tokens; no array of tokens is built."""
+    d = spark.createDataFrame([(1, CODE), (2, ""), (3, " \n\t\n"), (4, CODE * 3)], "doc_id long, content string")
+    is_ = X.vocabulary(F.col("token"))
+    r = {x["doc_id"]: x for x in X.tokens(d).groupBy("doc_id").agg(*[F.count_if(is_[k]).alias(f"n_{k}") for k in ("keyword", "operator", "comparison", "number", "identifier")], F.sum(F.when(is_["identifier"], F.length("token")).otherwise(0)).alias("c_identifier"), F.count_if(F.col("token") == ",").alias("n_comma")).collect()}
+    got = {x["doc_id"]: x for x in counted.measured(d, counted.DENSITY_FIELDS, counted.density_counts("java")).collect()}
+    for k, own in got.items():
+        assert all(own[c] == (r[k][c] if k in r else 0) for c in ("n_keyword", "n_operator", "n_comparison", "n_number", "n_identifier", "c_identifier", "n_comma"))
+    assert got[3]["loc"] == 1 and got[3]["ink"] == 0 and got[1]["max_names"] == 8
+    assert "lambdafunction" not in plan(registry.queries()["token_density"](spark, data))
