@@ -33,6 +33,52 @@ def _read(path: str) -> str:
         return f.read().decode("utf-8")
 
 
+#: Bytes of a file that one task takes lines of, and that are read at once.
+RANGE, CHUNK = 1 << 24, 1 << 20
+
+
+def _lines(path: str, first: int = 0, last: int = -1) -> Iterator[tuple[int, str]]:
+    """(first byte, text) of the lines that begin within [first, last) of a file, up to its end where last is negative; a
+    line and what was read beside it is all that is held."""
+    store, own = _open(path)
+    at = max(first - 1, 0)
+    with store.open_input_file(own) if last >= 0 else store.open_input_stream(own) as f:
+        if at:
+            f.seek(at)
+        held, skip, more = [], first > 0, b"-"
+        while more:
+            more = f.read(CHUNK)
+            *whole, rest = more.split(b"\n")
+            for x in whole:
+                line = b"".join([*held, x])
+                held = []
+                if not skip:
+                    yield at, line.decode("utf-8")
+                skip, at = False, at + len(line) + 1
+                if 0 <= last <= at:
+                    return
+            held.append(rest)
+        if not skip:
+            yield at, b"".join(held).decode("utf-8")
+
+
+def _line_number(path: str, byte: int) -> int:
+    """Which line begins at a byte, from 1."""
+    return 1 + sum(at < byte for at, _ in _lines(path))
+
+
+def _ranges(path: str) -> list[tuple[int, int]]:
+    """A file's ranges of RANGE bytes; a compressed one is read from its beginning, as a whole."""
+    import pyarrow as pa
+
+    try:
+        pa.Codec.detect(path)
+        return [(0, -1)]
+    except (ValueError, TypeError):  # no ending of a compressed file
+        store, own = _open(path)
+        return [(i, i + RANGE) for i in range(0, max(store.get_file_info(own).size, 1), RANGE)]
+
+
 def _files(path: str) -> list[str]:
     """Addresses of the files at or under a path, in order; hidden ones and markers are left out."""
     from pyarrow import fs
@@ -51,7 +97,8 @@ def _files(path: str) -> list[str]:
 
 @dataclass
 class Piece(InputPartition):
-    """What one task reads: a file, and of a vote layout the items from `first` up to `last`."""
+    """What one task reads: a file, of lines those that begin within the bytes from `first` up to `last`, and of a vote layout
+    these items."""
 
     path: str
     first: int = 0
@@ -91,14 +138,17 @@ class Layout:
 class JsonLines(Layout):
     """An object a line: a name, text and score, or an id made of its parts and a verbal label."""
 
+    def pieces(self) -> list[Piece]:
+        return [Piece(p, *r) for p in _files(self.path) for r in _ranges(p)]
+
     def rows(self, piece: Piece) -> Iterator[tuple]:
-        for n, line in enumerate(_read(piece.path).split("\n"), 1):
+        for at, line in _lines(piece.path, piece.first, piece.last):
             if not line.strip():
                 continue
             try:
                 r = json.loads(line)
             except ValueError as e:
-                raise ValueError(f"{piece.path}, line {n}: {e}") from None
+                raise ValueError(f"{piece.path}, line {_line_number(piece.path, at)}: {e}") from None
             task = r.get("name") or r.get("item_id") or "__".join(str(r[k]) for k in ("dataset", "source_id", "generator_model") if r.get(k) is not None)
             score = r["score"] if r.get("score") is not None else ORDINAL.get(str(r.get("readability", "")).lower())
             yield task, r.get("code_snippet", r.get("code")), None if score is None else float(score), {}
@@ -246,7 +296,8 @@ class RatedCorpus(DataSource):
     """Rated corpora of any layout as (dataset, task_id, content, readability_score, metadata).
 
     Options: layout (one of LAYOUTS), dataset (its name), and of the vote layouts votes (the CSV), texts (the folder),
-    suffix (of the files), items, prefix or language. A task reads a file, or some items of a vote layout. Headers, row
+    suffix (of the files), items, prefix or language. A task reads a file, the lines that begin in
+    some bytes of it, or some items of a vote layout. Headers, row
     lengths, votes and lines that break their layout's rules are errors that name the place; a path without files has no
     rows.
     """

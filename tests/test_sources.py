@@ -142,3 +142,30 @@ def test_misleading_names_are_unique(spark):
     r = perturb.renamed_misleading(d, ["abc", "sixsix", "sevenss"]).collect()
     assert sorted(x["misleading"] for x in r if x["doc_id"] == 1) == ["sevenss", "sixsix", "sixsix_2", "sixsix_3"]
     assert len({(x["doc_id"], x["misleading"]) for x in r}) == len(r) == 6
+
+
+def test_lines_in_ranges(tmp_path, monkeypatch):
+    """Every line is in one range, wherever the ranges and chunks end; no more than a chunk and a line is held."""
+    import gzip
+    import json
+
+    from lectern.sources import rated
+
+    texts = ["é" * k for k in range(40)] + ["x\\n" * 300, ""]
+    body = "\n".join(json.dumps({"name": f"n{i}", "score": i, "code": t}, ensure_ascii=False) for i, t in enumerate(texts))
+    for end in ("", "\n", "\n\n"):
+        (tmp_path / "a.json").write_text(body + end, encoding="utf-8")
+        for size, chunk in ((7, 3), (64, 50), (64, 1000), (1 << 20, 5)):
+            monkeypatch.setattr(rated, "RANGE", size)
+            monkeypatch.setattr(rated, "CHUNK", chunk)
+            own = rated.JsonLines(str(tmp_path / "a.json"), {})
+            pieces = own.pieces()
+            assert len(pieces) == max(1, -(-len((body + end).encode()) // size))
+            assert [(r[0], r[1]) for p in pieces for r in own.rows(p)] == [(f"n{i}", t) for i, t in enumerate(texts)]
+    (tmp_path / "b.json.gz").write_bytes(gzip.compress(body.encode()))
+    own = rated.JsonLines(str(tmp_path / "b.json.gz"), {})
+    assert len(own.pieces()) == 1 and len(list(own.rows(own.pieces()[0]))) == len(texts)
+    (tmp_path / "a.json").write_text(body + "\n{broken", encoding="utf-8")
+    own = rated.JsonLines(str(tmp_path / "a.json"), {})
+    with pytest.raises(ValueError, match=f"line {len(texts) + 1}:"):
+        [r for p in own.pieces() for r in own.rows(p)]
