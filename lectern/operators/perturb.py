@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -52,11 +52,6 @@ def short_names(content: Column, keep: int = 3) -> Column:
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
 
 
-def _names(docs: DataFrame) -> DataFrame:
-    """(doc_id, name): the names of each document, each once."""
-    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(NAME), F.lit(0)))).alias("name"))
-
-
 _LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -73,12 +68,6 @@ def letters(n: Column, most: int = 8) -> Column:
     return out
 
 
-def garbled_names(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, garbled): a letter, or as many as are needed, for each name in the order of its SHA-256."""
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(fingerprint(F.col("name")), "name")) - 1
-    return _names(docs).withColumn("n", place.cast("long")).select("doc_id", "name", letters(F.col("n")).alias("garbled"))
-
-
 _NAME, _PART = re.compile(NAME), re.compile(_PARTS)
 
 
@@ -96,6 +85,27 @@ def _lettered(n: int) -> str:
     return out
 
 
+def _told(docs: DataFrame, to: str, tell: Callable[[str, list[str]], list[str]]) -> DataFrame:
+    """(doc_id, name, `to`): what `tell` gives for a document's id and its names, each once, in the order of their SHA-256.
+
+    A document's names are few beside the rows of a table, so they are told where it lies, without a shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column("doc_id"), batch.column("content"), strict=True):
+                names = sorted(set(_NAME.findall(text.as_py() or "")), key=lambda x: (_sha(x), x))
+                own = pa.array([key.as_py()] * len(names), batch.schema.field("doc_id").type)
+                yield pa.RecordBatch.from_arrays([own, pa.array(names, pa.string()), pa.array(tell(str(key.as_py()), names), pa.string())], names=["doc_id", "name", to])
+
+    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name string, {to} string")
+
+
+def garbled_names(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, garbled): a letter, or as many as are needed, for each name in the order of its SHA-256."""
+    return _told(docs, "garbled", lambda doc, names: [_lettered(i) for i in range(len(names))])
+
+
 @F.arrow_udf(StringType())
 def garbled(content: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A text with its names exchanged for those of `garbled_names`: one table of names and one walk over its parts."""
@@ -112,9 +122,16 @@ def garbled(content: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def renamed_short(docs: DataFrame, keep: int = 3) -> DataFrame:
     """(doc_id, name, renamed): names cut to their first characters; of those that would become one all but the first, in
     the order of their SHA-256, get a number."""
-    n = _names(docs).withColumn("short", F.left("name", F.lit(keep)))
-    k = F.row_number().over(Window.partitionBy("doc_id", "short").orderBy(fingerprint(F.col("name")), "name"))
-    return n.withColumn("k", k).select("doc_id", "name", F.when(F.col("k") == 1, F.col("short")).otherwise(F.concat_ws("_", "short", F.col("k").cast("string"))).alias("renamed"))
+    return _told(docs, "renamed", lambda doc, names: _numbered([x[:keep] for x in names]))
+
+
+def _numbered(words: Sequence[str]) -> list[str]:
+    """Words of which all but the first of equal ones get a number."""
+    used, out = {}, []
+    for word in words:
+        k = used[word] = used.get(word, 0) + 1
+        out.append(word if k == 1 else f"{word}_{k}")
+    return out
 
 
 def renamed_misleading(docs: DataFrame, words: Sequence[str]) -> DataFrame:
@@ -126,20 +143,11 @@ def renamed_misleading(docs: DataFrame, words: Sequence[str]) -> DataFrame:
 
     nearest = [by_size[min(sizes, key=lambda s: (abs(n - s), s))] for n in range(sizes[-1] + 1)]
 
-    def renamed(batches):
-        for batch in batches:
-            for key, text in zip(batch.column("doc_id"), batch.column("content"), strict=True):
-                doc, used, new = f"{key.as_py()}:".encode(), {}, []
-                names = sorted(set(_NAME.findall(text.as_py() or "")), key=lambda x: (_sha(x), x))
-                for x in names:
-                    own = nearest[min(len(x), sizes[-1])]
-                    word = own[int.from_bytes(hashlib.sha256(doc + x.encode()).digest()[:4]) % len(own)]
-                    k = used[word] = used.get(word, 0) + 1
-                    new.append(word if k == 1 else f"{word}_{k}")
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(names), batch.schema.field("doc_id").type), pa.array(names, pa.string()), pa.array(new, pa.string())], names=["doc_id", "name", "misleading"])
-
-    # a document's names are few beside the rows of a table, so they are told where it lies, without a shuffle
-    return docs.select("doc_id", "content").mapInArrow(renamed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name string, misleading string")
+    def word(doc: str, name: str) -> str:
+        own = nearest[min(len(name), sizes[-1])]
+        return own[int.from_bytes(hashlib.sha256(f"{doc}:{name}".encode()).digest()[:4]) % len(own)]
+
+    return _told(docs, "misleading", lambda doc, names: _numbered([word(doc, x) for x in names]))
 
 
 def rewritten(docs: DataFrame, names: DataFrame, to: str) -> DataFrame:

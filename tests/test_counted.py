@@ -73,3 +73,9 @@ def test_density_counts(spark, data):
         assert all(own[c] == (r[k][c] if k in r else 0) for c in ("n_keyword", "n_operator", "n_comparison", "n_number", "n_identifier", "c_identifier", "n_comma"))
     assert got[3]["loc"] == 1 and got[3]["ink"] == 0 and got[1]["max_names"] == 8
     assert "lambdafunction" not in plan(registry.queries()["token_density"](spark, data))
+
+
+@pytest.mark.parametrize("name", ["perturb_garbled_names", "rename_short"])
+def test_names_stay(spark, data, name):
+    """Tables of names are made without a shuffle by document."""
+    assert "hashpartitioning" not in plan(registry.queries()[name](spark, data))
