@@ -133,7 +133,7 @@ def _neighbours(edges_too: bool):
     """Pairs of a sorted run that share MIN_DEPTH hashes and stand within NEIGHBOURS places (tree -1).
 
     Also, as tree -2, each member of a region with more members than the window reaches, and with edges_too the first
-    and last rows of the partition, for what straddles two partitions.
+    and last rows of the partition, for what straddles two partitions. A pair is dense where both ends are such members.
     """
 
     def crowded(tree, region, node):
@@ -141,18 +141,18 @@ def _neighbours(edges_too: bool):
         far = np.flatnonzero((region[w:] == region[:-w]) & (tree[w:] == tree[:-w])) if len(node) > w else np.zeros(0, int)
         return np.unique(node[(far[:, None] + np.arange(w + 1)).ravel()])
 
-    def pairs(tree, region, node):
-        out = []
+    def pairs(tree, region, node, many):
+        out, full = [], np.isin(node, many)
         for w in range(1, NEIGHBOURS + 1):
             near = np.flatnonzero((region[w:] == region[:-w]) & (tree[w:] == tree[:-w]) & (node[w:] != node[:-w])) if len(node) > w else np.zeros(0, int)
-            out.append((np.minimum(node[near], node[near + w]), np.maximum(node[near], node[near + w]), (tree[near] < 2) & (w == 1)))
+            out.append((np.minimum(node[near], node[near + w]), np.maximum(node[near], node[near + w]), (tree[near] < 2) & (w == 1), full[near] & full[near + w]))
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
-    def rows(a, b, early, tree=None, key=None):
+    def rows(a, b, early, dense, tree=None, key=None):
         n = len(a)
         return pa.RecordBatch.from_arrays(
-            [pa.array(a), pa.array(b), pa.array(early), pa.array(tree if tree is not None else np.full(n, -1, np.int32)), key if key is not None else pa.nulls(n, pa.binary())],
-            ["a", "b", "early", "tree", "key"],
+            [pa.array(a), pa.array(b), pa.array(early), pa.array(dense), pa.array(tree if tree is not None else np.full(n, -1, np.int32)), key if key is not None else pa.nulls(n, pa.binary())],
+            ["a", "b", "early", "dense", "tree", "key"],
         )
 
     def run(batches):
@@ -165,18 +165,20 @@ def _neighbours(edges_too: bool):
             head = tuple(x[:_ENDS] for x in head)
             own = new if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
             region = np.ascontiguousarray(own[1][:, :8]).view(np.uint64).ravel()
-            yield rows(*pairs(own[0], region, own[2]))
             many = crowded(own[0], region, own[2])
-            yield rows(many, many, np.zeros(len(many), bool), np.full(len(many), -2, np.int32))
+            yield rows(*pairs(own[0], region, own[2], many))
+            no = np.zeros(len(many), bool)
+            yield rows(many, many, no, no, np.full(len(many), -2, np.int32))
             held = tuple(x[-_ENDS:] for x in own)
         if edges_too and held is not None:
             for tree, key, node in (head, held):
-                yield rows(node, node, np.zeros(len(node), bool), tree, _fixed(key))
+                no = np.zeros(len(node), bool)
+                yield rows(node, node, no, no, tree, _fixed(key))
 
     return run
 
 
-_PAIRS = "a long, b long, early boolean, tree int, key binary"
+_PAIRS = "a long, b long, early boolean, dense boolean, tree int, key binary"
 
 
 def _likely(threshold: float):
@@ -188,7 +190,7 @@ def _likely(threshold: float):
         for batch in batches:
             x, y = _bytes(batch.column("sa"), SKETCH), _bytes(batch.column("sb"), SKETCH)
             good = pa.array((x == y).sum(axis=1) >= least)
-            yield batch.select(["a", "b", "early"]).filter(good)
+            yield batch.select(["a", "b", "early", "dense"]).filter(good)
 
     return run
 
@@ -266,7 +268,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Equal sets form one class first, so a group of copies of any size is one member of the forest. Classes stand in
     TREES sorted orders of MinHash prefixes (one range-partitioned sort, so no prefix is a hot key); neighbours with
     at least MIN_DEPTH shared hashes are candidates, a sketch drops the unlikely, and the rest are confirmed on the
-    full sets: a first wave with the nearest neighbours, then the pairs that the first wave has not yet connected.
+    full sets: a first wave with the nearest neighbours, then the pairs that the first wave has not yet connected. Of a
+    region with more members than the window reaches only such pairs are looked at at all.
     Where more classes share the MIN_DEPTH hashes than the window reaches, their members in unlike components are
     compared by prefix filtering, which is exact. A pair at exactly 0.8 is missed with probability 3e-6.
 
@@ -285,16 +288,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = keep(forest.mapInArrow(_neighbours(True), _PAIRS), "neighbours")
     ends = found.where("tree >= 0").select("tree", "key", F.col("a").alias("node")).distinct().coalesce(1).sortWithinPartitions("tree", "key", "node")
     found = found.where("tree < 0").unionByName(ends.mapInArrow(_neighbours(False), _PAIRS))
-    pairs = found.where("tree = -1").groupBy("a", "b").agg(F.max("early").alias("early"))
+    pairs = keep(found.where("tree = -1").groupBy("a", "b").agg(F.max("early").alias("early"), F.max("dense").alias("dense")), "pairs")
     crowded = keep(found.where("tree = -2").select(F.col("a").alias("node")).distinct(), "crowded")
     sketch = reps.select("node", "sketch").dropDuplicates(["node"])
 
     def promising(pairs: DataFrame, name: str) -> DataFrame:
         p = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        return keep(p.select("a", "b", "early", "sa", "sb").mapInArrow(_likely(percent / 100), "a long, b long, early boolean"), name)
+        return keep(p.select("a", "b", "early", "dense", "sa", "sb").mapInArrow(_likely(percent / 100), "a long, b long, early boolean, dense boolean"), name)
 
-    likely = promising(pairs, "likely")
-    members = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct()
+    likely = promising(pairs.where("early or not dense"), "likely")
+    # both ends of a dense pair are crowded, so a large group adds each of its classes once, not once for each pair
+    members = likely.where("not dense").select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded).distinct()
     members = members.join(classes, "node").select("node", F.col("first_id").alias("_id"), F.col("first_th").alias("_th"))
     texts = base.select("_id", "_th", "text").mapInArrow(packed, "_id long, _th long, ztext binary").join(members.hint("merge"), ["_id", "_th"])
     texts = keep(texts.select("node", "ztext").dropDuplicates(["node"]), "texts")
@@ -305,15 +309,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     first = keep(confirm(likely.where("early")), "links")
     label = components(first)
-    apart = likely.where("not early")
-    for side in ("a", "b"):
-        apart = apart.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    apart = apart.where("coalesce(ca, a) <> coalesce(cb, b)")
-    label = components(first.unionByName(confirm(apart)))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+        return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "early", "dense")
+
+    later = promising(apart(pairs.where("dense and not early")), "dense-likely").unionByName(apart(likely.where("not early")))
+    label = components(first.unionByName(confirm(later)))
 
     if not crowded.isEmpty():
         full = texts.join(crowded, "node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "ztext")
-        late = promising(_crowded_pairs(full, words, percent).withColumn("early", F.lit(False)), "crowded-likely")
+        late = promising(_crowded_pairs(full, words, percent).select("*", F.lit(False).alias("early"), F.lit(True).alias("dense")), "crowded-likely")
         if not late.isEmpty():
             label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirm(late)))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import unicodedata
 import zlib
@@ -105,6 +106,30 @@ def test_near_duplicates_in_a_crowd(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 if i >= 2000 else i for i, _ in rows}
 
 
+@pytest.mark.parametrize("n", [200, 800])
+def test_near_duplicates_look_at_few_pairs_of_a_large_group(spark, monkeypatch, n):
+    """Near copies of one text: the pairs told before texts are fetched are as many as the copies, not forty times that."""
+    from lectern.llm import near_dedup
+
+    told, rnd = Counter(), random.Random(n)
+    rows = []
+    for i in range(n):
+        words = [f"w{j}" for j in range(150)]
+        for _ in range(3):
+            words[rnd.randrange(150)] = f"x{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+
+    def keep(df, name, kept=near_dedup.keep):
+        out = kept(df, name)
+        told[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "keep", keep)
+    got = Counter(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=2).drop("text_hash", "first").collect())
+    assert got == brute_components(rows, 2)
+    assert told["texts"] == n and told["likely"] <= 3 * n
+
+
 def test_near_duplicates_on_the_tables(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = Counter(tuple(r) for r in QUERIES["op2_minhash_near_dedup"](spark, data).collect())
